@@ -161,11 +161,14 @@ def quantile_bins(df, keys, x, bins=10, hot_rows=None) -> DataFrame:
 
     Returns df plus bin (0-based), lo and hi.
     """
+    if not keys:
+        one = df.withColumn("__all", F.lit(1))
+        return quantile_bins(one, ["__all"], x, bins, hot_rows).drop("__all")
     probs = [i / bins for i in range(bins + 1)]
     edges = quantiles(df, keys, x, probs, "__edges", hot_rows).select(
         *keys, F.array_distinct("__edges").alias("__edges")
     )
-    tagged = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))
+    tagged = df.join(edges, keys)
     pos = f"greatest(size(filter(__edges, e -> e < {x})), 1)"
     return (
         tagged.where(F.size("__edges") > 1)

@@ -194,15 +194,18 @@ def _(spark, sf):
 
 @query("current_era_and_period", "WN15 AG27", f"""WITH {td.ORDERS},
 f AS (SELECT era, min(ordered_at) AS first_at FROM orders_panel GROUP BY era)
-SELECT (SELECT coalesce(max(CASE WHEN first_at <= TIMESTAMP '1999-12-01' + INTERVAL 45 DAY THEN era END), min(era)) FROM f) AS current_era,
-       (SELECT coalesce(min(CASE WHEN ordered_at >= TIMESTAMP '2000-05-20' THEN month(ordered_at) END), max(month(ordered_at)))
-        FROM orders_panel WHERE era = 2000) AS current_period""")
+SELECT 'era' AS what, coalesce(max(CASE WHEN first_at <= TIMESTAMP '1999-12-01' + INTERVAL 45 DAY THEN era END), min(era)) AS value FROM f
+UNION ALL
+SELECT 'period', coalesce(min(CASE WHEN ordered_at >= TIMESTAMP '2000-05-20' THEN month(ordered_at) END), max(month(ordered_at)))
+FROM orders_panel WHERE era = 2000""")
 def _(spark, sf):
     o = td.orders_panel(spark, sf)
     era = wn.current_era(o, "era", "ordered_at", F.expr("TIMESTAMP_NTZ '1999-12-01 00:00:00'"))
     in_era = o.where("era = 2000").withColumn("month", F.month("ordered_at").cast("bigint"))
     per = wn.current_period(in_era, "month", "ordered_at", F.expr("TIMESTAMP_NTZ '2000-05-20 00:00:00'"))
-    return era.crossJoin(per)
+    return era.select(F.lit("era").alias("what"), F.col("current_era").alias("value")).unionByName(
+        per.select(F.lit("period").alias("what"), F.col("current_period").alias("value"))
+    )
 
 
 _BIN_SQL = f"""WITH {td.ORDERS},
