@@ -28,28 +28,45 @@ def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def find_hot(
-    df: DataFrame, keys: list[str], clock: Column, hot_rows: int | None = None
-) -> DataFrame | None:
-    """Keys above the row limit, with the clock values at which to cut them; None if there are none.
+def surely_small(df: DataFrame, rows: int) -> bool:
+    """True when all files behind the frame together hold fewer than 8 bytes per allowed row."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size < rows * 8
+
 
-    Two light jobs: per-key counts (map-side combined, key columns only), then quantiles of
-    the clock for the hot keys alone.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
+    """Keys above the row limit as a small local frame (keys, __n), and the limit; or None.
+
+    One light job: per-key counts, combined map-side, over the key columns only. Skipped when
+    the input files are too small to hold a hot key.
     """
-    spark = df.sparkSession
     limit = hot_limit(df, hot_rows)
+    if surely_small(df, limit):
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     top = counts.agg(F.max("__n").alias("top"), F.sum("__n").alias("total")).first()
     if top["top"] is None or top["top"] <= limit:
         return None
     limit = max(limit, top["total"] // MAX_HOT_KEYS)
-    hot = counts.where(F.col("__n") > limit)
     # At most MAX_HOT_KEYS rows can exceed total / MAX_HOT_KEYS.
-    hot_keys = spark.createDataFrame(hot.collect(), hot.schema)
-    if hot_keys.isEmpty():
+    rows = counts.where(F.col("__n") > limit).collect()
+    if not rows:
         return None
+    return df.sparkSession.createDataFrame(rows, counts.schema), limit
+
+
+def find_hot(
+    df: DataFrame, keys: list[str], clock: Column, hot_rows: int | None = None
+) -> DataFrame | None:
+    """Hot keys with the clock values at which to cut them; None if there are none."""
+    found = hot_keys(df, keys, hot_rows)
+    if found is None:
+        return None
+    hot, limit = found
+    spark = df.sparkSession
+    renamed = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n")
     probs = [i / MAX_RUNS for i in range(1, MAX_RUNS)]
-    renamed = hot_keys.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n")
     rows = df.select(*keys, clock.cast("double").alias(CLOCK)).join(
         F.broadcast(renamed), _same(keys), "inner"
     )
@@ -367,9 +384,7 @@ def quantiles(
         data, keys, dummy = data.withColumn("__all", F.lit(1)), ["__all"], True
     else:
         dummy = False
-    limit = hot_limit(df, hot_rows)
-    top = data.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if top is None or top <= limit:
+    if hot_keys(data, keys, hot_rows) is None:
         res = data.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias(out)
         )
@@ -395,3 +410,38 @@ def quantiles(
         F.expr("transform(array_sort(collect_list(struct(i, q))), s -> s.q)").alias(out)
     )
     return res.drop("__all") if dummy else res
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    hot_rows: int | None = None,
+    salts: int = 64,
+) -> DataFrame:
+    """Join to a side with at most one row per key; hot left keys are salted.
+
+    The salt is a hash of the whole left row, so a retried task repeats it. Only the right
+    rows of hot keys are copied, ``salts`` times each.
+    """
+    found = hot_keys(left, keys, hot_rows)
+    if found is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(found[0].select(*keys, F.lit(True).alias("__hot")))
+    salted = left.join(hot, keys, "left").withColumn(
+        "__salt",
+        F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)),
+    )
+    copies = right.join(hot, keys, "left").withColumn(
+        "__salt",
+        F.explode(
+            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        ),
+    )
+    return (
+        salted.drop("__hot")
+        .withColumn("__salt", F.col("__salt").cast("int"))
+        .join(copies.drop("__hot"), [*keys, "__salt"], how)
+        .drop("__salt")
+    )
