@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -48,7 +49,7 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold(text: Column) -> Column:
     """ASCII-leaning form of any text; plain ASCII passes untouched."""
     src, dst, many = fold_tables()
-    table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     some_many = text.rlike("[" + "".join(many) + "]")
     spread = F.when(
         some_many,

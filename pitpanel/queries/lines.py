@@ -14,7 +14,7 @@ from pitpanel.sources import feeds
 
 def half_up(x: str, d: int) -> str:
     """SQL rounding that sends decimal ties away from zero, as the engine does."""
-    return f"(sign({x}) * floor(abs({x}) * 1e{d} + 0.5 + 1e-7) / 1e{d} + 0.0)"
+    return f"(CAST(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, {d})) AS DOUBLE) + 0.0)"
 
 
 # ---- posted lines: every event is a line --------------------------------------------------
@@ -72,9 +72,7 @@ m1 AS (SELECT *, CASE label WHEN 'longest reception' THEN 'refused' WHEN 'myster
    WHEN label = 'player touchdowns' AND rushing_tds + receiving_tds <= 0 THEN 'unprojected' ELSE 'matched' END END AS disposition FROM m0),
 m2 AS (SELECT *, CASE WHEN disposition = 'matched' THEN CASE label WHEN 'receiving yards' THEN receiving_yards
     WHEN 'rush+rec yds' THEN rushing_yards + receiving_yards WHEN 'rec targets' THEN targets
-    WHEN 'fantasy score' THEN {half_up(_FANTASY, 2)} ELSE rushing_tds + receiving_tds END END AS raw0 FROM m1),
-m3 AS (SELECT *, CASE WHEN label = 'player touchdowns' THEN least(0.99, greatest(0.01, 1 - exp(-raw0) * (SELECT sum(pow(raw0, i) / gamma(i + 1.0)) FROM generate_series(0, 300) g(i) WHERE i <= floor(line)))) ELSE raw0 END AS raw,
-   CASE WHEN label = 'player touchdowns' THEN 0.5 ELSE line END AS against FROM m2)"""
+    WHEN 'fantasy score' THEN {half_up(_FANTASY, 2)} ELSE rushing_tds + receiving_tds END END AS raw0 FROM m1)"""
 
 
 def _poisson_series(lam: str, line: str, terms: int = 30) -> str:
@@ -86,7 +84,8 @@ def _poisson_series(lam: str, line: str, terms: int = 30) -> str:
     return f"exp(-({lam})) * (" + " + ".join(parts) + ")"
 
 
-COMPARED = COMPARED[: COMPARED.index("m3 AS (")] + f"""m3 AS (SELECT *, CASE WHEN label = 'player touchdowns'
+COMPARED = COMPARED + f""",
+m3 AS (SELECT * EXCLUDE (player), CASE WHEN disposition = 'matched' THEN player END AS player, CASE WHEN label = 'player touchdowns' AND raw0 IS NOT NULL
    THEN least(0.99, greatest(0.01, 1 - {_poisson_series('raw0', 'line')})) ELSE raw0 END AS raw,
    CASE WHEN label = 'player touchdowns' THEN 0.5 ELSE line END AS against FROM m2),
 cmp AS (SELECT *, raw - against AS gap, CASE WHEN disposition = 'matched' THEN CASE WHEN label = 'fantasy score' THEN 'composite'
