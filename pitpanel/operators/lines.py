@@ -13,7 +13,7 @@ from pitpanel.functions.prob import (
     CEIL, FLOOR, median_projection, poisson_at_least, prob_over, threshold_for_line, wilson,
 )
 from pitpanel.operators.joins import bin_lookup, first_per_key, id_then_name
-from pitpanel.operators.ordered import lookup_join, ranked
+from pitpanel.operators.ordered import fenced, lookup_join, ranked
 from pitpanel.operators.windows import first_seen
 from pitpanel.sources.feeds import MARKERS  # noqa: F401  (stat labels arrive stripped of these)
 
@@ -218,16 +218,19 @@ def compare(
     best = p.groupBy("name_key").agg(
         F.min_by(F.struct(*held, "vals", "srcs"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\U0010ffff")) if dict(p.dtypes)[c] == "string" else F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) for c in order_cols])).alias("p")
     )
+    key = normalize_name(F.col("name"))
     j = lookup_join(
-        tagged.withColumn("name_key", normalize_name(F.col("name"))), best, ["name_key"], "left", hot_rows
+        tagged.withColumn("name_key", key), best, ["name_key"], "left", hot_rows, probe=lines.select(key.alias("name_key"))
     )
-    vals = F.col("p.vals")
     comps = F.col("comps")
-    total = component_sum(comps, vals)
+    j = fenced(
+        j, __total=component_sum(comps, F.col("p.vals")), __missing=any_missing(comps, F.col("p.vals"))
+    )
+    total = F.col("__total")
     lacking = (
         F.when(F.col("kind") == "prob", total <= 0)
         .when(F.col("kind") == "fantasy", F.lit(False))
-        .otherwise(any_missing(comps, vals))
+        .otherwise(F.col("__missing"))
     )
     disposition = (
         F.when(F.col("action") == "refuse", "refused")
@@ -243,26 +246,31 @@ def compare(
         F.when(is_prob, chance).when(F.col("kind") == "fantasy", F.round(total, 2)).otherwise(total)
     )
     single = (F.col("kind") == "mean") & (F.size(comps) == 1)
-    v = j.withColumn("disposition", disposition).select(
+    v = fenced(j.withColumn("disposition", disposition), __raw=raw)
+    matched = F.col("disposition") == "matched"
+    source = F.when(F.col("kind") == "fantasy", "composite").otherwise(source_rollup(comps, F.col("p.srcs"), reg))
+    v = v.select(
         *lines.columns, "label", "kind", "reason", "tier", "tier_edge", "disposition",
-        F.when(F.col("disposition") == "matched", F.col("p")).alias("p"),
-        F.when(F.col("disposition") == "matched", raw).alias("raw"),
-        F.when(F.col("disposition") == "matched", F.when(F.col("kind") == "fantasy", "composite").otherwise(source_rollup(comps, F.col("p.srcs"), reg))).alias("source"),
-        F.when((F.col("disposition") == "matched") & single, comps[0]["col"]).alias("target"),
+        F.when(matched, F.col("p")).alias("p"),
+        F.when(matched, F.col("__raw")).alias("raw"),
+        F.when(matched, source).alias("source"),
+        F.when(matched & single, comps[0]["col"]).alias("target"),
     )
     if calibration is not None:
         v = bin_lookup(v, calibration, "target", "raw", ["quantiles", "q_grid"])
     else:
         none = F.lit(None).cast("array<double>")
         v = v.withColumn("quantiles", none).withColumn("q_grid", none)
-    v = v.withColumn("p_raw", prob_over(F.col("raw"), F.col("line"), F.col("quantiles"), F.col("q_grid")))
+    dist = (F.col("quantiles"), F.col("q_grid"))
+    v = fenced(
+        v, p_raw=prob_over(F.col("raw"), F.col("line"), *dist), __median=median_projection(F.col("raw"), *dist)
+    )
     has_p = F.col("p_raw").isNotNull()
-    shown = F.when(has_p, F.coalesce(median_projection(F.col("raw"), F.col("quantiles"), F.col("q_grid")), F.col("raw"))).otherwise(F.col("raw"))
     is_prob = F.col("kind") == "prob"
     against = F.when(is_prob, F.lit(0.5)).otherwise(F.col("line"))
-    v = v.withColumn("__model", shown).withColumn("__diff", F.col("__model") - against)
+    v = v.withColumn("__model", F.when(has_p, F.coalesce("__median", "raw")).otherwise(F.col("raw")))
+    v = v.withColumn("__diff", F.col("__model") - against)
     lean = F.when(has_p, lean_from(F.col("p_raw"), F.lit(0.5))).otherwise(lean_from(F.col("__diff"), F.lit(0.0)))
-    matched = F.col("disposition") == "matched"
     return v.select(
         *[c for c in lines.columns if c not in ("position", "team")],
         "disposition", "reason",
@@ -360,11 +368,15 @@ def grade(table: DataFrame, actuals: DataFrame, hot_rows: int | None = None) ->
     t = t.withColumn("name_key", normalize_name(F.col("player")))
     j = id_then_name(t, actual_values(actuals), "gsis_id", "name_key", ["gsis_id"], ["vals"], hot_rows)
     comps, vals = F.col("comps"), F.col("vals")
-    whole = F.when(F.col("rule_kind") == "fantasy", any_present(comps, vals)).otherwise(~any_missing(comps, vals))
-    value = F.round(component_sum(comps, vals), 2)
-    exact_value = F.when(F.col("rule_kind") == "fantasy", value).otherwise(component_sum(comps, vals))
+    fantasy = F.col("rule_kind") == "fantasy"
+    j = fenced(
+        j.where("matched"), __sum=component_sum(comps, vals),
+        __whole=F.when(fantasy, any_present(comps, vals)).otherwise(~any_missing(comps, vals)),
+    )
+    value = F.round("__sum", 2)
+    exact_value = F.when(fantasy, value).otherwise(F.col("__sum"))
     result = F.when(exact_value > F.col("line"), "More").when(exact_value < F.col("line"), "Less").otherwise("Exact")
-    g = j.where(F.col("matched") & whole).withColumn("actual", value).withColumn("result", result)
+    g = j.where("__whole").withColumn("actual", value).withColumn("result", result)
     return g.select(
         *table.columns, "actual", "result",
         F.when(F.col("result") != "Exact", F.col("result") == F.col("lean")).alias("model_correct"),

@@ -24,6 +24,13 @@ MAX_RUNS = 1024
 BLOCK = 32
 
 
+def fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator, so later filters and projections read the values
+    instead of being rewritten into copies of long expressions."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
@@ -419,13 +426,15 @@ def lookup_join(
     how: str = "left",
     hot_rows: int | None = None,
     salts: int = 64,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a side with at most one row per key; hot left keys are salted.
 
     The salt is a hash of the whole left row, so a retried task repeats it. Only the right
-    rows of hot keys are copied, ``salts`` times each.
+    rows of hot keys are copied, ``salts`` times each. ``probe``: a leaner frame with the same
+    key values, for counting.
     """
-    found = hot_keys(left, keys, hot_rows)
+    found = hot_keys(left if probe is None else probe, keys, hot_rows)
     if found is None:
         return left.join(right, keys, how)
     hot = F.broadcast(found[0].select(*keys, F.lit(True).alias("__hot")))
