@@ -10,6 +10,7 @@ from pitpanel.functions.prob import posterior
 from pitpanel.operators.aggregates import ratio
 from pitpanel.operators.ordered import quantiles
 from pitpanel.operators.windows import equal_count_bins, quantile_bins
+from pitpanel.session import constant_table
 
 # Fixed values of the calibration layer.
 CELL_K = 25.0
@@ -61,7 +62,9 @@ def status_multipliers(obs: DataFrame) -> DataFrame:
         F.avg(F.col("appeared").cast("double")).alias("base")
     )
     spark = obs.sparkSession
-    floors = spark.createDataFrame(list(STATUS_FLOOR.items()), "report_status string, floor double")
+    floors = constant_table(
+        spark, [{"report_status": k, "floor": v} for k, v in STATUS_FLOOR.items()], "report_status:string,floor:double"
+    )
     seen = obs.join(base, ["position", "rank_capped"]).where(F.col("report_status").isin(list(STATUS_FLOOR)))
     m = seen.groupBy("report_status").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("appeared").cast("double")).alias("rate"), F.avg("base").alias("base")

@@ -15,7 +15,7 @@ from pitpanel.functions.prob import (
 from pitpanel.operators.joins import bin_lookup, first_per_key, id_then_name
 from pitpanel.operators.ordered import fenced, lookup_join, ranked
 from pitpanel.operators.windows import first_seen
-from pitpanel.sources.feeds import MARKERS  # noqa: F401  (stat labels arrive stripped of these)
+from pitpanel.session import constant_table
 
 # Board label -> kind and weighted projection columns.
 STAT_RULES = {
@@ -93,11 +93,15 @@ _COMPONENTS = "array<struct<col:string,w:double>>"
 
 def stat_rules(spark: SparkSession) -> DataFrame:
     """The rule dimension: label, action, reason, kind, components."""
-    rows = [(k, "price", None, kind, list(parts.items())) for k, (kind, parts) in STAT_RULES.items()]
-    rows += [(k, "refuse", why, None, []) for k, why in REFUSED.items() if k not in STAT_RULES]
-    rows += [(k, "price", None, "fantasy", list(FANTASY_WEIGHTS.items())) for k in FANTASY_LABELS]
-    return spark.createDataFrame(
-        rows, f"label string, action string, reason string, kind string, comps {_COMPONENTS}"
+    def row(label, action, reason=None, kind=None, parts=()):
+        comps = [{"col": c, "w": w} for c, w in dict(parts).items()]
+        return {"label": label, "action": action, "reason": reason, "kind": kind, "comps": comps}
+
+    rows = [row(k, "refuse", why) for k, why in REFUSED.items()]
+    rows += [row(k, "price", None, kind, parts) for k, (kind, parts) in STAT_RULES.items() if k not in REFUSED]
+    rows += [row(k, "price", None, "fantasy", FANTASY_WEIGHTS) for k in FANTASY_LABELS]
+    return constant_table(
+        spark, rows, f"label:string,action:string,reason:string,kind:string,comps:{_COMPONENTS}"
     )
 
 

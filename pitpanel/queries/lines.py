@@ -9,6 +9,7 @@ from pitpanel.operators import aggregates as ag
 from pitpanel.operators import lines as ln
 from pitpanel.queries import query
 from pitpanel.queries.calibration import CALIBRATION, calibration
+from pitpanel.session import constant_table
 from pitpanel.sources import feeds
 
 
@@ -126,8 +127,8 @@ RELIABILITY = [
 
 
 def reliability(spark):
-    rows = [(s, t, e, i) for i, (s, t, e) in enumerate(RELIABILITY)]
-    return spark.createDataFrame(rows, "stat string, tier string, side_edge_pts double, pos int")
+    rows = [{"stat": s, "tier": t, "side_edge_pts": e, "pos": i} for i, (s, t, e) in enumerate(RELIABILITY)]
+    return constant_table(spark, rows, "stat:string,tier:string,side_edge_pts:double,pos:int")
 
 
 _BOARD = COMPARED + """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -71,3 +72,9 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast when the size check passes, else leave the choice to the optimizer."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def constant_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A small fixed table as one literal, so it needs no Python worker and has a known size."""
+    data = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
+    return spark.range(1).select(F.inline(data))
