@@ -324,15 +324,15 @@ def board_rows(compared: DataFrame) -> DataFrame:
     )
 
 
-def collapse_alternates(lines: DataFrame, arrival: list[str]) -> DataFrame:
-    """One line per (player, stat): the standard one first, then the newest arrival."""
+def collapse_alternates(lines: DataFrame, arrival: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """One line per (player, stat) and ``within``: the standard one first, then the newest arrival."""
     from pitpanel.operators.windows import collapse_ladder
 
     keyed = lines.withColumn("__name", normalize_name(F.col("name"))).withColumn(
         "__stat", F.lower(F.trim("stat_type"))
     )
     alt = F.coalesce(F.col("odds_type") != "standard", F.lit(True))
-    return collapse_ladder(keyed, ["__name", "__stat"], alt, arrival).drop("__name", "__stat")
+    return collapse_ladder(keyed, [*within, "__name", "__stat"], alt, arrival).drop("__name", "__stat")
 
 
 def freeze(
