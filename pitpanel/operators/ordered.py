@@ -3,10 +3,9 @@
 A window over PARTITION BY key puts a whole key in one task. Here a key with more rows than
 ``hot_rows`` is cut into consecutive runs along a numeric clock. Windows run inside
 (key, run); a carry table, one row per run of a hot key, brings in what earlier runs
-contribute and is joined back. The carry table is small by construction: the hot threshold
-is at least total / MAX_HOT_KEYS, so there are at most MAX_HOT_KEYS hot keys with at most
-MAX_RUNS runs each and, since runs are proportional to rows, about 2 * MAX_HOT_KEYS runs in
-all. With no hot key the plan is the plain window: one exchange.
+contribute and is joined back. The carry table is small by construction: at most MAX_HOT_KEYS
+keys are cut, and runs are sized so that there are at most MAX_TOTAL_RUNS + MAX_HOT_KEYS of
+them. With no hot key the plan is the plain window: one exchange.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ HOT_ROWS_CONF = "spark.pitpanel.hotRows"
 DEFAULT_HOT_ROWS = 4_000_000
 MAX_HOT_KEYS = 4096
 MAX_RUNS = 1024
+MAX_TOTAL_RUNS = 8192
 BLOCK = 32
 
 
@@ -43,7 +43,7 @@ def surely_small(df: DataFrame, rows: int) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
-    """Keys above the row limit as a small local frame (keys, __n), and the limit; or None.
+    """Keys above the row limit as a small local frame (keys, __n), and rows per run; or None.
 
     One light job: per-key counts, combined map-side, over the key columns only. Skipped when
     the input files are too small to hold a hot key.
@@ -52,15 +52,12 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
     if surely_small(df, limit):
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    top = counts.agg(F.max("__n").alias("top"), F.sum("__n").alias("total")).first()
-    if top["top"] is None or top["top"] <= limit:
-        return None
-    limit = max(limit, top["total"] // MAX_HOT_KEYS)
-    # At most MAX_HOT_KEYS rows can exceed total / MAX_HOT_KEYS.
-    rows = counts.where(F.col("__n") > limit).collect()
+    # At most MAX_HOT_KEYS rows come back; any key left out holds at most total / MAX_HOT_KEYS rows.
+    rows = counts.where(F.col("__n") > limit).orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, counts.schema), limit
+    per_run = max(limit, sum(r["__n"] for r in rows) // MAX_TOTAL_RUNS)
+    return df.sparkSession.createDataFrame(rows, counts.schema), per_run
 
 
 def find_hot(

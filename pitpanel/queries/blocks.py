@@ -7,6 +7,7 @@ from pitpanel.operators import aggregates as ag
 from pitpanel.operators.shape import rank_cap
 from pitpanel.plans import blocks as fb
 from pitpanel.queries import query, steady, steady_sql
+from pitpanel.session import materialise
 from pitpanel.queries.aggregates import CREW, SCHEME, TEAM, priors_sql, team_week
 
 _VOL = [c for c in fb.VOLUME_STATS if c in td.BOX]
@@ -117,7 +118,8 @@ _PAN = td.PANEL[len(td.PLAYS) :]
 
 
 def _team(spark, sf):
-    return ag.with_rival_side(team_week(spark, sf))
+    """The group table is an artifact: written once, then read by every block that needs it."""
+    return ag.with_rival_side(materialise(team_week(spark, sf), "team"))
 
 
 def _league(t):

@@ -10,7 +10,7 @@ from pitpanel.queries import query, steady, steady_sql
 from pitpanel.queries.aggregates import SCORED, TEAM, scored, team_week
 from pitpanel.queries.blocks import FEATURES, _LITERAL
 from pitpanel.queries.models import feature_panel
-from pitpanel.session import scratch_path
+from pitpanel.session import materialise, scratch_path
 from pitpanel.sources import sinks
 
 
@@ -195,7 +195,7 @@ def _(spark, sf):
     """First period of the last era from history alone; two of its features are compared."""
     from pitpanel.operators import aggregates as ag
 
-    t = ag.with_rival_side(team_week(spark, sf))
+    t = ag.with_rival_side(materialise(team_week(spark, sf), "team"))
     league = t.groupBy("season").agg(F.avg("off_proe").alias("league_off_proe"))
     live = pj.project(td.panel(spark, sf), _future(spark, sf).where("week = 1"), t, league, _LITERAL)
     return live.select("game_id", "gsis_id", "f_games_prior", "f_career_targets")

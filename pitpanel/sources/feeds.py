@@ -5,10 +5,11 @@ One bad element costs only itself; nothing raises on hostile input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pitpanel.functions.names import person_like
 from pitpanel.functions.prob import finite_number
+from pitpanel.operators.ordered import fenced
 
 LINE_COLUMNS = ["name", "team", "position", "stat_type", "line", "start_time", "direction", "odds_type"]
 
@@ -65,46 +66,59 @@ def json_envelope(text: Column) -> Column:
 
 
 def parse_json(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Every projection of every document: the line columns, pos and reject_reason (null when kept)."""
-    env = docs.select(doc_id, json_envelope(F.col(text)).alias("e"))
-    data = env.select(doc_id, F.posexplode("e.data").alias("pos", "raw"))
-    inc = env.select(doc_id, F.posexplode("e.included").alias("ipos", "raw"))
-    p = data.select(doc_id, "pos", F.from_json("raw", _PROJECTION).alias("p")).where(
-        F.col("p.type") == "projection"
-    )
-    a = F.col("p.attributes")
-    rows = p.select(
-        doc_id, "pos", F.coalesce(F.col("p.relationships.new_player.data.id"), F.lit("")).alias("pid"),
-        a["description"].alias("description"),
-        F.coalesce(F.nullif(a["stat_type"], F.lit("")), a["stat_display_name"]).alias("stat_type"),
-        a["line_score"].alias("score"),
-        a["start_time"].alias("start_time"),
-        offered_by_feed(a["allowed_wager_types"]).alias("direction"),
-        F.lower(F.coalesce(F.nullif(a["odds_type"], F.lit("")), F.lit("standard"))).alias("odds_type"),
-    )
-    players = inc.select(doc_id, "ipos", F.from_json("raw", _PLAYER).alias("i")).where(
-        F.col("i.type").isin("new_player", "player")
+    """Every projection of every document: the line columns, pos and reject_reason (null when kept).
+
+    Projections and players are exploded together, so each document is read once; a player record
+    reaches its projections inside (document, player).
+    """
+    env = fenced(docs.select(doc_id, text), e=json_envelope(F.col(text)))
+    parts = F.concat(
+        F.transform(
+            F.coalesce("e.data", F.array().cast("array<string>")),
+            lambda r, i: F.struct(i.alias("pos"), F.from_json(r, _PROJECTION).alias("p"), F.lit(None).cast(_struct(_PLAYER)).alias("w")),
+        ),
+        F.transform(
+            F.coalesce("e.included", F.array().cast("array<string>")),
+            lambda r, i: F.struct(i.alias("pos"), F.lit(None).cast(_struct(_PROJECTION)).alias("p"), F.from_json(r, _PLAYER).alias("w")),
+        ),
     )
-    b = F.col("i.attributes")
+    x = env.select(doc_id, F.inline(parts))
+    is_line = F.col("p.type") == "projection"
+    is_player = F.col("w.type").isin("new_player", "player")
+    b = F.col("w.attributes")
     who = F.struct(
         F.coalesce(F.nullif(b["name"], F.lit("")), b["display_name"]).alias("name"),
         F.coalesce(F.nullif(b["team"], F.lit("")), b["team_name"]).alias("team"),
         b["position"].alias("position"),
     )
-    known = players.groupBy(doc_id, F.col("i.id").alias("pid")).agg(F.max_by(who, F.col("ipos")).alias("w"))
-    j = rows.join(known, [doc_id, "pid"], "left")
+    keyed = x.where(is_line | is_player).select(
+        doc_id, "pos", "p", is_line.alias("is_line"), F.when(is_player, who).alias("who"),
+        F.coalesce(F.when(is_line, F.col("p.relationships.new_player.data.id")).otherwise(F.col("w.id")), F.lit("")).alias("pid"),
+    )
+    # The last player record of an id wins; a group is part of one document.
+    group = Window.partitionBy(doc_id, "pid")
+    known = F.max_by("who", F.when(F.col("who").isNotNull(), F.col("pos"))).over(group)
+    j = keyed.withColumn("w", known).where("is_line")
+    a = F.col("p.attributes")
     named = F.nullif(F.col("w.name"), F.lit(""))
-    name = F.coalesce(named, F.when(person_like(F.col("description")), F.col("description")))
-    line = finite_number(F.col("score"))
+    name = F.coalesce(named, F.when(person_like(a["description"]), a["description"]))
+    line = finite_number(a["line_score"])
     return j.select(
         doc_id, "pos", name.alias("name"), F.col("w.team").alias("team"), F.col("w.position").alias("position"),
-        "stat_type", line.alias("line"), "start_time", "direction", "odds_type",
-        F.when(F.col("score").isNull() | name.isNull(), "no_name")
+        F.coalesce(F.nullif(a["stat_type"], F.lit("")), a["stat_display_name"]).alias("stat_type"),
+        line.alias("line"), a["start_time"].alias("start_time"),
+        offered_by_feed(a["allowed_wager_types"]).alias("direction"),
+        F.lower(F.coalesce(F.nullif(a["odds_type"], F.lit("")), F.lit("standard"))).alias("odds_type"),
+        F.when(a["line_score"].isNull() | name.isNull(), "no_name")
         .when(line.isNull(), "bad_line")
         .alias("reject_reason"),
     )
 
 
+def _struct(fields: str) -> T.StructType:
+    return T.StructType.fromDDL(fields)
+
+
 def board_lines(text: Column) -> Column:
     """Trimmed non-empty lines of a text."""
     cut = F.transform(F.split(text, _BREAKS), lambda s: F.regexp_replace(s, r"^(?U:\s+)|(?U:\s+)$", ""))
@@ -123,18 +137,24 @@ def parse_board(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Less / More buttons. A start inside an earlier record is not a start: the fold over candidate
     starts keeps the index from which a new record may begin.
     """
-    base = docs.select(doc_id, board_lines(F.col(text)).alias("L")).where(F.size("L") >= 3)
+    base = fenced(docs.select(doc_id, text), L=board_lines(F.col(text))).where(F.size("L") >= 3)
     L = F.col("L")
+    base = fenced(
+        base.select(doc_id, "L"),
+        number=F.transform(L, lambda s: s.rlike(_NUMBER)),
+        team_line=F.transform(L, lambda s: s.rlike(_TEAM_POS)),
+    )
 
     def has_team(i):
-        return F.coalesce(_at(L, i + 1).rlike(_TEAM_POS), F.lit(False))
+        return F.coalesce(_at(F.col("team_line"), i + 1), F.lit(False))
 
     def number_at(i):
         return i + 1 + has_team(i).cast("int")
 
     def starts(i):
         n = number_at(i)
-        return person_like(_at(L, i)) & F.coalesce(_at(L, n).rlike(_NUMBER), F.lit(False)) & _at(L, n + 1).isNotNull()
+        numbered = F.coalesce(_at(F.col("number"), n), F.lit(False)) & _at(L, n + 1).isNotNull()
+        return numbered & person_like(_at(L, i))
 
     cands = F.filter(F.sequence(F.lit(0), F.size(L) - 3), starts)
     empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept"))
@@ -181,11 +201,10 @@ def parse_any(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Route each document by shape; text that claims to be JSON but is not goes to the board parser."""
     trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^(?U:\s+)", "")
     t = F.col("__t")
-    readable = json_envelope(t)["_bad"].isNull()
-    listed = F.startswith(t, F.lit("[")) & F.from_json(t, "array<string>").isNotNull()
-    tagged = docs.select(doc_id, trimmed.alias("__t")).select(
-        "*", (F.startswith(t, F.lit("{")) & readable).alias("__json"), listed.alias("__array")
-    )
+    opens = F.startswith(t, F.lit("{"))
+    readable = F.when(opens, json_envelope(t)["_bad"].isNull()).otherwise(F.lit(False))
+    listed = F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>").isNotNull()).otherwise(F.lit(False))
+    tagged = fenced(docs.select(doc_id, trimmed.alias("__t")), __json=readable, __array=listed)
     as_json = parse_json(tagged.where("__json"), doc_id, "__t")
     as_text = parse_board(tagged.where("NOT __json AND NOT __array"), doc_id, "__t")
     return as_json.unionByName(as_text)
