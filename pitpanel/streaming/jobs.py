@@ -64,12 +64,12 @@ def freeze_stream(lines: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
     spark = lines.sparkSession
     out = scratch_path(spark, "frozen")
-    schema = lines.schema
+    stored = T.StructType([*lines.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def write(df: DataFrame, batch_id: int) -> None:
         new = first_seen(df, keys, order)
         if batch_id > 0:
-            earlier = spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(out)
+            earlier = spark.read.schema(stored).parquet(out)
             new = new.join(earlier.where(F.col("batch") < batch_id).select(*keys).distinct(), keys, "left_anti")
         new.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
