@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.operators.ordered import quantiles
+from pitpanel.session import small_side
 from pitpanel.operators.shape import attempts, explode_list, scrimmage, zero, zone_flags
 
 
@@ -252,7 +253,7 @@ def league_priors(panel: DataFrame, before_era: int, era="season", compat=False)
 def era_share(df: DataFrame, era: str, columns: list[str], prefix="rel_") -> DataFrame:
     """Value over its era mean; the mean is an aggregate joined back."""
     means = df.groupBy(era).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
-    j = df.join(means, era)
+    j = df.join(small_side(means), era)
     return j.select(
         *df.columns, *[ratio(F.col(c), F.col(f"__m_{c}")).alias(prefix + c) for c in columns]
     )
@@ -314,7 +315,7 @@ def error_profile(df: DataFrame, keys: list[str], pred: str, actual: str, hot_ro
         "err", F.abs(F.col("a") - F.col("p"))
     )
     sd = e.groupBy(*keys).agg(F.stddev_pop(F.col("a") - F.col("p")).alias("sd"))
-    base = e.join(sd, keys).groupBy(*keys).agg(
+    base = e.join(small_side(sd), keys).groupBy(*keys).agg(
         F.avg("a").alias("mean"),
         F.avg("err").alias("mae"),
         F.avg((F.col("err") <= 0.2 * F.greatest(F.col("p"), F.lit(1e-9))).cast("double")).alias("within20"),

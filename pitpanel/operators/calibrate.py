@@ -10,7 +10,7 @@ from pitpanel.functions.prob import posterior
 from pitpanel.operators.aggregates import ratio
 from pitpanel.operators.ordered import quantiles
 from pitpanel.operators.windows import equal_count_bins, quantile_bins
-from pitpanel.session import constant_table
+from pitpanel.session import constant_table, small_side
 
 # Fixed values of the calibration layer.
 CELL_K = 25.0
@@ -65,7 +65,7 @@ def status_multipliers(obs: DataFrame) -> DataFrame:
     floors = constant_table(
         spark, [{"report_status": k, "floor": v} for k, v in STATUS_FLOOR.items()], "report_status:string,floor:double"
     )
-    seen = obs.join(base, ["position", "rank_capped"]).where(F.col("report_status").isin(list(STATUS_FLOOR)))
+    seen = obs.join(small_side(base), ["position", "rank_capped"]).where(F.col("report_status").isin(list(STATUS_FLOOR)))
     m = seen.groupBy("report_status").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("appeared").cast("double")).alias("rate"), F.avg("base").alias("base")
     )
@@ -99,9 +99,9 @@ def apply_availability(df: DataFrame, grid: DataFrame | None, multipliers: DataF
     j = (
         df.withColumn("__pos", F.col(cohort))
         .withColumn("__rank", rank.cast("int"))
-        .join(cells, ["__pos", "__rank"], "left")
-        .join(teams, "team", "left")
-        .join(mult, "report_status", "left")
+        .join(small_side(cells), ["__pos", "__rank"], "left")
+        .join(small_side(teams), "team", "left")
+        .join(small_side(mult), "report_status", "left")
     )
     in_hand = F.coalesce("__f", F.lit(False)) | status.isNotNull()
     p = F.when(in_hand, F.coalesce("__h", F.lit(0.5)) * F.coalesce("__m", F.lit(1.0))).otherwise(

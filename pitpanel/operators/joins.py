@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.operators.aggregates import majority_label
 from pitpanel.operators.ordered import Spec, fill, lookup_join, prior
+from pitpanel.session import small_side
 
 MICROS_HOUR = 3_600_000_000
 
@@ -115,7 +116,7 @@ def modal_period_within(
     )
     cand = (
         starts.withColumn("__day", F.floor(F.col("__s") / day))
-        .join(days, "__day")
+        .join(small_side(days), "__day")
         .where((F.col("__s") > F.col("__from")) & (F.col("__s") < F.col("__to")))
         .select(period, "__s")
     )
@@ -178,7 +179,7 @@ def lagged_era(facts: DataFrame, table: DataFrame, era: str, on: dict[str, str],
         (F.col(era) + lag).alias(era), *[F.col(v).alias(k) for k, v in on.items()],
         *[F.col(c).alias(prefix + c) for c in columns],
     )
-    return facts.join(shifted, [era, *keys], "left")
+    return facts.join(small_side(shifted), [era, *keys], "left")
 
 
 def latest_prior_era(facts: DataFrame, table: DataFrame, era: str, value: str, out: str) -> DataFrame:
@@ -190,7 +191,7 @@ def latest_prior_era(facts: DataFrame, table: DataFrame, era: str, value: str, o
     eras = facts.select(era, one).distinct()
     league = table.where(F.col(value).isNotNull()).select(F.col(era).alias("__era"), value, one)
     got = asof(eras, league, ["__one"], era, "__era", {value: out}, "__era", "backward", strict=True)
-    return facts.join(got.drop("__one"), era, "left")
+    return facts.join(small_side(got.drop("__one")), era, "left")
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -220,7 +221,7 @@ def packed_bins(bins: DataFrame, target: str, lo: str, hi: str, payload: list[st
 
 def bin_lookup(df: DataFrame, bins: DataFrame, target: str, x: str, payload: list[str], lo="lo", hi="hi") -> DataFrame:
     """Bin with lo <= x <= hi, the lowest on a shared edge; below all the lowest, above the highest."""
-    joined = df.join(packed_bins(bins, target, lo, hi, payload), target, "left")
+    joined = df.join(small_side(packed_bins(bins, target, lo, hi, payload)), target, "left")
     hit = f"""coalesce(
         try_element_at(filter(__bins, b -> b.lo <= {x} AND {x} <= b.hi), 1),
         CASE WHEN {x} < element_at(__bins, 1).lo THEN element_at(__bins, 1)
@@ -233,7 +234,7 @@ def bin_lookup(df: DataFrame, bins: DataFrame, target: str, x: str, payload: lis
 
 def grid_lookup(df: DataFrame, grid: DataFrame, keys: list[str], columns: list[str], default: float) -> DataFrame:
     """Attach grid cells with a default for absent ones."""
-    j = df.join(grid.select(*keys, *columns), keys, "left")
+    j = df.join(small_side(grid.select(*keys, *columns)), keys, "left")
     return j.select(*df.columns, *[F.coalesce(c, F.lit(default)).alias(c) for c in columns])
 
 

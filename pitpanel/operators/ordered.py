@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from pitpanel.session import input_bytes, small_side
 
 RUN = "__run"
 CLOCK = "__clock"
@@ -37,9 +39,7 @@ def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
 
 def surely_small(df: DataFrame, rows: int) -> bool:
     """True when all files behind the frame together hold fewer than 8 bytes per allowed row."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return size < rows * 8
+    return input_bytes(df) < rows * 8
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
@@ -397,7 +397,7 @@ def quantiles(
     cum = prior(counts, keys, ["__v"], F.col("__v"), [Spec("__lo", "sum", "__m")], hot_rows)
     totals = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     grid = "array(" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs) + ")"
-    want = cum.join(totals, keys).withColumn(
+    want = cum.join(small_side(totals), keys).withColumn(
         "__hits",
         F.expr(
             f"flatten(transform({grid}, (p, i) -> filter(array("

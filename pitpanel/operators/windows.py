@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitpanel.operators.ordered import Spec, prior, quantiles, ranked
 from pitpanel.roles import Roles
+from pitpanel.session import small_side
 
 
 def history(df: DataFrame, roles: Roles, specs: list[Spec], keys=None, hot_rows=None) -> DataFrame:
@@ -64,7 +65,7 @@ def expanding_era_prior(df, by, era, columns, prefix="prior_") -> DataFrame:
 def with_partition_mean(df, by, column, out) -> DataFrame:
     """Whole-partition mean as aggregate plus join: no task ever holds a partition."""
     means = df.groupBy(*by).agg(F.avg(column).alias(out))
-    return df.join(means, by, "left")
+    return df.join(small_side(means), by, "left")
 
 
 def deduped_group_history(df, roles, measures, means, rolling, hot_rows=None) -> DataFrame:
@@ -103,7 +104,7 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def rows_at_latest(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
     """Every row carrying the newest stamp of its key."""
     newest = df.groupBy(*keys).agg(F.max(stamp).alias(stamp))
-    return df.join(newest, [*keys, stamp], "left_semi")
+    return df.join(small_side(newest), [*keys, stamp], "left_semi")
 
 
 def latest_before(df, keys, stamp, deadline, tie) -> DataFrame:
@@ -141,7 +142,7 @@ def equal_count_bins(
     """
     numbered = ranked(df, keys, [x, *tie], F.col(x), "__rn", hot_rows)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = numbered.join(totals, keys).withColumn(
+    sized = numbered.join(small_side(totals), keys).withColumn(
         "__bins",
         F.greatest(
             F.lit(min_bins), F.least(F.lit(max_bins), F.floor(F.col("__n") / min_rows))
@@ -168,7 +169,7 @@ def quantile_bins(df, keys, x, bins=10, hot_rows=None) -> DataFrame:
     edges = quantiles(df, keys, x, probs, "__edges", hot_rows).select(
         *keys, F.array_distinct("__edges").alias("__edges")
     )
-    tagged = df.join(edges, keys)
+    tagged = df.join(small_side(edges), keys)
     pos = f"greatest(size(filter(__edges, e -> e < {x})), 1)"
     return (
         tagged.where(F.size("__edges") > 1)

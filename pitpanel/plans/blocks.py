@@ -17,6 +17,7 @@ from pitpanel.operators.ordered import Spec, prior
 from pitpanel.operators.shape import mask_when
 from pitpanel.operators.windows import expanding_era_prior, history
 from pitpanel.roles import PLAYER_PANEL, Roles
+from pitpanel.session import small_side
 
 # Evidence at which own rate and prior weigh the same.
 SHRINK_K = {
@@ -156,7 +157,7 @@ def cohort_volume(df: DataFrame, roles: Roles = PLAYER_PANEL) -> DataFrame:
     keyed = df.withColumn("__rank", rank)
     by = [roles.cohort, "__rank"]
     p = expanding_era_prior(keyed, by, roles.era, stats, "__p_")
-    j = keyed.join(p, [*by, roles.era], "left")
+    j = keyed.join(small_side(p), [*by, roles.era], "left")
     n = F.coalesce(F.col("f_games_prior").cast("double"), F.lit(0.0))
     zero = F.lit(0.0)
     cols = []
@@ -173,7 +174,7 @@ def role_change(df: DataFrame, roles: Roles = PLAYER_PANEL) -> DataFrame:
     usage = keyed.where("f_career_off_snaps IS NOT NULL")
     by = [roles.cohort, "__rank"]
     norm = expanding_era_prior(usage, by, roles.era, ["f_career_off_snaps"], "__p_")
-    j = keyed.join(norm, [*by, roles.era], "left")
+    j = keyed.join(small_side(norm), [*by, roles.era], "left")
     rel = F.col("f_career_off_snaps") / F.nullif(F.col("__p_f_career_off_snaps"), F.lit(0.0))
     return j.select(
         *df.columns, rel.alias("f_usage_vs_rank"),
@@ -192,10 +193,10 @@ def rival_cohort_block(df: DataFrame, cfg: Config = Config(), roles: Roles = PLA
     specs = [Spec(f"__s_{c}", "sum", c) for c in stats] + [Spec("__n", "count")]
     h = prior(allowed, ["def_team", roles.cohort], roles.order, roles.clock, specs, cfg.hot_rows)
     level = expanding_era_prior(allowed, [roles.cohort], roles.era, stats, "__p_")
-    h = h.join(level, [roles.cohort, roles.era], "left")
+    h = h.join(small_side(level), [roles.cohort, roles.era], "left")
     if cfg.compat:
         every = allowed.groupBy(roles.cohort).agg(*[F.avg(c).alias(f"__e_{c}") for c in stats])
-        h = h.join(every, roles.cohort, "left")
+        h = h.join(small_side(every), roles.cohort, "left")
     cols = []
     for c in stats:
         p = F.coalesce(f"__p_{c}", f"__e_{c}") if cfg.compat else F.col(f"__p_{c}")

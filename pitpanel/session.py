@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS_CONF = "spark.pitpanel.broadcastRows"
 DEFAULT_BROADCAST_ROWS = 100_000
+PIN_ABOVE_CONF = "spark.pitpanel.pinAboveBytes"
+DEFAULT_PIN_ABOVE = 1 << 30
 
 
 def local_session(cores: str = "8", app: str = "pitpanel") -> SparkSession:
@@ -61,17 +63,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Count at most max_rows + 1 rows to learn whether a side is small."""
-    cap = max_rows or int(
-        df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS))
-    )
-    return df.limit(cap + 1).count() <= cap
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all files and relations the frame reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast when the size check passes, else leave the choice to the optimizer."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    """A join side that should be broadcast, but only once its size is known.
+
+    Over small inputs the frame is returned as it is. Over large ones at most max_rows + 1 rows are
+    fetched: a side within the limit becomes a local table with a broadcast hint, which spares the
+    large side a shuffle; a longer one is left to the optimizer's shuffled join.
+    """
+    spark = df.sparkSession
+    cap = max_rows or int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+    if input_bytes(df) < int(spark.conf.get(PIN_ABOVE_CONF, str(DEFAULT_PIN_ABOVE))):
+        return df
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return df
+    return F.broadcast(spark.createDataFrame(rows, df.schema))
 
 
 def constant_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
