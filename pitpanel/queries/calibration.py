@@ -159,3 +159,21 @@ SELECT target, n, round(acc, 8) AS accuracy, round(greatest(o, 1 - o), 8) AS com
 def _(spark, sf):
     r = cp.side_picking(_proxy(spark, sf), ["target"], F.col("proj") > F.col("line"), F.col("actual") > F.col("line"))
     return r.select("target", "n", F.round("accuracy", 8).alias("accuracy"), F.round("common_side", 8).alias("common_side"), F.round("edge_pts", 6).alias("edge_pts"))
+
+
+_KNOTS = [round(0.05 * i, 2) for i in range(20)] + [0.99]
+
+
+@query("level_map_apply", "SF16 SF15", f"""WITH {SCORED},
+m AS (SELECT target, quantile_cont(pred, {_KNOTS}) AS g FROM scored WHERE pred IS NOT NULL GROUP BY target),
+x AS (SELECT s.game_id, s.gsis_id, s.target, s.pred, g, list_transform(g, lambda v: v * 0.75E0 + 0.1E0) AS y, len(list_filter(g, lambda v: v <= s.pred)) AS k FROM scored s JOIN m USING (target) WHERE pred IS NOT NULL)
+SELECT game_id, gsis_id, target, round(greatest(CASE WHEN pred > g[len(g)] THEN pred * (y[len(g)] / g[len(g)]) WHEN k = 0 THEN y[1] WHEN k = len(g) OR g[k] = pred THEN y[k]
+  ELSE y[k] + (y[k + 1] - y[k]) / (g[k + 1] - g[k]) * (pred - g[k]) END, 0), 5) AS mapped FROM x""")
+def _(spark, sf):
+    """A stated map on quantile knots; values above the last knot carry its ratio."""
+    from pitpanel.operators.ordered import quantiles
+
+    s = scored(spark, sf).where("pred IS NOT NULL")
+    knots = quantiles(s, ["target"], "pred", _KNOTS, "g").select("target", "g", F.transform("g", lambda v: v * 0.75 + 0.1).alias("y"))
+    j = s.join(knots, "target")
+    return j.select("game_id", "gsis_id", "target", F.round(pr.apply_level(F.col("pred"), F.col("g"), F.col("y")), 5).alias("mapped"))

@@ -112,7 +112,7 @@ def _(spark, sf):
 _COLS = ["f_career_targets", "f_r8_targets", "f_std_targets", "f_games_prior", "depth_rank_capped"]
 
 
-@query("walk_forward_scores", "ML1 ML2 ML6 ML12 ML11")
+@query("walk_forward_scores", "ML1 ML2 ML6 ML12")
 def _(spark, sf):
     """Count and yards models scored on the era after their training span (no SQL twin)."""
     h = materialise(feature_panel(spark, sf), "features")
@@ -126,3 +126,24 @@ def _(spark, sf):
     return out.groupBy("season", "target", "form", "trained_through").agg(
         F.count(F.lit(1)).alias("n"), F.avg("abs_err_model").alias("mae"), F.avg("abs_err_b2").alias("mae_b2")
     )
+
+
+@query("model_variant_errors", "ML11 SF20")
+def _(spark, sf):
+    """Base, recency-weighted, per-cohort and longer-window count models on one held-out era (no SQL twin)."""
+    cfg = fb.Config(windows=(3, 8, 16))
+    wide = materialise(fb.entity_block(rank_cap(td.panel(spark, sf)), _LITERAL, cfg), "features")
+    rows = wide.where(F.col("position").isin(ml.RECEIVERS) & F.col("targets").isNotNull())
+    train, test = rows.where("season < 2000"), rows.where("season = 2000")
+    longer = [*_COLS, "f_r16_targets"]
+    arms = {
+        "base": ml.predict(ml.fit(train, "targets", _COLS, "count"), test, _COLS, "pred"),
+        "recency": ml.predict(ml.fit(ml.with_recency(train, "season", 1999), "targets", _COLS, "count", weight="__w"), test, _COLS, "pred"),
+        "per_cohort": ml.per_cohort_predictions(train, test, "targets", _COLS, "count", ml.RECEIVERS),
+        "longer_window": ml.predict(ml.fit(train, "targets", longer, "count"), test, longer, "pred"),
+    }
+    out = None
+    for name, scored in arms.items():
+        part = scored.select(F.lit(name).alias("variant"), F.abs(F.col("pred") - F.col("targets")).alias("err"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("err").alias("mae"))
