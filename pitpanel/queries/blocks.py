@@ -119,7 +119,8 @@ _PAN = td.PANEL[len(td.PLAYS) :]
 
 def _team(spark, sf):
     """The group table is an artifact: written once, then read by every block that needs it."""
-    return ag.with_rival_side(materialise(team_week(spark, sf), "team"))
+    own = materialise(team_week(spark, sf), "team-own")
+    return materialise(ag.with_rival_side(own), "team")
 
 
 def _league(t):

@@ -64,7 +64,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of all files and relations the frame reads."""
+    """Bytes of all files and relations the frame reads; unknown counts as very large."""
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
