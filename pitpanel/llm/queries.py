@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitpanel.llm.near_dedup import near_duplicates
+from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,38 @@ FROM n JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY 1) c ON c.id
 @query("op3_minhash_near_dedup", OP3_SQL)
 def op3(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
+OP10_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+), p AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t WHERE len(w) >= 3)
+), r AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM p) WHERE n > 1
+  ) GROUP BY 1
+), m AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM t LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT
+          + 8 * (word_chars > 20 * n_words)::BIGINT + 16 * (n_symbols > n_words)::BIGINT
+          + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT)::BIGINT AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, base_failed, fail_bits = 0 AS kept FROM b
+"""
+
+
+@query("op10_quality_rules", OP10_SQL)
+def op10(spark, sf_dir):
+    rows = judged(ledger(table(spark, sf_dir, "documents")), 2)
+    base = F.col("fail_bits").bitwiseAND(F.lit(mask(1)).cast("long")) != 0
+    return rows.select("doc_id", *MEASURES, "fail_bits", base.alias("base_failed"), "kept")
