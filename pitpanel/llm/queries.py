@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 
@@ -94,3 +95,40 @@ def op10(spark, sf_dir):
     rows = judged(ledger(table(spark, sf_dir, "documents")), 2)
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(1)).cast("long")) != 0
     return rows.select("doc_id", *MEASURES, "fail_bits", base.alias("base_failed"), "kept")
+
+
+OP4_WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '{OP4_WORDS}') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWERED}, '{OP4_WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL
+), p AS (
+  SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT m FROM p
+), v AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lengths WHERE len(w) >= m)
+), hit AS (
+  SELECT v.doc_id, v.i, v.m, p.item FROM v JOIN p ON v.s = p.s AND v.m = p.m
+), n AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS k FROM hit) GROUP BY 1
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
