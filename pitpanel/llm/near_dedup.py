@@ -10,10 +10,11 @@ smallest id. Empty table: no rows. Other columns of the input are ignored.
 
 How. Documents with equal shingle sets are one class (grouped by a digest of the set), and only the smallest
 id of a class goes on, so thousands of copies cost one row. In a band's bucket every class is paired with the
-bucket's smallest id only. Pairs whose signatures agree and whose full sets pass the threshold are links.
+bucket's smallest id, its head, only, and their full sets are compared. Pairs over the threshold are links.
 After the components of these links are known, a bucket that still holds several components has the members
-outside its largest component compared with the members of other components; buckets that are one component,
-which holds for groups of copies however large, cost nothing more. No candidate is capped.
+outside its largest component compared with the members of other components, unless their overlaps with a
+common head already rule the pair out; buckets that are one component, which holds for groups of copies however large,
+cost nothing more. No candidate is capped.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from pitpanel.session import materialise
 
 #: A pair at similarity 0.85 meets in no band with probability (1 - 0.85**5)**25 = 4e-7.
 BANDS, ROWS = 25, 5
-HASHES = 128
-SKETCH = tuple(f"s{i}" for i in range(4))
-#: Two bits of each of 128 minima agree in 237 of 256 places on average at 0.85; 211 is over five deviations below.
-AGREE = 211
+HASHES = 256
+SKETCH = tuple(f"s{i}" for i in range(8))
+MASK = tuple(f"m{i}" for i in range(16))
+#: Two bits of each of 256 minima agree in 474 of 512 places on average at 0.85; 437 is five deviations below.
+AGREE = 437
 
 
 def coefficients(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, four sketch words, band keys."""
+    """doc_id, n_shingles, digest of the set, sketch words, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(HASHES)
@@ -90,7 +92,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
             digest, keys, sketch = [], [], []
             for s in sets:
                 if not len(s):
-                    digest.append(None), keys.append([]), sketch.append([0] * 4)
+                    digest.append(None), keys.append([]), sketch.append([0] * len(SKETCH))
                     continue
                 m = at.mix(minima(s, a, b))
                 k = band.copy()
@@ -102,7 +104,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 sketch.append(bits.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
-                + [pa.array([int(s[i]) for s in sketch], pa.int64()) for i in range(4)]
+                + [pa.array([int(s[i]) for s in sketch], pa.int64()) for i in range(len(SKETCH))]
                 + [pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "digest", *SKETCH, "keys"],
             )
@@ -122,20 +124,28 @@ def set_blobs(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blob binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, both: sizes of the two full sets and of their intersection; mask words: a bit for each hash of b that a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            keep = []
-            for x, y in zip(part.column("blob_a"), part.column("blob_b")):
+            n_a, n_b, both, mask = [], [], [], np.zeros((part.num_rows, len(MASK)), np.int64)
+            for k, (x, y) in enumerate(zip(part.column("blob_a"), part.column("blob_b"))):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                extra = np.setdiff1d(v, u, assume_unique=True)
+                n_a.append(len(u)), n_b.append(len(v)), both.append(len(v) - len(extra))
+                word, bit = (extra >> np.uint64(6)) % np.uint64(len(MASK)), extra & np.uint64(63)
+                np.bitwise_or.at(mask[k].view(np.uint64), word.astype(np.int64), np.uint64(1) << bit)
+            out = {"a": part.column("a"), "b": part.column("b")} | {k: pa.array(x, pa.int64()) for k, x in (("n_a", n_a), ("n_b", n_b), ("both", both))}
+            yield pa.RecordBatch.from_pydict(out | {m: pa.array(mask[:, i]) for i, m in enumerate(MASK)})
 
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("blob").alias(f"blob_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
+    found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "blob_a", "blob_b")
+    return found.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, " + ", ".join(f"{m} long" for m in MASK))
+
+
+def passes(both, n_a, n_b, percent: int):
+    return 100 * both >= percent * (n_a + n_b - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,7 +173,24 @@ def alike(a: str, b: str, percent: int):
     """What two signatures must show before the full sets are compared; never false for a pair over the threshold but by chance."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= 256 - AGREE)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= 2 * HASHES - AGREE)
+
+
+def possible(a: str, b: str, percent: int):
+    """False where two sets cannot pass, as their overlaps with one common head show.
+
+    Inside the head they share no more than the smaller inside part; outside it no more than the smaller outside
+    part, and nothing where the bit masks of the outside parts have no bit in common. A set and its own head were
+    compared before.
+    """
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n_shingles", "inside") for x in (a, b))
+    meet = F.lit(False)
+    for w in MASK:
+        meet = meet | (F.col(f"{a}.{w}").bitwiseAND(F.col(f"{b}.{w}")) != 0)
+    inside = passes(F.least(i, j), n, m, percent)
+    anywhere = passes(F.least(i, j) + F.least(n - i, m - j), n, m, percent)
+    compared = (F.col(f"{a}.near") == F.col(f"{b}.rep")) | (F.col(f"{b}.near") == F.col(f"{a}.rep"))
+    return ~compared & ((F.col(f"{a}.near") != F.col(f"{b}.near")) | inside | (anywhere & meet))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -182,29 +209,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = met.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(set_blobs(texts.join(reps, "doc_id"), width).groupBy("doc_id").agg(F.first("blob").alias("blob")), "sets")
     traits = classes.select("rep", "n_shingles", *SKETCH)
-    star = met.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    star = (
-        star.join(traits.alias("y"), F.col("b") == F.col("y.rep"))
-        .join(traits.alias("x"), (F.col("a") == F.col("x.rep")) & alike("x", "y", percent)).select("a", "b")
-    )
-    links = materialise(verified(star, sets, percent), "links")
+    star = materialise(shared(met.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), sets), "star")
+    links = star.filter(passes(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
     # Buckets that still hold several components: their minority against the other components.
     found = components(links)
     placed = met.join(found, met.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.c").alias("main"))
-    mixed = materialise(placed.join(main, "key").join(traits, "rep"), "mixed")
+    # Of the heads that a class was compared with, the most similar one.
+    nearest = star.groupBy(F.col("b").alias("rep")).agg(
+        F.max(F.struct((F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("j"), F.col("a"), F.col("both"), *MASK)).alias("h")
+    )
+    none = F.lit(0).cast("long")
+    mixed = placed.join(main, "key").join(traits, "rep").join(nearest, "rep", "left").select(
+        "key", "rep", "c", "main", "n_shingles", *SKETCH, F.coalesce("h.a", "rep").alias("near"),
+        F.coalesce("h.both", "n_shingles").alias("inside"), *[F.coalesce(f"h.{m}", none).alias(m) for m in MASK],
+    )
+    mixed = materialise(mixed, "mixed")
     rest = (
         mixed.filter("c <> main").alias("x")
         .join(
             mixed.alias("y"),
             (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & alike("x", "y", percent),
+            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & possible("x", "y", percent) & alike("x", "y", percent),
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     )
-    more = verified(rest, sets, percent)
+    more = shared(rest, sets).filter(passes(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     named = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     of_class = classes.join(named, classes.rep == named.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
