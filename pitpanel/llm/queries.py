@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pitpanel.llm.bin_packing import packed
 from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
+from pitpanel.llm.secret_tags import secrets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +134,16 @@ def op4(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query("op9_secret_scan")
+def op9(spark, sf_dir):
+    found = secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
