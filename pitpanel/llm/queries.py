@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitpanel.llm.bin_packing import packed
 from pitpanel.llm.decontaminate import contamination
+from pitpanel.llm.language_id import languages
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
@@ -147,3 +148,11 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     found = secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 5)
+    found = languages(docs, learn_from=~held)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -26,15 +26,15 @@ MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; parts seen before are looked up."""
+    """Ids of texts by a tokenizer's JSON; parts seen before are looked up."""
 
-    def __init__(self, path: str):
+    def __init__(self, rule: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(rule)
         self.tokenizer.encode_special_tokens = True
         self.seen: dict[str, np.ndarray] = {}
 
@@ -86,9 +86,11 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, most: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids as little-endian 32-bit bytes. A text's ids end in end_id."""
     kind = dict(docs.dtypes)["doc_id"]
+    with open(path, encoding="utf-8") as f:  # a file of the driver's; a few MB whatever the input
+        rule = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(rule.value)
         for part in at.slices(batches, "text"):
             ids, offsets = encoder.encode(part.column("text"))
             row, number, start, length, crc, raw = [], [], [], [], [], []
