@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pitpanel.llm.bin_packing import packed
 from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.language_id import languages
+from pitpanel.llm.lm_score import scores
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
@@ -156,3 +157,10 @@ def op2(spark, sf_dir):
     held = held_out(F.col("doc_id"), 5)
     found = languages(docs, learn_from=~held)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    held = held_out(F.col("doc_id"), 10)
+    found = scores(table(spark, sf_dir, "documents"), learn_from=~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
