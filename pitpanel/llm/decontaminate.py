@@ -184,20 +184,43 @@ def scan(docs: DataFrame, tables, carry: bool) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA.format(id=kind, carry="text string, " if carry else ""))
 
 
+def pattern_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int, block_words: int) -> list:
+    """Broadcast tables of the benchmark's patterns, each of about block_words words at most."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (2 * block_words)))
+    out = []
+    for k in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
+        out.append(docs.sparkSession.sparkContext.broadcast(Patterns([(r.item, r.text) for r in rows], width)))
+    return out
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", width: int = 10, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, spans, items, contaminated for every row of `docs`."""
-    spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block_words)))
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        tables = spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in rows], width))
-        last = k == blocks - 1
+    blocks = pattern_blocks(docs, benchmark, item_col, item_text_col, width, block_words)
+    for k, tables in enumerate(blocks):
+        last = k == len(blocks) - 1
         out = scan(out, tables, carry=not last)
         out = out if last else materialise(out.select("doc_id", "text", "spans", "items"), "hits")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    width: int = 10, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """All columns of the rows whose text has no occurrence of a benchmark window."""
+    for tables in pattern_blocks(docs, benchmark, item_col, item_text_col, width, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+            for part in at.slices(batches, text_col):
+                _, hits, _, _ = scan_slice(part.column(text_col).cast(pa.string()), [((), ())] * part.num_rows, tables.value)
+                yield part.filter(pa.array([h == 0 for h in hits], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -239,3 +239,15 @@ def languages(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     net = learn(texts if learn_from is None else texts.filter(learn_from), train_docs)
     return predict(texts, net)
+
+
+def in_known_language(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """All columns of the rows whose text has letters and a language of probability `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in at.slices(batches, text_col):
+            lang, score = verdicts(part.column(text_col).cast(pa.string()), shared.value)
+            yield part.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pitpanel.llm.bin_packing import packed
 from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.language_id import languages
+from pitpanel.llm.license_scan import COPYRIGHT, KNOWN, OTHER, SPELLINGS, license_scan
 from pitpanel.llm.lm_score import scores
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
+from pitpanel.llm.token_matrix import packed_rows
+from pitpanel.llm.warc_derivatives import derivatives
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -164,3 +167,58 @@ def op5(spark, sf_dir):
     held = held_out(F.col("doc_id"), 10)
     found = scores(table(spark, sf_dir, "documents"), learn_from=~held)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_warc_derivatives")
+def op6(spark, sf_dir):
+    return derivatives(table(spark, sf_dir, "pages")).drop("header")
+
+
+@query("op7_token_matrix")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    rows = packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return rows.select("shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+
+
+def canonical_sql(line: str) -> str:
+    low = f"translate({line}, '{UPPER}', '{LOWER}')"
+    out = f"' ' || regexp_replace({low}, '{OTHER}', '  ', 'g') || ' '"
+    for odd, usual in SPELLINGS:
+        out = f"replace({out}, ' {odd} ', ' {usual} ')"
+    return f"CASE WHEN regexp_matches({low}, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace({out}, ' +', ' ', 'g')) END"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+OP1_OTHER = OTHER.replace(r"\x80", r"\x{80}")
+OP1_LINES = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i"
+OP1_SQL = rf"""
+WITH known AS (
+  SELECT license, {canonical_sql('line')} AS c, i, k
+  FROM (SELECT license, k, {OP1_LINES} FROM (VALUES {', '.join(f"({quoted(k)}, {n}, {quoted(t)})" for n, (k, t) in enumerate((k, t) for k, v in KNOWN.items() for t in v))}) AS v(license, k, text))
+), names AS (
+  SELECT DISTINCT license, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM known WHERE c <> '' GROUP BY license, k
+), l AS (
+  SELECT doc_id, i, {canonical_sql('line')} AS c FROM (SELECT doc_id, {OP1_LINES} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+), d AS (
+  SELECT doc_id, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '')) AS text_digest FROM l GROUP BY 1
+), hit AS (
+  SELECT doc_id, license, false AS whole FROM l JOIN names ON sha256(c) = digest WHERE c <> ''
+  UNION ALL
+  SELECT doc_id, license, true FROM d JOIN names ON text_digest = digest
+), h AS (
+  SELECT doc_id, count(*) FILTER (WHERE NOT whole) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+         string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE whole) AS w FROM hit GROUP BY 1
+)
+SELECT d.doc_id, d.text_digest, h.w AS whole_license, coalesce(h.n, 0)::BIGINT AS n_license_lines, coalesce(h.licenses, '') AS licenses
+FROM d LEFT JOIN h USING (doc_id)
+""".replace(OTHER, OP1_OTHER)
+
+
+@query("op1_license_scan", OP1_SQL)
+def op1(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
