@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = met.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(set_blobs(texts.join(reps, "doc_id"), width).groupBy("doc_id").agg(F.first("blob").alias("blob")), "sets")
-    traits = classes.select("rep", "n_shingles", *SKETCH)
+    traits = classes.select("rep", "n_shingles", "keys", *SKETCH)
     star = materialise(shared(met.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), sets), "star")
     links = star.filter(passes(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     none = F.lit(0).cast("long")
     mixed = placed.join(main, "key").join(traits, "rep").join(nearest, "rep", "left").select(
-        "key", "rep", "c", "main", "n_shingles", *SKETCH, F.coalesce("h.a", "rep").alias("near"),
+        "key", "rep", "c", "main", "n_shingles", F.expr("slice(keys, 1, cast(array_position(keys, key) - 1 as int))").alias("earlier"), *SKETCH, F.coalesce("h.a", "rep").alias("near"),
         F.coalesce("h.both", "n_shingles").alias("inside"), *[F.coalesce(f"h.{m}", none).alias(m) for m in MASK],
     )
     mixed = materialise(mixed, "mixed")
@@ -232,9 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(
             mixed.alias("y"),
             (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & possible("x", "y", percent) & alike("x", "y", percent),
+            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & possible("x", "y", percent) & alike("x", "y", percent)
+            & ~F.arrays_overlap("x.earlier", "y.earlier"),  # a pair comes out of the first bucket that it shares
         )
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     )
     more = shared(rest, sets).filter(passes(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     named = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
