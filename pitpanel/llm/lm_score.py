@@ -7,8 +7,8 @@ Krichevsky-Trofimov estimate is mixed with what the deeper contexts say, by the
 weighting, which come from the block probabilities below the node. A choice that training never saw has
 probability one half at that node, so that every text has a proper probability.
 
-All of this is grouping and joining of count tables: counts per (context, byte) go up the tree level by level,
-and mixed probabilities come down. What a text needs is then a look-up per distinct (context, byte). Rows common
+Counts per (context, byte) are grouped over the corpus; they go up the tree level by level, and mixed probabilities
+come down. What a text needs is then a look-up per distinct (context, byte). Rows common
 enough, at most HOT_TOKENS words and HOT_GRAMS byte sequences, are sent to the tasks; all others are joined by key.
 
 Output, one row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10).
@@ -36,6 +36,8 @@ HOT_TOKENS = 1 << 19
 HOT_GRAMS = 1 << 20
 #: Distinct byte sequences that a task gathers before it hands them on.
 GATHER = 1 << 21
+#: Rows of the tree that a task works on at once (more only where one pair of last bytes has more).
+TREE_ROWS = 50_000
 END = "\n"
 
 
@@ -119,58 +121,110 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.filter("train").select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural logarithm of the gamma function for x > 0, by Stirling's series eight steps higher."""
-    z, down = x + 8, F.log(x)
+    z, down = x + 8, np.log(x)
     for k in range(1, 8):
-        down = down + F.log(x + k)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - down
-
-
-def log_block(n0: Column, n1: Column) -> Column:
-    """Krichevsky-Trofimov probability of n0 zeros and n1 ones, as a natural logarithm."""
-    return F.when(n0 + n1 == 0, F.lit(0.0)).otherwise(log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi))
-
-
-def steps(counted: DataFrame) -> DataFrame:
-    """The eight choices of each byte: gram, n, context, node (bits of the byte so far, after a one), bit."""
-    byte, j = F.col("gram").bitwiseAND(F.lit(255).cast("long")), F.col("j")
-    rows = counted.select("gram", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
-    return rows.select(
-        "gram", "n", F.shiftrightunsigned("gram", 8).alias("context"),
-        (F.expr("shiftleft(1, j)") + F.expr("cast(shiftrightunsigned(gram & 255, 8 - j) as int)")).alias("node"),
-        F.expr("cast(shiftrightunsigned(gram & 255, 7 - j) & 1 as int)").alias("bit"),
-    )
+        down += np.log(x + k)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - down
+
+
+class Level:
+    """Nodes of one depth: counts of both outcomes, block probability with all below (natural log), weight of the own estimate."""
+
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+        self.n0, self.n1 = n0, n1
+        own = np.where(n0 + n1 == 0, 0.0, log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi))
+        self.one = (n1 + 0.5) / (n0 + n1 + 1.0)
+        self.all = own if below is None else np.logaddexp(own, below) - math.log(2)
+        self.weight = np.ones(len(own)) if below is None else 1 / (1 + np.exp(np.minimum(below - own, 700)))
+
+    def down(self, p: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a one so far, share left to deeper contexts), given both of the parents."""
+        return p + rest * self.weight * self.one, rest * (1 - self.weight)
+
+
+def grouped(parent: np.ndarray, n: int, child: Level) -> Level:
+    return Level(np.bincount(parent, child.n0, n), np.bincount(parent, child.n1, n), np.bincount(parent, child.all, n))
+
+
+class Subtrees:
+    """All nodes of depth 2 and more above some whole sets of contexts with the same two last bytes."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        byte = (gram & np.uint64(255)).astype(np.int64)
+        j = np.arange(8)[:, None]
+        node = (1 << j) | (byte[None] >> (8 - j))
+        self.bit = (byte[None] >> (7 - j)) & 1
+        key = (gram >> np.uint64(8) << np.uint64(8))[None] | node.astype(np.uint64)
+        keys, at_choice = np.unique(key.ravel(), return_inverse=True)
+        times = np.broadcast_to(n.astype(np.float64), node.shape).ravel()
+        one = self.bit.ravel() == 1
+        self.levels = [Level(np.bincount(at_choice, times * ~one, len(keys)), np.bincount(at_choice, times * one, len(keys)), None)]
+        self.parents = [at_choice]
+        for depth in range(DEPTH - 1, 1, -1):
+            up = keys & np.uint64((1 << 8 * (depth + 1)) - 1)
+            keys, parent = np.unique(up, return_inverse=True)
+            self.levels.append(grouped(parent, len(keys), self.levels[-1]))
+            self.parents.append(parent)
+        #: Last byte of the context and node of each node of depth 2.
+        self.top = (keys & np.uint64(0xFFFF)).astype(np.int64)
+
+    def log10p(self, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Of each byte, given what depth 1 hands down for each (last byte, node)."""
+        p, rest = self.levels[-1].down(p[self.top], rest[self.top])
+        for k in range(len(self.levels) - 2, -1, -1):
+            p, rest = self.levels[k].down(p[self.parents[k + 1]], rest[self.parents[k + 1]])
+        p = p[self.parents[0]].reshape(self.bit.shape)
+        return np.log10(np.where(self.bit == 1, p, 1 - p)).sum(axis=0)
+
+
+def by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of a partition ordered by the context's last two bytes, in runs that end with such a pair."""
+    gram, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in batches:
+        gram = np.concatenate([gram, part.column("gram").to_numpy().view(np.uint64)])
+        n = np.concatenate([n, part.column("n").to_numpy()])
+        if len(gram) > TREE_ROWS:
+            pair = gram >> np.uint64(8) & np.uint64(0xFFFF)
+            other = np.flatnonzero(pair != pair[-1])
+            if len(other):
+                k = int(other[-1]) + 1
+                yield gram[:k], n[:k]
+                gram, n = gram[k:], n[k:]
+    if len(gram):
+        yield gram, n
 
 
 def model(counted: DataFrame) -> DataFrame:
-    """gram, n, log10p: the mixed log-probability of each byte after its context."""
-    key = ["context", "node"]
-    every = steps(counted)
-    level = every.groupBy(*key).agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    levels = []
-    for depth in range(DEPTH, -1, -1):
-        own = level.withColumn("own", log_block(F.col("n0"), F.col("n1")))
-        if depth == DEPTH:
-            own = own.withColumn("all", F.col("own")).withColumn("w", F.lit(1.0))
-        else:
-            high, low = F.greatest("own", "below"), F.least("own", "below")
-            own = own.withColumn("all", high + F.log1p(F.exp(low - high)) - math.log(2)).withColumn("w", 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0)))))
-        own = materialise(own.select(*key, "n0", "n1", "all", "w"), "level")
-        levels.append(own)
-        up = F.col("context").bitwiseAND(F.lit((1 << 8 * max(0, depth - 1)) - 1).cast("long"))
-        level = own.groupBy(up.alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("all").alias("below"))
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    down = levels[-1].select(*key, (F.col("w") * one).alias("p"), (1 - F.col("w")).alias("rest"))
-    for depth in range(1, DEPTH + 1):
-        up = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1).cast("long"))
-        above = down.select(F.col("context").alias("parent"), "node", "p", "rest")
-        own = levels[DEPTH - depth].select(*key, up.alias("parent"), "w", one.alias("one"))
-        down = own.join(above, ["parent", "node"]).select(*key, (F.col("p") + F.col("rest") * F.col("w") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
-        if depth == DEPTH - 1:
-            down = materialise(down, "down")
-    said = every.join(down.select(*key, "p"), key)
-    return said.groupBy("gram").agg(F.first("n").alias("n"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log10p"))
+    """gram, n, log10p: the mixed log-probability of each byte after its context.
+
+    Nodes of depth 2 and more are worked out where the contexts with the same two last bytes lie together; what
+    they say of depth 1, which has at most 256 * 255 nodes, is summed and handed down from there.
+    """
+    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    parts = max(1, -(-counted.count() // TREE_ROWS))
+    dealt = counted.withColumn("pair", pair).repartition(parts, "pair").sortWithinPartitions("pair").select("gram", "n")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in by_suffix(batches):
+            t = Subtrees(gram, n)
+            top = t.levels[-1]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(t.top), "n0": pa.array(top.n0), "n1": pa.array(top.n1), "below": pa.array(top.all)})
+
+    sums = dealt.mapInArrow(up, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
+    node = sums["node"].to_numpy()
+    first = Level(*(sums[c].to_numpy() for c in ("n0", "n1", "below")))
+    root = grouped(node & 255, 256, first)
+    p, rest = np.full(1 << 16, 0.5), np.zeros(1 << 16)
+    p[node], rest[node] = first.down(*(x[node & 255] for x in root.down(np.zeros(256), np.ones(256))))
+    handed = counted.sparkSession.sparkContext.broadcast((p, rest))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in by_suffix(batches):
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n), "log10p": pa.array(Subtrees(gram, n).log10p(*handed.value))})
+
+    return dealt.mapInArrow(down, "gram long, n long, log10p double")
 
 
 def common(rows: DataFrame, count: str, most: int) -> int:
