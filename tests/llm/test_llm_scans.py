@@ -123,7 +123,7 @@ def test_quality_measures(spark, edges, empty):
 
 
 def test_policies_and_ablation(spark):
-    d = spark.createDataFrame([(1, "few words"), (2, " ".join(f"w{i}" for i in range(60))), (3, "| " * 60)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "few words"), (2, " ".join(f"w{i}" for i in range(60))), (3, "|| " * 60)], "doc_id long, text string")
     rows = ql.ledger(d)
     assert {r.doc_id: r.kept for r in ql.judged(rows, 1).collect()} == {1: False, 2: True, 3: False}
     got = {r.rule: r for r in ql.ablation(rows, 2).collect()}
