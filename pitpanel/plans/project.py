@@ -96,22 +96,57 @@ def project(
 ) -> DataFrame:
     """Features of the future rows.
 
-    History is cut strictly before each future period and reduced to the entities that are
-    projected; that is safe because entity windows never look across entities. Group, rival and
-    cohort blocks read whole group tables, so nothing they need is pruned.
+    Future rows ask and never contribute: each future period is projected from the history
+    strictly before it, through one asking row per entity, per (rival, cohort) and per group, so an
+    unplayed row is no event of another one. History is reduced to the entities that are projected;
+    that is safe because entity windows never look across entities. Group, rival and cohort
+    blocks read whole group tables, so nothing they need is pruned.
     """
     labelled = majority_or_own(future, history, "gsis_id", "position", "chart_position")
-    entities = labelled.select("gsis_id").distinct()
-    first = labelled.agg(F.min(F.struct(era, period)).alias("m")).first()["m"]
-    before = (F.col(era) < first[0]) | ((F.col(era) == first[0]) & (F.col(period) < first[1]))
-    past = history.where(before)
-    slim = past.join(entities, "gsis_id", "left_semi")
-    both = sh.union_ragged(slim.withColumn("__live", F.lit(False)), labelled.withColumn("__live", F.lit(True)))
-    entity = fb.entity_block(both, priors, cfg).where("__live").drop("__live")
-    allowed = sh.union_ragged(past.withColumn("__live", F.lit(False)), labelled.withColumn("__live", F.lit(True)))
-    keys = ["game_id", "gsis_id"]
-    dvp = fb.rival_cohort_block(allowed, cfg).where("__live")
-    dvp = dvp.select(*keys, *[c for c in dvp.columns if c.startswith(fb.DEFENCE_PREFIX)])
-    live_groups = labelled.select("game_id", "team", F.col("opponent_team").alias("opponent"), era, period).distinct()
-    teams = sh.union_ragged(team.where(before), live_groups)
-    return fb.team_block(entity.join(dvp, keys, "left"), teams, league, cfg)
+    # The periods of a schedule still to come, a few dozen at most.
+    periods = sorted(tuple(r) for r in labelled.select(era, period).distinct().collect())
+    if not periods:
+        return _project_period(history, labelled, team, league, priors, cfg, F.lit(False), None)
+    parts = []
+    for e, p in periods:
+        before = (F.col(era) < e) | ((F.col(era) == e) & (F.col(period) < p))
+        live = labelled.where((F.col(era) == e) & (F.col(period) == p))
+        parts.append(_project_period(history, live, team, league, priors, cfg, before, (era, period)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _project_period(history, live, team, league, priors, cfg, before, when) -> DataFrame:
+    """Features of one period's rows; no asking row has another one before it."""
+    past = history.where(before).withColumn("__live", F.lit(False))
+
+    def ask(keys: list[str]) -> DataFrame:
+        rest = [c for c in live.columns if c not in keys]
+        one = live.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys)
+        one = one.agg(F.min_by(F.struct(*rest), F.struct("game_id", "gsis_id")).alias("__one"))
+        return one.select(*keys, "__one.*").withColumn("__live", F.lit(True))
+
+    def answers(df: DataFrame, keys: list[str], prefix: str = "f_") -> DataFrame:
+        return df.where("__live").select(*keys, *[c for c in df.columns if c.startswith(prefix)])
+
+    askers = ask(["gsis_id"])
+    slim = past.join(askers.select("gsis_id"), "gsis_id", "left_semi")
+    entity = answers(fb.entity_block(sh.union_ragged(slim, askers), priors, cfg), ["gsis_id"])
+    rival_keys = ["opponent_team", "position"]
+    dvp = answers(fb.rival_cohort_block(sh.union_ragged(past, ask(rival_keys)), cfg), rival_keys, fb.DEFENCE_PREFIX)
+    rows = live.join(entity, "gsis_id", "left").join(dvp, rival_keys, "left")
+    # Groups ask under one made-up event of the period, which every live row then names.
+    sides = live.select(F.col("team").alias("__t"), F.col("opponent_team").alias("__o"), *(when or ()))
+    groups = sides.select(F.col("__t").alias("team"), F.col("__o").alias("opponent"), *(when or ())).union(
+        sides.select(F.col("__o"), F.col("__t"), *(when or ()))
+    ).where("team IS NOT NULL").groupBy("team", *(when or ())).agg(F.min("opponent").alias("opponent"))
+    event = F.lit(None).cast(dict(live.dtypes)["game_id"])
+    first = live.select("game_id").orderBy("game_id").limit(1).collect()
+    if first:
+        event = F.lit(first[0][0]).cast(dict(live.dtypes)["game_id"])
+    teams = sh.union_ragged(team.where(before), groups.withColumn("game_id", event))
+    asked = rows.withColumn("__game", F.col("game_id")).withColumn("game_id", event)
+    found = fb.team_block(asked, teams, league, cfg)
+    return found.withColumn("game_id", F.col("__game")).drop("__game")

@@ -186,19 +186,19 @@ def _future(spark, sf):
 
 @query("project_future_period", "FB15 FB16 JN20 SNK7", f"""WITH {FEATURES.replace("fh AS (", "unused AS (")}, {_GAMES},
 r AS (SELECT team, gsis_id, depth_rank FROM (SELECT team, gsis_id, depth_rank, row_number() OVER (PARTITION BY team, gsis_id ORDER BY season DESC, week DESC, game_id DESC) AS rn FROM panel WHERE season < 2001) WHERE rn = 1),
-l AS (SELECT game_id, home_team AS team FROM gm WHERE week = 1 UNION ALL SELECT game_id, away_team FROM gm WHERE week = 1),
-f AS (SELECT game_id, gsis_id FROM l JOIN r USING (team)),
-h AS (SELECT gsis_id, count(*) AS n, sum(targets) AS t FROM panel WHERE season < 2001 GROUP BY gsis_id),
-k AS (SELECT game_id, gsis_id, row_number() OVER (PARTITION BY gsis_id ORDER BY game_id) - 1 AS extra FROM f)
-SELECT k.game_id, k.gsis_id, n + extra AS f_games_prior, t / (n + extra) AS f_career_targets FROM k JOIN h USING (gsis_id)""")
+l AS (SELECT game_id, week, home_team AS team FROM gm WHERE week IN (1, 2) UNION ALL SELECT game_id, week, away_team FROM gm WHERE week IN (1, 2)),
+f AS (SELECT game_id, week, gsis_id FROM l JOIN r USING (team)),
+h AS (SELECT gsis_id, w.week, count(*) AS n, sum(targets) AS t, sum(carries) AS c, sum(receptions) AS r FROM panel, (VALUES (1), (2)) AS w(week)
+  WHERE season < 2001 OR (season = 2001 AND panel.week < w.week) GROUP BY gsis_id, w.week)
+SELECT f.game_id, f.gsis_id, n AS f_games_prior, t / n AS f_career_targets, c / n AS f_career_carries, r / n AS f_career_receptions FROM f JOIN h USING (gsis_id, week)""")
 def _(spark, sf):
-    """First period of the last era from history alone; two of its features are compared."""
+    """Two periods of the last era from the history before them; unplayed rows add nothing to one another."""
     from pitpanel.operators import aggregates as ag
 
     t = ag.with_rival_side(materialise(team_week(spark, sf), "team"))
     league = t.groupBy("season").agg(F.avg("off_proe").alias("league_off_proe"))
-    live = pj.project(td.panel(spark, sf), _future(spark, sf).where("week = 1"), t, league, _LITERAL)
-    return live.select("game_id", "gsis_id", "f_games_prior", "f_career_targets")
+    live = pj.project(td.panel(spark, sf), _future(spark, sf).where("week IN (1, 2)"), t, league, _LITERAL)
+    return live.select("game_id", "gsis_id", "f_games_prior", "f_career_targets", "f_career_carries", "f_career_receptions")
 
 
 @query("versioned_upsert_sink", "SNK1 SNK3 SNK5", """SELECT o_custkey, o_orderkey, o_totalprice FROM (

@@ -131,6 +131,22 @@ def test_projection_equals_history_features(spark):
     assert a == b and len(a) == 12
 
 
+def test_unplayed_rows_are_no_history(spark):
+    """Several future rows per entity, in one period and over two, all see the same past."""
+    p = panel_rows(spark)
+    priors = {k: 1.0 for k in ("catch_rate", "yards_per_target", "yards_per_carry", "yards_per_attempt", "completion_rate", "rec_td_per_target", "rush_td_per_carry")}
+    team = p.groupBy("season", "week", "game_id", "team").agg(F.first("opponent_team").alias("opponent"), F.sum("targets").alias("off_plays"), F.avg("targets").alias("off_proe"), F.sum("targets").alias("def_allowed_plays"))
+    league = p.groupBy("season").agg(F.avg("targets").alias("league_off_proe"))
+    last = p.where("season = 2022 AND week = 5").drop("targets", "receiving_yards", "off_pass_att", "off_designed_rush")
+    game = dict(last.dtypes)["game_id"]
+    twice = last.withColumn("game_id", F.concat(F.col("game_id").cast("string"), F.lit("1" if game != "string" else "b")).cast(game))
+    later = last.withColumn("week", F.col("week") + 1)
+    live = pj.project(p.where("NOT (season = 2022 AND week >= 5)"), last.union(twice.select(last.columns)).union(later), team.where("NOT (season = 2022 AND week >= 5)"), league, priors)
+    f = sorted(c for c in live.columns if c.startswith("f_"))
+    rows = live.select("gsis_id", *f)
+    assert rows.count() == 3 * last.count() and rows.distinct().count() == last.count()
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     from pitpanel.operators.windows import first_seen
 
