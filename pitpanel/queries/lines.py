@@ -149,10 +149,10 @@ def _(spark, sf):
 @query("ranked_board", "SO3", f"""WITH {_BOARD},
 r AS (SELECT event_id, CASE tier WHEN 'moderate' THEN 1 ELSE 2 END AS tr,
   CASE WHEN label = 'player touchdowns' THEN abs({half_up('raw', 2)} - 0.5) ELSE abs({half_up('100 * gap / line', 1)}) / 400.0 END AS conf FROM brd WHERE withheld_reason IS NULL)
-SELECT event_id, tr AS tier_rank, round(conf, 6) AS confidence FROM r ORDER BY tr, conf DESC, event_id LIMIT 100""")
+SELECT event_id, tr AS tier_rank, round(conf, 6) AS confidence FROM r ORDER BY tr, conf DESC, event_id""")
 def _(spark, sf):
     b = board(spark, sf).where("withheld_reason IS NULL")
-    top = ln.rank_board(b, ["event_id"]).limit(100)
+    top = ln.rank_board(b, ["event_id"])
     return top.select("event_id", ln.tier_rank(F.col("tier")).alias("tier_rank"), F.round(ln.confidence(top), 6).alias("confidence"))
 
 
@@ -174,33 +174,39 @@ def _(spark, sf):
 
 
 _FROZEN = COMPARED + """,
-fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, stat_type ORDER BY ts, event_id) AS rn FROM cmp WHERE disposition = 'matched') WHERE rn = 1)"""
+fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year(ts), weekofyear(ts), player, stat_type ORDER BY ts, event_id) AS rn FROM cmp WHERE disposition = 'matched') WHERE rn = 1)"""
+
+
+def in_weeks(df):
+    return df.withColumn("season", F.year("ts")).withColumn("week", F.weekofyear("ts"))
 
 
 def frozen(spark, sf):
-    c = ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'")
+    c = in_weeks(ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'"))
     return ln.freeze(c, None, F.col("ts"), "v1", tie=["ts", "event_id"])
 
 
 @query("freeze_first_seen", "MK4 SNK5", f"""WITH {COMPARED},
-old AS (SELECT DISTINCT player, stat_type FROM cmp WHERE disposition = 'matched' AND ts < TIMESTAMP '2024-01-08')
-SELECT player, stat_type AS stat, event_id, line, ts AS frozen_at, 'v2' AS model_version FROM (
-  SELECT *, row_number() OVER (PARTITION BY player, stat_type ORDER BY ts, event_id) AS rn FROM cmp WHERE disposition = 'matched'
-   AND ts >= TIMESTAMP '2024-01-08') c WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.player = c.player AND old.stat_type = c.stat_type)""")
+m AS (SELECT *, CAST(year(ts) AS INTEGER) AS season, CAST(weekofyear(ts) AS INTEGER) AS week FROM cmp WHERE disposition = 'matched'),
+old AS (SELECT DISTINCT season, week, player, stat_type FROM m WHERE ts < TIMESTAMP '2024-01-10')
+SELECT season, week, player, stat_type AS stat, event_id, line, ts AS frozen_at, 'v2' AS model_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY season, week, player, stat_type ORDER BY ts, event_id) AS rn FROM m WHERE ts >= TIMESTAMP '2024-01-10') c
+ WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.season = c.season AND old.week = c.week AND old.player = c.player AND old.stat_type = c.stat_type)""")
 def _(spark, sf):
-    c = ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'")
-    cut = F.expr("TIMESTAMP_NTZ '2024-01-08 00:00:00'")
+    """A second run in the middle of a week: that week's frozen lines stay, later weeks are frozen anew."""
+    c = in_weeks(ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'"))
+    cut = F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'")
     old = ln.freeze(c.where(F.col("ts") < cut), None, F.col("ts"), "v1", tie=["ts", "event_id"])
     new = ln.freeze(c.where(F.col("ts") >= cut), old, F.col("ts"), "v2", tie=["ts", "event_id"])
-    return new.select("player", "stat", "event_id", "line", "frozen_at", "model_version")
+    return new.select("season", "week", "player", "stat", "event_id", "line", "frozen_at", "model_version")
 
 
-# Actuals: each supplier's last panel row.
+# Actuals: each supplier's last two panel rows, as two weeks; a line belongs to one of them.
 _ACTUALS = """,
-act AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gsis_id ORDER BY season DESC, week DESC, game_id DESC) AS rn FROM panel) WHERE rn = 1),
+act AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gsis_id ORDER BY season DESC, week DESC, game_id DESC) AS rn FROM panel) WHERE rn <= 2),
 gr0 AS (SELECT c.event_id, c.ts, c.line, c.lean, c.model2, c.label, CASE c.label WHEN 'receiving yards' THEN a.receiving_yards WHEN 'rush+rec yds' THEN a.rushing_yards + a.receiving_yards
    WHEN 'rec targets' THEN a.targets WHEN 'player touchdowns' THEN a.rushing_tds + a.receiving_tds
-   ELSE {fantasy} END AS actual FROM (SELECT *, {model} AS model2 FROM cmp WHERE disposition = 'matched') c JOIN act a ON c.gsis_id = a.gsis_id),
+   ELSE {fantasy} END AS actual FROM (SELECT *, {model} AS model2 FROM cmp WHERE disposition = 'matched') c JOIN act a ON c.gsis_id = a.gsis_id AND a.rn = 1 + c.event_id % 2),
 gr AS (SELECT *, CASE WHEN actual > line THEN 'More' WHEN actual < line THEN 'Less' ELSE 'Exact' END AS result FROM gr0),
 graded AS (SELECT *, CASE WHEN result <> 'Exact' THEN result = lean END AS model_correct FROM gr)""".format(
     fantasy=half_up(_FANTASY.replace("passing_yards", "a.passing_yards").replace("rushing_yards", "a.rushing_yards")
@@ -211,12 +217,15 @@ graded AS (SELECT *, CASE WHEN result <> 'Exact' THEN result = lean END AS model
 
 
 def graded(spark, sf):
-    from pitpanel.operators.windows import latest
+    from pyspark.sql import Window
 
     c = ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'")
+    c = c.withColumn("season", F.lit(1)).withColumn("week", 1 + F.col("event_id") % 2)
     s = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gsis_id"), F.col("s_name").alias("player_display_name"))
-    act = latest(td.panel(spark, sf), ["gsis_id"], ["season", "week", "game_id"]).join(s, "gsis_id")
-    return ln.grade(c, act)
+    newest = Window.partitionBy("gsis_id").orderBy(F.desc("season"), F.desc("week"), F.desc("game_id"))
+    act = td.panel(spark, sf).withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
+    act = act.withColumn("season", F.lit(1)).withColumn("week", F.col("__n").cast("bigint")).drop("__n")
+    return ln.grade(c, act.join(s, "gsis_id")).drop("season", "week")
 
 
 @query("grade_lines", "MK5 JN16", f"WITH {COMPARED}{_ACTUALS} SELECT event_id, actual, result, model_correct FROM graded")
@@ -297,11 +306,15 @@ def _(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), normalize_name(F.concat("c_name", F.lit(" ÉÀÇü Jr. III"))).alias("key"))
 
 
-@query("person_like_labels", "SF2", """WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z ].*$', '', 's')) AS s FROM documents)
-SELECT doc_id, (length(s) >= 4 AND contains(s, ' ') AND NOT (s = upper(s) AND s <> lower(s) AND length(s) <= 5) AND regexp_matches(s, '[A-Za-z]{2,}\\s+[A-Za-z]')) AS is_person FROM s""")
+@query("person_like_labels", "SF2", """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS s FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, (length(s) >= 4 AND contains(s, ' ') AND NOT (s = upper(s) AND s <> lower(s) AND length(s) <= 5) AND regexp_matches(s, '[A-Za-z]{2,}[ \\t\\n\\x0B\\f\\r]+[A-Za-z]')) AS ok FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE ok) AS n_person_like FROM p GROUP BY doc_id""")
 def _(spark, sf):
-    d = td.table(spark, sf, "documents").withColumn("s", F.trim(F.regexp_replace("text", r"(?s)[^A-Za-z ].*$", "")))
-    return d.select("doc_id", person_like(F.col("s")).alias("is_person"))
+    """Every line of every whole text."""
+    d = td.table(spark, sf, "documents").where("text IS NOT NULL")
+    lines = F.transform(F.split("text", "\n"), lambda s: person_like(F.trim(s)))
+    n = d.select("doc_id", lines.alias("l"))
+    return n.select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.size(F.filter("l", lambda x: x)).cast("bigint").alias("n_person_like"))
 
 
 @query("strip_trailing_markers", "SF3", """SELECT event_id, regexp_replace(event_type || ['', 'Demon', 'GoblinDemon', 'DemonGoblinDemon', 'DemonX'][1 + k % 5], '(Demon|Goblin)+$', '') AS label

@@ -18,6 +18,7 @@ WAGER_SIDE = {"over": "more", "under": "less"}
 
 # Markers glued to the end of a stat label.
 MARKERS = {"Demon": "\ufffe", "Goblin": "\uffff"}
+ESCAPE = "\ufffd"
 
 _BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _TEAM_POS = r"^[A-Z]{2,4}\s*-\s*[A-Za-z0-9]{1,3}$"
@@ -51,13 +52,21 @@ def offered_by_feed(raw: Column) -> Column:
 
 
 def strip_markers(label: Column) -> Column:
-    """Drop every trailing marker in linear time: stand-ins, a trim, and back."""
+    """Drop every trailing marker in linear time: stand-ins, a trim, and back.
+
+    Stand-ins that the label itself holds are escaped first, and so is the escape character.
+    """
+    escaped = [ESCAPE, *MARKERS.values()]
     s = label
+    for n, c in enumerate(escaped):
+        s = F.replace(s, F.lit(c), F.lit(f"{ESCAPE}{n}"))
     for word, stand_in in MARKERS.items():
         s = F.replace(s, F.lit(word), F.lit(stand_in))
     s = F.rtrim(s, F.lit("".join(MARKERS.values())))
     for word, stand_in in MARKERS.items():
         s = F.replace(s, F.lit(stand_in), F.lit(word))
+    for n, c in reversed(list(enumerate(escaped))):
+        s = F.replace(s, F.lit(f"{ESCAPE}{n}"), F.lit(c))
     return s
 
 

@@ -17,9 +17,9 @@ def lines(spark, rows):
 
 def projections(spark):
     rows = [
-        ("a1", "Patrick Mahomes II", "QB", "KC", 1.0, 230.8, 0.35, 0.34, None, 1.9, None, 2.0, "model", "baseline", 40.0, 0.97),
-        ("k1", "Harrison Butker", "K", "KC", 1.0, None, None, None, 2.0, None, 3.0, None, "model", "model", 2.0, 0.9),
-        ("a2", "Patrick Mahomes", "QB", "ZZ", 1.0, 1.0, 0.1, 0.1, None, 0.1, None, 0.1, "model", "model", 9.0, 0.5),
+        ("a1", "Quill Marsten II", "QB", "KC", 1.0, 230.8, 0.35, 0.34, None, 1.9, None, 2.0, "model", "baseline", 40.0, 0.97),
+        ("k1", "Ned Farrow", "K", "KC", 1.0, None, None, None, 2.0, None, 3.0, None, "model", "model", 2.0, 0.9),
+        ("a2", "Quill Marsten", "QB", "ZZ", 1.0, 1.0, 0.1, 0.1, None, 0.1, None, 0.1, "model", "model", 9.0, 0.5),
     ]
     return spark.createDataFrame(
         rows,
@@ -34,20 +34,20 @@ def compared(spark, rows, **kw):
 
 def test_comparison_cases(spark):
     rows = [
-        ("Patrick Mahomes", "Pass Yards", 245.5, "both", "standard"),
-        ("Patrick Mahomes", "Longest Completion", 30.5, "", "standard"),
+        ("Quill Marsten", "Pass Yards", 245.5, "both", "standard"),
+        ("Quill Marsten", "Longest Completion", 30.5, "", "standard"),
         ("Nobody Known", "Pass Yards", 245.5, "", "standard"),
-        ("Patrick Mahomes", "Player Touchdowns", 0.5, "", "standard"),
-        ("Harrison Butker", "Kicking Points", 7.5, "", "standard"),
-        ("Patrick Mahomes", "Kicking Points", 7.5, "", "standard"),
-        ("Patrick Mahomes", "Shoe Size", 7.5, "", "standard"),
-        ("Patrick Mahomes", "Fantasy Score", 10.0, "", "standard"),
-        ("Patrick Mahomes", "Pass Yards", 230.8, "less", "demon"),
-        ("Patrick Mahomes", "Pass Yards", 0.0, "", None),
+        ("Quill Marsten", "Player Touchdowns", 0.5, "", "standard"),
+        ("Ned Farrow", "Kicking Points", 7.5, "", "standard"),
+        ("Quill Marsten", "Kicking Points", 7.5, "", "standard"),
+        ("Quill Marsten", "Shoe Size", 7.5, "", "standard"),
+        ("Quill Marsten", "Fantasy Score", 10.0, "", "standard"),
+        ("Quill Marsten", "Pass Yards", 230.8, "less", "demon"),
+        ("Quill Marsten", "Pass Yards", 0.0, "", None),
     ]
     got = compared(spark, rows)
     assert (got[0]["lean"], got[0]["diff"], got[0]["disposition"], got[0]["source"]) == ("Less", -14.7, "matched", "model")
-    assert (got[1]["disposition"], got[1]["reason"]) == ("refused", "a maximum over plays, not a per-game central value")
+    assert (got[1]["disposition"], got[1]["reason"]) == ("refused", "the best single play of a game; a game total says nothing of it")
     assert got[2]["disposition"] == "unmatched"
     p = 1 - math.exp(-0.69)
     assert (got[3]["kind"], got[3]["model"], got[3]["lean"], got[3]["source"]) == ("probability", round(p, 2), "Less", "baseline")
@@ -63,7 +63,7 @@ def test_comparison_cases(spark):
 
 
 def test_every_posted_line_is_accounted_for(spark):
-    rows = [(n, s, 0.5, "", "standard") for n in ("Patrick Mahomes", "Nobody Known") for s in [*ln.STAT_RULES, *ln.REFUSED, *ln.FANTASY_LABELS, "odd", None]]
+    rows = [(n, s, 0.5, "", "standard") for n in ("Quill Marsten", "Nobody Known") for s in [*ln.STAT_RULES, *ln.REFUSED, *ln.FANTASY_LABELS, "odd", None]]
     a = ln.accounting(ln.compare(lines(spark, rows), projections(spark))).collect()
     assert sum(r["n"] for r in a) == len(rows)
     assert {r["disposition"] for r in a} == {"refused", "unmapped", "unmatched", "unprojected", "matched"}
@@ -85,9 +85,9 @@ def test_tiers_follow_the_weakest_part(spark):
 
 def test_board_split_and_rank(spark):
     rows = [
-        ("Patrick Mahomes", "Pass Yards", 245.5, "more", "standard"),
-        ("Patrick Mahomes", "Pass Yards", 245.5, "less", "standard"),
-        ("Harrison Butker", "Kicking Points", 7.5, "", "standard"),
+        ("Quill Marsten", "Pass Yards", 245.5, "more", "standard"),
+        ("Quill Marsten", "Pass Yards", 245.5, "less", "standard"),
+        ("Ned Farrow", "Kicking Points", 7.5, "", "standard"),
     ]
     b = {r["id"]: r["withheld_reason"] for r in ln.board_rows(ln.compare(lines(spark, rows), projections(spark))).collect()}
     assert b == {0: "side_not_offered", 1: None, 2: "thin_history"}
@@ -100,22 +100,30 @@ def test_ladder_keeps_the_newest_standard(spark):
 
 
 def test_first_seen_wins_even_when_the_line_moves(spark):
-    rows = [("p", "s", 85.5, 250.0, "2026-09-01")]
-    schema = "player string, stat string, line double, model double, at string"
-    old = ln.freeze(spark.createDataFrame(rows, schema), None, F.col("at"), "old", tie=["at"])
-    new = spark.createDataFrame([("p", "s", 88.5, 260.0, "2026-09-03"), ("q", "s", 1.5, 2.0, "2026-09-03"), ("q", "s", 2.5, 2.0, "2026-09-02")], schema)
+    schema = "season int, week int, player string, stat string, line double, model double, at string"
+    old = ln.freeze(spark.createDataFrame([(2026, 1, "p", "s", 85.5, 250.0, "2026-09-01")], schema), None, F.col("at"), "old", tie=["at"])
+    rows = [(1, "p", 88.5, "03"), (1, "q", 1.5, "03"), (1, "q", 2.5, "02"), (2, "p", 90.5, "09")]
+    new = spark.createDataFrame([(2026, w, p, "s", x, 2.0, f"2026-09-{d}") for w, p, x, d in rows], schema)
     added = ln.freeze(new, old, F.col("at"), "new", tie=["at"]).collect()
-    assert [(r["player"], r["line"], r["model_version"]) for r in added] == [("q", 2.5, "new")]
+    assert sorted((r["week"], r["player"], r["line"], r["model_version"]) for r in added) == [(1, "q", 2.5, "new"), (2, "p", 90.5, "new")]
+
+
+def test_two_weeks_give_two_frozen_and_two_graded_rows(spark):
+    rows = [(2026, 1, "A B", "x", "Pass Yards", 200.5, "More", "1"), (2026, 2, "A B", "x", "Pass Yards", 210.5, "More", "8")]
+    t = spark.createDataFrame(rows, "season int, week int, player string, gsis_id string, stat string, line double, lean string, at string")
+    frozen = ln.freeze(t, None, F.col("at"), "v", tie=["at"])
+    a = spark.createDataFrame([(2026, 1, "x", "A B", 250.0), (2026, 2, "x", "A B", 150.0)], "season int, week int, gsis_id string, player_display_name string, passing_yards double")
+    assert sorted((r["week"], r["actual"], r["model_correct"]) for r in ln.grade(frozen, a).collect()) == [(1, 250.0, True), (2, 150.0, False)]
 
 
 def test_grading(spark):
     t = spark.createDataFrame(
-        [(0, "Patrick Mahomes", "a1", "Pass Yards", 245.5, "Less"), (1, "Patrick Mahomes", "a1", "Pass Yards", 283.0, "More"), (2, "Wrong Name", "a1", "Pass TDs", 0.5, "More"),
-         (3, "Patrick Mahomes", None, "Kicking Points", 7.5, "More"), (4, "Patrick Mahomes", "zz", "Fantasy Score", 10.0, "More"), (5, "Ghost", "no", "Pass Yards", 1.5, "More")],
+        [(0, "Quill Marsten", "a1", "Pass Yards", 245.5, "Less"), (1, "Quill Marsten", "a1", "Pass Yards", 283.0, "More"), (2, "Wrong Name", "a1", "Pass TDs", 0.5, "More"),
+         (3, "Quill Marsten", None, "Kicking Points", 7.5, "More"), (4, "Quill Marsten", "zz", "Fantasy Score", 10.0, "More"), (5, "Ghost", "no", "Pass Yards", 1.5, "More")],
         "id int, player string, gsis_id string, stat string, line double, lean string",
     )
-    a = spark.createDataFrame([("a1", "Patrick Mahomes II", 283.0, 2.0, 1.0, None, None)], "gsis_id string, player_display_name string, passing_yards double, passing_tds double, rushing_fumbles_lost double, receiving_fumbles_lost double, sack_fumbles_lost double")
-    g = {r["id"]: (r["actual"], r["result"], r["model_correct"]) for r in ln.grade(t, a).collect()}
+    a = spark.createDataFrame([("a1", "Quill Marsten II", 283.0, 2.0, 1.0, None, None)], "gsis_id string, player_display_name string, passing_yards double, passing_tds double, rushing_fumbles_lost double, receiving_fumbles_lost double, sack_fumbles_lost double")
+    g = {r["id"]: (r["actual"], r["result"], r["model_correct"]) for r in ln.grade(t, a, periods=()).collect()}
     assert g == {0: (283.0, "More", False), 1: (283.0, "Exact", None), 2: (2.0, "More", True), 4: (283 * 0.04 + 8 - 1, "More", True)}
 
 
