@@ -3,9 +3,9 @@
 A window over PARTITION BY key puts a whole key in one task. Here a key with more rows than
 ``hot_rows`` is cut into consecutive runs along a numeric clock. Windows run inside
 (key, run); a carry table, one row per run of a hot key, brings in what earlier runs
-contribute and is joined back. The carry table is small by construction: at most MAX_HOT_KEYS
-keys are cut, and runs are sized so that there are at most MAX_TOTAL_RUNS + MAX_HOT_KEYS of
-them. With no hot key the plan is the plain window: one exchange.
+contribute and is joined back. The list of hot keys is a table in the shared folder, however
+long it is; up to BROADCAST_KEYS keys it is broadcast, beyond that joined like any other table.
+With no hot key the plan is the plain window: one exchange.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pitpanel.session import input_bytes, small_side
+from pitpanel.session import input_bytes, materialise, small_side
 
 RUN = "__run"
 CLOCK = "__clock"
 HOT_ROWS_CONF = "spark.pitpanel.hotRows"
 DEFAULT_HOT_ROWS = 4_000_000
-MAX_HOT_KEYS = 4096
+BROADCAST_KEYS = 4096
 MAX_RUNS = 1024
-MAX_TOTAL_RUNS = 8192
 BLOCK = 32
 
 
@@ -43,7 +42,7 @@ def surely_small(df: DataFrame, rows: int) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
-    """Keys above the row limit as a small local frame (keys, __n), and rows per run; or None.
+    """Keys above the row limit as a table (keys, __n) and its row count; or None.
 
     One light job: per-key counts, combined map-side, over the key columns only. Skipped when
     the input files are too small to hold a hot key.
@@ -52,28 +51,28 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None):
     if surely_small(df, limit):
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # At most MAX_HOT_KEYS rows come back; any key left out holds at most total / MAX_HOT_KEYS rows.
-    rows = counts.where(F.col("__n") > limit).orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
-    if not rows:
-        return None
-    per_run = max(limit, sum(r["__n"] for r in rows) // MAX_TOTAL_RUNS)
-    return df.sparkSession.createDataFrame(rows, counts.schema), per_run
+    hot = materialise(counts.where(F.col("__n") > limit), "hot")
+    n = hot.count()
+    return (hot, n) if n else None
+
+
+def sized(side: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a counted table of few rows; longer ones are joined by shuffle."""
+    return F.broadcast(side) if rows <= BROADCAST_KEYS else side
 
 
 def find_hot(
     df: DataFrame, keys: list[str], clock: Column, hot_rows: int | None = None
-) -> DataFrame | None:
-    """Hot keys with the clock values at which to cut them; None if there are none."""
+) -> tuple[DataFrame, int] | None:
+    """Hot keys with the clock values at which to cut them, and their number; None if there are none."""
     found = hot_keys(df, keys, hot_rows)
     if found is None:
         return None
-    hot, limit = found
-    spark = df.sparkSession
+    hot, n = found
+    limit = hot_limit(df, hot_rows)
     renamed = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n")
     probs = [i / MAX_RUNS for i in range(1, MAX_RUNS)]
-    rows = df.select(*keys, clock.cast("double").alias(CLOCK)).join(
-        F.broadcast(renamed), _same(keys), "inner"
-    )
+    rows = df.select(*keys, clock.cast("double").alias(CLOCK)).join(sized(renamed, n), _same(keys), "inner")
     cuts = rows.groupBy(*keys).agg(
         F.first("__n").alias("__n"),
         F.percentile_approx(CLOCK, probs, 10_000).alias("__p"),
@@ -86,12 +85,11 @@ def find_hot(
             f"i -> element_at(__p, greatest(1, CAST(floor(i * {MAX_RUNS} / __runs) AS INT)))))"
         ).alias("__cuts"),
     )
-    local = spark.createDataFrame(cuts.collect(), cuts.schema)
     blocks = F.expr(
         f"transform(sequence(0, CAST(floor((size(__cuts) - 1) / {BLOCK}) AS INT)), "
         f"b -> slice(__cuts, b * {BLOCK} + 1, {BLOCK}))"
     )
-    return local.select(*keys, blocks.alias("__blocks"))
+    return materialise(cuts.select(*keys, blocks.alias("__blocks")), "cuts"), n
 
 
 def _same(keys: list[str]) -> Column:
@@ -101,16 +99,15 @@ def _same(keys: list[str]) -> Column:
     return cond
 
 
-def assign_runs(df: DataFrame, keys: list[str], clock: Column, hot: DataFrame) -> DataFrame:
+def assign_runs(df: DataFrame, keys: list[str], clock: Column, found: tuple[DataFrame, int]) -> DataFrame:
     """Add RUN: 0 for cold keys, the number of cuts below the clock for hot ones.
 
     Equal clocks share a run, so run order agrees with any order that starts with the clock.
     The lookup compares block heads first, then inside one block.
     """
+    hot, n = found
     side = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__blocks")
-    tagged = df.withColumn(CLOCK, clock.cast("double")).join(
-        F.broadcast(side), _same(keys), "left"
-    )
+    tagged = df.withColumn(CLOCK, clock.cast("double")).join(sized(side, n), _same(keys), "left")
     full = f"size(filter(__blocks, b -> element_at(b, -1) < {CLOCK}))"
     run = F.expr(
         f"CASE WHEN __blocks IS NULL OR {CLOCK} IS NULL THEN 0 ELSE "
@@ -205,7 +202,7 @@ def _prior_in_runs(df, keys, order, clock, specs, hot) -> DataFrame:
     for within in sorted({s.within for s in specs}):
         mine = [s for s in specs if s.within == within]
         side, by = _carry(tagged.where("__is_hot"), keys, order, within, mine, partial)
-        out = out.join(F.broadcast(side), _match(by, out), "left").drop(*[f"__c_{k}" for k in by])
+        out = out.join(side, _match(by, out), "left").drop(*[f"__c_{k}" for k in by])
     final = [_combine(s, *partial[s.name]).alias(s.name) for s in specs]
     return out.select(*df.columns, *final)
 
@@ -350,7 +347,7 @@ def fill(
         F.last(F.col("__edge"), ignorenulls=True).over(across).alias("__beyond"),
     )
     local = tagged.withColumn("__near", near([RUN]))
-    joined = local.join(F.broadcast(side), _match([*keys, RUN], local), "left")
+    joined = local.join(side, _match([*keys, RUN], local), "left")
     return joined.select(
         *df.columns, F.coalesce(F.col("__near"), F.col("__beyond")).alias(out)
     )
@@ -425,7 +422,7 @@ def lookup_join(
     salts: int = 64,
     probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Join to a side with at most one row per key; hot left keys are salted.
+    """Join to a side with at most one row per key; hot left keys and null keys are salted.
 
     The salt is a hash of the whole left row, so a retried task repeats it. Only the right
     rows of hot keys are copied, ``salts`` times each. ``probe``: a leaner frame with the same
@@ -434,10 +431,14 @@ def lookup_join(
     found = hot_keys(left if probe is None else probe, keys, hot_rows)
     if found is None:
         return left.join(right, keys, how)
-    hot = F.broadcast(found[0].select(*keys, F.lit(True).alias("__hot")))
+    hot = sized(found[0].select(*keys, F.lit(True).alias("__hot")), found[1])
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    # A null key matches nothing, so its rows may go to any partition.
     salted = left.join(hot, keys, "left").withColumn(
         "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)),
+        F.when(F.col("__hot") | missing, F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)),
     )
     copies = right.join(hot, keys, "left").withColumn(
         "__salt",

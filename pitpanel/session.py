@@ -1,4 +1,4 @@
-"""Session helpers: builder for local use, durable scratch space, size-checked broadcast."""
+"""Session helpers: builder for local use, durable scratch space, sizes."""
 
 from __future__ import annotations
 
@@ -10,10 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BROADCAST_ROWS_CONF = "spark.pitpanel.broadcastRows"
-DEFAULT_BROADCAST_ROWS = 100_000
-PIN_ABOVE_CONF = "spark.pitpanel.pinAboveBytes"
-DEFAULT_PIN_ABOVE = 1 << 30
 
 
 def local_session(cores: str = "8", app: str = "pitpanel") -> SparkSession:
@@ -71,21 +67,10 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """A join side that should be broadcast, but only once its size is known.
-
-    Over small inputs the frame is returned as it is. Over large ones at most max_rows + 1 rows are
-    fetched: a side within the limit becomes a local table with a broadcast hint, which spares the
-    large side a shuffle; a longer one is left to the optimizer's shuffled join.
-    """
-    spark = df.sparkSession
-    cap = max_rows or int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
-    if input_bytes(df) < int(spark.conf.get(PIN_ABOVE_CONF, str(DEFAULT_PIN_ABOVE))):
-        return df
-    rows = df.limit(cap + 1).collect()
-    if len(rows) > cap:
-        return df
-    return F.broadcast(spark.createDataFrame(rows, df.schema))
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side that is usually small. It carries no hint and nothing is fetched: adaptive execution
+    broadcasts it if its measured size allows, and otherwise the join shuffles."""
+    return df
 
 
 def constant_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

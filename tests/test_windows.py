@@ -198,3 +198,37 @@ def test_equal_count_bins_match_numpy_edges(spark):
         part = s[edges[b] : edges[b + 1]]
         if len(part) >= 60:
             assert got[b] == (len(part), pytest.approx(part.mean()))
+
+
+def test_more_hot_keys_than_a_broadcast_takes(spark, monkeypatch):
+    """Past the broadcast bound the list of hot keys is joined, and every hot key is still cut."""
+    from pitpanel.operators import ordered
+
+    monkeypatch.setattr(ordered, "BROADCAST_KEYS", 3)
+    df = spark.range(0, 600).selectExpr("id % 30 AS k", "id AS i", "CAST(id % 7 AS DOUBLE) AS v")
+    specs = [ordered.Spec("m", "mean", "v"), ordered.Spec("r", "rolling", "v", 3), ordered.Spec("n", "count")]
+    found = ordered.find_hot(df, ["k"], F.col("i"), 5)
+    assert found[1] == 30
+    cut = ordered.prior(df, ["k"], ["i"], F.col("i"), specs, 5)
+    plain = ordered.prior(df, ["k"], ["i"], F.col("i"), specs, 10**9)
+    shown = lambda d: sorted((r["k"], r["i"], r["n"], None if r["m"] is None else round(r["m"], 9), None if r["r"] is None else round(r["r"], 9)) for r in d.collect())
+    assert shown(cut) == shown(plain)
+
+
+def test_null_keys_spread_over_salts(spark):
+    from pitpanel.operators.ordered import lookup_join
+
+    left = spark.range(0, 1000).selectExpr("IF(id % 2 = 0, NULL, id % 5) AS k", "id")
+    right = spark.createDataFrame([(1, "a"), (3, "b")], "k long, x string")
+    j = lookup_join(left, right, ["k"], "left", hot_rows=50)
+    assert j.count() == 1000 and j.where("x IS NOT NULL").count() == 200
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        parts = lookup_join(left, right, ["k"], "left", hot_rows=50).where("k IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts > 1
