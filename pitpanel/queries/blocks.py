@@ -35,7 +35,7 @@ def panel_priors(spark, sf, before=1999):
 _LITERAL = {n: lit for n, (_, _, lit) in ag.LEAGUE_PRIORS.items()}
 
 
-@query("entity_history_block", "FB1 FB12", f"WITH {FEATURES} SELECT game_id, gsis_id, f_games_prior, f_games_prior_season, "
+@query("entity_history_block", "FB1", f"WITH {FEATURES} SELECT game_id, gsis_id, f_games_prior, f_games_prior_season, "
        + ", ".join(f"f_{p}_{c}" for c in _VOL for p in ("career", "r3", "r8", "std")) + " FROM fh")
 def _(spark, sf):
     """Fourteen counts with four windows each, one exchange."""
@@ -204,7 +204,7 @@ def _(spark, sf):
     return _r8(h, [f"f_{c}" for c in fb.CREW_RATES])
 
 
-@query("feature_build", "FB15 FB14 PF18 SO1", f"""WITH {_TW}{_PAN}, k AS (SELECT * FROM panel)
+@query("feature_build", "FB15", f"""WITH {_TW}{_PAN}, k AS (SELECT * FROM panel)
 SELECT p.game_id, p.gsis_id, count(*) OVER c AS f_games_prior, sum(targets) OVER c / nullif(count(*) OVER c, 0) AS f_career_targets,
  {steady_sql('p_off_plays')} AS f_team_prior_off_plays FROM panel p LEFT JOIN th ON p.game_id = th.game_id AND p.team = th.team
  WINDOW c AS (PARTITION BY gsis_id ORDER BY p.season, p.week, p.game_id ROWS BETWEEN {_PRE})""".replace(", k AS (SELECT * FROM panel)", ""))

@@ -103,7 +103,7 @@ def _(spark, sf):
     return with_availability(spark, sf).select("game_id", "gsis_id", F.round("p_play", 8).alias("p_play"))
 
 
-@query("availability_sum_gate", "CP3 SNK2", f"""WITH {_APPLY}, per AS (SELECT season, week, team, sum(p_play) AS p, sum(CASE WHEN appeared THEN 1.0E0 ELSE 0.0E0 END) AS a FROM ap2 GROUP BY 1, 2, 3)
+@query("availability_sum_gate", "CP3", f"""WITH {_APPLY}, per AS (SELECT season, week, team, sum(p_play) AS p, sum(CASE WHEN appeared THEN 1.0E0 ELSE 0.0E0 END) AS a FROM ap2 GROUP BY 1, 2, 3)
 SELECT round(avg(p) / avg(a), 6) AS ratio, abs(avg(p) / avg(a) - 1) <= 0.05 AS passes FROM per""")
 def _(spark, sf):
     per = with_availability(spark, sf).groupBy("season", "week", "team").agg(

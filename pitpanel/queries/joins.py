@@ -100,7 +100,7 @@ def _(spark, sf):
     return jn.modal_period_within(e, g, "ts", "ts", "period", "routed", hot_rows=100).select("event_id", "routed")
 
 
-@query("hourly_range_aggregate", "JN10 SF24", f"""WITH {td.EVENTS},
+@query("hourly_range_aggregate", "JN10", f"""WITH {td.EVENTS},
 h AS (SELECT user_id, date_trunc('hour', ts) AS hour, max(cents) AS temp, max(k) AS wind, sum(k) AS precip FROM ev GROUP BY 1, 2)
 SELECT g.event_id, max(CASE WHEN h.hour = date_trunc('hour', g.ts) THEN temp END) AS wx_temp, max(wind) AS wx_wind_max, CAST(sum(precip) AS BIGINT) AS wx_precip
 FROM ev g JOIN h ON g.user_id = h.user_id AND h.hour >= date_trunc('hour', g.ts) AND h.hour < date_trunc('hour', g.ts) + INTERVAL 3 HOUR GROUP BY g.event_id""")

@@ -143,7 +143,7 @@ def _(spark, sf):
     return dq.coverage(td.panel(spark, sf), ["position"], ["depth_rank", "ngs_avg_separation"])
 
 
-@query("latest_roster_rows", "SRC6 SO5 SO7", f"""WITH {td.PANEL}, r AS (SELECT season, team, gsis_id, depth_rank, position, row_number() OVER (PARTITION BY season, team, week, gsis_id ORDER BY game_id DESC, depth_rank DESC) AS rn, week FROM panel)
+@query("latest_roster_rows", "SRC6 SO5", f"""WITH {td.PANEL}, r AS (SELECT season, team, gsis_id, depth_rank, position, row_number() OVER (PARTITION BY season, team, week, gsis_id ORDER BY game_id DESC, depth_rank DESC) AS rn, week FROM panel)
 SELECT season, CAST(week AS INTEGER) AS week, team, gsis_id, position, depth_rank FROM r WHERE rn = 1""")
 def _(spark, sf):
     snaps = td.panel(spark, sf).select(

@@ -165,7 +165,7 @@ def _(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "wx_temp", "wx_wind", "l_extendedprice")
 
 
-@query("structural_overlay", "PF16 SRC7", """WITH f AS (SELECT s_suppkey AS stadium_id, upper(s_name) AS display_name,
+@query("structural_overlay", "PF16", """WITH f AS (SELECT s_suppkey AS stadium_id, upper(s_name) AS display_name,
    CASE s_suppkey % 3 WHEN 0 THEN 'dome' ELSE 'retractable' END AS roof_type FROM supplier WHERE s_acctbal > 5000),
 g AS (SELECT l_orderkey, l_linenumber, l_suppkey AS stadium_id, s_name AS stadium,
    CASE l_linestatus WHEN 'O' THEN 'open' ELSE CASE l_returnflag WHEN 'A' THEN 'outdoors' WHEN 'N' THEN 'closed' ELSE '' END END AS roof

@@ -158,7 +158,7 @@ def _(spark, sf):
     return df.select("nation", "orderkey")
 
 
-@query("latest_strictly_before_event", "WN12 SRC10", f"""WITH {td.EVENTS},
+@query("latest_strictly_before_event", "WN12", f"""WITH {td.EVENTS},
 s AS (SELECT *, date_trunc('day', ts) + INTERVAL 12 HOUR AS start_at, CAST(ts AS DATE) AS day FROM ev)
 SELECT user_id, event_type, day, event_id, cents FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts DESC, event_id DESC) AS rn
