@@ -32,10 +32,12 @@ from pitpanel.llm import arrowtext as at
 from pitpanel.session import materialise
 
 DEPTH = 5
-HOT_TOKENS = 1 << 19
+HOT_TOKENS = 1 << 18
 HOT_GRAMS = 1 << 20
 #: Distinct byte sequences that a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
+#: Bytes of text that are worked on at once; about fifty times as much memory is in use meanwhile.
+SLICE = 2 << 20
 #: Rows of the tree that a task works on at once (more only where one pair of last bytes has more).
 TREE_ROWS = 50_000
 END = "\n"
@@ -63,7 +65,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(stream), np.uint64)
     for k in range(DEPTH + 1):
         code[DEPTH:] |= stream[DEPTH - k : len(stream) - k] << np.uint64(8 * k)
-    return code[place], np.repeat(np.arange(len(size)), size)
+    return code[place], np.repeat(np.arange(len(size), dtype=np.int32), size)
 
 
 def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [], [], 0
         out = lambda: pa.RecordBatch.from_pydict({"gram": pa.array(codes[0].view(np.int64)), "n": pa.array(counts[0])})
-        for part in at.slices(batches, "text"):
+        for part in at.slices(batches, "text", SLICE):
             code, row = grams(part.column("text"))
             train = part.column("train").to_numpy(zero_copy_only=False)[row]
             for own, times in ((code[train], 1), (code[~train], 0)):
@@ -111,7 +113,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """token, c: how often each word occurs in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in at.slices(batches, "text", 4 * at.SLICE_BYTES):
+        for part in at.slices(batches, "text", 2 * SLICE):
             w, _ = at.words(part.column("text"))
             if len(w):
                 coded = w.dictionary_encode()
@@ -261,7 +263,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lear
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, values, codes, logs = shared.value
-        for part in at.slices(batches, "text"):
+        for part in at.slices(batches, "text", SLICE):
             n = part.num_rows
             rid = part.column("rid")
             w, row = at.words(part.column("text"))
