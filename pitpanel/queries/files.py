@@ -68,11 +68,11 @@ def _(spark, sf):
     return r.withColumn("place", place).orderBy("team", "place", "gsis_id")
 
 
-@query("feature_build_all", "FB14 FB15 PF18 SO1")
+@query("feature_build_all", "FB12 FB14 FB15 PF18 SO1")
 def _(spark, sf):
     """Every feature column of every default block, in event order; the blocks' own queries hold them to SQL."""
     from pitpanel.operators.shape import rank_cap
 
     t = _team(spark, sf)
-    h = fb.build(rank_cap(td.panel(spark, sf)), t, _league(t), _LITERAL)
+    h = fb.build(rank_cap(td.panel(spark, sf)), t, _league(t), _LITERAL, fb.Config(zone=True))
     return h.select("season", "week", "game_id", "gsis_id", *[c for c in h.columns if c.startswith("f_")]).orderBy("season", "week", "game_id", "gsis_id")

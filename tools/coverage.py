@@ -15,7 +15,6 @@ ELSEWHERE = {
     "SRC5": "sources/tables.py Catalog.advanced; tests/test_artifacts.py",
     "DQ11": "contract.training_only_features; tests/test_artifacts.py (schema only, no data)",
     "MK8": "operators/lines.py eligible_record; query season_record_with_interval",
-    "FB12": "plans/blocks.py entity_block with zone=True; columns of query feature_build_all",
 }
 
 
