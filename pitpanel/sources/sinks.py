@@ -32,20 +32,37 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(os.path.join(path, f"version={v[-1]}")) if v else None
 
 
-def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Write the next version beside the old ones; readers keep the previous one until it commits."""
-    v = versions(df.sparkSession, path)
+def claim_version(spark: SparkSession, path: str) -> int:
+    """The next version number, claimed by creating a file that no other writer can create again."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    v = versions(spark, path)
     n = (v[-1] + 1) if v else 1
-    w = df.write.mode("overwrite")
+    while not fs.createNewFile(fs_path(f"{path}/_claims/{n}")):
+        n += 1
+    return n
+
+
+def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
+    """Write the next version beside the old ones; readers keep the previous one until it commits.
+
+    Two writers get two versions; one that fails leaves its number unused.
+    """
+    n = claim_version(df.sparkSession, path)
+    w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(os.path.join(path, f"version={n}"))
     return n
 
 
 def guarded_write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> bool:
     """An empty refresh never replaces a non-empty table; returns whether a version was written."""
+    from pitpanel.session import materialise
+
     old = read_latest(df.sparkSession, path)
-    if old is not None and df.isEmpty() and not old.isEmpty():
-        return False
+    if old is not None and not old.isEmpty():
+        df = materialise(df, "refresh")  # computed once, for the check and for the write
+        if df.isEmpty():
+            return False
     write_version(df, path, partition_by)
     return True
 

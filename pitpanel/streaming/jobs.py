@@ -1,12 +1,14 @@
 """Structured Streaming twins of three batch operators; each agrees with its batch form.
 
-Checkpoints and outputs live in the shared scratch folder. Every sink is keyed by batch id, so a
-batch that is replayed after a failure overwrites its own output instead of adding to it.
+``home`` names the folder of a job's checkpoint and output. A second call with the same home goes on where
+the first one stopped; without it both go to a fresh folder of the shared scratch. Every sink is keyed by
+batch id, so a batch that is replayed after a failure overwrites its own output instead of adding to it.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,11 +22,16 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _run(stream: DataFrame, label: str, write_batch, mode: str = "append") -> StreamingQuery:
-    spark = stream.sparkSession
+def _home(stream: DataFrame, label: str, home: str | None) -> tuple[str, str]:
+    """Folders of the checkpoint and of the output."""
+    home = home or scratch_path(stream.sparkSession, label)
+    return os.path.join(home, "checkpoint"), os.path.join(home, "out")
+
+
+def _run(stream: DataFrame, checkpoint: str, write_batch, mode: str = "append") -> StreamingQuery:
     q = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write_batch)
         .start()
@@ -40,21 +47,27 @@ def _batch_sink(out: str):
     return write
 
 
-def assign_periods(snapshots: DataFrame, kickoffs: DataFrame, by: list[str], stamp: str, kick: str, take: dict[str, str], tie: str) -> DataFrame:
-    """Snapshot stream to the group's next kickoff; a snapshot after the last one gets null."""
+def assign_periods(
+    snapshots: DataFrame, kickoffs: DataFrame | Callable[[], DataFrame], by: list[str], stamp: str, kick: str, take: dict[str, str], tie: str,
+    home: str | None = None,
+) -> DataFrame:
+    """Snapshot stream to the group's next kickoff; a snapshot after the last one gets null.
+
+    A frame keeps the files that it listed when it was made. Pass a function that reads the schedule to
+    have every batch see later files too.
+    """
     spark = snapshots.sparkSession
-    out = scratch_path(spark, "assigned")
+    checkpoint, out = _home(snapshots, "assigned", home)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        # The schedule is re-read per batch, so late schedule changes are seen.
-        got = asof(df, kickoffs, by, stamp, kick, take, tie, "forward")
+        got = asof(df, kickoffs() if callable(kickoffs) else kickoffs, by, stamp, kick, take, tie, "forward")
         got.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    _run(snapshots, "assign", write)
+    _run(snapshots, checkpoint, write)
     return spark.read.parquet(out).drop("batch")
 
 
-def freeze_stream(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def freeze_stream(lines: DataFrame, keys: list[str], order: list[str], home: str | None = None) -> DataFrame:
     """First-seen record of a line stream.
 
     Each batch keeps its first row per key and drops keys frozen by earlier batches. Keys never
@@ -63,7 +76,7 @@ def freeze_stream(lines: DataFrame, keys: list[str], order: list[str]) -> DataFr
     from pitpanel.operators.windows import first_seen
 
     spark = lines.sparkSession
-    out = scratch_path(spark, "frozen")
+    checkpoint, out = _home(lines, "frozen", home)
     stored = T.StructType([*lines.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -73,26 +86,26 @@ def freeze_stream(lines: DataFrame, keys: list[str], order: list[str]) -> DataFr
             new = new.join(earlier.where(F.col("batch") < batch_id).select(*keys).distinct(), keys, "left_anti")
         new.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    _run(lines, "freeze", write)
+    _run(lines, checkpoint, write)
     return spark.read.parquet(out).drop("batch")
 
 
-def freeze_expiring(lines: DataFrame, keys: list[str], ts: str, horizon: str = "14 days") -> DataFrame:
+def freeze_expiring(lines: DataFrame, keys: list[str], ts: str, horizon: str = "14 days", home: str | None = None) -> DataFrame:
     """First-seen record with bounded state: keys are forgotten after the horizon."""
     spark = lines.sparkSession
-    out = scratch_path(spark, "frozen-expiring")
+    checkpoint, out = _home(lines, "frozen-expiring", home)
     kept = lines.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
-    _run(kept, "freeze-expiring", _batch_sink(out))
+    _run(kept, checkpoint, _batch_sink(out))
     return spark.read.parquet(out).drop("batch")
 
 
-def window_counts(events: DataFrame, ts: str, by: list[str], width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
+def window_counts(events: DataFrame, ts: str, by: list[str], width: str, slide: str | None = None, late: str = "1 day", home: str | None = None) -> DataFrame:
     """Counts per event-time window, tumbling or sliding.
 
     Update mode writes the changed windows of each batch; the newest batch wins when read.
     """
     spark = events.sparkSession
-    out = scratch_path(spark, "counts")
+    checkpoint, out = _home(events, "counts", home)
     span = F.window(ts, width, slide) if slide else F.window(ts, width)
     agg = (
         events.withWatermark(ts, late)
@@ -100,20 +113,23 @@ def window_counts(events: DataFrame, ts: str, by: list[str], width: str, slide:
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), *by, "n")
     )
-    _run(agg, "counts", _batch_sink(out), "update")
+    _run(agg, checkpoint, _batch_sink(out), "update")
     done = spark.read.parquet(out)
     return done.groupBy("start", *by).agg(F.max_by("n", "batch").alias("n"))
 
 
-def session_bursts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 day") -> DataFrame:
-    """Bursts of updates per key separated by at least the gap; emitted once the watermark passes."""
+def session_bursts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 day", home: str | None = None) -> DataFrame:
+    """Bursts of updates per key separated by at least the gap; emitted once the watermark passes.
+
+    Bursts that are still open at the end of a run come out of a later run with the same home.
+    """
     spark = events.sparkSession
-    out = scratch_path(spark, "bursts")
+    checkpoint, out = _home(events, "bursts", home)
     agg = (
         events.withWatermark(ts, late)
         .groupBy(F.session_window(ts, gap).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
     )
-    _run(agg, "bursts", _batch_sink(out), "append")
+    _run(agg, checkpoint, _batch_sink(out), "append")
     return spark.read.schema(agg.schema).parquet(out)

@@ -166,6 +166,39 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert jobs.session_bursts(z, "ts", ["user_id"], "30 minutes").agg(F.sum("n")).first()[0] <= e.count()
 
 
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    from pitpanel.operators.windows import first_seen
+
+    e = td.events(spark, SF)
+    src, home = str(tmp_path / "in"), str(tmp_path / "home")
+    for i in range(3):
+        e.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(src)
+        got = jobs.freeze_stream(jobs.file_stream(spark, src, e.schema), ["user_id", "event_type"], ["ts", "event_id"], home)
+        seen = e.where(F.col("event_id") % 3 <= i).select("user_id", "event_type").distinct().count()
+        assert got.count() == seen == got.select("user_id", "event_type").distinct().count()
+    assert got.count() == first_seen(e, ["user_id", "event_type"], ["ts", "event_id"]).count()
+
+
+def test_late_schedule_files_are_seen(spark, tmp_path):
+    e = td.events(spark, SF).select("event_id", "user_id", "ts")
+    src, plan, home = (str(tmp_path / x) for x in ("in", "plan", "home"))
+    e.where("event_id % 2 = 0").coalesce(1).write.parquet(src)
+    e.limit(0).write.parquet(plan)
+    run = lambda: jobs.assign_periods(jobs.file_stream(spark, src, e.schema), lambda: spark.read.parquet(plan), ["user_id"], "ts", "ts", {"event_id": "next_id"}, "event_id", home)
+    assert run().where("next_id IS NOT NULL").count() == 0
+    e.write.mode("append").parquet(plan)
+    e.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
+    assert run().where("next_id IS NOT NULL").count() == e.where("event_id % 2 = 1").count()
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from pitpanel.sources import sinks
+
+    path = str(tmp_path / "t")
+    first = sinks.claim_version(spark, path)
+    assert sinks.write_version(spark.range(3), path) == first + 1 and sinks.versions(spark, path) == [first + 1]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     from pitpanel.session import scratch_dir
 
