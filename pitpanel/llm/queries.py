@@ -179,7 +179,7 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     rows = packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
-    return rows.select("shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+    return rows.select("shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("ids").alias("ids_crc32"))
 
 
 def canonical_sql(line: str) -> str:

@@ -4,7 +4,8 @@ A text's ids end in end_id; longer ones are cut into pieces of `capacity` tokens
 Pieces are dealt at random into groups of about GROUP, each of which becomes one shard: the rows of a matrix of
 token ids (padded with pad_id), the cumulative lengths of the segments in each row, and position numbers that start
 again at every segment. `packed_rows` returns a row per matrix row; `shards` joins a group's rows into numpy files as
-binary columns; `unpacked` gives back every document's ids.
+binary columns, with the position numbers; `unpacked` gives back every document's ids. Ids take ID_BYTES bytes each,
+little-endian; a larger id raises ValueError.
 
 Defined cases. Null or empty text: one segment that holds the end id alone. Null id: passed through. Repeated
 rows: each is packed. Empty table: no rows. Other columns of the input are ignored. Ties of length: the order in
@@ -14,17 +15,15 @@ which pieces come.
 from __future__ import annotations
 
 import io
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pitpanel.llm import tokens
 
 GROUP = 4096
+ID_BYTES = 2
 
 
 class Capacities:
@@ -78,28 +77,33 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def packed_rows(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, pad_id: int = 0, group: int = GROUP,
+    id_bytes: int = ID_BYTES,
 ) -> DataFrame:
-    """shard, row, n_tokens, doc_ids, pieces, cu_seqlens, ids (little-endian 32-bit), positions (little-endian 32-bit)."""
+    """shard, row, n_tokens, doc_ids, pieces, cu_seqlens (where positions start again), ids (padded to the capacity)."""
     texts = tokens.texts(docs, id_col, text_col)
     kind = dict(texts.dtypes)["doc_id"]
     rows, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
     groups = max(1, -(-(rows + (chars or 0) // capacity) // group))
-    cut = tokens.pieces(texts.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("rid"))), path, capacity, end_id, with_ids=True)
+    cut = tokens.pieces(texts.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("rid"))), path, capacity, end_id, id_bytes)
     dealt = cut.select(F.pmod(F.xxhash64("doc_id.rid", "piece"), F.lit(groups)).cast("long").alias("shard"), F.col("doc_id.doc_id").alias("doc_id"), "piece", "length", "ids")
 
+    code = f"<u{id_bytes}"
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("length", ascending=False, kind="stable").reset_index(drop=True)
+        shard, length, ids = int(part["shard"][0]), part["length"].tolist(), part["ids"].tolist()
+        doc, piece = part["doc_id"].astype(object).where(part["doc_id"].notna(), None).tolist(), part["piece"].tolist()
+        pad = np.array([pad_id], code).tobytes()
         out = []
-        for r, own in enumerate(best_fit_decreasing(part["length"].tolist(), capacity)):
-            size = [int(part["length"][i]) for i in own]
-            ids, place = np.full(capacity, pad_id, "<u4"), np.zeros(capacity, "<u4")
-            edge = np.concatenate([[0], np.cumsum(size)])
-            ids[: edge[-1]] = np.frombuffer(b"".join(part["ids"][i] for i in own), "<u4")
-            place[: edge[-1]] = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-            out.append((part["shard"][0], r, int(edge[-1]), [part["doc_id"][i] for i in own], [int(part["piece"][i]) for i in own], edge.tolist(), ids.tobytes(), place.tobytes()))
-        return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "positions"])
-
-    ddl = f"shard long, row int, n_tokens long, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary"
+        for r, own in enumerate(best_fit_decreasing(length, capacity)):
+            edge = [0]
+            for i in own:
+                edge.append(edge[-1] + length[i])
+            row = b"".join(ids[i] for i in own) + pad * (capacity - edge[-1])
+            out.append((shard, r, edge[-1], [doc[i] for i in own], [piece[i] for i in own], edge, row))
+        return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids"])
+
+    ddl = f"shard long, row int, n_tokens long, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, ids binary"
     return dealt.groupBy("shard").applyInPandas(run, ddl)
 
 
@@ -109,24 +113,28 @@ def npy(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def shards(rows: DataFrame) -> DataFrame:
-    """shard and three numpy files: the id matrix, the position matrix, and cumulative lengths of all segments of the shard."""
+def shards(rows: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
+    """shard and three numpy files: the id matrix, the matrix of positions (which start again at every segment), and the
+    cumulative lengths of all segments of the shard, padding being a segment of its own."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row")
-        matrix = lambda c: npy(np.stack([np.frombuffer(x, "<u4") for x in part[c]]))
-        width = len(part["ids"].iloc[0]) // 4
-        edges = np.concatenate([[0], *[np.append(np.asarray(c[1:]), width)[: len(c) - (c[-1] == width)] + k * width for k, c in enumerate(part["cu_seqlens"])]])
-        return pd.DataFrame([(part["shard"].iloc[0], matrix("ids"), matrix("positions"), npy(edges.astype(np.int64)))], columns=["shard", "ids", "positions", "cu_seqlens"])
+        ids = np.stack([np.frombuffer(x, f"<u{id_bytes}") for x in part["ids"]])
+        width, place, edges = ids.shape[1], np.zeros(ids.shape, np.int32), [0]
+        for k, edge in enumerate(part["cu_seqlens"]):
+            edge = np.asarray(edge)
+            place[k, : edge[-1]] = np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
+            own = edge[1:] if edge[-1] == width else np.append(edge[1:], width)
+            edges += (own + k * width).tolist()
+        return pd.DataFrame([(part["shard"].iloc[0], npy(ids), npy(place), npy(np.array(edges)))], columns=["shard", "ids", "positions", "cu_seqlens"])
 
     return rows.groupBy("shard").applyInPandas(run, "shard long, ids binary, positions binary, cu_seqlens binary")
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
+def unpacked(rows: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     """doc_id, piece, ids: the segments of every row, for a round trip."""
-    kind = dict(rows.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     part = rows.select("ids", F.posexplode("doc_ids").alias("k", "doc_id"), "pieces", "cu_seqlens")
     return part.select(
-        F.col("doc_id").cast(kind).alias("doc_id"), F.col("pieces")[F.col("k")].alias("piece"),
-        F.expr("substring(ids, 4 * cu_seqlens[k] + 1, 4 * (cu_seqlens[k + 1] - cu_seqlens[k]))").alias("ids"),
+        "doc_id", F.col("pieces")[F.col("k")].alias("piece"),
+        F.expr(f"substring(ids, {id_bytes} * cu_seqlens[k] + 1, {id_bytes} * (cu_seqlens[k + 1] - cu_seqlens[k]))").alias("ids"),
     )

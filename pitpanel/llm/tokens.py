@@ -83,8 +83,9 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(i, most) for i in range(head, n, most)]
 
 
-def pieces(docs: DataFrame, path: str, most: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids as little-endian 32-bit bytes. A text's ids end in end_id."""
+def pieces(docs: DataFrame, path: str, most: int, end_id: int, id_bytes: int = 0) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 (of little-endian 32-bit ids); or, with id_bytes 2 or 4, ids
+    as so many little-endian bytes each instead of the checksum. A text's ids end in end_id."""
     kind = dict(docs.dtypes)["doc_id"]
     with open(path, encoding="utf-8") as f:  # a file of the driver's; a few MB whatever the input
         rule = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -96,17 +97,19 @@ def pieces(docs: DataFrame, path: str, most: int, end_id: int, with_ids: bool =
             row, number, start, length, crc, raw = [], [], [], [], [], []
             for k in range(part.num_rows):
                 own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id)).astype("<u4")
+                if id_bytes == 2 and own.max() > 0xFFFF:
+                    raise ValueError("an id needs more than two bytes")
+                own = own.astype("<u2") if id_bytes == 2 else own
                 for p, (i, m) in enumerate(cuts(len(own), most)):
                     b = own[i : i + m].tobytes()
-                    row.append(k), number.append(p), start.append(i), length.append(m), crc.append(zlib.crc32(b))
-                    if with_ids:
-                        raw.append(b)
+                    row.append(k), number.append(p), start.append(i), length.append(m)
+                    raw.append(b) if id_bytes else crc.append(zlib.crc32(b))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(number, pa.int32()),
-                "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
-            } | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
+                "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+            } | ({"ids": pa.array(raw, pa.binary())} if id_bytes else {"ids_crc32": pa.array(crc, pa.int64())}))
 
-    ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    ddl = f"doc_id {kind}, piece int, start long, length long, " + ("ids binary" if id_bytes else "ids_crc32 long")
     return docs.mapInArrow(run, ddl)
 
 

@@ -124,16 +124,18 @@ def test_matrix_round_trip(spark, edges, empty):
     rows = tm.packed_rows(documents(spark), PATH, capacity=256, group=64)
     got = {}
     for r in tm.unpacked(rows).collect():
-        got.setdefault(r.doc_id, {})[r.piece] = np.frombuffer(bytes(r.ids), "<u4")
+        got.setdefault(r.doc_id, {})[r.piece] = np.frombuffer(bytes(r.ids), "<u2")
     for r in documents(spark).collect():
         assert np.concatenate([got[r.doc_id][k] for k in sorted(got[r.doc_id])]).tolist() == [*encode(r.text), 2]
     for r in rows.collect():
-        place, edge = np.frombuffer(bytes(r.positions), "<u4"), list(r.cu_seqlens)
-        assert edge[-1] == r.n_tokens <= 256 and all(place[i:j].tolist() == list(range(j - i)) for i, j in zip(edge, edge[1:]))
+        assert r.cu_seqlens[-1] == r.n_tokens <= 256 and len(r.ids) == 512
     for s in tm.shards(rows).collect():
-        ids, edges_ = np.load(io.BytesIO(s.ids)), np.load(io.BytesIO(s.cu_seqlens))
+        ids, place, edges_ = (np.load(io.BytesIO(x)) for x in (s.ids, s.positions, s.cu_seqlens))
+        flat = place.ravel()
+        assert all(flat[i:j].tolist() == list(range(j - i)) or not ids.ravel()[i:j].any() for i, j in zip(edges_, edges_[1:]))
         assert ids.shape[1] == 256 and edges_[0] == 0 and edges_[-1] == ids.size and (np.diff(edges_) > 0).all()
     assert tm.unpacked(tm.packed_rows(edges, PATH)).filter("doc_id = 1").count() == 1
+    assert {tuple(r.doc_ids) for r in tm.packed_rows(edges.filter("doc_id IS NULL"), PATH).collect()} == {(None,)}
     assert tm.packed_rows(empty, PATH).collect() == []
 
 
