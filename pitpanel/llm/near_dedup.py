@@ -20,6 +20,7 @@ cost nothing more. No candidate is capped.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 from pitpanel.llm import arrowtext as at
 from pitpanel.session import materialise
 
-#: A pair at similarity 0.85 meets in no band with probability (1 - 0.85**5)**25 = 4e-7.
-BANDS, ROWS = 25, 5
+#: At least so many bands, and as many more as it takes for a pair at the threshold to miss all with probability MISS
+#: at most: (1 - 0.85**5)**25 = 4e-7, and 35 bands at 0.8.
+BANDS, ROWS, MISS = 25, 5, 1e-6
+#: Minima in a signature.
 HASHES = 256
 SKETCH = tuple(f"s{i}" for i in range(8))
 MASK = tuple(f"m{i}" for i in range(16))
-#: Two bits of each of 256 minima agree in 474 of 512 places on average at 0.85; 437 is five deviations below.
-AGREE = 437
+#: A pair at the threshold has fewer equal signature bits than `agreeing` asks for by a deviation of so many sigmas.
+SIGMAS = 5
 
 
 def coefficients(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,21 @@ def coefficients(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
+def bands_for(percent: int) -> int:
+    meet = (percent / 100) ** ROWS
+    return BANDS if meet >= 1 else max(BANDS, math.ceil(math.log(MISS) / math.log1p(-meet)))
+
+
+def agreeing(percent: int) -> int:
+    """Least number of equal bits, of two per minimum, for a pair that may pass: 437 of 512 at 0.85, 420 at 0.8.
+
+    Equal minima agree in both bits, others in each by chance.
+    """
+    s = percent / 100
+    deviation = 2 * math.sqrt(HASHES * (s * (1 - s) / 4 + (1 - s) / 8))
+    return math.floor(HASHES * (1 + s) - SIGMAS * deviation)
+
+
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every shingle, offsets by text), repeats included."""
     w, row = at.words(texts)
@@ -81,12 +99,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
+def features(docs: DataFrame, width: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sketch words, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coefficients(HASHES)
-        band = at.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+        a, b = coefficients(max(HASHES, bands * ROWS))
+        band = at.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for part in at.slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
             digest, keys, sketch = [], [], []
@@ -97,8 +115,9 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 m = at.mix(minima(s, a, b))
                 k = band.copy()
                 for r in range(ROWS):
-                    k = at.mix(k ^ m[r : BANDS * ROWS : ROWS])
-                bits = np.packbits(np.stack([m >> np.uint64(11) & np.uint64(1), m >> np.uint64(43) & np.uint64(1)]).astype(np.uint8).ravel())
+                    k = at.mix(k ^ m[r : bands * ROWS : ROWS])
+                first = m[:HASHES]
+                bits = np.packbits(np.stack([first >> np.uint64(11) & np.uint64(1), first >> np.uint64(43) & np.uint64(1)]).astype(np.uint8).ravel())
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(signed(k))
                 sketch.append(bits.view(np.int64))
@@ -173,7 +192,7 @@ def alike(a: str, b: str, percent: int):
     """What two signatures must show before the full sets are compared; never false for a pair over the threshold but by chance."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= 2 * HASHES - AGREE)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= 2 * HASHES - agreeing(percent))
 
 
 def possible(a: str, b: str, percent: int):
@@ -196,7 +215,7 @@ def possible(a: str, b: str, percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links have 100 * intersection >= percent * union."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = materialise(features(texts, width), "features")
+    feats = materialise(features(texts, width, bands_for(percent)), "features")
     classes = materialise(
         feats.filter("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SKETCH], F.first("keys").alias("keys")),

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from conftest_llm import SF, documents
 from pitpanel.llm import near_dedup as nd
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def edited(base, edits, rng):
     return w
 
 
-def test_chains_of_near_copies_match_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_chains_of_near_copies_match_brute_force(spark, percent):
     """Near copies of one text, and copies of copies, so that many pairs are close to the threshold on both sides."""
     rng = random.Random(4)
     base = [f"b{i}" for i in range(150)]
@@ -47,8 +49,8 @@ def test_chains_of_near_copies_match_brute_force(spark):
     rng.shuffle(order)
     rows = [(i, " ".join(t)) for i, t in zip(order, texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs, percent=85).collect()}
-    assert got == brute(rows, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs, percent=percent).collect()}
+    assert got == brute(rows, percent)
 
 
 def test_given_documents_match_brute_force(spark):
