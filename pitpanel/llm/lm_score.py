@@ -37,7 +37,7 @@ HOT_GRAMS = 1 << 20
 #: Distinct byte sequences that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: Bytes of text that are worked on at once; about fifty times as much memory is in use meanwhile.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Rows of the tree that a task works on at once (more only where one pair of last bytes has more).
 TREE_ROWS = 50_000
 END = "\n"
