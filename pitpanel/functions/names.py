@@ -60,10 +60,15 @@ def fold(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.translate(spread, src, dst))
 
 
+# What a name keeps, and what counts as two words of a person's name.
+NOT_NAME = "[^a-z0-9 ]+"
+TWO_WORDS = r"[A-Za-z]{2,}\s+[A-Za-z]"
+
+
 def normalize_name(name: Column) -> Column:
     """Key for matching names: no marks, case, punctuation or generational suffix; '' for null."""
     s = F.lower(fold(F.coalesce(name.cast("string"), F.lit(""))))
-    s = F.regexp_replace(s, "[^a-z0-9 ]+", " ")
+    s = F.regexp_replace(s, NOT_NAME, " ")
     s = F.regexp_replace(s, r"\b(" + "|".join(SUFFIXES) + r")\b", "")
     return F.trim(F.regexp_replace(s, " +", " "))
 
@@ -72,4 +77,4 @@ def person_like(name: Column) -> Column:
     """At least two words and not a short all-capitals code."""
     s = F.trim(F.coalesce(name, F.lit("")))
     code = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) <= 5)
-    return (F.length(s) >= 4) & F.contains(s, F.lit(" ")) & ~code & s.rlike(r"[A-Za-z]{2,}\s+[A-Za-z]")
+    return (F.length(s) >= 4) & F.contains(s, F.lit(" ")) & ~code & s.rlike(TWO_WORDS)

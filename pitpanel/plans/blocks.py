@@ -80,6 +80,7 @@ SHARES = {
     "f_shrunk_rush_share": ("carries", "off_designed_rush", 0.25, "rush_share"),
 }
 
+# Weights of the priors, the mark of a promotion, targets of one cohort.
 DEFENCE_K = 12.0
 COHORT_K = 6.0
 PROMOTED_BELOW = 0.6

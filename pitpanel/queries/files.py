@@ -12,7 +12,7 @@ from pitpanel.queries import query
 from pitpanel.queries.blocks import _LITERAL, _league, _team
 from pitpanel.queries.calibration import _APPLY, with_availability
 from pitpanel.session import scratch_path
-from pitpanel.sources import feeds, sinks, tables
+from pitpanel.sources import feeds, groups, sinks, tables
 
 
 @query("csv_overlay_scan", "SRC7", """SELECT CAST(s_suppkey AS BIGINT) AS stadium_id, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey * 10.5E0 END AS altitude_m FROM supplier""")
@@ -76,3 +76,21 @@ def _(spark, sf):
     t = _team(spark, sf)
     h = fb.build(rank_cap(td.panel(spark, sf)), t, _league(t), _LITERAL, fb.Config(zone=True))
     return h.select("season", "week", "game_id", "gsis_id", *[c for c in h.columns if c.startswith("f_")]).orderBy("season", "week", "game_id", "gsis_id")
+
+
+_GROUP_VALUES = ", ".join(f"('{k}', '{c}', '{d}')" for k, (_, c, d) in groups.GROUPS.items())
+
+
+@query("groups_dimension_join", "SRC11", f"""WITH g(team, conference, division) AS (VALUES {_GROUP_VALUES}), n AS (SELECT team, row_number() OVER (ORDER BY team) - 1 AS i FROM g)
+SELECT g.conference, g.division, count(*) AS n_customers, CAST(sum(round(c_acctbal * 100)) AS DOUBLE) AS cents
+FROM customer JOIN n ON n.i = c_custkey % 32 JOIN g USING (team) GROUP BY 1, 2""")
+def _(spark, sf):
+    """Customers dealt over the groups of the fixed dimension and summed per division."""
+    from pyspark.sql import Window
+
+    g = groups.groups_table(spark)
+    g = g.withColumn("i", F.row_number().over(Window.orderBy("team")) - 1)  # 32 fixed rows
+    c = td.table(spark, sf, "customer").withColumn("i", F.col("c_custkey") % 32)
+    return c.join(F.broadcast(g), "i").groupBy("conference", "division").agg(
+        F.count(F.lit(1)).alias("n_customers"), F.sum(F.round(F.col("c_acctbal") * 100)).cast("double").alias("cents")
+    )

@@ -20,6 +20,7 @@ WAGER_SIDE = {"over": "more", "under": "less"}
 MARKERS = {"Demon": "\ufffe", "Goblin": "\uffff"}
 ESCAPE = "\ufffd"
 
+# Line breaks, a group-and-position line, a number line, button labels.
 _BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _TEAM_POS = r"^[A-Z]{2,4}\s*-\s*[A-Za-z0-9]{1,3}$"
 _NUMBER = r"^\d+(\.\d+)?$"
