@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(rule)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, list[int]] = {}
 
-    def parts(self, units: list[str]) -> list[np.ndarray]:
+    def parts(self, units: list[str]) -> list[list[int]]:
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = [u for u in units if u not in self.seen]
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[u] = np.array(e.ids, np.uint32)
+            self.seen[u] = e.ids
         return [self.seen[u] for u in units]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ class Encoder:
         units = at.strings(data, np.append(starts, len(data))).dictionary_encode()
         known = self.parts(units.dictionary.to_pylist())
         length = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.concatenate(known)
+        pool = np.fromiter(chain.from_iterable(known), np.uint32, length.sum())
         first = np.cumsum(length) - length
         which = units.indices.to_numpy(zero_copy_only=False)
         size = length[which]
