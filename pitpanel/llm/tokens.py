@@ -2,11 +2,13 @@
 
 A text is cut before a single space or line feed that stands between two visible characters, and between an
 ASCII letter and an ASCII mark. The public byte-level tokenizer's own rule cuts there too, so the ids of the parts are the ids of the text, and each
-distinct part is encoded once. Texts with any other white space than ASCII are encoded in one go.
+distinct part is encoded once. Texts with any other white space than ASCII, and texts that hold an added token of
+the tokenizer (<|endoftext|>, which it maps to one id wherever it stands), are encoded in one go.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,7 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(rule)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = "|".join([OTHER_SPACE, *map(re.escape, added)])
         self.seen: dict[str, list[int]] = {}
 
     def parts(self, units: list[str]) -> list[list[int]]:
@@ -62,7 +65,7 @@ class Encoder:
         inner = offsets[:-1][np.diff(offsets) > 0]
         last = offsets[1:][np.diff(offsets) > 0] - 1
         cut[last] &= ~white[last]  # a space that ends a text has no visible character after it
-        for k in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, OTHER_SPACE), False).to_numpy(zero_copy_only=False)):
+        for k in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.uncut), False).to_numpy(zero_copy_only=False)):
             cut[offsets[k] : offsets[k + 1]] = False
         cut[inner] = True
         starts = np.flatnonzero(cut)

@@ -34,6 +34,20 @@ def test_ids_equal_direct_encoding():
         assert ids[offsets[k] : offsets[k + 1]].tolist() == encode(s), repr(s)
 
 
+def test_added_tokens_get_their_own_id():
+    """Against the tokenizer as its file defines it."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    odd = ["x <|endoftext|> y", "<|endoftext|>", "a b<|endoftext|>", "a.b (c)<|endoftext|><|endoftext|> d\ne f", "x <|endoftext |> y", "<|endoftext|", None, "é\u00a0<|endoftext|> b", "a b c"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "endoftext", "a", "'s", ".", " ", "\n", "é"]) for _ in range(30)) for _ in range(200)]
+    ids, offsets = tokens.Encoder(Path(PATH).read_text()).encode(pa.array(odd))
+    for k, s in enumerate(odd):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == plain.encode(s or "", add_special_tokens=False).ids, repr(s)
+
+
 def check_pieces(rows, texts, capacity=1024):
     encode = direct()
     by = {}
