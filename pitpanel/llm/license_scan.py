@@ -12,13 +12,16 @@ Defined cases. Null or empty text: the digest of the empty string, no licence. N
 that repeat id and canonical text give one row; a copy that differs in canonical text gives its own. Ties: a digest
 with several names lists them all. Empty table: no rows. Other columns of the input are ignored.
 
-The table of known licences is a fixed list, so it may be broadcast.
+The table of known licences is a fixed list, so it may be broadcast: the texts and notices of KNOWN, and the digests
+of whole texts in license_digests.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pitpanel.llm.license_digests import WHOLE
+
 # Spellings that count as one, patterns of the canonical form, public licence texts and notices.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"),
@@ -59,16 +62,21 @@ def digest_of(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
-def known_table(docs: DataFrame, known: dict[str, list[str]]) -> DataFrame:
-    """digest, license: one row per distinct pair of a fixed list."""
+def known_table(docs: DataFrame, known: dict[str, list[str]], whole: dict[str, list[str]] | None = None) -> DataFrame:
+    """digest, license: one row per distinct pair of fixed lists of texts and of digests."""
     rows = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(k).alias("license")) for k, texts in known.items() for t in texts])
     one = docs.sparkSession.range(1).select(F.inline(rows))
-    return one.select(digest_of(canonical_lines(F.col("text"))).alias("digest"), "license").distinct()
+    names = one.select(digest_of(canonical_lines(F.col("text"))).alias("digest"), "license")
+    if whole:
+        pairs = F.split(F.lit(" ".join(f"{d}:{k}" for k, digests in whole.items() for d in digests)), " ")
+        pair = docs.sparkSession.range(1).select(F.explode(pairs).alias("p"))
+        names = names.union(pair.select(F.substring_index("p", ":", 1), F.substring_index("p", ":", -1)))
+    return names.distinct()
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, text_digest, whole_license, n_license_lines, licenses."""
-    names = F.broadcast(known_table(docs, KNOWN if known is None else known))
+    names = F.broadcast(known_table(docs, KNOWN, WHOLE) if known is None else known_table(docs, known))
     let = lambda value, use: F.transform(F.array(value), use)[0]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = texts.select(

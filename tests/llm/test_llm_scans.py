@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -140,3 +141,24 @@ def test_licences(spark, edges, empty):
     assert (got[2].whole_license, got[2].n_license_lines, got[2].licenses) == (None, 1, "CC-BY-NC-4.0")
     assert got[3].text_digest == hashlib.sha256(b"").hexdigest() and got[4].licenses == "" and len(got) == 4
     assert ls.license_scan(edges).count() >= 10 and ls.license_scan(empty).collect() == [] and SF
+
+
+def test_whole_licence_texts(spark):
+    """Texts that a Debian system ships, and a BSD text wrapped by hand."""
+    own = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, p.read_text()) for k in own if (p := Path("/usr/share/common-licenses", k)).exists()]
+    bsd = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    rows += [("bsd", bsd), ("changed", bsd.replace("are permitted", "are not permitted"))]
+    want = own | {"bsd": "BSD-2-Clause", "changed": None}
+    got = {r.doc_id: r for r in ls.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r.whole_license for k, r in got.items()} == {k: want[k] for k, _ in rows}
+    assert all(r.licenses == (r.whole_license or "") for r in got.values())
