@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pitpanel import testdata as td
 from pitpanel.operators import models as ml
-from pitpanel.operators.shape import rank_cap
+from pitpanel.operators.shape import eligible, enough_rows, rank_cap
 from pitpanel.plans import blocks as fb
 from pitpanel.queries import query, steady, steady_sql
 from pitpanel.queries.blocks import FEATURES, _LITERAL
@@ -109,41 +109,64 @@ def _(spark, sf):
     return td.panel(spark, sf).groupBy("season").agg(F.count(F.lit(1)).alias("n")).withColumn("in_sample", in_sample(F.col("season"), 1999))
 
 
-_COLS = ["f_career_targets", "f_r8_targets", "f_std_targets", "f_games_prior", "depth_rank_capped"]
+def _features(df):
+    """Every numeric feature column and the rank."""
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
+    return [c for c, t in df.dtypes if c.startswith("f_") and (t in kinds or t.startswith("decimal"))] + ["depth_rank_capped"]
+
+
+def _targets_and_folds(df):
+    """Targets that the panel has, and every era after its first."""
+    eras = sorted(r[0] for r in df.select("season").where("season IS NOT NULL").distinct().collect())  # a few dozen at most
+    return [t for t in ml.TARGETS if t in df.columns], eras[1:]
+
+
+_ACCURACY = "season long, target string, form string, trained_through long, n long, mae double, mae_b2 double"
 
 
 @query("walk_forward_scores", "ML1 ML2 ML6 ML12")
 def _(spark, sf):
-    """Count and yards models scored on the era after their training span (no SQL twin)."""
+    """Every target scored on every era after its training span, with all features (no SQL twin).
+
+    A fold without the operator's rows to train and test on gives no row.
+    """
     h = materialise(feature_panel(spark, sf), "features")
-    out = None
-    for target in ("targets", "receiving_yards"):
-        rows = ml.walk_forward(
-            lambda era: h.where(F.col("season") <= era), target, [2000], _COLS, p=ml.Params(rounds=3), min_train=50, min_test=20
-        )
+    targets, folds = _targets_and_folds(h)
+    out = []  # a row for each (era, target)
+    for target in targets:
+        rows = ml.walk_forward(lambda era: h.where(F.col("season") <= era), target, folds, _features(h))
         if rows is not None:
-            out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("season", "target", "form", "trained_through").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("abs_err_model").alias("mae"), F.avg("abs_err_b2").alias("mae_b2")
-    )
+            found = rows.groupBy("season", "target", "form", "trained_through").agg(
+                F.count(F.lit(1)).alias("n"), F.avg("abs_err_model").alias("mae"), F.avg("abs_err_b2").alias("mae_b2")
+            )
+            out += found.collect()
+    return spark.createDataFrame(out, _ACCURACY)
 
 
 @query("model_variant_errors", "ML11 SF20")
 def _(spark, sf):
-    """Base, recency-weighted, per-cohort and longer-window count models on one held-out era (no SQL twin)."""
+    """Base, recency-weighted, per-cohort and longer-window models of every target on every later era (no SQL twin)."""
     cfg = fb.Config(windows=(3, 8, 16))
     wide = materialise(fb.entity_block(rank_cap(td.panel(spark, sf)), _LITERAL, cfg), "features")
-    rows = wide.where(F.col("position").isin(ml.RECEIVERS) & F.col("targets").isNotNull())
-    train, test = rows.where("season < 2000"), rows.where("season = 2000")
-    longer = [*_COLS, "f_r16_targets"]
-    arms = {
-        "base": ml.predict(ml.fit(train, "targets", _COLS, "count"), test, _COLS, "pred"),
-        "recency": ml.predict(ml.fit(ml.with_recency(train, "season", 1999), "targets", _COLS, "count", weight="__w"), test, _COLS, "pred"),
-        "per_cohort": ml.per_cohort_predictions(train, test, "targets", _COLS, "count", ml.RECEIVERS),
-        "longer_window": ml.predict(ml.fit(train, "targets", longer, "count"), test, longer, "pred"),
-    }
-    out = None
-    for name, scored in arms.items():
-        part = scored.select(F.lit(name).alias("variant"), F.abs(F.col("pred") - F.col("targets")).alias("err"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("err").alias("mae"))
+    targets, folds = _targets_and_folds(wide)
+    longer = _features(wide)
+    cols = [c for c in longer if not c.startswith("f_r16_")]
+    out = []  # a row for each (era, target, variant)
+    for target in targets:
+        cohorts, kind, _, _ = ml.TARGETS[target]
+        rows = eligible(wide, target, "position", cohorts)
+        for fold in folds:
+            train, test = rows.where(F.col("season") < fold), rows.where(F.col("season") == fold)
+            if not (enough_rows(train, ml.MIN_TRAIN) and enough_rows(test, ml.MIN_TEST)):
+                continue
+            recent = ml.with_recency(train, "season", fold - 1)
+            arms = {
+                "base": ml.predict(ml.fit(train, target, cols, kind), test, cols, "pred"),
+                "recency": ml.predict(ml.fit(recent, target, cols, kind, weight="__w"), test, cols, "pred"),
+                "per_cohort": ml.per_cohort_predictions(train, test, target, cols, kind, cohorts),
+                "longer_window": ml.predict(ml.fit(train, target, longer, kind), test, longer, "pred"),
+            }
+            for name, scored in arms.items():
+                n, mae = scored.agg(F.count(F.lit(1)), F.avg(F.abs(F.col("pred") - F.col(target)))).first()
+                out.append((fold, target, name, n, mae))
+    return spark.createDataFrame(out, "season long, target string, variant string, n long, mae double")
