@@ -240,14 +240,14 @@ scored AS (
  UNION ALL SELECT season, week, game_id, gsis_id, team, position, 'carries', c_std, carries, abs(c_std - carries), abs(c_car - carries) FROM sc0)"""
 
 
-def scored(spark, sf):
-    """Long history of predictions, actuals and paired errors for two targets."""
+def scored(spark, sf, targets=("targets", "carries")):
+    """Long history of predictions, actuals and paired errors for each target."""
     from pitpanel.operators.ordered import Spec
     from pitpanel.operators.windows import history
     from pitpanel.roles import PLAYER_PANEL as R
 
     specs = []
-    for t in ("targets", "carries"):
+    for t in targets:
         specs += [Spec(f"{t}_std", "mean", t, within=("season",)), Spec(f"{t}_car", "mean", t)]
     h = history(td.panel(spark, sf), R, specs)
     rows = F.array(
@@ -259,7 +259,7 @@ def scored(spark, sf):
                 F.abs(F.col(f"{t}_std") - F.col(t)).alias("abs_err_model"),
                 F.abs(F.col(f"{t}_car") - F.col(t)).alias("abs_err_b2"),
             )
-            for t in ("targets", "carries")
+            for t in targets
         ]
     )
     return h.select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pitpanel import testdata as td
 from pitpanel.functions import prob as pr
-from pitpanel.operators import calibrate as cp
+from pitpanel.operators import calibrate as cp, models as ml
 from pitpanel.queries import query
 from pitpanel.queries.aggregates import SCORED, scored
 
@@ -24,6 +24,12 @@ def calibration(spark, sf, hot_rows=None):
     return cp.ratio_table(scored(spark, sf), hot_rows=hot_rows)
 
 
+def calibration_of_all(spark, sf):
+    """Ratio quantiles of every modelled target that the panel has."""
+    have = td.panel(spark, sf).columns
+    return cp.ratio_table(scored(spark, sf, [t for t in ml.TARGETS if t in have]))
+
+
 _CP5 = f"""WITH {CALIBRATION}
 SELECT target, bin, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean_pred, 5) AS mean_pred, round(mean_actual, 5) AS mean_actual, i, round(quantiles[i], 5) AS q
 FROM cal, generate_series(1, 199) g(i)"""

@@ -8,7 +8,7 @@ from pitpanel.functions.names import normalize_name, person_like
 from pitpanel.operators import aggregates as ag
 from pitpanel.operators import lines as ln
 from pitpanel.queries import query
-from pitpanel.queries.calibration import CALIBRATION, calibration
+from pitpanel.queries.calibration import CALIBRATION, calibration, calibration_of_all
 from pitpanel.session import constant_table
 from pitpanel.sources import feeds
 
@@ -298,6 +298,13 @@ def _(spark, sf):
     )
 
 
+@query("probability_over_every_line", "SF15 SF17 SF18 JN17")
+def _(spark, sf):
+    """A row for each priced line, by its own target's bins; a sum of targets has no bins, so its p_over is null (no SQL twin)."""
+    c = ln.compare(lines(spark, sf), projections(spark, sf), calibration=calibration_of_all(spark, sf)).where("disposition = 'matched'")
+    return c.select("event_id", F.lower(F.trim("stat")).alias("label"), "p_over", "model")
+
+
 # ---- scalar functions over whole tables ---------------------------------------------------
 
 @query("normalize_names", "SF1", f"""SELECT c_custkey AS id, {_KEY.format(c="c_name || ' ÉÀÇü Jr. III' ").replace("lower(", "lower(strip_accents(").replace("Jr. III' )", "Jr. III' ))")} AS key FROM customer""")

@@ -148,3 +148,20 @@ def test_paired_errors_ignore_unpaired_rows(spark):
     df = spark.createDataFrame([("t", 1.0, 2.0), ("t", 3.0, None), ("t", 1.0, 2.0)], "target string, abs_err_model double, abs_err_b2 double")
     r = paired_errors(df, ["target"]).first()
     assert (r["n"], r["model_mae"], r["edge_pct"]) == (2, 1.0, 50.0)
+
+
+def test_every_priced_line_has_a_row(spark):
+    """All matched lines; single-target means have a probability, and receiving targets the one of the checked query."""
+    from pitpanel.queries import lines as q, load_all
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.event_id: r for r in load_all()["probability_over_every_line"].run(spark, sf).collect()}
+    priced = ln.compare(q.lines(spark, sf), q.projections(spark, sf)).where("disposition = 'matched'")
+    assert {r.event_id for r in priced.select("event_id").collect()} == set(got)
+    labels = {r.label for r in got.values()}
+    assert {r.label for r in got.values() if r.p_over is not None} == {"rec targets", "receiving yards"} < labels
+    old = {r.event_id: r.p_over for r in load_all()["probability_over_line"].run(spark, sf).collect()}
+    mine = {k: r.p_over for k, r in got.items() if r.label == "rec targets"}
+    assert set(old) == set(mine) and len(old) < len(got)
+    for k, p in old.items():
+        assert (p is None) == (mine[k] is None) and (p is None or abs(p - mine[k]) < 1e-4)
