@@ -9,6 +9,7 @@ from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.language_id import languages
 from pitpanel.llm.license_scan import COPYRIGHT, KNOWN, OTHER, SPELLINGS, license_scan
 from pitpanel.llm.lm_score import scores
+from pitpanel.llm.merkle_manifest import fold, hexed, manifest, row_digest, siblings_hex
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
@@ -222,3 +223,68 @@ FROM d LEFT JOIN h USING (doc_id)
 @query("op1_license_scan", OP1_SQL)
 def op1(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(parts) + ")"
+
+
+#: The checksum of an id is taken bit by bit, eight steps a character.
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT s, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END
+  FROM (SELECT s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * strlen(s))
+), d AS (
+  SELECT doc_id, source, {leaf_sql('text')} AS leaf, {leaf_sql("replace(text, chr(10), '')")} AS bad,
+         doc_id::VARCHAR IN (SELECT s FROM crc WHERE k = 8 * strlen(s) AND c % 2 = 1) AS tampered
+  FROM documents
+), src AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents GROUP BY source
+), leafs AS (
+  SELECT d.*, src.tree, src.n, row_number() OVER (PARTITION BY src.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source
+), lv AS (
+  SELECT tree, 0 AS l, i, n, leaf AS h FROM leafs
+  UNION ALL
+  SELECT tree, l + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY tree, l, i // 3
+), tops AS (
+  SELECT 0 AS l, tree AS i, (SELECT count(*) FROM src) AS n, h FROM lv WHERE n = 1
+  UNION ALL
+  SELECT l + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY l, i // 3
+), nodes AS (
+  SELECT tree, l, i, h FROM lv WHERE n > 1 UNION ALL SELECT -1, l, i, h FROM tops WHERE n > 1
+), sib AS (
+  SELECT tree, l, i, array_to_string(g[1:i % 3], '') AS le, array_to_string(g[i % 3 + 2:], '') AS ri
+  FROM (SELECT tree, l, i, list(h) OVER (PARTITION BY tree, l, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g FROM nodes)
+), f AS (
+  SELECT row_number() OVER () AS id, tree AS own, tree, 0 AS l, i, CASE WHEN tampered THEN bad ELSE leaf END AS h, '' AS proof, n FROM leafs
+  UNION ALL
+  SELECT id, own, CASE WHEN f.n = 1 THEN -1 ELSE f.tree END, CASE WHEN f.n = 1 THEN 0 ELSE f.l + 1 END,
+         CASE WHEN f.n = 1 THEN f.tree ELSE f.i // 3 END, CASE WHEN f.n = 1 THEN f.h ELSE sha256(sib.le || f.h || sib.ri) END,
+         CASE WHEN f.n = 1 THEN proof ELSE proof || sib.le || sib.ri END, CASE WHEN f.n = 1 THEN (SELECT count(*) FROM src) ELSE (f.n + 2) // 3 END
+  FROM f LEFT JOIN sib ON f.n > 1 AND sib.tree = f.tree AND sib.l = f.l AND sib.i = f.i WHERE NOT (f.tree = -1 AND f.n = 1)
+), done AS (
+  SELECT id, h AS folded_root, proof FROM f WHERE tree = -1 AND n = 1
+), named AS (
+  SELECT row_number() OVER () AS id, doc_id, leaf, tree FROM leafs
+)
+SELECT doc_id, leaf, lv.h AS subroot, tops.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = tops.h AS verified
+FROM named JOIN done USING (id) JOIN lv ON lv.tree = named.tree AND lv.n = 1 JOIN tops ON tops.n = 1
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    bad = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, row_digest(*columns, F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    leaf = row_digest(*columns, F.col("text"))
+    found = manifest(docs, leaf, F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "tampered": F.coalesce(bad, leaf)}, arity=3)
+    rows = found.select(
+        "doc_id", hexed(F.col("leaf")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"), hexed(F.col("root")).alias("root"),
+        F.sha2(siblings_hex(F.col("path")).cast("binary"), 256).alias("proof_sha256"), fold(hexed(F.col("tampered")), F.col("path")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
