@@ -88,17 +88,14 @@ def placed(rows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
 
 def linked(nodes: DataFrame, arity: int) -> DataFrame:
     """Nodes (tree, place, n, h, ...) of runs, with the digests of the siblings before and after each as left and right."""
-    slot = F.col("place") % arity
-    found = nodes
+    found = nodes.alias("a")
     for s in range(1, arity):
-        where = F.col("place").bitwiseXOR(F.lit(1)) if arity == 2 else F.col("place") - slot + (slot + s) % arity
-        other = nodes.select(F.col("tree").alias(f"__t{s}"), F.col("place").alias(f"__p{s}"), F.col("h").alias(f"__h{s}"))
-        found = found.withColumn(f"__w{s}", where)
-        found = found.join(other, (F.col("tree") == F.col(f"__t{s}")) & (F.col(f"__w{s}") == F.col(f"__p{s}")), "left")
-        found = found.drop(f"__t{s}", f"__p{s}", f"__w{s}")
+        where = F.col("a.place").bitwiseXOR(F.lit(1)) if arity == 2 else F.expr(f"a.place - a.place % {arity} + (a.place % {arity} + {s}) % {arity}")
+        found = found.join(nodes.select("tree", "place", "h").alias(f"s{s}"), (F.col("a.tree") == F.col(f"s{s}.tree")) & (where == F.col(f"s{s}.place")), "left")
     empty = F.expr(EMPTY)
-    part = lambda after: F.concat(*[F.when((slot + s < arity) == F.lit(after), F.coalesce(f"__h{s}", empty)).otherwise(empty) for s in range(1, arity)])
-    return found.select(*nodes.columns, part(False).alias("left"), part(True).alias("right"))
+    after = lambda s: F.expr(f"a.place % {arity} + {s} < {arity}")
+    part = lambda is_after: F.concat(*[F.when(after(s) == F.lit(is_after), F.coalesce(f"s{s}.h", empty)).otherwise(empty) for s in range(1, arity)])
+    return found.select(*[f"a.{c}" for c in nodes.columns], part(False).alias("left"), part(True).alias("right"))
 
 
 def climb(leaves: DataFrame, arity: int) -> list[DataFrame]:
@@ -125,22 +122,19 @@ def climb(leaves: DataFrame, arity: int) -> list[DataFrame]:
 def descend(levels: list[DataFrame], tops: DataFrame | None, arity: int) -> DataFrame:
     """The lowest level with subroot, root and path; tops (tree, root, path) continues the path of each tree's root."""
     above = None
-    for level in reversed(levels):
-        own = level.filter("n = 1")
+    kept = [c for c in levels[0].columns if c.startswith("__k")]
+    for k, level in reversed(list(enumerate(levels))):
+        own = ["tree", "place", "n", "h", *(kept if k == 0 else [])]
         if tops is None:
-            ended = own.withColumn("root", F.col("h")).withColumn("path", F.expr(f"cast(array() as array<{STEP}>)"))
+            ended = level.filter("n = 1").select(*own, F.col("h").alias("subroot"), F.col("h").alias("root"), F.expr(f"cast(array() as array<{STEP}>)").alias("path"))
         else:
-            t = tops.select(F.col("tree").alias("__t"), "root", "path")
-            ended = own.join(t, F.col("tree") == F.col("__t")).drop("__t")
-        ended = ended.withColumn("subroot", F.col("h"))
+            ended = level.filter("n = 1").alias("a").join(tops.alias("t"), F.col("a.tree") == F.col("t.tree"))
+            ended = ended.select(*[f"a.{c}" for c in own], F.col("a.h").alias("subroot"), "t.root", "t.path")
         if above is not None:
-            up = above.select(F.col("tree").alias("__t"), F.col("place").alias("__p"), "subroot", "root", F.col("path").alias("__path"))
-            inner = level.filter("n > 1").withColumn("__w", F.expr(f"place div {arity}"))
-            inner = inner.join(up, (F.col("tree") == F.col("__t")) & (F.col("__w") == F.col("__p"))).drop("__t", "__p", "__w")
-            step = F.array(F.struct("left", "right"))
-            inner = inner.withColumn("path", F.concat(step, "__path")).drop("__path")
-            ended = inner.unionByName(ended)
-        above = ended.drop("left", "right")
+            up = (F.col("a.tree") == F.col("b.tree")) & (F.expr(f"a.place div {arity}") == F.col("b.place"))
+            path = F.concat(F.array(F.struct("a.left", "a.right")), F.col("b.path")).alias("path")
+            ended = level.filter("n > 1").alias("a").join(above.alias("b"), up).select(*[f"a.{c}" for c in own], "b.subroot", "b.root", path).union(ended)
+        above = ended
     return above
 
 
