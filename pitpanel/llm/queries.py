@@ -11,6 +11,7 @@ from pitpanel.llm.license_scan import COPYRIGHT, KNOWN, OTHER, SPELLINGS, licens
 from pitpanel.llm.lm_score import scores
 from pitpanel.llm.merkle_manifest import fold, hexed, manifest, row_digest, siblings_hex
 from pitpanel.llm.near_dedup import near_duplicates
+from pitpanel.llm.piece_spans import encoded
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
 from pitpanel.llm.token_matrix import packed_rows
@@ -288,3 +289,14 @@ def op12(spark, sf_dir):
         F.sha2(siblings_hex(F.col("path")).cast("binary"), 256).alias("proof_sha256"), fold(hexed(F.col("tampered")), F.col("path")).alias("folded_root"),
     )
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_piece_spans")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    rows = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return rows.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"),
+    )
