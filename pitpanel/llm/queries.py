@@ -11,6 +11,7 @@ from pitpanel.llm.license_scan import COPYRIGHT, KNOWN, OTHER, SPELLINGS, licens
 from pitpanel.llm.lm_score import scores
 from pitpanel.llm.merkle_manifest import fold, hexed, manifest, row_digest, siblings_hex
 from pitpanel.llm.near_dedup import near_duplicates
+from pitpanel.llm.periodic_runs import periodic_runs
 from pitpanel.llm.piece_spans import encoded
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
@@ -300,3 +301,22 @@ def op13(spark, sf_dir):
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"),
     )
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    """A tenth of the documents, by checksum of the id, is made periodic from some word on before runs are looked for."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    made = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    made = made.withColumn("n", F.size("w").cast("long")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, null)"))
+    made = made.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = "slice(flatten(array_repeat(slice(w, cast(a + 1 as int), cast(p as int)), cast((n - a + p - 1) div p as int))), 1, cast(n - a as int))"
+    periodic = F.expr(f"if(a is null, text, array_join(concat(slice(w, 1, cast(a as int)), {tail}), ' '))")
+    found = periodic_runs(made.select("doc_id", periodic.alias("text")))
+    most = F.expr("aggregate(runs, runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    rows = found.withColumn("best", F.when(F.size("runs") > 0, most))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
