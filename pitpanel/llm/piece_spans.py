@@ -8,7 +8,7 @@ How. The text is normalised by the longest prefix found in the model's compiled
 walked for all characters of a slice at once), and every byte of the result remembers the original byte where its
 prefix began. White space is then trimmed, escaped and prefixed as the model asks, and carries its source along. The
 result is cut before each white-space mark that follows a visible character, where no piece of the model can lie
-across; each distinct part is merged once, best score first, and its ids are kept. Pieces tile the normalised bytes, so
+across; the distinct parts of a slice are merged side by side, in each round the best pair of every part. Pieces tile the normalised bytes, so
 their ends, looked up in the source alignment, are spans of the original. A character without a piece becomes one piece per
 byte: the last has the character's span, the others are empty before it.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,9 @@ from pitpanel.llm import arrowtext as at
 
 SLICE = 2 << 20
 CHUNK = 1 << 20
-#: Parts that a worker keeps, and the longest that it keeps.
-CACHE, LONGEST = 200_000, 64
+#: Parts of up to so many characters are merged together, longer ones one by one.
+LONGEST = 64
+NEVER = np.iinfo(np.int32).max
 MARK = "▁"
 MARK_BYTES = np.frombuffer(MARK.encode(), np.uint8)
 #: Kinds of pieces and of models in the model file.
@@ -263,7 +263,74 @@ class Codec:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         #: No piece has a visible character before a mark, so that merges never cross the border before one.
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.seen: dict[str, bytes] = {}
+        self.pairs()
+
+    def pairs(self) -> None:
+        """All pairs of symbols whose union is a piece, sorted by key, with that piece and its rank by score.
+
+        Symbols are the pieces and, numbered after them, single characters of pieces that are no piece.
+        """
+        self.symbol = dict(self.id)
+        for c in sorted({c for p in self.id for c in p} - set(self.id)):
+            self.symbol[c] = len(self.pieces) + len(self.symbol) - len(self.id)
+        scores = sorted(set(self.score.values()), reverse=True)
+        rank = {s: k for k, s in enumerate(scores)}
+        found = [(a, b, i, rank[self.score[p]]) for p, i in self.id.items() for k in range(1, len(p)) if (a := self.symbol.get(p[:k])) is not None and (b := self.symbol.get(p[k:])) is not None]
+        table = np.array(found, np.int64).reshape(-1, 4)
+        key = table[:, 0] << 32 | table[:, 1]
+        order = np.argsort(key)
+        self.pair_key, self.pair_union, self.pair_rank = key[order], table[order, 2].astype(np.int32), table[order, 3].astype(np.int32)
+
+    def looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, union) of each pair of symbols; NEVER where their union is no piece."""
+        key = a.astype(np.int64) << 32 | b
+        k = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        ok = (self.pair_key[k] == key) & (a >= 0) & (b >= 0)
+        return np.where(ok, self.pair_rank[k], NEVER).astype(np.int32), self.pair_union[k]
+
+    def side_by_side(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, their number by part): every round merges each part's best pair, the leftmost of ties."""
+        code = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        kinds, which = np.unique(code, return_inverse=True)
+        sym = np.array([self.symbol.get(chr(c), -1) for c in kinds.tolist()], np.int32)[which] if len(kinds) else np.zeros(0, np.int32)
+        part = np.repeat(np.arange(len(parts)), size)
+        rank, union = np.full(len(sym), NEVER, np.int32), np.zeros(len(sym), np.int32)
+        inner = np.flatnonzero(part[1:] == part[:-1])
+        rank[inner], union[inner] = self.looked_up(sym[inner], sym[inner + 1])
+        done = []
+        while len(sym):
+            start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            best = np.minimum.reduceat(rank, start)
+            lengths = np.diff(np.append(start, len(sym)))
+            live = np.repeat(best < NEVER, lengths)
+            done.append((sym[~live], code[~live], part[~live]))
+            hit = np.flatnonzero((rank == np.repeat(best, lengths)) & live)
+            hit = hit[np.append(True, part[hit[1:]] != part[hit[:-1]])] if len(hit) else hit
+            sym[hit] = union[hit]
+            live[hit + 1] = False
+            rank[hit] = NEVER
+            moved = np.cumsum(live) - 1
+            sym, code, part, rank, union = sym[live], code[live], part[live], rank[live], union[live]
+            at_ = moved[hit]
+            right = at_[(at_ + 1 < len(sym)) & (part[np.minimum(at_ + 1, len(sym) - 1)] == part[at_])] if len(at_) else at_
+            left = at_[(at_ > 0) & (part[at_ - 1] == part[at_])] - 1 if len(at_) else at_
+            for k in (right, left):
+                rank[k], union[k] = self.looked_up(sym[k], sym[k + 1])
+        if not done:
+            return np.zeros(0, "<u4"), size
+        sym, code, part = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(part, kind="stable")
+        sym, code, part = sym[order], code[order], part[order]
+        count = np.ones(len(sym), np.int64)
+        lone = np.flatnonzero((sym < 0) | (sym >= len(self.pieces)))
+        if len(lone):
+            raw = [chr(c).encode() for c in code[lone].tolist()]
+            count[lone] = [len(x) for x in raw]
+            place = np.cumsum(count) - count
+            sym = np.repeat(sym, count)
+            sym[spread(place[lone], count[lone])] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return sym.astype("<u4"), np.bincount(part, count, len(parts)).astype(np.int64)
 
     def merged(self, part: str) -> bytes:
         """Ids of one part: the adjacent pair whose union has the best score becomes one, the leftmost of ties, until none has one."""
@@ -292,18 +359,16 @@ class Codec:
                 ids.extend(self.byte[b] for b in s.encode())
         return np.array(ids, "<u4").tobytes()
 
-    def known(self, parts: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        out = []
-        for p in parts:
-            ids = self.seen.get(p)
-            if ids is None:
-                ids = self.merged(p)
-                if len(p) <= LONGEST:
-                    self.seen[p] = ids
-            out.append(ids)
-        return out
+    def known(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, their number by part)."""
+        long = [k for k, p in enumerate(parts) if len(p) > LONGEST]
+        if not long:
+            return self.side_by_side(parts)
+        ids, count = self.side_by_side([p if len(p) <= LONGEST else "" for p in parts])
+        extra = [np.frombuffer(self.merged(parts[k]), "<u4") for k in long]
+        place = (np.cumsum(count) - count)[long]
+        count[long] = [len(x) for x in extra]
+        return np.insert(ids, np.repeat(place, count[long]), np.concatenate(extra)), count
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets of chunks, text of each): long texts are cut before a space after a visible character."""
@@ -338,9 +403,7 @@ class Codec:
         cut[bound[:-1][np.diff(bound) > 0]] = True
         starts = np.flatnonzero(cut)
         parts = at.strings(norm, np.append(starts, len(norm))).dictionary_encode()
-        known = self.known(parts.dictionary.to_pylist())
-        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool = np.frombuffer(b"".join(known), "<u4")
+        pool, length = self.known(parts.dictionary.to_pylist())
         which = parts.indices.to_numpy(zero_copy_only=False)
         count = length[which]
         ids = pool[spread((np.cumsum(length) - length)[which], count)]
