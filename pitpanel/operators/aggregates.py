@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitpanel.operators.ordered import quantiles
 from pitpanel.session import small_side
@@ -250,6 +250,21 @@ def league_priors(panel: DataFrame, before_era: int, era="season", compat=False)
     )
 
 
+def with_era_priors(panel: DataFrame, era="season", prefix="__prior_") -> DataFrame:
+    """Each row with the ratio-of-sums priors of the eras before its own; the literals where there is none.
+
+    A row's prior never depends on its own era or later ones, so one feature table serves every fold.
+    """
+    known = {name: (n, d, lit) for name, (n, d, lit) in LEAGUE_PRIORS.items() if {n, d} <= set(panel.columns)}
+    sums = panel.groupBy(era).agg(*[F.sum(x).alias(f"__{x}") for x in sorted({c for n, d, _ in known.values() for c in (n, d)})])
+    before = Window.orderBy(era).rowsBetween(Window.unboundedPreceding, -1)  # a row per era
+    priors = [
+        F.coalesce(ratio(F.sum(f"__{n}").over(before), F.sum(f"__{d}").over(before)), F.lit(lit)).alias(prefix + name)
+        for name, (n, d, lit) in known.items()
+    ]
+    return panel.join(sums.select(era, *priors), era, "left")
+
+
 def era_share(df: DataFrame, era: str, columns: list[str], prefix="rel_") -> DataFrame:
     """Value over its era mean; the mean is an aggregate joined back."""
     means = df.groupBy(era).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])

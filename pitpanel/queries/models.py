@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from pitpanel import testdata as td
-from pitpanel.operators import models as ml
-from pitpanel.operators.shape import eligible, enough_rows, rank_cap
-from pitpanel.plans import blocks as fb
+from pitpanel.operators import additive as ad, aggregates as ag, models as ml
+from pitpanel.operators.shape import rank_cap
+from pitpanel.plans import blocks as fb, serving as sv
 from pitpanel.queries import query, steady, steady_sql
 from pitpanel.queries.blocks import FEATURES, _LITERAL
-from pitpanel.session import materialise
+from pitpanel.session import materialise, scratch_path
 
 _REC = "('WR', 'TE', 'RB')"
 
@@ -109,64 +109,101 @@ def _(spark, sf):
     return td.panel(spark, sf).groupBy("season").agg(F.count(F.lit(1)).alias("n")).withColumn("in_sample", in_sample(F.col("season"), 1999))
 
 
-def _features(df):
-    """Every numeric feature column and the rank."""
-    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
-    return [c for c, t in df.dtypes if c.startswith("f_") and (t in kinds or t.startswith("decimal"))] + ["depth_rank_capped"]
+def trained_panel(spark, sf, cfg=fb.Config()):
+    """Every row with all features; posteriors lean on the priors of the eras before the row's own."""
+    p = ag.with_era_priors(rank_cap(td.panel(spark, sf)))
+    h = fb.entity_block(p, {name: F.col(f"__prior_{name}") for name in ag.LEAGUE_PRIORS}, cfg)
+    return materialise(h.drop(*[c for c in h.columns if c.startswith("__prior_")]), "features")
 
 
-def _targets_and_folds(df):
-    """Targets that the panel has, and every era after its first."""
-    eras = sorted(r[0] for r in df.select("season").where("season IS NOT NULL").distinct().collect())  # a few dozen at most
-    return [t for t in ml.TARGETS if t in df.columns], eras[1:]
+def accuracy_history(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES):
+    h = trained_panel(spark, sf, cfg)
+    plan = ad.plan_for(h)
+    return (h, plan, *sv.walk_forward(h, plan, list(variants), passes))
 
 
-_ACCURACY = "season long, target string, form string, trained_through long, n long, mae double, mae_b2 double"
+_GRADES = ["pred", "b1", "b2", "b3"]
 
 
-@query("walk_forward_scores", "ML1 ML2 ML6 ML12")
+@query("walk_forward_scores", "ML1 ML2 ML6 ML8 ML12")
 def _(spark, sf):
-    """Every target scored on every era after its training span, with all features (no SQL twin).
+    """Every target scored on every era after the first, with all features and the default floors (no SQL twin).
 
-    A fold without the operator's rows to train and test on gives no row.
+    A fold that is left out keeps its row, with the reason.
     """
-    h = materialise(feature_panel(spark, sf), "features")
-    targets, folds = _targets_and_folds(h)
-    out = []  # a row for each (era, target)
-    for target in targets:
-        rows = ml.walk_forward(lambda era: h.where(F.col("season") <= era), target, folds, _features(h))
-        if rows is not None:
-            found = rows.groupBy("season", "target", "form", "trained_through").agg(
-                F.count(F.lit(1)).alias("n"), F.avg("abs_err_model").alias("mae"), F.avg("abs_err_b2").alias("mae_b2")
-            )
-            out += found.collect()
-    return spark.createDataFrame(out, _ACCURACY)
+    *_, history = accuracy_history(spark, sf)
+    s = sv.fold_scores(history).withColumn("trained_through", F.col("era") - 1)
+    return s.select(F.col("era").alias("season"), "target", "form", "trained_through", "n_train", "n_test", "reason", *[f"{p}_mae" for p in _GRADES], "passes_gate", "present_as")
+
+
+def _sql_rows():
+    """One row per eligible (row, target): actual value, era-to-date and career means, opportunity and shrunk rate."""
+    out = []
+    rate_of = {name: (n, d, p, k) for name, (n, d, p, k) in fb.EFFICIENCY.items()}
+    for t, (cohorts, kind, opp, rate) in ml.TARGETS.items():
+        if t not in td.BOX:
+            continue
+        shrunk, o = "NULL::DOUBLE", "NULL::DOUBLE"
+        if opp:
+            n, d, p, k = rate_of[rate]
+            shrunk = f"(coalesce(t_{n}, 0.0E0) + {fb.SHRINK_K[k]}E0 * prior_{p}) / (coalesce(t_{d}, 0.0E0) + {fb.SHRINK_K[k]}E0)"
+            o = f"f_std_{opp}"
+        among = ", ".join(f"'{c}'" for c in cohorts)
+        some = f" AND {t} >= 0" if kind == "count" else ""
+        out.append(f"SELECT season, '{t}' AS target, {t} AS y, f_std_{t} AS std, f_career_{t} AS car, {o} AS o, {shrunk} AS rate, '{kind}' AS kind FROM fp WHERE position IN ({among}) AND {t} IS NOT NULL{some}")
+    return " UNION ALL ".join(out)
+
+
+def _sql_priors():
+    cols = ", ".join(f"coalesce(sum({n}) OVER w / nullif(sum({d}) OVER w, 0), {lit}E0) AS prior_{p}" for p, (n, d, lit) in ag.LEAGUE_PRIORS.items())
+    sums = ", ".join(f"sum({c}) AS {c}" for c in sorted({c for n, d, _ in ag.LEAGUE_PRIORS.values() for c in (n, d)}))
+    return f"se AS (SELECT season, {sums} FROM panel GROUP BY season), sp AS (SELECT season, {cols} FROM se WINDOW w AS (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
+_TOTALS = sorted({c for n, d, *_ in fb.EFFICIENCY.values() for c in (n, d)})
+_BASELINES = FEATURES + f""",
+{_sql_priors()},
+ft AS (SELECT game_id, gsis_id, {", ".join(f"sum({c}) OVER w AS t_{c}" for c in _TOTALS)} FROM panel
+  WINDOW w AS (PARTITION BY gsis_id ORDER BY season, week, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fp AS (SELECT fh.*, sp.* EXCLUDE (season), ft.* EXCLUDE (game_id, gsis_id) FROM fh JOIN sp ON fh.season = sp.season JOIN ft ON ft.game_id = fh.game_id AND ft.gsis_id = fh.gsis_id),
+lo AS ({_sql_rows()}),
+er AS (SELECT season, target, count(*) AS n, sum(y) AS s, avg(o) AS mo FROM lo GROUP BY 1, 2),
+fo AS (SELECT a.season, a.target, a.n AS n_test, a.mo, coalesce(sum(b.n), 0)::BIGINT AS n_train, sum(b.s) / sum(b.n) AS b1 FROM er a LEFT JOIN er b ON a.target = b.target AND b.season < a.season
+  WHERE a.season > (SELECT min(season) FROM panel) GROUP BY 1, 2, 3, 4),
+ba AS (SELECT lo.season, lo.target, y, b1, coalesce(std, b1) AS b2, coalesce(CASE WHEN kind = 'yards' THEN coalesce(o, mo) * rate END, car, b1) AS b3 FROM lo JOIN fo ON lo.season = fo.season AND lo.target = fo.target)
+"""
+_WHY = f"CASE WHEN n_train < {ml.MIN_TRAIN} THEN 'under {ml.MIN_TRAIN} training rows' WHEN n_test < {ml.MIN_TEST} THEN 'under {ml.MIN_TEST} rows to test on' END"
+
+
+@query("walk_forward_baselines", "ML6 ML7", f"""WITH {_BASELINES},
+g AS (SELECT season, target, {", ".join(f"avg(abs(y - {b})) AS {b}_mae" for b in _GRADES[1:])} FROM ba GROUP BY 1, 2)
+SELECT fo.season, fo.target, n_train, n_test, {_WHY} AS reason, {", ".join(f"CASE WHEN ({_WHY}) IS NULL THEN {steady_sql(b + '_mae')} END AS {b}_mae" for b in _GRADES[1:])}
+FROM fo JOIN g ON g.season = fo.season AND g.target = fo.target""")
+def _(spark, sf):
+    """Rows, reasons and the three baselines of every fold and target; training means come from the summed matrices."""
+    *_, history = accuracy_history(spark, sf, passes=0)
+    s = sv.fold_scores(history)
+    return s.select(F.col("era").alias("season"), "target", "n_train", "n_test", "reason", *[steady(F.col(f"{b}_mae")).alias(f"{b}_mae") for b in _GRADES[1:]])
+
+
+VARIANTS = (
+    ad.Variant("base", leave_out="f_r16_"), ad.Variant("recency", leave_out="f_r16_", recency=True),
+    ad.Variant("per_cohort", leave_out="f_r16_", per_cohort=True), ad.Variant("longer_window"),
+)
 
 
 @query("model_variant_errors", "ML11 SF20")
 def _(spark, sf):
     """Base, recency-weighted, per-cohort and longer-window models of every target on every later era (no SQL twin)."""
-    cfg = fb.Config(windows=(3, 8, 16))
-    wide = materialise(fb.entity_block(rank_cap(td.panel(spark, sf)), _LITERAL, cfg), "features")
-    targets, folds = _targets_and_folds(wide)
-    longer = _features(wide)
-    cols = [c for c in longer if not c.startswith("f_r16_")]
-    out = []  # a row for each (era, target, variant)
-    for target in targets:
-        cohorts, kind, _, _ = ml.TARGETS[target]
-        rows = eligible(wide, target, "position", cohorts)
-        for fold in folds:
-            train, test = rows.where(F.col("season") < fold), rows.where(F.col("season") == fold)
-            if not (enough_rows(train, ml.MIN_TRAIN) and enough_rows(test, ml.MIN_TEST)):
-                continue
-            recent = ml.with_recency(train, "season", fold - 1)
-            arms = {
-                "base": ml.predict(ml.fit(train, target, cols, kind), test, cols, "pred"),
-                "recency": ml.predict(ml.fit(recent, target, cols, kind, weight="__w"), test, cols, "pred"),
-                "per_cohort": ml.per_cohort_predictions(train, test, target, cols, kind, cohorts),
-                "longer_window": ml.predict(ml.fit(train, target, longer, kind), test, longer, "pred"),
-            }
-            for name, scored in arms.items():
-                n, mae = scored.agg(F.count(F.lit(1)), F.avg(F.abs(F.col("pred") - F.col(target)))).first()
-                out.append((fold, target, name, n, mae))
-    return spark.createDataFrame(out, "season long, target string, variant string, n long, mae double")
+    *_, history = accuracy_history(spark, sf, VARIANTS, fb.Config(windows=(3, 8, 16)))
+    return sv.fold_scores(history).select(F.col("era").alias("season"), "target", "variant", "n_train", "n_test", "reason", F.col("pred_mae").alias("mae"))
+
+
+@query("serve_projection", "ML2 ML4 ML5 SNK2")
+def _(spark, sf):
+    """Models trained, gated, published as a version, read back, and every row served by the models of its own era (no SQL twin)."""
+    h, plan, models, history = accuracy_history(spark, sf)
+    store = scratch_path(spark, "model-store")
+    sv.publish(models, sv.gate(history), store)
+    rows = h.withColumn("p_play", F.when(F.col("depth_rank") == 1, 0.75).otherwise(0.5))
+    return sv.serve(rows, sv.load(spark, store), plan, ["season", "week", "game_id", "gsis_id", "position"], "p_play")

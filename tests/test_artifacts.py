@@ -207,33 +207,3 @@ def test_checkpoint_folder_comes_from_the_session(spark):
         assert scratch_dir(spark) == named
     else:
         assert scratch_dir(spark).startswith("/tmp/spark-") and scratch_dir(spark) == scratch_dir(spark)
-
-
-def test_model_queries_run_every_target_and_fold(spark, monkeypatch):
-    """The queries hand every target, later era and feature of the panel to the operators, under their own floors and settings."""
-    from pitpanel.queries import load_all, models as mq
-
-    ids = ["game_id", "gsis_id", "position", "season", "depth_rank_capped"]
-    counts = ["targets", "receiving_yards", "carries", "attempts", "fg_made"]
-    rows = [(i, i, p, y, 1) + (1.0,) * 7 for y in (1, 2, 3) for p in ("WR", "QB", "RB", "K") for i in range(4)]
-    ddl = ", ".join(f"{c} {'string' if c == 'position' else 'long'}" for c in ids) + "".join(f", {c} double" for c in [*counts, "f_a", "f_r16_a"])
-    panel = spark.createDataFrame(rows, ddl)
-    monkeypatch.setattr(mq, "feature_panel", lambda *a: panel)
-    monkeypatch.setattr(mq.fb, "entity_block", lambda *a: panel)
-    monkeypatch.setattr(mq.td, "panel", lambda *a: panel)
-    monkeypatch.setattr(mq, "rank_cap", lambda df: df)
-    monkeypatch.setattr(mq, "materialise", lambda df, *a: df)
-    seen = []
-
-    def walk(features_of, target, folds, features, **more):
-        seen.append((target, folds, features, more))
-
-    monkeypatch.setattr(mq.ml, "walk_forward", walk)
-    assert load_all()["walk_forward_scores"].run(spark, "").collect() == []
-    assert sorted(seen) == sorted((t, [2, 3], ["f_a", "f_r16_a", "depth_rank_capped"], {}) for t in counts)
-    monkeypatch.setattr(mq.ml, "MIN_TRAIN", 4), monkeypatch.setattr(mq.ml, "MIN_TEST", 4)
-    monkeypatch.setattr(mq.ml, "fit", lambda *a, **k: None)
-    monkeypatch.setattr(mq.ml, "predict", lambda m, test, cols, out: test.withColumn(out, F.lit(0.0)))
-    got = {(r.season, r.target, r.variant): (r.n, r.mae) for r in load_all()["model_variant_errors"].run(spark, "").collect()}
-    assert set(got) == {(y, t, v) for y in (2, 3) for t in counts for v in ("base", "recency", "per_cohort", "longer_window")}
-    assert {m for _, m in got.values()} == {1.0} and got[2, "targets", "base"][0] == 8
