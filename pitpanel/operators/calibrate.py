@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.functions.prob import posterior
@@ -128,40 +126,62 @@ def _linspace(lo: Column, hi: Column, n: int) -> Column:
     )
 
 
+def isotonic(ys: Column, ws: Column) -> Column:
+    """Weighted least-squares non-decreasing fit of an array, by the max-min formula.
+
+    Value i is the largest over j <= i of the smallest over k >= i of the weighted mean of j .. k. The work grows with the
+    cube of the length, so this is for a bounded number of bins.
+    """
+    total = lambda i, j, f: F.aggregate(F.slice(f, i, j - i + 1), F.lit(0.0), lambda a, b: a + b)
+    wy = F.zip_with(ys, ws, lambda y, w: y * w)
+    n = F.size(ys)
+    # One row of means per start j; each is turned into running minima from the right, then the rows' maxima are taken.
+    def minima(j):
+        means = F.transform(F.sequence(j, n), lambda k: total(j, k, wy) / total(j, k, ws))
+        back = F.aggregate(
+            F.reverse(means), F.expr("cast(array() as array<double>)"),
+            lambda acc, m: F.concat(F.array(F.least(m, F.coalesce(F.try_element_at(acc, F.lit(1)), m))), acc),
+        )
+        return F.concat(F.array_repeat(F.lit(float("-inf")), j - 1), back)
+
+    rows = F.transform(F.sequence(F.lit(1), n), minima)
+    return F.aggregate(rows, F.array_repeat(F.lit(float("-inf")), n), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+
+
 def level_maps(scored: DataFrame, target="target", pred="pred", actual="actual", tie=("game_id", "gsis_id"), hot_rows=None) -> DataFrame:
     """Monotone map per target on a 200-point grid from the smallest prediction to the 99th percentile.
 
-    Binning runs on the cluster; the isotonic fit sees at most 50 points per target. Targets with
-    fewer than five full bins are left out.
+    Binning and fit run as grouped expressions, with at most 50 bins per target in a row. Bins of one mean prediction are one
+    point with their rows as weight. A target with fewer than five full bins keeps its row, with the reason and no map.
     """
-    spark = scored.sparkSession
-    bins = equal_count_bins(scored, [target], pred, actual, list(tie), hot_rows=hot_rows)
-    ends = quantiles(scored, [target], pred, [0.0, 0.99], "__q", hot_rows)
-    # 50 rows per target at most, and targets are a stated handful.
-    points = bins.join(ends, target).select(target, "mean_x", "mean_y", "__q", ends["n"].alias("rows"))
-    todo = points.groupBy(target, "__q", "rows").count().where(F.col("count") >= MIN_LEVEL_BINS).collect()
-    out = []
-    for r in todo:
-        pts = points.where(F.col(target) == r[target]).select("mean_x", "mean_y")
-        feats = VectorAssembler(inputCols=["mean_x"], outputCol="features")
-        model = IsotonicRegression(labelCol="mean_y", isotonic=True).fit(feats.transform(pts))
-        xs, ys = [float(v) for v in model.boundaries], [float(v) for v in model.predictions]
-        out.append((r[target], r["rows"], r["__q"][0], r["__q"][1], xs, ys))
-    knots = spark.createDataFrame(
-        out, f"{target} string, n bigint, lo double, hi double, xs array<double>, ys array<double>"
-    )
     from pitpanel.functions.prob import interp
 
-    grid = _linspace(F.col("lo"), F.col("hi"), GRID_POINTS)
-    return knots.withColumn("grid", grid).select(
+    bins = equal_count_bins(scored, [target], pred, actual, list(tie), hot_rows=hot_rows)
+    points = bins.groupBy(target, "mean_x").agg(F.count(F.lit(1)).alias("__k"), F.avg("mean_y").alias("__y"))
+    fits = points.groupBy(target).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("mean_x").alias("x"), F.col("__y").alias("y"), F.col("__k").cast("double").alias("w")))).alias("__p"),
+        F.sum("__k").alias("__bins"),
+    )
+    ends = quantiles(scored, [target], pred, [0.0, 0.99], "__q", hot_rows)
+    rows = ends.select(target, F.col("n"), "__q").join(fits, target, "left")
+    enough = F.coalesce(F.col("__bins") >= MIN_LEVEL_BINS, F.lit(False))
+    part = lambda c: F.transform("__p", lambda s: s[c])
+    knots = rows.select(
+        target, "n", F.when(~enough, F.concat(F.coalesce("__bins", F.lit(0)).cast("string"), F.lit(f" full bins, {MIN_LEVEL_BINS} needed"))).alias("reason"),
+        F.when(enough, _linspace(F.col("__q")[0], F.col("__q")[1], GRID_POINTS)).alias("grid"), F.when(enough, part("x")).alias("__xs"), F.when(enough, isotonic(part("y"), part("w"))).alias("__ys"),
+    )
+    # The fit is read twice for each of the grid's points, so it must not be copied into that expression.
+    known = knots.select(target, "n", "reason", F.inline(F.array(F.struct("grid", "__xs", "__ys"))))
+    return known.select(
         target, "n", "grid",
-        F.transform(
+        F.when(F.col("grid").isNotNull(), F.transform(
             "grid",
             lambda g: F.greatest(
                 F.lit(0.0),
-                interp(g, F.col("xs"), F.col("ys"), F.element_at("ys", 1), F.element_at("ys", -1)),
+                interp(g, F.col("__xs"), F.col("__ys"), F.element_at("__ys", 1), F.element_at("__ys", -1)),
             ),
-        ).alias("mapped"),
+        )).alias("mapped"),
+        "reason",
     )
 
 

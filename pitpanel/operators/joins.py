@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.operators.aggregates import majority_label
-from pitpanel.operators.ordered import Spec, fill, lookup_join, prior
+from pitpanel.operators.ordered import Spec, fill, fill_both, lookup_join, prior
 from pitpanel.session import small_side
 
 MICROS_HOUR = 3_600_000_000
@@ -74,22 +74,19 @@ def asof(
 def asof_nearest(
     left, right, by, left_on, right_on, take, tie, tolerance_micros, hot_rows=None
 ) -> DataFrame:
-    """Nearest right row in either direction within the tolerance; the earlier one on a draw."""
-    r = {right_on, *take}
-    slim = right.select(*by, tie, *[c for c in r if c not in (*by, tie)])
-    back = asof(left, slim, by, left_on, right_on, {c: f"__b_{c}" for c in r}, tie, "backward", False, hot_rows)
-    both = asof(back, slim, by, left_on, right_on, {c: f"__f_{c}" for c in r}, tie, "forward", False, hot_rows)
-    gap_b = micros(left_on) - micros(f"__b_{right_on}")
-    gap_f = micros(f"__f_{right_on}") - micros(left_on)
+    """Nearest right row in either direction within the tolerance; the earlier one on a draw. Both sides cross one exchange, once."""
+    slim = right.select(*by, tie, *[c for c in dict.fromkeys([right_on, *take]) if c not in (*by, tie)])
+    # A right row of the same stamp stands before the asker: looking back finds it, and nothing ahead is nearer.
+    both = _stacked(left, slim, by, left_on, right_on, 1, 0, tie)
+    found = fill_both(both, by, ["__at", "__kind", "__tie"], _clock(both), "__r", "__back", "__ahead", hot_rows)
+    sides = found.where(F.col("__l").isNotNull()).select("__l.*", "__back", "__ahead")
+    at = micros(left_on)
+    gap_b = at - micros(F.col("__back")[right_on])
+    gap_f = micros(F.col("__ahead")[right_on]) - at
     use_back = F.coalesce(gap_b <= F.coalesce(gap_f, gap_b), F.lit(False))
     gap = F.when(use_back, gap_b).otherwise(gap_f)
-    return both.select(
-        *left.columns,
-        *[
-            F.when(gap <= tolerance_micros, F.when(use_back, F.col(f"__b_{c}")).otherwise(F.col(f"__f_{c}"))).alias(o)
-            for c, o in take.items()
-        ],
-    )
+    one = F.when(gap <= tolerance_micros, F.when(use_back, F.col("__back")).otherwise(F.col("__ahead")))
+    return sides.select(*left.columns, *[one[c].alias(o) for c, o in take.items()])
 
 
 def modal_period_within(
@@ -107,13 +104,11 @@ def modal_period_within(
     kicks = games.where(F.col(kick).isNotNull()).groupBy(period, micros(kick).alias("__k")).agg(
         F.count(F.lit(1)).cast("double").alias("__n")
     )
-    # A period's span is listed per day it touches, so candidates are found by equality.
-    spans = kicks.groupBy(period).agg(
-        (F.min("__k") - half_width_micros).alias("__from"), (F.max("__k") + half_width_micros).alias("__to")
-    )
-    days = spans.withColumn(
-        "__day", F.explode(F.sequence(F.floor(F.col("__from") / day), F.floor(F.col("__to") / day)))
-    )
+    # A period that recurs is near a start only around its own kickoffs: candidates are found by equality on the days
+    # that a kickoff's interval touches, so a start meets the periods of its days, however many eras use their names.
+    by_day = kicks.groupBy(period, F.floor(F.col("__k") / day).alias("__d")).agg((F.min("__k") - half_width_micros).alias("__a"), (F.max("__k") + half_width_micros).alias("__b"))
+    touched = by_day.withColumn("__day", F.explode(F.sequence(F.floor(F.col("__a") / day), F.floor(F.col("__b") / day))))
+    days = touched.groupBy(period, "__day").agg(F.min("__a").alias("__from"), F.max("__b").alias("__to"))
     cand = (
         starts.withColumn("__day", F.floor(F.col("__s") / day))
         .join(small_side(days), "__day")

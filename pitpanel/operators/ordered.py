@@ -353,6 +353,37 @@ def fill(
     )
 
 
+def fill_both(df: DataFrame, keys: list[str], order: list[str], clock: Column, value: str, last: str, next_: str, hot_rows: int | None = None) -> DataFrame:
+    """The nearest non-null ``value`` at or before each row and at or after it: ``fill`` in both directions at once.
+
+    One exchange serves both: inside a task the rows are sorted once for each direction, and the carries of cut keys are joined together.
+    """
+    up, down = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
+
+    def near(extra, towards):
+        w = Window.partitionBy(*keys, *extra).orderBy(*towards)
+        return F.last(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    hot = find_hot(df, keys, clock, hot_rows)
+    if hot is None:
+        return df.withColumns({last: near([], up), next_: near([], down)})
+    tagged = assign_runs(df, keys, clock, hot)
+    there = F.when(F.col(value).isNotNull(), F.struct(*order))
+    runs = tagged.where("__is_hot").groupBy(*keys, RUN).agg(F.max_by(F.col(value), there).alias("__end"), F.min_by(F.col(value), there).alias("__begin"))
+
+    def beyond(edge, step):
+        w = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(F.col(edge), ignorenulls=True).over(w)
+
+    side = runs.select(
+        *[F.col(k).alias(f"__c_{k}") for k in [*keys, RUN]],
+        beyond("__end", F.col(RUN).asc()).alias("__before"), beyond("__begin", F.col(RUN).desc()).alias("__after"),
+    )
+    local = tagged.withColumns({"__last": near([RUN], up), "__next": near([RUN], down)})
+    joined = local.join(side, _match([*keys, RUN], local), "left")
+    return joined.select(*df.columns, F.coalesce("__last", "__before").alias(last), F.coalesce("__next", "__after").alias(next_))
+
+
 def ranked(
     df: DataFrame,
     keys: list[str],

@@ -229,15 +229,20 @@ def _(spark, sf):
 
 
 # Scored rows: predict a supplier's targets by its prior mean in the era, base = career mean.
-SCORED = td.PANEL + """,
-sc0 AS (SELECT season, week, game_id, gsis_id, team, position, targets, carries,
-  sum(targets) OVER e / nullif(count(*) OVER e, 0) AS t_std, sum(carries) OVER e / nullif(count(*) OVER e, 0) AS c_std,
-  sum(targets) OVER c / nullif(count(*) OVER c, 0) AS t_car, sum(carries) OVER c / nullif(count(*) OVER c, 0) AS c_car
+def scored_sql(targets) -> str:
+    cols = ", ".join(f"sum({t}) OVER e / nullif(count(*) OVER e, 0) AS {t}_std, sum({t}) OVER c / nullif(count(*) OVER c, 0) AS {t}_car" for t in targets)
+    rows = " UNION ALL ".join(
+        f"SELECT season, week, game_id, gsis_id, team, position, '{t}' AS target, {t}_std AS pred, {t} AS actual, abs({t}_std - {t}) AS abs_err_model, abs({t}_car - {t}) AS abs_err_b2 FROM sc0"
+        for t in targets
+    )
+    return td.PANEL + f""",
+sc0 AS (SELECT season, week, game_id, gsis_id, team, position, {", ".join(targets)}, {cols}
  FROM panel WINDOW e AS (PARTITION BY gsis_id, season ORDER BY week, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   c AS (PARTITION BY gsis_id ORDER BY season, week, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-scored AS (
- SELECT season, week, game_id, gsis_id, team, position, 'targets' AS target, t_std AS pred, targets AS actual, abs(t_std - targets) AS abs_err_model, abs(t_car - targets) AS abs_err_b2 FROM sc0
- UNION ALL SELECT season, week, game_id, gsis_id, team, position, 'carries', c_std, carries, abs(c_std - carries), abs(c_car - carries) FROM sc0)"""
+scored AS ({rows})"""
+
+
+SCORED = scored_sql(["targets", "carries"])
 
 
 def scored(spark, sf, targets=("targets", "carries")):

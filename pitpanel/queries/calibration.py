@@ -6,18 +6,22 @@ from pitpanel import testdata as td
 from pitpanel.functions import prob as pr
 from pitpanel.operators import calibrate as cp, models as ml
 from pitpanel.queries import query
-from pitpanel.queries.aggregates import SCORED, scored
+from pitpanel.queries.aggregates import SCORED, scored, scored_sql
 
 _PROBS = "[" + ", ".join(repr(p) for p in cp.RATIO_PROBS) + "]"
 
 # Quantile bins of the prediction, then quantiles of actual / predicted per bin.
-CALIBRATION = SCORED + f""",
+BINS = f""",
 ck AS (SELECT target, pred, actual FROM scored WHERE pred >= 0.25),
 ce AS (SELECT target, quantile_cont(pred, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS e0 FROM ck GROUP BY target),
 cd AS (SELECT target, list_sort(list_distinct(e0)) AS e FROM ce),
 cb AS (SELECT ck.*, CAST(greatest(len(list_filter(e, lambda v: v < pred)), 1) AS BIGINT) AS b, e FROM ck JOIN cd USING (target)),
 cal AS (SELECT target, b - 1 AS bin, any_value(e[b]) AS lo, any_value(e[b + 1]) AS hi, count(*) AS n, avg(pred) AS mean_pred, avg(actual) AS mean_actual,
   quantile_cont(actual / pred, {_PROBS}) AS quantiles, {_PROBS} AS q_grid FROM cb GROUP BY target, b HAVING count(*) >= 50)"""
+CALIBRATION = SCORED + BINS
+
+#: Every modelled target that the panel has.
+HELD = [t for t in ml.TARGETS if t in td.BOX]
 
 
 def calibration(spark, sf, hot_rows=None):
@@ -26,8 +30,7 @@ def calibration(spark, sf, hot_rows=None):
 
 def calibration_of_all(spark, sf):
     """Ratio quantiles of every modelled target that the panel has."""
-    have = td.panel(spark, sf).columns
-    return cp.ratio_table(scored(spark, sf, [t for t in ml.TARGETS if t in have]))
+    return cp.ratio_table(scored(spark, sf, HELD))
 
 
 _CP5 = f"""WITH {CALIBRATION}
@@ -119,12 +122,30 @@ def _(spark, sf):
     return per.agg(F.round(r, 6).alias("ratio"), (F.abs(r - 1) <= 0.05).alias("passes"))
 
 
-@query("isotonic_level_maps", "CP4 SF16")
+#: Bins as in equal_count_bins, the max-min formula over all pairs of bins, then the grid between its ends.
+_LEVELS = scored_sql(HELD) + """,
+lr AS (SELECT target, pred, actual, row_number() OVER (PARTITION BY target ORDER BY pred, game_id, gsis_id) AS rn, count(*) OVER (PARTITION BY target) AS n FROM scored WHERE pred IS NOT NULL),
+lb AS (SELECT *, greatest(5, least(50, n // 60)) AS nb FROM lr),
+li AS (SELECT target, (rn * nb - 1) // n AS bin, count(*) AS k, avg(pred) AS x, avg(actual) AS y FROM lb GROUP BY 1, 2 HAVING count(*) >= 60),
+lx AS (SELECT target, x, avg(y) AS y, count(*) + 0.0E0 AS w FROM li GROUP BY 1, 2),
+lp AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY x) AS i, sum(w) OVER (PARTITION BY target ORDER BY x) AS sw, sum(w * y) OVER (PARTITION BY target ORDER BY x) AS sy FROM lx),
+lm AS (SELECT a.target, a.i AS j, b.i AS k, (b.sy - a.sy + a.w * a.y) / (b.sw - a.sw + a.w) AS m FROM lp a JOIN lp b ON a.target = b.target AND a.i <= b.i),
+ln AS (SELECT target, j, k AS i, min(m) OVER (PARTITION BY target, j ORDER BY k DESC) AS m FROM lm),
+lf AS (SELECT ln.target, ln.i, any_value(lp.x) AS x, max(ln.m) AS f FROM ln JOIN lp ON lp.target = ln.target AND lp.i = ln.i GROUP BY 1, 2),
+la AS (SELECT target, list(x ORDER BY i) AS xs, list(f ORDER BY i) AS fs FROM lf GROUP BY target),
+le AS (SELECT target, count(*) AS n, min(pred) AS lo, quantile_cont(pred, 0.99) AS hi FROM scored WHERE pred IS NOT NULL GROUP BY target),
+lg AS (SELECT le.target, n, i, CASE WHEN i = 199 THEN hi ELSE lo + i * ((hi - lo) / 199.0E0) END AS g, xs, fs FROM le JOIN la USING (target), generate_series(0, 199) q(i)
+ WHERE (SELECT sum(w) FROM lx WHERE lx.target = le.target) >= 5),
+lk AS (SELECT *, len(list_filter(xs, lambda v: v <= g)) AS k FROM lg)"""
+
+
+@query("isotonic_level_maps", "CP4 SF16", f"""WITH {_LEVELS}
+SELECT target, n, i, round(g, 6) AS grid, round(greatest(0, CASE WHEN k = 0 THEN fs[1] WHEN k = len(xs) THEN fs[k] ELSE fs[k] + (fs[k + 1] - fs[k]) / (xs[k + 1] - xs[k]) * (g - xs[k]) END), 5) AS mapped FROM lk""")
 def _(spark, sf):
-    """Monotone level map per target; checked by property tests, as SQL has no isotonic fit."""
-    m = cp.level_maps(scored(spark, sf).where("pred IS NOT NULL"))
+    """Monotone level map of every target."""
+    m = cp.level_maps(scored(spark, sf, HELD).where("pred IS NOT NULL"))
     return m.select("target", "n", F.posexplode(F.arrays_zip("grid", "mapped")).alias("i", "p")).select(
-        "target", "n", "i", F.col("p.grid").alias("grid"), F.col("p.mapped").alias("mapped")
+        "target", "n", F.col("i").cast("long").alias("i"), F.round("p.grid", 6).alias("grid"), F.round("p.mapped", 5).alias("mapped")
     )
 
 

@@ -8,7 +8,8 @@ from pitpanel.functions.names import normalize_name, person_like
 from pitpanel.operators import aggregates as ag
 from pitpanel.operators import lines as ln
 from pitpanel.queries import query
-from pitpanel.queries.calibration import CALIBRATION, calibration, calibration_of_all
+from pitpanel.queries.aggregates import scored_sql
+from pitpanel.queries.calibration import BINS, calibration_of_all
 from pitpanel.session import constant_table
 from pitpanel.sources import feeds
 
@@ -274,35 +275,24 @@ _INTERP = """CASE WHEN k = 0 THEN 0.0 WHEN k = len(q) THEN CASE WHEN x > q[len(q
   WHEN q[k] = x THEN g[k] ELSE g[k] + (g[k + 1] - g[k]) / (q[k + 1] - q[k]) * (x - q[k]) END"""
 
 
-@query("probability_over_line", "SF15 SF17 SF18 JN17", f"""WITH {CALIBRATION}, {LINES.replace(td.EVENTS + ',', td.EVENTS + ', ')},
-proj AS (SELECT gsis_id, s_name, sum(targets) / count(*) AS pred FROM panel JOIN supplier ON gsis_id = s_suppkey GROUP BY gsis_id, s_name),
-l AS (SELECT event_id, line, pred FROM ln JOIN proj ON {_KEY.format(c='ln.name')} = {_KEY.format(c='s_name')} WHERE lower(trim(stat_type)) = 'rec targets'),
-edge AS (SELECT min(lo) AS lo, max(hi) AS hi FROM cal WHERE target = 'targets'),
-b AS (SELECT l.*, CASE WHEN pred < edge.lo THEN (SELECT min(bin) FROM cal WHERE target = 'targets') WHEN pred > edge.hi THEN (SELECT max(bin) FROM cal WHERE target = 'targets')
-   ELSE (SELECT min(bin) FROM cal WHERE target = 'targets' AND cal.lo <= pred AND pred <= cal.hi) END AS bin FROM l, edge),
-x AS (SELECT b.*, c.quantiles AS q, c.q_grid AS g, line / pred AS x FROM b JOIN cal c ON c.target = 'targets' AND c.bin = b.bin),
-y AS (SELECT *, len(list_filter(q, lambda v: v <= x)) AS k FROM x)
-SELECT event_id, round(CASE WHEN pred >= 0.25 THEN least(0.99, greatest(0.01, 0.5 + ((1 - ({_INTERP})) - 0.5) * 0.9)) END, 6) AS p_over,
-  round(CASE WHEN pred >= 0.25 THEN pred * q[100] END, 6) AS median FROM y""")
-def _(spark, sf):
-    from pitpanel.operators.joins import bin_lookup
-
-    l = lines(spark, sf).where("lower(trim(stat_type)) = 'rec targets'").withColumn("key", normalize_name(F.col("name")))
-    p = projections(spark, sf).select(normalize_name(F.col("player_display_name")).alias("key"), F.col("targets").alias("pred"))
-    j = l.join(p, "key").withColumn("target", F.lit("targets"))
-    b = bin_lookup(j, calibration(spark, sf), "target", "pred", ["quantiles", "q_grid"])
-    q, g = F.col("quantiles"), F.col("q_grid")
-    return b.select(
-        "event_id", F.round(pr.prob_over(F.col("pred"), F.col("line"), q, g), 6).alias("p_over"),
-        F.round(pr.median_projection(F.col("pred"), q, g), 6).alias("median"),
-    )
+_LINED = {"rec targets": "targets", "receiving yards": "receiving_yards"}
+_PRICED = f"""{COMPARED}{scored_sql(list(_LINED.values()))[len(td.PANEL):]}{BINS},
+pl AS (SELECT event_id, label, line, raw, CASE label {" ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _LINED.items())} END AS target FROM cmp WHERE disposition = 'matched'),
+edge AS (SELECT target, min(lo) AS lo, max(hi) AS hi, min(bin) AS b0, max(bin) AS b1 FROM cal GROUP BY target),
+pb AS (SELECT pl.*, CASE WHEN raw < edge.lo THEN b0 WHEN raw > edge.hi THEN b1 ELSE (SELECT min(bin) FROM cal WHERE cal.target = pl.target AND cal.lo <= raw AND raw <= cal.hi) END AS bin
+ FROM pl LEFT JOIN edge ON edge.target = pl.target),
+px AS (SELECT pb.*, c.quantiles AS q, c.q_grid AS g, line / raw AS x FROM pb LEFT JOIN cal c ON c.target = pb.target AND c.bin = pb.bin),
+py AS (SELECT *, len(list_filter(q, lambda v: v <= x)) AS k FROM px),
+pz AS (SELECT *, CASE WHEN raw >= 0.25 AND q IS NOT NULL THEN least(0.99, greatest(0.01, 0.5 + ((1 - ({_INTERP})) - 0.5) * 0.9)) END AS p_over FROM py)"""
 
 
-@query("probability_over_every_line", "SF15 SF17 SF18 JN17")
+@query("probability_over_every_line", "SF15 SF17 SF18 JN17", f"""WITH {_PRICED}
+SELECT event_id, label, floor({half_up('p_over', 4)} * 1e3 + 0.37E0) / 1e3 AS p_over, {half_up('CASE WHEN p_over IS NOT NULL THEN raw * q[100] ELSE raw END', 2)} AS model FROM pz""")
 def _(spark, sf):
-    """A row for each priced line, by its own target's bins; a sum of targets has no bins, so its p_over is null (no SQL twin)."""
+    """A row for each priced line, by its own target's bins; a sum of targets has no bins, so its p_over is null."""
     c = ln.compare(lines(spark, sf), projections(spark, sf), calibration=calibration_of_all(spark, sf)).where("disposition = 'matched'")
-    return c.select("event_id", F.lower(F.trim("stat")).alias("label"), "p_over", "model")
+    p = F.floor(F.col("p_over") * 1e3 + 0.37) / 1e3  # three digits, cut where no interpolated tie lies
+    return c.select("event_id", F.lower(F.trim("stat")).alias("label"), p.alias("p_over"), "model")
 
 
 # ---- scalar functions over whole tables ---------------------------------------------------
