@@ -1,4 +1,4 @@
-"""Panel build and projection of a future period."""
+"""Panel build and projection of future periods."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitpanel.functions import schedule as sc
 from pitpanel.operators import aggregates as ag
 from pitpanel.operators import shape as sh
-from pitpanel.operators.joins import majority_or_own
-from pitpanel.operators.windows import latest, rows_at_latest
+from pitpanel.operators.joins import asof, latest_prior_era, majority_or_own
+from pitpanel.operators.ordered import Spec, prior
+from pitpanel.operators.windows import era_means, latest, rows_at_latest
 from pitpanel.plans import blocks as fb
+from pitpanel.roles import PLAYER_PANEL, Roles
 from pitpanel.sources.groups import canonical
 
 # Roster label -> cohort.
@@ -90,63 +92,110 @@ def inference_rows(games: DataFrame, roster: DataFrame, injuries: DataFrame | No
     return latest(rows, ["gsis_id", "game_id"], ["depth_rank"])
 
 
+#: An era after all others, and a period after all of an era: where a made-up row closes a timeline.
+END_ERA, END_PERIOD = 9_999, 99
+
+
+def _closed(history: DataFrame, asks: DataFrame, keys: list[str], roles: Roles, within_era: bool = False) -> DataFrame:
+    """History plus one row per asked key after all its rows (or after all of an asked era). Nothing comes behind it, so it adds nothing to a row."""
+    kinds = dict(history.dtypes)
+    end = asks.select(*keys, *([roles.era] if within_era else [])).distinct()
+    if not within_era:
+        end = end.withColumn(roles.era, F.lit(END_ERA).cast(kinds[roles.era]))
+    return sh.union_ragged(history, end.withColumn(roles.period, F.lit(END_PERIOD).cast(kinds[roles.period])))
+
+
+def _state(asks: DataFrame, states: DataFrame, keys: list[str], columns: list[str], roles: Roles, hot_rows=None) -> DataFrame:
+    """asks (keys, era, period) with the columns of the first state at or after the asked period.
+
+    A state row holds what was known strictly before it, and no row lies between the asked period and it.
+    """
+    right = states.select(*keys, roles.clock.alias("__when"), F.col(roles.event).alias("__event"), *columns)
+    left = asks.select(*dict.fromkeys([*keys, roles.era, roles.period]), roles.clock.alias("__when"))
+    return asof(left, right, keys, "__when", "__when", {c: c for c in columns}, "__event", "forward", False, hot_rows).drop("__when")
+
+
+def _asked(rows: DataFrame, keys: dict[str, str], when: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(k) for k, c in keys.items()], *when).where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).distinct()
+
+
 def project(
     history: DataFrame, future: DataFrame, team: DataFrame, league: DataFrame, priors: dict[str, float],
-    cfg: fb.Config = fb.Config(), era: str = "season", period: str = "week",
+    cfg: fb.Config = fb.Config(), roles: Roles = PLAYER_PANEL,
 ) -> DataFrame:
-    """Features of the future rows.
+    """Features of all future rows in one plan, whatever the number of periods.
 
-    Future rows ask and never contribute: each future period is projected from the history
-    strictly before it, through one asking row per entity, per (rival, cohort) and per group, so an
-    unplayed row is no event of another one. History is reduced to the entities that are projected;
-    that is safe because entity windows never look across entities. Group, rival and cohort
-    blocks read whole group tables, so nothing they need is pruned.
+    Future rows ask and never contribute: each sees the history strictly before its own (era, period). States before every
+    event are worked out once per entity, per (rival, cohort) and per group, with one closing row each, and every asking
+    (key, era, period) takes the first state at or after it. History is reduced to the entities that are projected; that
+    is safe because entity windows never look across entities.
     """
-    labelled = majority_or_own(future, history, "gsis_id", "position", "chart_position")
-    # The periods of a schedule still to come, a few dozen at most.
-    periods = sorted(tuple(r) for r in labelled.select(era, period).distinct().collect())
-    if not periods:
-        return _project_period(history, labelled, team, league, priors, cfg, F.lit(False), None)
-    parts = []
-    for e, p in periods:
-        before = (F.col(era) < e) | ((F.col(era) == e) & (F.col(period) < p))
-        live = labelled.where((F.col(era) == e) & (F.col(period) == p))
-        parts.append(_project_period(history, live, team, league, priors, cfg, before, (era, period)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _project_period(history, live, team, league, priors, cfg, before, when) -> DataFrame:
-    """Features of one period's rows; no asking row has another one before it."""
-    past = history.where(before).withColumn("__live", F.lit(False))
-
-    def ask(keys: list[str]) -> DataFrame:
-        rest = [c for c in live.columns if c not in keys]
-        one = live.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys)
-        one = one.agg(F.min_by(F.struct(*rest), F.struct("game_id", "gsis_id")).alias("__one"))
-        return one.select(*keys, "__one.*").withColumn("__live", F.lit(True))
-
-    def answers(df: DataFrame, keys: list[str], prefix: str = "f_") -> DataFrame:
-        return df.where("__live").select(*keys, *[c for c in df.columns if c.startswith(prefix)])
-
-    askers = ask(["gsis_id"])
-    slim = past.join(askers.select("gsis_id"), "gsis_id", "left_semi")
-    entity = answers(fb.entity_block(sh.union_ragged(slim, askers), priors, cfg), ["gsis_id"])
-    rival_keys = ["opponent_team", "position"]
-    dvp = answers(fb.rival_cohort_block(sh.union_ragged(past, ask(rival_keys)), cfg), rival_keys, fb.DEFENCE_PREFIX)
-    rows = live.join(entity, "gsis_id", "left").join(dvp, rival_keys, "left")
-    # Groups ask under one made-up event of the period, which every live row then names.
-    sides = live.select(F.col("team").alias("__t"), F.col("opponent_team").alias("__o"), *(when or ()))
-    groups = sides.select(F.col("__t").alias("team"), F.col("__o").alias("opponent"), *(when or ())).union(
-        sides.select(F.col("__o"), F.col("__t"), *(when or ()))
-    ).where("team IS NOT NULL").groupBy("team", *(when or ())).agg(F.min("opponent").alias("opponent"))
-    event = F.lit(None).cast(dict(live.dtypes)["game_id"])
-    first = live.select("game_id").orderBy("game_id").limit(1).collect()
-    if first:
-        event = F.lit(first[0][0]).cast(dict(live.dtypes)["game_id"])
-    teams = sh.union_ragged(team.where(before), groups.withColumn("game_id", event))
-    asked = rows.withColumn("__game", F.col("game_id")).withColumn("game_id", event)
-    found = fb.team_block(asked, teams, league, cfg)
-    return found.withColumn("game_id", F.col("__game")).drop("__game")
+    when = [roles.era, roles.period]
+    rows = majority_or_own(future, history, roles.entity, roles.cohort, "chart_position")
+    for found, on in (_entity(history, rows, priors, cfg, roles), _rival_cohort(history, rows, cfg, roles), *_groups(team, league, rows, cfg, roles)):
+        rows = rows.join(found, [*on, *when], "left")
+    return rows
+
+
+def _entity(history, rows, priors, cfg, roles):
+    key = [roles.entity]
+    asks = _asked(rows, {roles.entity: roles.entity}, [roles.era, roles.period])
+    slim = history.join(asks.select(*key).distinct(), key, "left_semi")
+    states = fb.entity_block(_closed(slim, asks, key, roles), priors, cfg, roles)
+    names = [c for c in states.columns if c.startswith("f_")]
+    inner = [s for s in fb.entity_specs(history.columns, cfg, roles.era) if s.within]
+    within = [s.name for s in inner]
+    ever = _state(asks, states, key, [c for c in names if c not in within], roles, cfg.hot_rows)
+    per = [roles.entity, roles.era]
+    same = slim.join(asks.select(*per).distinct(), per, "left_semi")
+    era_states = prior(_closed(same, asks, key, roles, within_era=True), key, roles.order, roles.clock, inner, cfg.hot_rows)
+    both = ever.join(_state(asks, era_states, per, within, roles, cfg.hot_rows), [*key, roles.era, roles.period])
+    return both.select(*key, roles.era, roles.period, *names), key
+
+
+def _rival_cohort(history, rows, cfg, roles):
+    keys = ["def_team", roles.cohort]
+    asks = _asked(rows, {"def_team": roles.rival, roles.cohort: roles.cohort}, [roles.era, roles.period])
+    stats = [c for c in fb.ALLOWED_STATS if c in history.columns]
+    allowed = ag.allowed_totals(history, stats)
+    specs = [Spec(f"__s_{c}", "sum", c) for c in stats] + [Spec("__n", "count")]
+    states = prior(_closed(allowed, asks, keys, roles), keys, roles.order, roles.clock, specs, cfg.hot_rows)
+    found = _state(asks, states, keys, [s.name for s in specs], roles, cfg.hot_rows)
+    # The cohort's level: the mean of the means of all earlier eras; rows are (cohort, era) pairs only.
+    means = era_means(allowed, [roles.cohort], roles.era, stats).select(F.col(roles.cohort).alias("__c"), F.col(roles.era).alias("__e"), *[F.col(c).alias(f"__m_{c}") for c in stats])
+    eras = asks.select(roles.cohort, roles.era).distinct()
+    level = eras.join(means, (F.col(roles.cohort) == F.col("__c")) & (F.col("__e") < F.col(roles.era)), "left").groupBy(roles.cohort, roles.era)
+    found = found.join(level.agg(*[F.avg(f"__m_{c}").alias(f"__p_{c}") for c in stats]), [roles.cohort, roles.era], "left")
+    if cfg.compat:  # where no era is over yet, the mean of all earlier events of the cohort
+        by = [roles.cohort]
+        any_rival = asks.select(*by, roles.era, roles.period).distinct()
+        every = prior(_closed(allowed, any_rival, by, roles), by, roles.order, roles.clock, [Spec(f"__a_{c}", "mean", c) for c in stats], cfg.hot_rows)
+        found = found.join(_state(any_rival, every, by, [f"__a_{c}" for c in stats], roles, cfg.hot_rows), [*by, roles.era, roles.period], "left")
+    cols = []
+    for c in stats:
+        p = F.coalesce(f"__p_{c}", f"__a_{c}") if cfg.compat else F.col(f"__p_{c}")
+        cols.append(((F.col(f"__s_{c}") + p * fb.DEFENCE_K) / (F.col("__n") + fb.DEFENCE_K)).alias(fb.DEFENCE_PREFIX + c))
+    return found.select(F.col("def_team").alias(roles.rival), roles.cohort, roles.era, roles.period, *cols), [roles.rival, roles.cohort]
+
+
+def _groups(team, league, rows, cfg, roles):
+    when = [roles.era, roles.period]
+    mine = [c for c in fb.TEAM_STATS if c in team.columns]
+    own = [s for c in mine for s in (Spec(f"f_team_prior_{c}", "mean", c), Spec(f"f_team_r4_{c}", "rolling", c, cfg.team_window))]
+    rival = [Spec(f"f_opp_prior_{c}", "mean", c) for c in fb.RIVAL_STATS if c in team.columns]
+    asks = _asked(rows, {roles.group: roles.group}, when)
+    other = _asked(rows, {roles.group: roles.rival}, when)
+    key = [roles.group]
+    states = prior(_closed(team, asks.union(other), key, roles), key, roles.order, roles.clock, own + ([] if cfg.compat else rival), cfg.hot_rows)
+    found = _state(asks, states, key, [s.name for s in own], roles, cfg.hot_rows)
+    if any(s.name == "f_team_prior_off_proe" for s in own):
+        found = latest_prior_era(found, league, roles.era, "league_off_proe", "__league")
+        found = found.withColumn("f_team_proe_centered", F.col("f_team_prior_off_proe") - F.col("__league")).drop("__league")
+    if cfg.compat:  # rows relabelled by opponent
+        by = ["opponent"]
+        other = other.withColumnRenamed(roles.group, "opponent")
+        against = prior(_closed(team, other, by, roles), by, roles.order, roles.clock, rival, cfg.hot_rows)
+        theirs = _state(other, against, by, [s.name for s in rival], roles, cfg.hot_rows).withColumnRenamed("opponent", roles.rival)
+    else:
+        theirs = _state(other, states, key, [s.name for s in rival], roles, cfg.hot_rows).withColumnRenamed(roles.group, roles.rival)
+    return (found, key), (theirs, [roles.rival])
