@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from pitpanel import contract, testdata as td
 from pitpanel.operators import quality as dq
 from pitpanel.operators.shape import rank_cap
-from pitpanel.plans import project as pj
+from pitpanel.plans import blocks as fb, project as pj
 from pitpanel.queries import query, steady, steady_sql
 from pitpanel.queries.aggregates import SCORED, TEAM, scored, team_week
-from pitpanel.queries.blocks import FEATURES, _LITERAL
+from pitpanel.queries.blocks import _PAN, _TW, FEATURES, _LITERAL
 from pitpanel.queries.models import feature_panel
 from pitpanel.session import materialise, scratch_path
 from pitpanel.sources import sinks
@@ -184,21 +184,56 @@ def _future(spark, sf):
     return pj.inference_rows(g, roster, inj, None)
 
 
-@query("project_future_period", "FB15 FB16 JN20 SNK7", f"""WITH {FEATURES.replace("fh AS (", "unused AS (")}, {_GAMES},
-r AS (SELECT team, gsis_id, depth_rank FROM (SELECT team, gsis_id, depth_rank, row_number() OVER (PARTITION BY team, gsis_id ORDER BY season DESC, week DESC, game_id DESC) AS rn FROM panel WHERE season < 2001) WHERE rn = 1),
-l AS (SELECT game_id, week, home_team AS team FROM gm WHERE week IN (1, 2) UNION ALL SELECT game_id, week, away_team FROM gm WHERE week IN (1, 2)),
-f AS (SELECT game_id, week, gsis_id FROM l JOIN r USING (team)),
-h AS (SELECT gsis_id, w.week, count(*) AS n, sum(targets) AS t, sum(carries) AS c, sum(receptions) AS r FROM panel, (VALUES (1), (2)) AS w(week)
-  WHERE season < 2001 OR (season = 2001 AND panel.week < w.week) GROUP BY gsis_id, w.week)
-SELECT f.game_id, f.gsis_id, n AS f_games_prior, t / n AS f_career_targets, c / n AS f_career_carries, r / n AS f_career_receptions FROM f JOIN h USING (gsis_id, week)""")
+def _projected_sql() -> str:
+    """Every feature of every future row, by aggregates over the rows before its own period."""
+    vol = [c for c in fb.VOLUME_STATS if c in td.BOX]
+    mean = lambda c, some="": f"sum({c}) FILTER (p_game IS NOT NULL{some}) / nullif(count(*) FILTER (p_game IS NOT NULL{some}), 0)"
+    ent = ["count(p_game) AS f_games_prior", "count(*) FILTER (p_season = 2001) AS f_games_prior_season"]
+    for c in vol:
+        ent += [f"{mean(c)} AS f_career_{c}", *[f"{mean(c, f' AND rn <= {w}')} AS f_r{w}_{c}" for w in (3, 8)], f"{mean(c, ' AND p_season = 2001')} AS f_std_{c}"]
+    for name, (n, d, p, k) in {**fb.EFFICIENCY, **fb.SHARES}.items():
+        level = _LITERAL[p] if isinstance(p, str) else p
+        ent.append(f"{steady_sql(f'(coalesce(sum({n}), 0.0E0) + {fb.SHRINK_K[k]}E0 * {level}E0) / (coalesce(sum({d}), 0.0E0) + {fb.SHRINK_K[k]}E0)')} AS {name}")
+    stats = sorted({*vol, *[c for n, d, *_ in [*fb.EFFICIENCY.values(), *fb.SHARES.values()] for c in (n, d)]})
+    s4, t7, r4 = fb.ALLOWED_STATS, fb.TEAM_STATS, fb.RIVAL_STATS
+    dvp = ", ".join(f"{steady_sql(f'(coalesce(sum(al.{c}), 0.0E0) + (SELECT avg(v.{c}) FROM em v WHERE v.position = a.position AND v.season < 2001) * 12.0E0) / (count(al.game_id) + 12.0E0)')} AS f_dvp_{c}" for c in s4)
+    zero = lambda c, some="": f"avg(coalesce({c}, 0.0E0)) FILTER (p_game IS NOT NULL{some})"
+    team = ", ".join(f"{steady_sql(zero(c))} AS f_team_prior_{c}, {steady_sql(zero(c, ' AND rn <= 4'))} AS f_team_r4_{c}" for c in t7)
+    opp = ", ".join(f"{steady_sql(zero(c))} AS f_opp_prior_{c}" for c in r4)
+    return f"""WITH {_TW}{_PAN}, {_GAMES},
+r AS (SELECT team, gsis_id, position, depth_rank FROM (SELECT team, gsis_id, position, depth_rank, row_number() OVER (PARTITION BY team, gsis_id ORDER BY season DESC, week DESC, game_id DESC) AS rn FROM panel WHERE season < 2001) WHERE rn = 1),
+l AS (SELECT game_id, week, home_team AS team, away_team AS opp FROM gm UNION ALL SELECT game_id, week, away_team, home_team FROM gm),
+fu AS (SELECT game_id, week, gsis_id, team, opp, position FROM l JOIN r USING (team)),
+ea AS (SELECT DISTINCT gsis_id, week FROM fu),
+eh AS (SELECT a.gsis_id, a.week, p.season AS p_season, p.game_id AS p_game, {", ".join(f"p.{c}" for c in stats)}, row_number() OVER (PARTITION BY a.gsis_id, a.week ORDER BY p.season DESC, p.week DESC, p.game_id DESC) AS rn
+ FROM ea a LEFT JOIN panel p ON p.gsis_id = a.gsis_id AND (p.season < 2001 OR (p.season = 2001 AND p.week < a.week))),
+eg AS (SELECT gsis_id, week, {", ".join(ent)} FROM eh GROUP BY 1, 2),
+al AS (SELECT season, week, game_id, opponent_team AS def_team, position, {", ".join(f"sum({c}) AS {c}" for c in s4)} FROM panel GROUP BY 1, 2, 3, 4, 5),
+em AS (SELECT position, season, {", ".join(f"sum({c}) / count(*) AS {c}" for c in s4)} FROM al GROUP BY 1, 2),
+da AS (SELECT DISTINCT opp, position, week FROM fu),
+dg AS (SELECT a.opp, a.position, a.week, {dvp} FROM da a LEFT JOIN al ON al.def_team = a.opp AND al.position = a.position AND (al.season < 2001 OR (al.season = 2001 AND al.week < a.week)) GROUP BY 1, 2, 3),
+ta AS (SELECT DISTINCT team, week FROM l),
+tg AS (SELECT a.team, a.week, tj.game_id AS p_game, {", ".join(f"tj.{c}" for c in [*t7, *r4])}, row_number() OVER (PARTITION BY a.team, a.week ORDER BY tj.season DESC, tj.week DESC, tj.game_id DESC) AS rn
+ FROM ta a LEFT JOIN tj ON tj.team = a.team AND (tj.season < 2001 OR (tj.season = 2001 AND tj.week < a.week))),
+tn AS (SELECT team, week, {team}, {steady_sql(zero('off_proe') + ' - (SELECT v FROM lg WHERE season = 2000)')} AS f_team_proe_centered FROM tg GROUP BY 1, 2),
+tq AS (SELECT team, week, {opp} FROM tg GROUP BY 1, 2)
+SELECT fu.game_id, fu.gsis_id, eg.* EXCLUDE (gsis_id, week), dg.* EXCLUDE (opp, position, week), tn.* EXCLUDE (team, week), tq.* EXCLUDE (team, week)
+FROM fu JOIN eg ON eg.gsis_id = fu.gsis_id AND eg.week = fu.week JOIN dg ON dg.opp = fu.opp AND dg.position = fu.position AND dg.week = fu.week
+ JOIN tn ON tn.team = fu.team AND tn.week = fu.week JOIN tq ON tq.team = fu.opp AND tq.week = fu.week"""
+
+
+_EXACT = ("f_games", "f_career_", "f_r3_", "f_r8_", "f_std_")
+
+
+@query("project_future_period", "FB15 FB16 JN20 SNK7", _projected_sql())
 def _(spark, sf):
-    """Two periods of the last era from the history before them; unplayed rows add nothing to one another."""
+    """Every feature of every period of the last era from the history before it; unplayed rows add nothing to one another."""
     from pitpanel.operators import aggregates as ag
 
-    t = ag.with_rival_side(materialise(team_week(spark, sf), "team"))
+    t = materialise(ag.with_rival_side(materialise(team_week(spark, sf), "team-own")), "team")
     league = t.groupBy("season").agg(F.avg("off_proe").alias("league_off_proe"))
-    live = pj.project(td.panel(spark, sf), _future(spark, sf).where("week IN (1, 2)"), t, league, _LITERAL)
-    return live.select("game_id", "gsis_id", "f_games_prior", "f_career_targets", "f_career_carries", "f_career_receptions")
+    live = pj.project(materialise(td.panel(spark, sf), "panel"), _future(spark, sf), t, league, _LITERAL)
+    return live.select("game_id", "gsis_id", *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in live.columns if c.startswith("f_")])
 
 
 @query("versioned_upsert_sink", "SNK1 SNK3 SNK5", """SELECT o_custkey, o_orderkey, o_totalprice FROM (
