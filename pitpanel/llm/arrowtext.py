@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Rows in a slice at most, whatever their texts.
+SLICE_ROWS = 1 << 14
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,15 +27,27 @@ LOWER = lower_table()
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds about `limit` bytes of text; a longer text is alone in its slice."""
+    """Cut record batches so that a slice holds about `limit` bytes of text and SLICE_ROWS rows; a longer text is alone in its slice.
+
+    When the batches end, freed memory goes back to the system, as the worker lives on for other stages.
+    """
     for b in batches:
         if not b.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+        group, rows = np.cumsum(size) // limit, np.arange(b.num_rows) // SLICE_ROWS
+        cuts = [0, *(np.flatnonzero((np.diff(group) > 0) | (np.diff(rows) > 0)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             yield b.slice(i, j - i)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

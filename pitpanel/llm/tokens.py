@@ -22,6 +22,8 @@ from pitpanel.llm import arrowtext as at
 
 OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 CACHE = 500_000
+#: Parts that go to the tokenizer in one call.
+AT_ONCE = 4096
 
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -46,8 +48,10 @@ class Encoder:
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = [u for u in units if u not in self.seen]
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[u] = e.ids
+        for i in range(0, len(new), AT_ONCE):  # the tokenizer's own results are large
+            some = new[i : i + AT_ONCE]
+            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.seen[u] = e.ids
         return [self.seen[u] for u in units]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
