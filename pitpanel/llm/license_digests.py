@@ -1,9 +1,11 @@
 """Digests of canonical whole licence texts (see license_scan): licence -> digests, one for each variant.
 
-A variant is a text with or without its title, header or closing instructions, in a wrapping that starts other lines with the word
-"copyright". Made from the licence files of a Debian system, a Rust toolchain and installed packages whose words equal the public text.
+A variant is a text with or without its title, header or closing instructions, and with or without the line that names its
+own holder; how it is wrapped makes no difference. Made from the licence files of a Debian system and of installed packages
+whose words equal the public text.
 """
 
+# Fixed values.
 WHOLE = {
     "0BSD": """
         25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c
@@ -11,17 +13,55 @@ WHOLE = {
         9c842909bcc85365ba7f0d106fccdc3af51784431076174588a9832837ebf153
     """.split(),
     "Apache-2.0": """
-        1a597f64069bd4c14a5c5c0102b228acc7c197a1f56d028d9f5c7bcde827bfb5
-        2bed0a105dae867b47c428f8b5f21255872cc2500824cc72f4558f2770d2ac21
-        36bf4bc3f65a3a3715a27446fcc6e075c896e3b75cb615136b59a98da8c2d2c8
-        549f36b3cd6caea4822b9220c2517b80c016801f38a6be6ddd53925128681c42
-        54c8f8d45fa928931fba358c4257be32a25a6ba3c56cde749db4db1ea3cded2a
-        594673f8fe0542761280c31fa6f0d1eca9f491e533af6c2c1fef40b1c4229b47
-        8876b995617aee5920a9b859f3e62a4387fae7ed3636d02fe41743614b9e60d8
-        8bc274b78ed86c607ba1cda8907d306bdcd748d87218adf3dcc786d7f5be76c9
-        e80c728dad9283541363fd9f60e4c0527fadc838f92f45f514c14da7f0a481ad
-        e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca
-        ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100
+        025cf7b7a9bb6836d0ef257c123a98e9abd3fa8ff9507d1fcce6d68607a32a17
+        08565266bf770d4ec138a59c181cd46075a48eca66711dd97e8e0786f24bf78a
+        0eec64515e7e38084f934776353077fb35c3f1d46d0e18b92a69ce9f6494d1bd
+        0fbbbf257fb8f8b08e3fe0b61525f09c27656a29c6a14d10a51b7b70da7cdf10
+        1827f75f39f34eb1679997ac2337c60ab8f8618d1229688032ce4e857c269e0f
+        1eedbe0001e9dc1800040606668674372f6813381139caae5365be65dcfb2245
+        25914244b90a0a8d9e083f27357baf3ed31fe23d03c9e4f8b638742597a3726f
+        2fc89832bc599cdecdbc7dd1b9782e32a3312ed4104ac150cf23df20033ba725
+        31570c3d1fbd2565a47bdfcbe5aa47853f4a4d3f5c46de992de066d498ce9877
+        3265f21c248d6b0cad25100ebb948c3eb88a651619b12cc9b5c10acb966f59f1
+        344304e0a7798e1e248e14b43f0d4b2956701558f196ff5b01284bec0b478992
+        3db866cd4afc311800cde0e09874e0409a5184944a287bb1d3e321e7b5e84b6b
+        404c86ee1e21b585963a09a24030623551fed958baf1c83a20cdab2c402c4ab8
+        4086c00725c3053f3d930149fdbd9d6cfefc22c87fcc3fd4de955c308db9ce4a
+        4491bd3ebd0c4eb8eb7eae49c90ecbc0b351d4e6b917cd9f254e1c175bc39851
+        46c1182146aa21d2f75f782743fa268780565359f030b7f4310d305815f1ebb1
+        58564c0bdb0c4d1e4bf8dd25e03045f82b29b678f0935e3d2b33cc1cbffc3ca8
+        591853fb32d6f7f99e426034c5203488db670e950055997114e9498339f43583
+        5cf9baa8c6c9aae48ed1faae8dc40f433b07ee25c7c8147651f73eda0b6d8643
+        62eebac90a99ebe9b65918621fbf89fd5761ece3a6009bd4031fb0bc1e95884b
+        7089f88af4453d93877f22cbebe0fd6bcb7689065b125be2aba70a9e4852add9
+        7761a709f7fb0bd527bf7a80216f8ea2dd9e9ce5c7b0fa519340786eff65b868
+        8a8c76830ac7390fdef875de007dc27580090b94575d3f9e2b63957385b2b32b
+        8cae65b0643e953429f3ccbb9b3f224dde805de1f0a793c8a41c27fc1a650b85
+        95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184
+        9f27b958b24c27a80575949745c6667bb3c301eb49d77c17ba4e300e13682357
+        a4c0997584aa6c363c52f67170a85474ae59c6b1de545f24ee10ed494932e4f9
+        a8b216be504270c3c8cf4d3d6c6027ffacdafc7dd48ae25b9d6647c17b10bf1e
+        aaf00c5ff05abd08c4a565e9da7440ca5cb77c40fd8ba58f93b639c3a5eac45c
+        ab294a515448e179ea9bf628820d5db3622662bb88b9919204555f11fd2d3043
+        b1d2b4dfab003662e1836a5858bc799b878367797e3acda600aa0221bcacccf8
+        b2a66c9ffcbaf32db54d7f630a267ea560dbfc67f84e0da59db2c4bef45bdca6
+        b35b83acee1925f4ac31d46b381bc9d2c40dc1a05e2f34d5dabb988b86b42ab6
+        be83775e037244ac4a6fc92ca3240f22e10486ffe761bf0bdc1025bd59fd8f4d
+        be89523fa5e57bb5af0e34ecec7ada1b16895d72b10384f6fb555421c7042db1
+        c48b98294e6f276cc3788dbf602ea5e30d73d969b5191d6b9f4ea5b6c0b53ba9
+        c8c1d61893fe269118117851f26d10ecc4931f1d7673e4e2d580818016971c8c
+        d8221a4f10c01c6fa5390685929a5ce31d7264a024162fd3dd4d805c57ce0f43
+        dee4cd49ad25e9850370d106f77a31088c22adc423668af19504220fe5708858
+        e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2
+        e992d2f01c89f5ff9bd4faa80649dc4d2fffde205c5a6d682cedd15c18490870
+        ebe40dc9434bc23af62d751da3f595de94fc7bb7b80e37587d9beeb81152de9f
+        ee654ab99d80c75e04e4a020a5ff1fdcdad8e4a8873b7591e6132e73ae04b558
+        eef3392d3c9e1b5b629ad6593aa7006e536793663dbf9b05089ddb7adae7b1d6
+        f2bd408208f0ff7f37655b529a6c89721404e8c2d2a98baeb4b6adfca477f553
+        f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0
+        f5e6a8e3318878376a0fb15e2c7396ad50d635742d895cb50c20d1817c7bf6fe
+        fb3a809a381cdf54e7205fecb836793c32b7eff3ee8932eebea3c384102a5eef
+        ff93e325388a86634261eb580455b3fb6c8b85c829aee58abf916ec0f3c4d6dc
     """.split(),
     "BSD-2-Clause": """
         447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2
@@ -46,42 +86,42 @@ WHOLE = {
         e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6
     """.split(),
     "GFDL-1.2": """
-        37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f
-        549ffc3b9c640585ee066a9499e9ead4ec4a591c019ae356744daf1ba7341ec9
+        292b028a70f5d02d8af35de86bccfece18261230f118b98e599872b0762a48a4
+        94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60
     """.split(),
     "GFDL-1.3": """
-        1cc78f7e218f64b3011e2f8c4ca2e522fb79ad006483db2ac4c905a67bc91194
-        7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4
+        9c5ce247c584edabcc67759e6b66e362b9edb8815ce8209f9106e3a0c9a05581
+        a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826
     """.split(),
     "GPL-1.0": """
-        46319264a58748518f32a5ff23c9188b8caf35834e6ee964c65aef483ae2ba3a
-        5b1860f6f779185a0acdba8d5b6272d6064a6bfb60719bbce2ce706352f0c571
-        9caf042595280548f0149ac88169a7f2e04f35b2a642cf00b991f00d48bfa4ce
-        d44443d02f6f2732515c8b7bbdfa234508c65e2b74ffb4127f50b07b96738b69
+        8a9ccb74f73e459deea9ab73828583de1cd66754c9f8f0699cd2117a96b6b58c
+        94f221f7ad43b1b33c3c6730b9c18991dfc0c41e4d85f9f57372df73f1af1453
+        e145434be41b70cfaf05be9b52c8a0eae80de1f38ad11600053cc06ce15dc1c9
+        ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a
     """.split(),
     "GPL-2.0": """
-        0e6b6841f7ff31f8ea176cca0077fbed9ee811d541c1bf513af6229369e4cc18
-        26b186ce1f4fdff361ff7ac695515c93e0443b89c25a9c99149cbdbfc2e4f050
-        3adc5ce19828f5ac47f1145fbdc3c72eca9f51348941ee79a7c5dd5c47ac5e49
-        498f1e1424088e34b71d49ac66530232315f17b76c3acc4ff31d7b3624d4da08
-        bcda018d3580046ac9a0fb202fecaab056dae87ad488bf3eedf20ed8aa4aa361
-        c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88
-        e1b8f8df8bd4fb5c4025f578add7f212b086c2b1fef244828087b3dec2978515
+        1225d02cd36c293fc65ff6aedbed342e33fbb6ff556bc49cb670a60b6992e8c3
+        142f86c75ae88179551ad8d5119cd473a778ef0f1f65b03c3ecf92025b3bca2b
+        331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6
+        6edb7ac52aa23741b1a45887e789d251d854d9d9f38a78ac570cf8f812a37021
     """.split(),
     "GPL-3.0": """
-        2a2027b256f79a0032d79bc9c2787d125abf084b6ce05e4b83fc7e177cde589c
-        40f346cb66de2d05a54b24c1c85082c5387bb36d6258dadb27658d2b1f4bc7de
-        59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349
-        607c705f9768e313af3bc7846c6815e61bce971f831a5fd61344a150e8f32b08
-        615a945ca6e043e2f9f555b808687bd72ac958195ce0b922d2a0e0adc0b59d1f
-        69a19fa00710a84d83ec8e9bb9b15c7f42c9598b02028ac43f385e2eb740206b
-        b67ed0505c6cda8a9e78afbb7612dc2fb708edfd6852a34b420ffcc001336d21
-        e71b66412ea89bc23f6a13f117a8fb44b9a033af5dc1f8de2b89ba8472d5b187
-        f167c55a9caadeadf0f1e63f0411e741d9627c0ce120de3eaea1470ed7357d64
-        f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975
+        0472008b2e64866eb1db6471e76fc0cc3cf742180a15ea30a01655e5d9952441
+        04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3
+        15e592c3d73198c71da816696e6e5947f38a75ecfe2d7bbcefb03831ec147ac5
+        2461d3d0f596a2725cfabaa41b961da24609b4d95a683a706bb0d3fa879a7efc
+        4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19
+        4cc338380bb2967e4d510490b806892d86494ebc89aaf32a6dcbe03d33778e54
+        4cce0276d1e2d819f2e1424f32649f534f9e6cc39692bd483fdf1a41e1307999
+        4daf25711475345bba3326eb65ac074ad13b96798bf4bd295a284f56837f3ac0
+        9faf4f9b13ca844eeee37346a77dec74f558096ac2b418782a99c8afe4c772da
+        ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636
+        eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a
+        fc79b587f4a1d5e8d505a3215b6ad3e86560ec9288cb4ba7a7071caca7d815ce
     """.split(),
     "ISC": """
         217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a
+        22545e516c83831353f0541d130d7e8581032e9aa39abd000c66edd902324e63
         40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db
         6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6
         94b4e9f723d13830ec6a47b422738caee264943af1673fa32782cefd730ffc82
@@ -89,23 +129,26 @@ WHOLE = {
         f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee
     """.split(),
     "LGPL-2.0": """
-        0817fd97a311281fa51e445c6d901c5fe75e674dfe17d4ad9152106d942ba1c3
-        b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c
-        cbf8e71e87f3778e45849d701cfe603f64436e62f178a706b1d65fc5b6b10d36
-        ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c
+        504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260
+        61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908
+        9ccbf81e2fd78db81966e466a22ed39318d0a4b4550cd69d1144dcf09722ff10
+        9e78fa98415a9a8c863589ab742457328d22cd2319bbf585de04b27baf33a2be
     """.split(),
     "LGPL-2.1": """
-        042fc9875c67e716e642750ae988b639ccb840172e70b2cea03f9488332500c9
-        2931a100e356d04e777b4aeb4e12beb69a068a0241e910a149503049664ab2cc
-        294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e
-        963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c
-        e7d4e50364c90275136078734936009543e39f4d99b630bd53e11f2ec8a3bc75
-        f0a68e50210f1bfda37e1064b7d655985841264eebcdf84c02ed26d36ee7203d
-        f4386655d836546e78aecedc548a3fa5aa993b3cb673ed78f8811af94ef56a1c
+        48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4
+        4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891
+        52c77b0ef80800dedbe960f4c2357cdf12a08e6fd3749a0436f9cd31b4aeec49
+        5db6a0cf025514ea4a904dd0c2731b3a48aec5259d5f1ec782685806040d7b6a
+        9fadfea1201e84339afda70915d6d7fcc40b7f2795347e87ca66420b4032a473
+        a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15
+        e8569a0bd486071c6889615f7a331a9c15914f9f684e92e729d2b90d5bed08f9
+        f13ce8aa4b0cc0de7c3b73a95e705f217972ef8710e7c0a463342682e2e523de
     """.split(),
     "LGPL-3.0": """
         13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7
         aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be
+        ab1202917a49a52eb4671fc091c00933076c119053fff6e8b5849ca93d6b53b3
+        ae4df49d9036b60c1389330e0a93571e53b44fdd03bdd79be9aabfda093b4534
     """.split(),
     "MIT": """
         0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c
@@ -116,18 +159,22 @@ WHOLE = {
         6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127
         8e4bbd7a60af408266b0a72be93154a077d00f90eb24f3d44b2a3cb507f37bf2
         94dc2756aa068347d32bc82ecd9f7f309e2a0b433f62b5d2ea960fa9d4ded8fb
+        b231082d360c8acd5c69c2395f37e102297f2bf41fed4d545f1cbdcce0317456
         c6ad8e2d3c4b04b0c8e25afb5297d47ee7aa24eb5b7464ad26423d0d8f9a96cc
         d3d2377a4f4929323a897ad4791c8657e5692d49c7fe90e128ddc60854f3d1d2
         e0ec1133ffbb2b3ca539cd8d8bbc6938fd001480f955360a7068e62c83bf1782
         e21b30328b79ff6bb16439758098d08dcced48ec2d46045206a45d273e0e7537
+        f5ea3bff2e6ded3fc6d0913d507cf74b87b3cfd78329923e075ba81980803f13
     """.split(),
     "MPL-1.1": """
-        2d5de14e5398e6783abfab51c2d2f9c108c9615ec98800fe1587a74c749209f5
-        fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61
+        34386b9a926117ec1b973ef1b1ef8fba50be254811addc9f9659bcc5d5a096bf
+        979f7243204c7078aaa4d4e66ddf86160e3bfb3a2d6271273e461dc82f604699
+        a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b
+        cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6
     """.split(),
     "MPL-2.0": """
-        95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9
-        e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2
+        c0f855aacb6ac1c86bcdd1334db61014d14898798ae14888fea5446cbb9d32e3
+        f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a
     """.split(),
     "OFL-1.1": """
         948d415527029259156eea2eaaba34b15d472bf8b2e40c56a8cecf8d7a16786e

@@ -1,9 +1,10 @@
 """Licence scan: canonical digests of whole texts and of their lines, joined with digests of known licences.
 
-Canonical form: copyright lines go; A-Z is lower-cased; every run of characters that are neither letters nor
+Canonical form: lines that name a copyright holder go; A-Z is lower-cased; every run of characters that are neither letters nor
 digits is one blank; equivalent spellings become one; blanks at the ends go. A line's canonical form is
-hashed, and so is the whole text's, which is the blank-joined forms of its lines. Everything is DataFrame
-expressions; no text leaves the JVM.
+hashed, and so is the whole text's, which is the blank-joined forms of its lines, once without and once with its
+copyright lines: the second digest is the same however a text is wrapped, as it depends on its words alone. Everything is
+DataFrame expressions; no text leaves the JVM.
 
 Output, one row per distinct (id, text digest): doc_id, text_digest, whole_license (known text that is the whole
 document, or null), n_license_lines, licenses (known ids found, sorted, comma-joined).
@@ -27,7 +28,9 @@ SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"),
     ("favour", "favor"), ("merchantibility", "merchantability"), ("recognise", "recognize"), ("authorised", "authorized"), ("noncommercial", "non commercial"), ("https", "http"),
 ]
-COPYRIGHT = r"^[^a-z0-9]*(copyright|copr|\(c\)|©|all rights reserved)"
+#: A line that only names the holder: the word or mark with a year or another mark right after it, or the usual closing words alone.
+YEAR = r"([12][0-9]{3}|19yy|[<\[({]?(year|yyyy)|\(c\)|©)"
+COPYRIGHT = rf"^[^a-z0-9(©]*((copyright|copr[.]?|\(c\)|©)[ \t]*{YEAR}|all rights reserved[^a-z0-9]*$)"
 OTHER = r"[^a-z0-9\x80-\x{10FFFF}]+"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -45,17 +48,26 @@ KNOWN = {
 }
 
 
+def lowered(line: Column) -> Column:
+    return F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def canonical(line: Column) -> Column:
-    """Canonical form of one line; empty for a copyright line."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.concat(F.lit(" "), F.regexp_replace(low, OTHER, "  "), F.lit(" "))
+    """Canonical form of one line."""
+    out = F.concat(F.lit(" "), F.regexp_replace(lowered(line), OTHER, "  "), F.lit(" "))
     for odd, usual in SPELLINGS:
         out = F.replace(out, F.lit(f" {odd} "), F.lit(f" {usual} "))
-    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(out, " +", " ")))
+    return F.trim(F.regexp_replace(out, " +", " "))
 
 
 def canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical), lambda x: x != "")
+    """Canonical lines that have a word, each with whether it only names the copyright holder."""
+    one = lambda x: F.struct(canonical(x).alias("line"), lowered(x).rlike(COPYRIGHT).alias("holder"))
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one), lambda x: x["line"] != "")
+
+
+def body(lines: Column) -> Column:
+    return F.transform(F.filter(lines, lambda x: ~x["holder"]), lambda x: x["line"])
 
 
 def digest_of(lines: Column) -> Column:
@@ -66,7 +78,7 @@ def known_table(docs: DataFrame, known: dict[str, list[str]], whole: dict[str, l
     """digest, license: one row per distinct pair of fixed lists of texts and of digests."""
     rows = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(k).alias("license")) for k, texts in known.items() for t in texts])
     one = docs.sparkSession.range(1).select(F.inline(rows))
-    names = one.select(digest_of(canonical_lines(F.col("text"))).alias("digest"), "license")
+    names = one.select(digest_of(body(canonical_lines(F.col("text")))).alias("digest"), "license")
     if whole:
         pairs = F.split(F.lit(" ".join(f"{d}:{k}" for k, digests in whole.items() for d in digests)), " ")
         pair = docs.sparkSession.range(1).select(F.explode(pairs).alias("p"))
@@ -81,12 +93,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = texts.select(
         "doc_id",
-        let(canonical_lines(F.col("text")), lambda x: F.struct(digest_of(x).alias("whole"), F.transform(x, lambda s: F.sha2(s, 256)).alias("lines"))).alias("d"),
+        let(canonical_lines(F.col("text")), lambda x: F.struct(
+            digest_of(body(x)).alias("whole"), digest_of(F.transform(x, lambda s: s["line"])).alias("every"), F.transform(body(x), lambda s: F.sha2(s, 256)).alias("lines"),
+        )).alias("d"),
     )
-    # The whole text and every line, each once per row; a text of one line is both.
+    # The whole text, with its copyright lines too where it has some, and every line, each once per row; a text of one line is both.
+    unit = lambda whole, digest: F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
     units = hashed.select("doc_id", F.col("d.whole").alias("text_digest"), F.explode(F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), F.col("d.whole").alias("digest"))),
-        F.transform("d.lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))),
+        F.array(unit(True, F.col("d.whole"))),
+        F.filter(F.array(unit(True, F.col("d.every"))), lambda x: x["digest"] != F.col("d.whole")),
+        F.transform("d.lines", lambda x: unit(False, x)),
     )).alias("u")).select("doc_id", "text_digest", "u.whole", "u.digest")
     found = units.join(names, "digest", "left").filter("whole or license is not null")
     once = found.groupBy("doc_id", "text_digest", "whole", "digest", "license").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pitpanel.llm.bin_packing import packed
 from pitpanel.llm.decontaminate import contamination
 from pitpanel.llm.language_id import languages
+from pitpanel.llm.license_digests import WHOLE
 from pitpanel.llm.license_scan import COPYRIGHT, KNOWN, OTHER, SPELLINGS, license_scan
 from pitpanel.llm.lm_score import scores
 from pitpanel.llm.merkle_manifest import fold, hexed, manifest, row_digest, siblings_hex
@@ -190,7 +191,7 @@ def canonical_sql(line: str) -> str:
     out = f"' ' || regexp_replace({low}, '{OTHER}', '  ', 'g') || ' '"
     for odd, usual in SPELLINGS:
         out = f"replace({out}, ' {odd} ', ' {usual} ')"
-    return f"CASE WHEN regexp_matches({low}, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace({out}, ' +', ' ', 'g')) END"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g')) AS c, regexp_matches({low}, '{COPYRIGHT}') AS holder"
 
 
 def quoted(s: str) -> str:
@@ -199,20 +200,24 @@ def quoted(s: str) -> str:
 
 OP1_OTHER = OTHER.replace(r"\x80", r"\x{80}")
 OP1_LINES = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i"
+#: The same two lists of texts and of digests that the query joins with.
 OP1_SQL = rf"""
 WITH known AS (
-  SELECT license, {canonical_sql('line')} AS c, i, k
+  SELECT license, {canonical_sql('line')}, i, k
   FROM (SELECT license, k, {OP1_LINES} FROM (VALUES {', '.join(f"({quoted(k)}, {n}, {quoted(t)})" for n, (k, t) in enumerate((k, t) for k, v in KNOWN.items() for t in v))}) AS v(license, k, text))
 ), names AS (
-  SELECT DISTINCT license, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM known WHERE c <> '' GROUP BY license, k
+  SELECT license, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM known WHERE c <> '' AND NOT holder GROUP BY license, k
+  UNION
+  SELECT license, digest FROM (VALUES {', '.join(f"({quoted(k)}, '{d}')" for k, v in WHOLE.items() for d in v)}) AS w(license, digest)
 ), l AS (
-  SELECT doc_id, i, {canonical_sql('line')} AS c FROM (SELECT doc_id, {OP1_LINES} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+  SELECT doc_id, i, {canonical_sql('line')} FROM (SELECT doc_id, {OP1_LINES} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
 ), d AS (
-  SELECT doc_id, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '')) AS text_digest FROM l GROUP BY 1
+  SELECT doc_id, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> '' AND NOT holder), '')) AS text_digest,
+         sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '')) AS every_digest FROM l GROUP BY 1
 ), hit AS (
-  SELECT doc_id, license, false AS whole FROM l JOIN names ON sha256(c) = digest WHERE c <> ''
+  SELECT doc_id, license, false AS whole FROM l JOIN names ON sha256(c) = digest WHERE c <> '' AND NOT holder
   UNION ALL
-  SELECT doc_id, license, true FROM d JOIN names ON text_digest = digest
+  SELECT doc_id, license, true FROM d JOIN names ON digest IN (text_digest, every_digest)
 ), h AS (
   SELECT doc_id, count(*) FILTER (WHERE NOT whole) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
          string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE whole) AS w FROM hit GROUP BY 1

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import random
 import re
 from pathlib import Path
@@ -7,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import SF, documents
+from pyspark.sql import functions as F
+
 from pitpanel.llm import decontaminate as dc, license_scan as ls, quality_ledger as ql, secret_tags as st
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -162,3 +165,21 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     got = {r.doc_id: r for r in ls.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert {k: r.whole_license for k, r in got.items()} == {k: want[k] for k, _ in rows}
     assert all(r.licenses == (r.whole_license or "") for r in got.values())
+
+
+def test_wrapping_does_not_matter(spark):
+    """Every shipped licence at widths from 40 to 120 columns."""
+    own = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "MPL-1.1": "MPL-1.1"}
+    texts = {k: p.read_text() for k in own if (p := Path("/usr/share/common-licenses", k)).exists()} | {"MIT": "Copyright (c) 2020 A. Person\n\n" + ls.MIT}
+    wrap = lambda t, w: "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), w)) for p in t.split("\n\n"))
+    rows = [(f"{k}:{w}", wrap(t, w)) for k, t in texts.items() for w in range(40, 121, 8)]
+    got = {r.doc_id: r.whole_license for r in ls.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: v for i, v in got.items() if v != own.get(i.split(":")[0], "MIT")} == {}
+
+
+def test_only_holder_lines_are_copyright_lines(spark):
+    yes = ["Copyright (c) 2020 A. Person", "  // Copyright 2019, B", "# (C) 2001 C", "Copyright © The Regents", "All rights reserved.", "Copyright (C) <year>  <name of author>", "Copyright [yyyy] [name]"]
+    no = ["copyright notice and this permission notice", "copyright holder, and you cure", "(c) You must retain", "Copyright Holder, but only", "all rights reserved by the state"]
+    df = spark.createDataFrame([(x,) for x in yes + no], "t string")
+    got = [r.t for r in df.where(ls.lowered(F.col("t")).rlike(ls.COPYRIGHT)).collect()]
+    assert sorted(got) == sorted(yes)
