@@ -30,14 +30,17 @@ from pitpanel.llm import arrowtext as at
 #: The pages have no capture time; a table that has one names its column.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-# What is cut out, what starts a line, what is read for the metadata.
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+# What is cut out, what starts a line, what is read for the metadata. No pattern looks for its end from every beginning:
+# ends are searched for once, as a page of beginnings without ends would otherwise take quadratic time.
+HIDDEN = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+HIDDEN_END = {k: re.compile(e, re.I) for k, e in {"": "-->", **{t: rf"</{t}\s*>" for t in ("script", "style", "template", "noscript")}}.items()}
 LINE = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|title|head|body|html)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TITLE, TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+HTML, LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+META, CHARSET = re.compile(r"<meta\b", re.I), re.compile(r"\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
+ANCHOR, HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+BARE = re.compile(r"[^\s>]+")
 BLANKS = re.compile(r"[^\S\n]+")
 COLUMNS = "record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, header string, block string"
 
@@ -57,22 +60,84 @@ def one_line(s: str) -> str:
     return " ".join(s.split())
 
 
-def plain_text(page: str) -> str:
-    """Visible text: one line per block, blanks collapsed, entities decoded."""
-    body = TAG.sub("", LINE.sub("\n", HIDDEN.sub(" ", page)))
+def shown(page: str) -> str:
+    """The page with a blank for each comment and each element that is not shown; those without an end stay."""
+    out, at_, missing, pos = [], 0, set(), 0
+    while m := HIDDEN.search(page, pos):
+        kind = (m[1] or "").lower()
+        end = None if kind in missing else HIDDEN_END[kind].search(page, m.end())
+        if end is None:  # nor for a later beginning
+            missing.add(kind)
+            pos = m.end()
+            continue
+        out += [page[at_ : m.start()], " "]
+        at_ = pos = end.end()
+    return "".join(out) + page[at_:]
+
+
+def plain_text(seen: str) -> str:
+    """Text of a shown page: one line per block, blanks collapsed, entities decoded."""
+    last = seen.rfind(">") + 1  # behind it no tag ends
+    body = TAG.sub("", LINE.sub("\n", seen[:last])) + seen[last:]
     lines = (BLANKS.sub(" ", x).strip() for x in html_lib.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def fields(page: str, url: str | None) -> str:
-    """Body of the metadata record: application/warc-fields, one outlink per line."""
-    seen = HIDDEN.sub(" ", page)
+def tags(seen: str, opening: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(after the name, end) of each tag; one that begins inside another is part of it."""
+    pos = 0
+    while m := opening.search(seen, pos):
+        pos = seen.find(">", m.end())
+        pos = len(seen) if pos < 0 else pos
+        yield m.end(), pos
+
+
+def attribute(seen: str, opening: re.Pattern, pattern: re.Pattern) -> str | None:
+    for i, j in tags(seen, opening):
+        if m := pattern.search(seen, i, j):
+            return m[1]
+    return None
+
+
+def title(seen: str) -> str | None:
+    m = TITLE.search(seen)
+    begin = seen.find(">", m.end()) + 1 if m else 0
+    end = TITLE_END.search(seen, begin) if begin else None
+    return seen[begin : end.start()] if end else None
+
+
+def links(seen: str) -> Iterator[str]:
+    """Addresses of all anchors, quoted or bare."""
+    quotes = {'"', "'"}  # those that are still to come
+    pos = 0
+    while m := ANCHOR.search(seen, pos):
+        end = seen.find(">", m.end())
+        end = pos = len(seen) if end < 0 else end
+        i = m.end()
+        while h := HREF.search(seen, i, end):
+            i = h.end()
+            quote = seen[i] if i < len(seen) and seen[i] in quotes else None
+            if quote:
+                close = seen.find(quote, i + 1)
+                if close >= 0:
+                    yield seen[i + 1 : close]
+                    pos = close + 1
+                    break
+                quotes.discard(quote)
+            if bare := BARE.match(seen, i):
+                yield bare[0]
+                pos = bare.end()
+                break
+
+
+def fields(seen: str, url: str | None) -> str:
+    """Body of the metadata record of a shown page: application/warc-fields, one outlink per line."""
     out = []
-    for name, pattern in (("title", TITLE), ("language", LANG), ("charset", CHARSET)):
-        if m := pattern.search(seen):
-            out.append(f"{name}: {one_line(html_lib.unescape(m[1]))}")
-    for m in LINK.finditer(seen):
-        link = one_line(html_lib.unescape(m[1] or m[2] or m[3] or ""))
+    for name, value in (("title", title(seen)), ("language", attribute(seen, HTML, LANG)), ("charset", attribute(seen, META, CHARSET))):
+        if value is not None:
+            out.append(f"{name}: {one_line(html_lib.unescape(value))}")
+    for link in links(seen):
+        link = one_line(html_lib.unescape(link))
         if url:
             try:
                 link = urljoin(url, link)
@@ -85,10 +150,10 @@ def fields(page: str, url: str | None) -> str:
 def records(page_id: str, url: str | None, page: str | None, date: str, source: str) -> list[dict]:
     payload = (page or "").encode()
     response = identifier(b"response", page_id.encode(), (url or "").encode(), payload)
-    out = []
+    out, seen = [], shown(page or "")
     for kind, content_type, block in (
-        ("metadata", "application/warc-fields", fields(page or "", url)),
-        ("conversion", "text/plain; charset=UTF-8", plain_text(page or "")),
+        ("metadata", "application/warc-fields", fields(seen, url)),
+        ("conversion", "text/plain; charset=UTF-8", plain_text(seen)),
     ):
         data = block.encode()
         record = {

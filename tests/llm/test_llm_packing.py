@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 import random
+import time
+import re
 import zlib
 from pathlib import Path
 
@@ -178,3 +180,34 @@ def test_warc_over_pages(spark):
     found = wd.derivatives(pages)
     assert found.count() == 2 * pages.count() and found.select("record_id").distinct().count() == 2 * pages.dropDuplicates(["page_id", "url", "html"]).count()
     assert not [r for r in found.filter("record_type = 'conversion'").collect() if "<script" in r.block or "</p>" in r.block]
+
+
+OLD_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
+OLD_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+OLD_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+OLD_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+
+
+def test_scanners_equal_plain_patterns():
+    """On random soups of the pieces that tags are made of."""
+    rng = random.Random(8)
+    bits = ["<a ", "<a", "href=", "href", "=", '"', "'", ">", " ", "x", "</a>", "<!--", "-->", "<script", "</script >", "<style>", "</style>", "<html ", "lang=", "en", "<title", "</title>", "\n", "<p>", "/y"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
+        seen = OLD_HIDDEN.sub(" ", page)
+        assert wd.shown(page) == seen, page
+        assert list(wd.links(seen)) == [m[1] or m[2] or m[3] or "" for m in OLD_LINK.finditer(seen)], seen
+        m = OLD_LANG.search(seen)
+        assert wd.attribute(seen, wd.HTML, wd.LANG) == (m and m[1]), seen
+        m = OLD_TITLE.search(seen)
+        assert wd.title(seen) == (m and m[1]), seen
+        assert wd.TAG.sub("", wd.LINE.sub("\n", seen)) == wd.TAG.sub("", wd.LINE.sub("\n", seen[: seen.rfind(">") + 1])) + seen[seen.rfind(">") + 1 :]
+
+
+@pytest.mark.parametrize("opening", ["<script ", "<!-- ", "<a href ", "<html lang ", "<meta charset ", "<title ", "<div ", "<a href=\"x ", "</script "])
+def test_pages_of_openings_end_in_seconds(opening):
+    page = opening * (5_000_000 // len(opening))
+    began = time.perf_counter()
+    seen = wd.shown(page)
+    wd.plain_text(seen), wd.fields(seen, "http://a/b")
+    assert time.perf_counter() - began < 20
