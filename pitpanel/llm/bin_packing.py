@@ -10,7 +10,9 @@ Pieces are dealt at random into groups of about GROUP, so that no task holds mor
 packed on its own and wastes at most a part of one sequence. In a group the start is best-fit decreasing. Then
 the emptiest sequence hands its pieces on: a piece moves where it fits, or one piece is exchanged for a shorter
 one, one for two shorter ones, or two for one shorter one of a fuller sequence. Each step raises the sum of
-squared fills, until the sequence is empty or no step is left.
+squared fills, until the sequence is empty or no step is left. All pieces and all pairs of two sequences are weighed, by
+their lengths. The search of a group ends when it uses the least number of sequences that could hold its tokens, when every
+open sequence was tried, or when PATIENCE of them in a row could not be emptied.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ class Bins:
         self.fill: list[int] = []
         self.free: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.mask = 0
+        self.known: dict[int, tuple] = {}
 
     def place(self, b: int) -> None:
         slack = self.capacity - self.fill[b]
@@ -50,6 +53,7 @@ class Bins:
 
     def change(self, b: int, gone: tuple[int, ...], come: tuple[int, ...]) -> None:
         self.lift(b)
+        self.known.pop(b, None)
         self.items[b].difference_update(gone)
         self.items[b].update(come)
         self.fill[b] += sum(self.length[i] for i in come) - sum(self.length[i] for i in gone)
@@ -83,37 +87,65 @@ class Bins:
                 return False
         return True
 
+    def sums(self, b: int) -> tuple[dict[int, int], dict[int, tuple[int, int]], int, int]:
+        """Of one sequence: a piece by length, two pieces by summed length, and both sets of lengths as bit masks.
+
+        Pieces of one length are as good as each other, so one (or two, for a pair of them) stands for all; there are at most
+        `capacity` sums, and no pair is left out.
+        """
+        if b not in self.known:
+            by: dict[int, list[int]] = {}
+            for i in self.items[b]:
+                by.setdefault(self.length[i], []).append(i)
+            one = {n: own[0] for n, own in by.items()}
+            two = {m + n: (one[m], one[n]) for m, n in combinations(by, 2)} | {2 * n: (own[0], own[1]) for n, own in by.items() if len(own) > 1}
+            self.known[b] = one, two, sum(1 << n for n in one), sum(1 << n for n in two)
+        return self.known[b]
+
     def step(self, victim: int) -> bool:
-        own = sorted(self.items[victim], key=lambda i: -self.length[i])
-        for a in own:
+        """A move of the victim's longest piece that fits elsewhere, or else the exchange that fills another sequence most.
+
+        All exchanges of one for one, two for one and one for two with every fuller sequence are weighed; the search stops
+        early only at one that fills a sequence to the end.
+        """
+        for a in sorted(self.items[victim], key=lambda i: -self.length[i]):
             b = self.tightest(self.length[a], victim)
             if b >= 0:
                 self.change(victim, (a,), ()), self.change(b, (), (a,))
                 return True
-        give = [(self.length[a], (a,)) for a in own] + [(self.length[a] + self.length[c], (a, c)) for a, c in combinations(own[:8], 2)]
-        best = (0, -1, (), ())
+        one, two, ones, twos = self.sums(victim)
+        best = (0, -1, 0, 0, False)  # gain, sequence, length given, length got back, whether that is a pair
         m = self.mask & ~1
         while m:
             slack = (m & -m).bit_length() - 1
             m &= m - 1
-            # A slack gives a gain of at most its size: search the largest ones last, and stop at the first full use.
+            if slack <= best[0]:
+                continue
+            room = (1 << slack) - 1
             for b in self.free[slack]:
                 if b == victim or self.fill[b] < self.fill[victim]:
                     continue
-                take = [(self.length[x], (x,)) for x in self.items[b]]
-                if len(self.items[b]) <= 16:
-                    take += [(self.length[x] + self.length[y], (x, y)) for x, y in combinations(self.items[b], 2)]
-                for size, pieces in give:
-                    for other, back in take:
-                        gain = size - other
-                        if best[0] < gain <= slack and len(pieces) + len(back) <= 3:
-                            best = (gain, b, pieces, back)
+                their_one, _, _, their_twos = self.sums(b)
+                for n in their_one:  # one or two of ours for one of theirs: the largest gain up to the slack
+                    gain = ((ones | twos) >> (n + 1) & room).bit_length()
+                    if gain > best[0]:
+                        best = (gain, b, n + gain, n, False)
+                for n in one:  # one of ours for two of theirs: the smallest sum not under n - slack
+                    low = max(0, n - slack)
+                    back = their_twos >> low
+                    if back:
+                        got = low + (back & -back).bit_length() - 1
+                        if n - got > best[0]:
+                            best = (n - got, b, n, got, True)
                 if best[0] == slack:
                     m = 0
                     break
-        gain, b, pieces, back = best
+        gain, b, give, got, pair = best
         if b < 0:
             return False
+        pieces = (one[give],) if give in one else two[give]
+        their_one, their_two, _, _ = self.sums(b)
+        back = their_two[got] if pair else (their_one[got],)
         self.change(victim, pieces, back), self.change(b, back, pieces)
         return True
 
