@@ -16,7 +16,7 @@ from pitpanel.llm.periodic_runs import periodic_runs
 from pitpanel.llm.piece_spans import encoded
 from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
-from pitpanel.llm.token_matrix import packed_rows
+from pitpanel.llm.token_matrix import packed_shards
 from pitpanel.llm.warc_derivatives import derivatives
 
 QUERIES: dict = {}
@@ -182,8 +182,8 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     import public_tokenizers
 
-    rows = packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
-    return rows.select("shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("ids").alias("ids_crc32"))
+    found = packed_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return found.select("shard", "n_rows", "n_pieces", "n_tokens", *[F.crc32(c).alias(f"{c}_crc32") for c in ("ids", "positions", "cu_seqlens")])
 
 
 def canonical_sql(line: str) -> str:
