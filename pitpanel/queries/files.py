@@ -8,10 +8,10 @@ from pitpanel import testdata as td
 from pitpanel.operators import calibrate as cp
 from pitpanel.plans import blocks as fb
 from pitpanel.plans import project as pj
-from pitpanel.queries import query
+from pitpanel.queries import blocks as bq, query, steady, steady_sql
 from pitpanel.queries.blocks import _LITERAL, _league, _team
 from pitpanel.queries.calibration import _APPLY, with_availability
-from pitpanel.session import scratch_path
+from pitpanel.session import materialise, scratch_path
 from pitpanel.sources import feeds, groups, sinks, tables
 
 
@@ -26,17 +26,25 @@ def _(spark, sf):
     return tables.csv_overlay(spark, path, "stadium_id long, name string, altitude_m double")
 
 
+SNAPSHOT_ROWS = 5_000
+
+
 @query("snapshot_history_scan", "SRC10 SF24", f"""WITH {td.EVENTS}
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS scraped_at, 'User ' || CAST(user_id AS VARCHAR) AS player, event_type AS stat, k + 0.5E0 AS line,
  CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start_at FROM ev""")
 def _(spark, sf):
-    """One JSON file per day of events, as a feed keeps its revisions, read back with their text timestamps."""
+    """JSON files of events by day, as a feed keeps its revisions, read back with their text timestamps.
+
+    A day's events are dealt over as many files as keep each under SNAPSHOT_ROWS on average, so no value grows with the day.
+    """
     path = scratch_path(spark, "snapshots")
-    e = td.events(spark, sf).select(F.to_date("ts").alias("day"), F.to_json(F.struct(
+    days = td.events(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    files = -(-(days.agg(F.max("n")).first()[0] or 1) // SNAPSHOT_ROWS)
+    e = td.events(spark, sf).select(F.to_date("ts").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(files)).alias("part"), F.to_json(F.struct(
         F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("player"), F.col("event_type").alias("stat"),
         (F.col("k") + 0.5).cast("string").alias("line"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startTimeIso"),
     )).alias("prop"))
-    files = e.groupBy("day").agg(F.collect_list("prop").alias("props")).select(
+    files = e.groupBy("day", "part").agg(F.collect_list("prop").alias("props")).select(
         "day", F.concat(F.lit('{"scrapedAt":"'), F.date_add("day", 1).cast("string"), F.lit('T00:00:00Z","props":['), F.array_join("props", ","), F.lit("]}")).alias("value")
     )
     files.write.partitionBy("day").text(path)
@@ -68,14 +76,36 @@ def _(spark, sf):
     return r.withColumn("place", place).orderBy("team", "place", "gsis_id")
 
 
-@query("feature_build_all", "FB12 FB14 FB15 PF18 SO1")
+def _every_feature_sql() -> str:
+    """The blocks' SQL side by side: entity windows, posteriors, rival and cohort, group and rival."""
+    vol = [*bq._VOL, *[c for c in fb.ZONE_STATS if c in td.BOX]]
+    s4, t7, r4 = fb.ALLOWED_STATS, fb.TEAM_STATS, fb.RIVAL_STATS
+    level = lambda p: f"{_LITERAL[p]}E0" if isinstance(p, str) else f"{p}E0"
+    post = ", ".join(f"{steady_sql(bq._post(n, d, level(p)[:-2], fb.SHRINK_K[k]))} AS {name}" for name, (n, d, p, k) in {**fb.EFFICIENCY, **fb.SHARES}.items())
+    dvp = ", ".join(f"{steady_sql(f'(s_{c} + p_{c} * 12.0E0) / (n + 12.0E0)')} AS f_dvp_{c}" for c in s4)
+    team = ", ".join(f"{steady_sql('g.p_' + c)} AS f_team_prior_{c}, {steady_sql('g.q_' + c)} AS f_team_r4_{c}" for c in t7)
+    centred = steady_sql("g.p_off_proe - (SELECT v FROM lg WHERE lg.season = (SELECT max(season) FROM lg x WHERE x.season < g.season))")
+    opp = ", ".join(f"{steady_sql('o.o_' + c)} AS f_opp_prior_{c}" for c in r4)
+    return f"""WITH {bq._TW}{bq._PAN}{bq._DVP[len(td.PANEL):]},
+en AS (SELECT season, week, game_id, gsis_id, team, opponent_team, position, count(*) OVER c AS f_games_prior, count(*) OVER e AS f_games_prior_season,
+  {", ".join(x for v in vol for x in bq._hist(v))}, {post} FROM panel {bq._WIN})
+SELECT p.* EXCLUDE (team, opponent_team, position), {dvp}, {team}, {centred} AS f_team_proe_centered, {opp}
+FROM en p JOIN aw ON p.game_id = aw.game_id AND p.opponent_team = aw.def_team AND p.position = aw.position AND p.season = aw.season AND p.week = aw.week
+JOIN ep ON ep.position = p.position AND ep.season = p.season LEFT JOIN th g ON p.game_id = g.game_id AND p.team = g.team LEFT JOIN th o ON p.game_id = o.game_id AND p.opponent_team = o.team"""
+
+
+_EXACT = ("f_games", "f_career_", "f_r3_", "f_r8_", "f_std_")
+
+
+@query("feature_build_all", "FB12 FB14 FB15 PF18 SO1", _every_feature_sql())
 def _(spark, sf):
-    """Every feature column of every default block, in event order; the blocks' own queries hold them to SQL."""
+    """Every feature column of every default block and the zone counts, in event order."""
     from pitpanel.operators.shape import rank_cap
 
     t = _team(spark, sf)
-    h = fb.build(rank_cap(td.panel(spark, sf)), t, _league(t), _LITERAL, fb.Config(zone=True))
-    return h.select("season", "week", "game_id", "gsis_id", *[c for c in h.columns if c.startswith("f_")]).orderBy("season", "week", "game_id", "gsis_id")
+    h = fb.build(rank_cap(materialise(td.panel(spark, sf), "panel")), t, _league(t), _LITERAL, fb.Config(zone=True))
+    out = h.select("season", "week", "game_id", "gsis_id", *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in h.columns if c.startswith("f_")])
+    return out.orderBy("season", "week", "game_id", "gsis_id")
 
 
 _GROUP_VALUES = ", ".join(f"('{k}', '{c}', '{d}')" for k, (_, c, d) in groups.GROUPS.items())

@@ -261,6 +261,23 @@ def _(spark, sf):
     return sinks.read_latest(spark, path).select("c_custkey", "c_acctbal", "built")
 
 
+@query("keyed_store_writes", "SNK4 SNK5", """SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderdate >= '1999-01-01' THEN 'new' ELSE 'old' END AS built FROM (
+ SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1
+ UNION ALL SELECT c_custkey, NULL, NULL, 'none' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def _(spark, sf):
+    """Two upserts into hash buckets under a manifest, then the customers that the table lacks."""
+    from pitpanel.sources import keyed
+
+    o = td.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    o = o.withColumn("built", F.when(F.col("o_orderdate") >= "1999-01-01", "new").otherwise("old"))
+    path = scratch_path(spark, "keyed")
+    for some in (o.where("built = 'old'"), o.where("built = 'new'")):
+        keyed.upsert(some, path, ["o_custkey"], ["o_orderdate", "o_orderkey"], buckets=16)
+    every = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    keyed.add_missing(every, path, ["o_custkey"], lambda d: d.withColumn("built", F.lit("none")))
+    return keyed.read(spark, path).select("o_custkey", "o_orderkey", "o_totalprice", "built")
+
+
 @query("board_save_by_period", "SNK6 WN14", f"""WITH {td.EVENTS}, l AS (SELECT event_id, concat('user ', user_id) AS name, event_type AS stat_type, CASE WHEN k % 3 = 0 THEN 'standard' ELSE 'demon' END AS odds_type, ts, 2024 AS season, CAST(day(ts) AS INTEGER) AS week FROM ev)
 SELECT season, week, event_id FROM (SELECT *, row_number() OVER (PARTITION BY season, week, name, stat_type ORDER BY CASE odds_type WHEN 'standard' THEN 0 ELSE 1 END, CASE WHEN event_id < 5000 THEN 0 ELSE 1 END DESC, ts DESC, event_id DESC) AS rn FROM l) WHERE rn = 1""")
 def _(spark, sf):

@@ -48,3 +48,13 @@ SELECT start, event_type, count(*) AS n FROM s GROUP BY 1, 2""")
 def _(spark, sf):
     got = jobs.window_counts(stamped(stream(spark, sf)), "ts", ["event_type"], "2 hours", "1 hour")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("stream_session_bursts", "SM3", f"""WITH {td.EVENTS},
+g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM i GROUP BY user_id, k""")
+def _(spark, sf):
+    """Bursts of each user's events with half an hour between them, those still open at the end of the stream included."""
+    got = jobs.session_bursts(stamped(stream(spark, sf)).select("user_id", "ts"), "ts", ["user_id"], "30 minutes")
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pitpanel.operators.joins import asof
 from pitpanel.session import scratch_path
+from pitpanel.sources import keyed
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -70,24 +71,23 @@ def assign_periods(
 def freeze_stream(lines: DataFrame, keys: list[str], order: list[str], home: str | None = None) -> DataFrame:
     """First-seen record of a line stream.
 
-    Each batch keeps its first row per key and drops keys frozen by earlier batches. Keys never
+    Each batch keeps its first row per key and adds those whose key the store lacks: it reads the keys of its own hash
+    buckets only and rewrites nothing. A batch that is repeated after a crash finds its number in the store. Keys never
     expire; use ``freeze_expiring`` when they may.
     """
     from pitpanel.operators.windows import first_seen
 
     spark = lines.sparkSession
     checkpoint, out = _home(lines, "frozen", home)
-    stored = T.StructType([*lines.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def write(df: DataFrame, batch_id: int) -> None:
-        new = first_seen(df, keys, order)
-        if batch_id > 0:
-            earlier = spark.read.schema(stored).parquet(out)
-            new = new.join(earlier.where(F.col("batch") < batch_id).select(*keys).distinct(), keys, "left_anti")
-        new.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        done = keyed.manifest(spark, out)
+        if done is None or done.note.get("batch", -1) < batch_id:
+            keyed.add_missing(first_seen(df, keys, order), out, keys, note={"batch": batch_id})
 
     _run(lines, checkpoint, write)
-    return spark.read.parquet(out).drop("batch")
+    found = keyed.read(spark, out)
+    return spark.createDataFrame([], lines.schema) if found is None else found.select(*lines.columns)
 
 
 def freeze_expiring(lines: DataFrame, keys: list[str], ts: str, horizon: str = "14 days", home: str | None = None) -> DataFrame:
@@ -118,10 +118,11 @@ def window_counts(events: DataFrame, ts: str, by: list[str], width: str, slide:
     return done.groupBy("start", *by).agg(F.max_by("n", "batch").alias("n"))
 
 
-def session_bursts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 day", home: str | None = None) -> DataFrame:
-    """Bursts of updates per key separated by at least the gap; emitted once the watermark passes.
+def session_bursts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 day", home: str | None = None, flush: bool = True) -> DataFrame:
+    """Bursts of updates per key separated by at least the gap, the last burst of every key included.
 
-    Bursts that are still open at the end of a run come out of a later run with the same home.
+    The stream emits a burst once the watermark passes it. Bursts that are still open when the run ends are read from the
+    state that it left; a later run with the same home goes on with them. With ``flush`` off they are left to that run.
     """
     spark = events.sparkSession
     checkpoint, out = _home(events, "bursts", home)
@@ -132,4 +133,10 @@ def session_bursts(events: DataFrame, ts: str, by: list[str], gap: str, late: st
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
     )
     _run(agg, checkpoint, _batch_sink(out), "append")
-    return spark.read.schema(agg.schema).parquet(out)
+    closed = spark.read.schema(agg.schema).parquet(out).select(*agg.columns)
+    if not flush:
+        return closed
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    window = next(c for c, t in state.dtypes if t.startswith("struct<start:"))
+    count = next(c for c in reversed(state.columns) if c.startswith("count"))
+    return closed.unionByName(state.select(F.col(window)["start"].alias("start"), F.col(window)["end"].alias("end"), *by, F.col(count).alias("n")))
