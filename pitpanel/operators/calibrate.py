@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pitpanel.functions.prob import posterior
+from pitpanel.functions.prob import apply_level, posterior
 from pitpanel.operators.aggregates import ratio
 from pitpanel.operators.ordered import quantiles
 from pitpanel.operators.windows import equal_count_bins, quantile_bins
@@ -233,3 +233,22 @@ def side_picking(df: DataFrame, keys: list[str], lean_over: Column, actual_over:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.greatest(over, 1.0 - over).alias("common_side")
     ).withColumn("edge_pts", 100 * (F.col("accuracy") - F.col("common_side")))
+
+
+def cross_fitted(history: DataFrame, era="era", target="target", pred="pred", actual="actual", tie=("game_id", "gsis_id"), hot_rows=None) -> tuple[DataFrame, DataFrame]:
+    """(level maps, ratio tables) per (target, era), each from the predictions of earlier eras alone.
+
+    history: out-of-sample predictions with era, target, pred, actual. The table of an era is made of ratios to predictions
+    that went through that era's own map, so nothing of the era or after it is in either. An era without rows before it has none.
+    """
+    key, kinds = "__fold", dict(history.dtypes)
+    rows = history.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(target, F.col(era).alias("__e"), pred, actual, *tie)
+    eras = [r[0] for r in rows.select("__e").distinct().orderBy("__e").collect()]  # a few dozen
+    later = F.filter(F.array(*[F.lit(e) for e in eras]).cast(f"array<{kinds[era]}>"), lambda e: e > F.col("__e"))
+    past = rows.withColumn("__of", F.explode(later)).withColumn(key, F.to_json(F.struct(F.col(target).alias("t"), F.col("__of").alias("e"))))
+    maps = level_maps(past, key, pred, actual, tie, hot_rows)
+    names = F.from_json(key, f"t string, e {kinds[era]}")
+    tagged = lambda df: df.withColumn("__n", names).select(F.col("__n.t").alias(target), F.col("__n.e").alias(era), *[c for c in df.columns if c != key])
+    lifted = past.join(small_side(maps.select(key, "grid", "mapped")), key).withColumn(pred, apply_level(F.col(pred), F.col("grid"), F.col("mapped")))
+    ratios = ratio_table(lifted.select(key, pred, actual), key, pred, actual, hot_rows=hot_rows)
+    return tagged(maps), tagged(ratios)

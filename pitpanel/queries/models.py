@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pitpanel import testdata as td
-from pitpanel.operators import additive as ad, aggregates as ag, models as ml
+from pitpanel.operators import additive as ad, aggregates as ag, calibrate as cp, models as ml
 from pitpanel.operators.shape import rank_cap
 from pitpanel.plans import blocks as fb, serving as sv
 from pitpanel.queries import query, steady, steady_sql
@@ -207,3 +207,11 @@ def _(spark, sf):
     sv.publish(models, sv.gate(history), store)
     rows = h.withColumn("p_play", F.when(F.col("depth_rank") == 1, 0.75).otherwise(0.5))
     return sv.serve(rows, sv.load(spark, store), plan, ["season", "week", "game_id", "gsis_id", "position"], "p_play")
+
+
+@query("calibration_chain", "CP4 CP5 SF16 SF17")
+def _(spark, sf):
+    """Level maps and ratio quantiles of every target and era, from walk-forward predictions of the eras before it (no SQL twin)."""
+    *_, history = accuracy_history(spark, sf)
+    _, ratios = cp.cross_fitted(materialise(history.where("pred IS NOT NULL"), "history"))
+    return ratios.select("target", "era", "bin", "lo", "hi", "n", "mean_pred", "mean_actual", F.col("quantiles")[99].alias("median_ratio"))

@@ -78,3 +78,31 @@ def test_recurring_periods_meet_only_their_own_days(spark):
     s = spark.createDataFrame(starts, "id int, want int, start timestamp")
     out = jn.modal_period_within(s, g, "start", "kick", "period", "got")
     assert [r.id for r in out.collect() if r.got != r.want] == []
+
+
+def chain_rows(spark, shift=0.0):
+    rng = random.Random(6)
+    rows = []
+    for era in (2001, 2002, 2003):
+        for i in range(700):
+            p = rng.uniform(0.5, 6)
+            rows.append((era, "t", i, i, p, p * rng.uniform(0.5, 1.5) + (shift if era == 2002 else 0.0)))
+    return spark.createDataFrame(rows, "era int, target string, game_id int, gsis_id int, pred double, actual double")
+
+
+def test_calibration_of_an_era_sees_earlier_ones_only(spark):
+    both = []
+    for shift in (0.0, 3.0):
+        maps, ratios = cp.cross_fitted(chain_rows(spark, shift))
+        m = {r.era: (r.n, r.mapped) for r in maps.collect()}
+        q = {}
+        for r in ratios.collect():
+            q.setdefault(r.era, []).append((r.bin, r.n, tuple(r.quantiles)))
+        both.append((m, {e: sorted(v) for e, v in q.items()}))
+    (m, q), (m2, q2) = both
+    assert set(m) == {2002, 2003} and m[2002][0] == 700 and m[2003][0] == 1400
+    close = lambda a, b: all(x == pytest.approx(y, rel=1e-9) for x, y in zip(a, b))
+    assert close(m[2002][1], m2[2002][1]) and all(x[:2] == y[:2] and close(x[2], y[2]) for x, y in zip(q[2002], q2[2002]))
+    assert not close(m[2003][1], m2[2003][1]) and not all(close(x[2], y[2]) for x, y in zip(q[2003], q2[2003]))
+    # The maps took the level out: ratios to levelled predictions lie around one.
+    assert all(0.8 < quantiles[99] < 1.2 for _, _, quantiles in q2[2002])
