@@ -29,12 +29,14 @@ _BUCKET = {
 def _(spark, sf):
     """Filled cells per contract bucket; the buckets come from schema metadata."""
     df = contract.annotate(td.panel(spark, sf))
-    audit = contract.audit(df.schema)
-    one = df.agg(*[F.count(c).alias(c) for cols in audit.values() for c in cols])
+    buckets: dict[str, list[str]] = {}
+    for c, bucket in contract.placed(df.schema):
+        buckets.setdefault(bucket, []).append(c)
+    one = df.agg(*[F.count(c).alias(c) for c in df.columns])
     rows = F.array(
         *[
             F.struct(F.lit(b).alias("bucket"), F.lit(len(cols)).cast("bigint").alias("columns"), sum((F.col(c) for c in cols[1:]), F.col(cols[0])).alias("filled"))
-            for b, cols in audit.items()
+            for b, cols in buckets.items()
         ]
     )
     return one.select(F.explode(rows).alias("r")).select("r.*")
@@ -51,7 +53,7 @@ _PARITY = ["is_starter", "depth_rank_capped"]
 def _(spark, sf):
     """Fill rates of derived pregame columns in history and in the serving era."""
     h = rank_cap(td.panel(spark, sf))
-    cols = [c for c in contract.safe_columns(contract.annotate(h).schema) if c in _PARITY]
+    cols = [c for c in contract.columns_in(contract.annotate(h).schema) if c in _PARITY]
     past = F.col("season") < 2001
     one = h.agg(
         *[F.avg(F.when(past, F.col(c).isNotNull().cast("double"))).alias(f"h_{c}") for c in cols],

@@ -17,14 +17,14 @@ SF = "/root/testdata/sf0.001"
 def test_contract(spark):
     assert contract.buckets_disjoint()
     with pytest.raises(contract.ContractError):
-        contract.classify("mystery")
+        contract.place("mystery")
     for c in ("off_plays", "def_allowed_plays", "realized_mean_wp", "targets", "temp", "wind", "ngs_efficiency"):
-        assert contract.classify(c) in contract.LEAKY
+        assert contract.place(c) in contract.OPEN_ONLY_AFTERWARDS
     cols = ["gsis_id", "team_implied_total", "team_spread", "is_home", "rest_days", "roof_type", "div_game", "targets", "off_plays", "temp", "routes_run_proxy"]
     df = contract.annotate(spark.createDataFrame([], ", ".join(f"{c} string" for c in cols)))
-    assert contract.safe_columns(df.schema) == cols[1:7]
-    assert contract.leaky_columns(df.schema) == ["targets", "off_plays", "temp", "routes_run_proxy"]
-    assert sum(map(len, contract.audit(df.schema).values())) == len(cols)
+    assert contract.columns_in(df.schema) == cols[1:7]
+    assert contract.columns_in(df.schema, contract.OPEN_ONLY_AFTERWARDS) == ["targets", "off_plays", "temp", "routes_run_proxy"]
+    assert sum(contract.sizes(df.schema).values()) == len(cols)
     serving = spark.createDataFrame([], "gsis_id string, team_implied_total double")
     assert "is_home" in contract.parity_gap(df.schema, serving.schema)
     leak = spark.createDataFrame([], "f_career_routes_run_proxy double, f_career_targets double")
