@@ -18,7 +18,7 @@ HEADLINE = [
     "latest_snapshot", "ladder_collapse", "equal_count_bins", "quantile_bins", "team_event_measures",
     "rival_side_self_join", "on_field_exposure", "opportunity_by_location", "asof_forward_by_group",
     "asof_nearest_with_tolerance", "interval_join_modal_period", "bin_lookup_with_clamp",
-    "entity_history_block", "rival_cohort_block", "group_tendency_block", "feature_build",
+    "entity_history_block", "rival_cohort_block", "group_tendency_block", "feature_build", "feature_build_all", "project_future_period",
     "compare_lines_with_projections", "grade_lines", "ratio_quantile_table", "error_quantiles",
     "json_feed_to_rows", "board_text_to_rows",
 ]

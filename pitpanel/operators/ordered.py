@@ -21,7 +21,6 @@ CLOCK = "__clock"
 HOT_ROWS_CONF = "spark.pitpanel.hotRows"
 DEFAULT_HOT_ROWS = 4_000_000
 BROADCAST_KEYS = 4096
-MAX_RUNS = 1024
 BLOCK = 32
 
 
@@ -71,18 +70,20 @@ def find_hot(
     hot, n = found
     limit = hot_limit(df, hot_rows)
     renamed = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__n")
-    probs = [i / MAX_RUNS for i in range(1, MAX_RUNS)]
+    # The largest key decides how fine the common grid of cut points is.
+    grid = max(2, -(-hot.agg(F.max("__n")).first()[0] // limit))
+    probs = [i / grid for i in range(1, grid)]
     rows = df.select(*keys, clock.cast("double").alias(CLOCK)).join(sized(renamed, n), _same(keys), "inner")
     cuts = rows.groupBy(*keys).agg(
         F.first("__n").alias("__n"),
-        F.percentile_approx(CLOCK, probs, 10_000).alias("__p"),
+        F.percentile_approx(CLOCK, probs, max(10_000, 10 * grid)).alias("__p"),
     )
-    runs = F.least(F.lit(MAX_RUNS), F.ceil(F.col("__n") / F.lit(limit)).cast("int"))
+    runs = F.ceil(F.col("__n") / F.lit(limit)).cast("int")
     cuts = cuts.withColumn("__runs", runs).select(
         *keys,
         F.expr(
             "array_distinct(transform(sequence(1, __runs - 1), "
-            f"i -> element_at(__p, greatest(1, CAST(floor(i * {MAX_RUNS} / __runs) AS INT)))))"
+            f"i -> element_at(__p, greatest(1, CAST(floor(i * {grid} / __runs) AS INT)))))"
         ).alias("__cuts"),
     )
     blocks = F.expr(
