@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from pitpanel.llm import arrowtext as at
 
 OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Bytes of text that are cut into parts at once: more parts recur in a larger slice.
+SLICE = 8 << 20
 CACHE = 500_000
 #: Parts that go to the tokenizer in one call.
 AT_ONCE = 4096
@@ -42,17 +44,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(rule)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([OTHER_SPACE, *map(re.escape, added)])
-        self.seen: dict[str, list[int]] = {}
+        self.forget()
 
-    def parts(self, units: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        """Parts seen: number by text; ids of all of them, and where each one's begin."""
+        self.seen: dict[str, int] = {}
+        self.pool, self.edge = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def parts(self, units: list[str]) -> np.ndarray:
+        """The number of each unit; those not seen before are encoded, in bounded batches, as the tokenizer's own results are large."""
         if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = [u for u in units if u not in self.seen]
-        for i in range(0, len(new), AT_ONCE):  # the tokenizer's own results are large
-            some = new[i : i + AT_ONCE]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.seen[u] = e.ids
-        return [self.seen[u] for u in units]
+            self.forget()
+        known = np.fromiter(map(self.seen.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(known < 0)
+        pools, sizes = [self.pool], []
+        for i in range(0, len(new), AT_ONCE):
+            some = [units[k] for k in new[i : i + AT_ONCE].tolist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes += map(len, ids)
+            pools.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+            self.seen.update(zip(some, range(len(self.seen), len(self.seen) + len(some))))
+        if len(new):
+            known[new] = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(new))
+            self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate(pools)
+        return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text). A null text has no ids."""
@@ -75,13 +91,11 @@ class Encoder:
         starts = np.flatnonzero(cut)
         units = at.strings(data, np.append(starts, len(data))).dictionary_encode()
         known = self.parts(units.dictionary.to_pylist())
-        length = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.fromiter(chain.from_iterable(known), np.uint32, length.sum())
-        first = np.cumsum(length) - length
-        which = units.indices.to_numpy(zero_copy_only=False)
-        size = length[which]
+        which = known[units.indices.to_numpy(zero_copy_only=False)]
+        first = self.edge[which]
+        size = self.edge[which + 1] - first
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.arange(total[-1]) + np.repeat(first[which] - total[:-1], size)]
+        ids = self.pool[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
         return ids, total[np.searchsorted(starts, offsets)]
 
 
@@ -100,7 +114,7 @@ def pieces(docs: DataFrame, path: str, most: int, end_id: int, id_bytes: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(rule.value)
-        for part in at.slices(batches, "text"):
+        for part in at.slices(batches, "text", SLICE):
             ids, offsets = encoder.encode(part.column("text"))
             row, number, start, length, crc, raw = [], [], [], [], [], []
             for k in range(part.num_rows):
