@@ -14,7 +14,7 @@ from pitpanel.llm.merkle_manifest import fold, hexed, manifest, row_digest, sibl
 from pitpanel.llm.near_dedup import near_duplicates
 from pitpanel.llm.periodic_runs import periodic_runs
 from pitpanel.llm.piece_spans import encoded
-from pitpanel.llm.quality_ledger import MEASURES, judged, ledger, mask
+from pitpanel.llm.quality_ledger import BIT, MEASURES, POLICIES, ablation, judged, ledger, mask
 from pitpanel.llm.secret_tags import secrets
 from pitpanel.llm.token_matrix import packed_shards
 from pitpanel.llm.warc_derivatives import derivatives
@@ -108,6 +108,16 @@ def op10(spark, sf_dir):
     return rows.select("doc_id", *MEASURES, "fail_bits", base.alias("base_failed"), "kept")
 
 
+@query("quality_rule_ablation", f"""
+WITH q AS ({OP10_SQL}), v AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {BIT[r]}::BIGINT)" for r in POLICIES[2])}) AS v(rule, bit))
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits = bit) AS n_only,
+       count(*) FILTER (WHERE fail_bits = 0) AS n_kept, count(*) FILTER (WHERE fail_bits = 0 OR fail_bits = bit) AS n_kept_without
+FROM q, v GROUP BY rule""")
+def quality_rule_ablation(spark, sf_dir):
+    """What each rule of the policy drops, alone and with others, from the counts of failure patterns."""
+    return ablation(ledger(table(spark, sf_dir, "documents")), 2)
+
+
 OP4_WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 OP4_SQL = rf"""
