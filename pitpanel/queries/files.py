@@ -108,6 +108,47 @@ def _(spark, sf):
     return out.orderBy("season", "week", "game_id", "gsis_id")
 
 
+@query("tracking_scan", "SRC4", f"""WITH {td.PANEL}
+SELECT season, week, count(*) AS n, count(ngs_avg_separation) AS filled FROM panel WHERE week < 4 GROUP BY season, week""")
+def _(spark, sf):
+    """A table of tracking rates by season, with season totals in week 0 and later rounds, read for its regular weeks alone."""
+    root = scratch_path(spark, "tracking")
+    p = td.panel(spark, sf).select("season", "week", "gsis_id", "ngs_avg_separation", F.when(F.col("week") < 4, "REG").otherwise("POST").alias("season_type"))
+    totals = p.groupBy("season", "gsis_id").agg(F.max("ngs_avg_separation").alias("ngs_avg_separation")).withColumns({"week": F.lit(0).cast("bigint"), "season_type": F.lit("REG")})
+    p.unionByName(totals).write.partitionBy("season").parquet(f"{root}/ngs_receiving")
+    t = tables.Catalog(spark, root).tracking("receiving")
+    return t.groupBy(F.col("season").cast("bigint").alias("season"), "week").agg(F.count(F.lit(1)).alias("n"), F.count("ngs_avg_separation").alias("filled"))
+
+
+@query("advanced_scan", "SRC5", f"""WITH {td.PANEL}
+SELECT season + 20 AS season, count(*) AS n, CAST(sum(targets) AS DOUBLE) AS targets FROM panel WHERE season + 20 IN (2018, 2019, 2021) AND week < 4 GROUP BY season""")
+def _(spark, sf):
+    """Advanced rates of some seasons, from the first covered one on; asking for an earlier one adds nothing."""
+    root = scratch_path(spark, "advanced")
+    p = td.panel(spark, sf).select((F.col("season") + 20).alias("season"), "gsis_id", "targets", F.when(F.col("week") < 4, "REG").otherwise("POST").alias("game_type"))
+    p.write.partitionBy("season").parquet(f"{root}/pfr_rec")
+    t = tables.Catalog(spark, root).advanced("rec", [2016, 2018, 2019, 2021])
+    return t.groupBy(F.col("season").cast("bigint").alias("season")).agg(F.count(F.lit(1)).alias("n"), F.sum("targets").alias("targets"))
+
+
+@query("training_only_guard", "DQ11", f"""WITH {td.PANEL}, h AS (SELECT season, count(routes) OVER (PARTITION BY gsis_id ORDER BY season, week, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+  FROM (SELECT *, CASE WHEN season < 2001 THEN targets END AS routes FROM panel))
+SELECT 'f_career_routes_run_proxy' AS feature, season, count(*) AS n, count(CASE WHEN n > 0 THEN 1 END) AS filled FROM h GROUP BY season""")
+def _(spark, sf):
+    """Features built from a source that is published only after its season, and how many rows of each season they fill."""
+    from pitpanel import contract
+    from pitpanel.operators.ordered import Spec
+    from pitpanel.operators.windows import history
+    from pitpanel.roles import PLAYER_PANEL
+
+    p = td.panel(spark, sf).withColumn("routes_run_proxy", F.when(F.col("season") < 2001, F.col("targets")))
+    specs = [Spec("f_career_routes_run_proxy", "mean_present", "routes_run_proxy"), Spec("f_career_targets", "mean", "targets")]
+    h = history(p, PLAYER_PANEL, specs)
+    bad = contract.training_only_features(h.schema)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).isNotNull().alias("there")) for c in bad])
+    return h.select("season", F.inline(rows)).groupBy("feature", "season").agg(F.count(F.lit(1)).alias("n"), F.count_if("there").alias("filled"))
+
+
 _GROUP_VALUES = ", ".join(f"('{k}', '{c}', '{d}')" for k, (_, c, d) in groups.GROUPS.items())
 
 

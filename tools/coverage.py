@@ -11,9 +11,6 @@ sys.path.insert(0, ROOT)
 
 # Ids that have no query of their own: where the operator lives and which test holds it.
 ELSEWHERE = {
-    "SRC4": "sources/tables.py Catalog.tracking; tests/test_artifacts.py",
-    "SRC5": "sources/tables.py Catalog.advanced; tests/test_artifacts.py",
-    "DQ11": "contract.training_only_features; tests/test_artifacts.py (schema only, no data)",
     "MK8": "operators/lines.py eligible_record; query season_record_with_interval",
 }
 
