@@ -392,3 +392,28 @@ def drift_report(team: DataFrame, era: str, means: list[str]) -> DataFrame:
     return team.groupBy(era).agg(
         *[f(c).alias(f"{n}_{c}") for c in means for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
     )
+
+
+#: Size of a quantile sketch: with 400, the rank of a returned value is off by more than 0.9 % of the rows in one case of a hundred.
+SKETCH_K, SKETCH_ERROR = 400, 0.009
+
+
+def quantile_states(df: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """keys, n and a mergeable quantile sketch of the non-null values: a few kilobytes per key, whatever its rows.
+
+    States of parts, such as eras, are kept and merged later without reading the rows again; ``quantiles`` is the exact way.
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("state")
+    )
+
+
+def merged_states(states: DataFrame, keys: list[str], k: int = SKETCH_K) -> DataFrame:
+    """States of finer keys put together per coarser key."""
+    return states.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("state", F.lit(k)).alias("state"))
+
+
+def state_quantiles(states: DataFrame, probs: list[float], out: str = "quantiles") -> DataFrame:
+    """Values whose ranks are near the wanted ones (see SKETCH_ERROR); each is a value of the data."""
+    values = F.array(*[F.kll_sketch_get_quantile_double("state", F.lit(p)) for p in probs])
+    return states.withColumn(out, values).drop("state")

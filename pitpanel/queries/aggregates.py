@@ -326,6 +326,25 @@ def _(spark, sf):
     return _profile(spark, sf, hot_rows=2000)
 
 
+_MARKS = [0.05, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@query("mergeable_error_quantiles", "AG19 CP5", f"""WITH {SCORED}
+SELECT target, p, count(*) AS n, true AS close FROM scored, (VALUES {", ".join(f"({p}E0)" for p in _MARKS)}) v(p) WHERE pred IS NOT NULL AND actual IS NOT NULL GROUP BY target, p""")
+def _(spark, sf):
+    """Sketches of the errors per target and season, merged over seasons; each returned value's true rank is checked against the wanted one."""
+    e = scored(spark, sf).where("pred IS NOT NULL").select("target", "season", F.abs(F.col("pred") - F.col("actual")).alias("err"))
+    merged = ag.state_quantiles(ag.merged_states(ag.quantile_states(e, ["target", "season"], "err"), ["target"]), _MARKS)
+    asked = merged.select("target", "n", F.posexplode("quantiles").alias("k", "value"))
+    ranks = e.join(F.broadcast(asked), "target").groupBy("target", "n", "k").agg(  # six rows a target
+        F.count_if(F.col("err") < F.col("value")).alias("below"), F.count_if(F.col("err") <= F.col("value")).alias("upto")
+    )
+    p = F.array(*[F.lit(x) for x in _MARKS])[F.col("k")]
+    slack = F.lit(ag.SKETCH_ERROR) * F.col("n") + 1
+    close = (F.col("below") <= p * F.col("n") + slack) & (F.col("upto") >= p * F.col("n") - slack)
+    return ranks.select("target", p.alias("p"), "n", close.alias("close"))
+
+
 @query("concentration_per_group", "AG22", f"""WITH {td.PANEL}
 SELECT season, week, team, max(carries) / nullif(sum(carries), 0) AS top_share,
  coalesce(pow(sum(CASE WHEN carries > 0 THEN carries END), 2) / sum(CASE WHEN carries > 0 THEN carries * carries END), 0.0E0) AS effective_n
