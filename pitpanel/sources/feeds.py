@@ -140,12 +140,15 @@ def _at(lines: Column, i: Column) -> Column:
     return F.try_element_at(lines, (i + 1).cast("int"))
 
 
+#: Candidate starts that are resolved together.
+BOARD_BLOCK = 64
+
+
 def parse_board(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Board text to line rows, one document per row, without a shuffle.
 
     A record is a person-like line, an optional "TEAM - POS" line, a number, a stat label and any
-    Less / More buttons. A start inside an earlier record is not a start: the fold over candidate
-    starts keeps the index from which a new record may begin.
+    Less / More buttons. A start inside an earlier record is not a start.
     """
     base = fenced(docs.select(doc_id, text), L=board_lines(F.col(text))).where(F.size("L") >= 3)
     L = F.col("L")
@@ -167,36 +170,61 @@ def parse_board(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return numbered & person_like(_at(L, i))
 
     cands = F.filter(F.sequence(F.lit(0), F.size(L) - 3), starts)
-    empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept"))
-    kept = F.aggregate(
-        cands,
-        empty,
-        lambda acc, i: F.when(i < acc["free"], acc).otherwise(
-            F.struct((number_at(i) + 2).alias("free"), F.array_append(acc["kept"], i).alias("kept"))
+    # A record is at most four lines, so a block of candidates can be entered in four ways only: with its first 0, 1, 2 or 3
+    # lines taken. Each block's four outcomes are worked out by themselves, the blocks are chained, and then each is resolved
+    # from the way it was entered: no array grows with the text, and the time is linear in its lines.
+    after = lambda free, i: F.when(i < free, free).otherwise(number_at(i) + 2)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("C") - 1) / BOARD_BLOCK).cast("int")), lambda k: F.slice("C", k * BOARD_BLOCK + 1, F.lit(BOARD_BLOCK)))
+    outcomes = lambda block: F.array(*[F.aggregate(block, block[0] + F.lit(s), after) for s in range(4)])
+    base = fenced(base, C=cands).where(F.size("C") > 0)
+    base = fenced(base, B=blocks)
+    base = fenced(base, O=F.transform("B", outcomes))
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("ways"))
+    ways = F.aggregate(
+        F.sequence(F.lit(0), F.size("B") - 1), start,
+        lambda acc, k: F.struct(
+            F.col("O")[k][F.greatest(F.lit(0), acc["free"] - F.col("B")[k][0])].alias("free"),
+            F.array_append(acc["ways"], F.greatest(F.lit(0), acc["free"] - F.col("B")[k][0])).alias("ways"),
         ),
-        lambda acc: acc["kept"],
+        lambda acc: acc["ways"],
     )
-    rows = base.withColumn("i", F.explode(kept)).withColumn("n", number_at(F.col("i")))
-    i, n = F.col("i"), F.col("n")
-    team_pos = F.when(n == i + 2, _at(L, i + 1))
-    label = _at(L, n + 1)
-    near = F.slice(L, n + 3, F.lit(3))
-    # Three buttons in a row is unusual; only then is the whole remaining run read.
-    after = F.when(
-        F.forall(near, lambda s: s.isin(*_BUTTONS)) & (F.size(near) == 3),
-        F.slice(L, n + 3, F.size(L)),
-    ).otherwise(near)
-    stop = F.array_position(F.transform(after, lambda s: s.isin(*_BUTTONS)), False)
-    run = F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
-    less, more = F.array_contains(run, "Less"), F.array_contains(run, "More")
+    base = fenced(base, W=ways)
+
+    def resolved(block, way):
+        none = F.struct((block[0] + way).alias("free"), F.array().cast("array<int>").alias("kept"))
+        return F.aggregate(
+            block, none,
+            lambda acc, i: F.when(i < acc["free"], acc).otherwise(F.struct((number_at(i) + 2).alias("free"), F.array_append(acc["kept"], i).alias("kept"))),
+            lambda acc: acc["kept"],
+        )
+
+    kept = F.flatten(F.zip_with("B", "W", resolved))
+    def record(i):
+        n = number_at(i)
+        team_pos = F.when(n == i + 2, _at(L, i + 1))
+        label = _at(L, n + 1)
+        near = F.slice(L, n + 3, F.lit(3))
+        # Three buttons in a row is unusual; only then is the whole remaining run read.
+        behind = F.when(
+            F.forall(near, lambda s: s.isin(*_BUTTONS)) & (F.size(near) == 3),
+            F.slice(L, n + 3, F.size(L)),
+        ).otherwise(near)
+        stop = F.array_position(F.transform(behind, lambda s: s.isin(*_BUTTONS)), False)
+        run = F.when(stop > 0, F.slice(behind, F.lit(1), (stop - 1).cast("int"))).otherwise(behind)
+        return F.struct(
+            i.alias("pos"), _at(L, i).alias("name"), team_pos.alias("__team"), label.alias("__label"), _at(L, n).alias("__line"),
+            F.array_contains(run, "Less").alias("__less"), F.array_contains(run, "More").alias("__more"),
+        )
+
+    # Records are built before they become rows: a row must not carry the whole text.
+    rows = base.select(doc_id, F.inline(F.transform(kept, record)))
+    team_pos, label, less, more = F.col("__team"), F.col("__label"), F.col("__less"), F.col("__more")
     return rows.select(
-        doc_id,
-        i.alias("pos"),
-        _at(L, i).alias("name"),
+        doc_id, "pos", "name",
         F.regexp_extract(team_pos, r"^([A-Z]{2,4})\s*-", 1).alias("team"),
         F.regexp_extract(team_pos, r"-\s*([A-Za-z0-9]{1,3})$", 1).alias("position"),
         F.trim(strip_markers(label)).alias("stat_type"),
-        _at(L, n).cast("double").alias("line"),
+        F.col("__line").cast("double").alias("line"),
         F.lit(None).cast("string").alias("start_time"),
         F.when(less & more, "both").when(more, "more").when(less, "less").otherwise("").alias("direction"),
         F.when(F.contains(label, F.lit("Demon")), "demon")
