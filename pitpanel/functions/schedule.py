@@ -29,11 +29,16 @@ def local_kickoff(gameday: Column, gametime: Column) -> Column:
     return F.when(gameday.isNotNull() & shaped, text).try_cast("timestamp_ntz")
 
 
-def kickoff_utc(gameday: Column, gametime: Column, zone: str = EASTERN) -> Column:
-    """Kickoff in UTC: the repeated autumn hour reads as daylight time, the skipped spring
-    hour moves to the first valid instant."""
+def kickoff_utc(gameday: Column, gametime: Column, zone: str = EASTERN, repeated: str = "first") -> Column:
+    """Kickoff in UTC: the repeated autumn hour reads as daylight time (``repeated='second'``: as
+    standard time, an hour later), the skipped spring hour moves to the first valid instant."""
+    if repeated not in ("first", "second"):
+        raise ValueError("repeated is 'first' or 'second'")
     local = local_kickoff(gameday, gametime)
     utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    if repeated == "second":
+        later = utc + F.expr("INTERVAL 1 HOUR")
+        utc = F.when(F.convert_timezone(F.lit("UTC"), F.lit(zone), later) == local, later).otherwise(utc)
     back = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     return F.when(back == local, utc).otherwise(F.date_trunc("hour", utc).cast("timestamp_ntz"))
 
