@@ -36,6 +36,7 @@ def _(spark, sf):
     """JSON files of events by day, as a feed keeps its revisions, read back with their text timestamps.
 
     A day's events are dealt over as many files as keep each under SNAPSHOT_ROWS on average, so no value grows with the day.
+    A folder per (day, part) keeps every JSON text in a file of its own: a task may hold several texts of a day.
     """
     path = scratch_path(spark, "snapshots")
     days = td.events(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -45,9 +46,9 @@ def _(spark, sf):
         (F.col("k") + 0.5).cast("string").alias("line"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startTimeIso"),
     )).alias("prop"))
     files = e.groupBy("day", "part").agg(F.collect_list("prop").alias("props")).select(
-        "day", F.concat(F.lit('{"scrapedAt":"'), F.date_add("day", 1).cast("string"), F.lit('T00:00:00Z","props":['), F.array_join("props", ","), F.lit("]}")).alias("value")
+        "day", "part", F.concat(F.lit('{"scrapedAt":"'), F.date_add("day", 1).cast("string"), F.lit('T00:00:00Z","props":['), F.array_join("props", ","), F.lit("]}")).alias("value")
     )
-    files.write.partitionBy("day").text(path)
+    files.write.partitionBy("day", "part").text(path)
     p = feeds.snapshot_props(tables.json_snapshots(spark, path), "scraped", "payload")
     return p.select(F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"), "player", "stat", "line", F.col("start_at").cast("timestamp_ntz").alias("start_at"))
 

@@ -30,3 +30,14 @@ def test_kickoffs_in_the_repeated_hour_equal_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert got == sorted(con.execute(q.sql).fetchall())
+
+
+def test_snapshots_of_a_day_in_several_texts_are_all_read(spark, tmp_path, monkeypatch):
+    from pitpanel.queries import files
+
+    monkeypatch.setattr(files, "SNAPSHOT_ROWS", 10)
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(minutes=i), i % 7, "view", 1.0, '{"k": %d}' % i) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = load_all()["snapshot_history_scan"].run(spark, str(tmp_path))
+    assert sorted(r.line for r in got.collect()) == [i + 0.5 for i in range(300)]
