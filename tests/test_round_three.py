@@ -41,3 +41,11 @@ def test_snapshots_of_a_day_in_several_texts_are_all_read(spark, tmp_path, monke
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = load_all()["snapshot_history_scan"].run(spark, str(tmp_path))
     assert sorted(r.line for r in got.collect()) == [i + 0.5 for i in range(300)]
+
+
+def test_a_quantile_between_equal_values_is_that_value(spark):
+    from pitpanel.operators.ordered import quantiles
+
+    df = spark.createDataFrame([("k", 0.1 + 0.2)] * 500, "k string, v double")
+    probs = [i / 100 for i in range(101)]
+    assert set(quantiles(df, ["k"], "v", probs, hot_rows=50).first().quantiles) == {0.1 + 0.2}
