@@ -49,3 +49,33 @@ def test_a_quantile_between_equal_values_is_that_value(spark):
     df = spark.createDataFrame([("k", 0.1 + 0.2)] * 500, "k string, v double")
     probs = [i / 100 for i in range(101)]
     assert set(quantiles(df, ["k"], "v", probs, hot_rows=50).first().quantiles) == {0.1 + 0.2}
+
+
+def test_bins_cut_through_ties_as_the_order_says(spark):
+    """Few distinct values, so that every edge cuts one; nulls come first, and a tie column is itself tied."""
+    from pitpanel.operators import windows as wn
+
+    rows = [("k", None if i % 50 == 0 else float((i * 7) % 3), float(i % 11), "g%02d" % ((i * 13) % 17), i % 29) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, g string, i int")
+    got = {r.bin: (r.n, r.mean_y) for r in wn.equal_count_bins(df, ["k"], "x", "y", ["g", "i"], hot_rows=100).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[3], r[4]))
+    nb, n = 33, len(rows)
+    bins = {}
+    for r, row in enumerate(order):
+        bins.setdefault(((r + 1) * nb - 1) // n, []).append(row)
+    assert {b: v[0] for b, v in got.items()} == {b: len(v) for b, v in bins.items() if len(v) >= 60}
+    whole = {b for b, v in bins.items() if b in got and len({r[1:2] + r[3:] for r in v}) == len(v)}
+    for b in whole:
+        assert got[b][1] == pytest.approx(sum(r[2] for r in bins[b]) / len(bins[b]))
+
+
+def test_levelled_rows_equal_the_expression(spark):
+    from pitpanel.functions.prob import apply_level
+    from pitpanel.operators import calibrate as cp
+
+    maps = spark.createDataFrame([("a", [0.0, 1.0, 1.0, 3.0], [0.5, 1.0, 2.0, 2.5]), ("b", None, None), ("c", [-2.0, -1.0], [1.0, 0.5])], "k string, grid array<double>, mapped array<double>")
+    rows = [(k, None if i == 0 else i / 4 - 3) for k in "abcd" for i in range(32)]
+    df = spark.createDataFrame(rows, "k string, p double").withColumn("raw", F.col("p"))
+    got = sorted((r.k, str(r.raw), r.p) for r in cp.levelled(df, maps, "k", "p").collect() if r.raw is not None)
+    want = df.join(maps, "k").where("raw IS NOT NULL").select("k", "raw", apply_level(F.col("p"), F.col("grid"), F.col("mapped")).alias("p")).collect()
+    assert got == sorted((r.k, str(r.raw), r.p) for r in want)
