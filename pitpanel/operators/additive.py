@@ -12,7 +12,7 @@ over the vectors, each of which sums the gradients of all (variant, fold, cohort
 preconditioned by its own matrix, and halved where its likelihood fell.
 
 A model is a row: version, variant, fold, cohort, target, coefficients, its training rows and mean, or the reason why
-there is none. Rows are scored in the JVM by a fold over two zipped arrays, all targets together.
+there is none. Rows are scored by one matrix product per era and cohort of a batch, all targets together.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pitpanel.functions.prob import RECENCY_HALF_LIFE
 from pitpanel.operators.models import MIN_COHORT, MIN_TEST, MIN_TRAIN, TARGETS, MissingFeature
@@ -74,36 +74,79 @@ def plan_for(df: DataFrame, era: str = "season", cohort: str = "position", extra
 
 
 def vectors(df: DataFrame, plan: Plan, keep: list[str]) -> DataFrame:
-    """keep, era, cohort, x (features, null where missing or NaN), y (targets, null where the row is not eligible)."""
+    """keep, era, cohort, x (features, NaN where missing), y (targets, NaN where the row is not eligible).
+
+    x and y are 64-bit floats packed into one binary value each, so that a pass over the vectors moves two values a row, not some hundred.
+    """
     gone = [c for c in plan.features if c not in df.columns]
     if gone:
         raise MissingFeature(f"{len(gone)} trained column(s) missing: {gone[:8]}")
-    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-
-    def label(t: str) -> Column:
-        if t not in df.columns:
-            return F.lit(None).cast("double")
-        ok = F.col(plan.cohort).isin(TARGETS[t][0])
-        return F.when(ok & (number(t) >= 0) if plan.link(t) == "log" else ok, number(t))
-
-    kept = [c for c in keep if c not in (plan.era, plan.cohort)]
-    return df.where(F.col(plan.era).isNotNull()).select(
+    kept = [c for c in dict.fromkeys(keep) if c not in (plan.era, plan.cohort)]
+    there = [t for t in plan.targets if t in df.columns]
+    wide = df.where(F.col(plan.era).isNotNull()).select(
         *kept, F.col(plan.era).cast("long").alias("era"), F.col(plan.cohort).alias("cohort"),
-        F.array(*[number(c) for c in plan.features]).alias("x"), F.array(*[label(t) for t in plan.targets]).alias("y"),
+        *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(plan.features)], *[F.col(t).cast("double").alias(f"__y_{t}") for t in there],
     )
+    kept = [*kept, "era", "cohort"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n = part.num_rows
+            x, y = np.empty((n, len(plan.features))), np.full((n, len(plan.targets)), np.nan)
+            for i in range(len(plan.features)):
+                x[:, i] = part.column(f"__x{i}").to_numpy(zero_copy_only=False)
+            cohort = np.array(part.column("cohort").to_pylist(), dtype=object)
+            for k, t in enumerate(plan.targets):
+                if t in there:
+                    v = part.column(f"__y_{t}").to_numpy(zero_copy_only=False).astype(float)
+                    ok = np.isin(cohort, TARGETS[t][0]) if n else np.zeros(0, bool)
+                    y[:, k] = np.where(ok & (v >= 0) if plan.link(t) == "log" else ok, v, np.nan)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], packed(x), packed(y)], [*kept, "x", "y"])
 
+    schema = T.StructType([*[wide.schema[c] for c in kept], T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
+    return wide.mapInArrow(run, schema)
 
-def block(part: pa.RecordBatch, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(design matrix, targets with 0 where absent, which are present) of some rows."""
-    nf, nt = len(plan.features), len(plan.targets)
-    flat = lambda c, k: part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, k)
-    x, y = flat("x", nf), flat("y", nt)
-    gone, there = np.isnan(x), ~np.isnan(y)
-    return np.hstack([np.ones((part.num_rows, 1)), np.where(gone, 0, x), gone]), np.where(there, y, 0), there
+
+def packed(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    at = np.arange(len(m) + 1, dtype=np.int32) * np.int32(8 * m.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(m, np.float64).tobytes())])
 
 
-def keyed(part: pa.RecordBatch) -> list[tuple]:
-    return list(zip(part.column("era").to_pylist(), part.column("cohort").to_pylist()))
+def unpacked(column: pa.Array, k: int) -> np.ndarray:
+    n = len(column)
+    if not n or not k:
+        return np.zeros((n, k))
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, n + 1, 8 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.float64, n * k, at[0]).reshape(n, k)
+
+
+def design(x: np.ndarray) -> np.ndarray:
+    gone = np.isnan(x)
+    return np.hstack([np.ones((len(x), 1)), np.where(gone, 0, x), gone])
+
+
+def block(part: pa.RecordBatch, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(design matrix, targets with 0 where absent, which are present) of some rows."""
+    y = unpacked(part.column("y"), len(plan.targets))
+    there = ~np.isnan(y)
+    return design(unpacked(part.column("x"), len(plan.features))), np.where(there, y, 0), there
+
+
+def grouped(part: pa.RecordBatch, *more: np.ndarray) -> Iterator[tuple]:
+    """(era, cohort, *values of `more`, their rows) of a batch; rows without a cohort are in none."""
+    coded = part.column("cohort").dictionary_encode()
+    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = np.stack([part.column("era").to_numpy(zero_copy_only=False).astype(np.int64), code, *more], axis=1)
+    names = coded.dictionary.to_pylist()
+    found, of = np.unique(keys, axis=0, return_inverse=True)
+    of = of.ravel()
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=len(found)))
+    for (era, c, *rest), begin, end in zip(found.tolist(), [0, *ends[:-1]], ends):
+        if c >= 0:
+            yield (era, names[c], *rest, order[begin:end])
 
 
 def statistics(vec: DataFrame, plan: Plan) -> DataFrame:
@@ -116,14 +159,11 @@ def statistics(vec: DataFrame, plan: Plan) -> DataFrame:
         bit = 1 << np.arange(len(plan.targets), dtype=np.int64)
         for part in batches:
             z, y, there = block(part, plan)
-            mask = (there @ bit).tolist()
-            groups: dict[tuple, list[int]] = {}
-            for k, (era, cohort) in enumerate(keyed(part)):
-                if mask[k] and cohort is not None:
-                    groups.setdefault((era, cohort, mask[k]), []).append(k)
-            for key, rows in groups.items():
-                own = z[rows].T @ np.hstack([z[rows], y[rows]])
-                sums[key] = sums[key] + own if key in sums else own
+            for *key, rows in grouped(part, there @ bit):
+                key = tuple(key)
+                if key[-1]:
+                    own = z[rows].T @ np.hstack([z[rows], y[rows]])
+                    sums[key] = sums[key] + own if key in sums else own
         task = TaskContext.get().partitionId()
         for (era, cohort, present), m in sums.items():
             n = len(m)
@@ -247,21 +287,22 @@ def gradients(vec: DataFrame, plan: Plan, rows: list, variants: dict[str, Varian
 
         fold, w, t, cap, half, own = shared.value
         sums = np.zeros((len(fold), 1 + plan.width))
-        weight: dict[tuple, np.ndarray] = {}
+        asks: dict[tuple, tuple] = {}
         for part in batches:
-            for i in range(0, part.num_rows, 1024):
-                some = part.slice(i, 1024)
-                z, y, there = block(some, plan)
-                keys = keyed(some)
-                for key in set(keys) - set(weight):
-                    ok = (fold > key[0]) & np.array([key[1] in c for c in own])
-                    weight[key] = np.where(ok, np.where(half, 0.5 ** (np.maximum(fold - 1 - key[0], 0) / RECENCY_HALF_LIFE), 1.0), 0.0)
-                a = np.stack([weight[k] for k in keys]) * there[:, t]
-                eta = np.clip(z @ w, -30, cap)
-                mu = np.exp(eta)
-                yt = y[:, t]
-                sums[:, 0] += (a * (mu - yt * eta)).sum(axis=0)
-                sums[:, 1:] += ((a * (mu - yt)).T @ z)
+            z, y, there = block(part, plan)
+            for era, cohort, rows in grouped(part):
+                if (era, cohort) not in asks:  # the models that learn from this era and cohort, and its weight in each
+                    m = np.flatnonzero((fold > era) & np.array([cohort in c for c in own]))
+                    asks[era, cohort] = m, np.where(half[m], 0.5 ** (np.maximum(fold[m] - 1 - era, 0) / RECENCY_HALF_LIFE), 1.0)
+                m, weight = asks[era, cohort]
+                for i in range(0, len(rows) if len(m) else 0, 1024):
+                    some = rows[i : i + 1024]
+                    zs, yt = z[some], y[np.ix_(some, t[m])]
+                    a = weight * there[np.ix_(some, t[m])]
+                    eta = np.clip(zs @ w[:, m], -30, cap[m])
+                    mu = np.exp(eta)
+                    sums[m, 0] += (a * (mu - yt * eta)).sum(axis=0)
+                    sums[m, 1:] += (a * (mu - yt)).T @ zs
         n = len(sums)
         yield pa.RecordBatch.from_pydict({
             "model": pa.array(range(n), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * n, pa.int32()), "sums": pa.array(list(sums), pa.list_(pa.float64())),
@@ -362,17 +403,44 @@ def lookup(models: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def predicted(model: Column, x: Column) -> Column:
-    """Non-negative prediction of a model struct for a feature array; null without a model."""
-    z = F.concat(F.array(F.lit(1.0)), F.transform(x, lambda v: F.coalesce(v, F.lit(0.0))), F.transform(x, lambda v: v.isNull().cast("double")))
-    eta = F.aggregate(F.zip_with(z, model["coef"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    top = F.log(F.greatest(model["train_mean"], F.lit(1e-9))) + SPAN
-    value = F.when(model["link"] == "log", F.exp(F.greatest(F.lit(-30.0), F.least(eta, top)))).otherwise(F.greatest(eta, F.lit(0.0)))
-    return F.when(model["coef"].isNotNull(), value)
-
-
-def scored(vec: DataFrame, models: DataFrame, plan: Plan) -> DataFrame:
-    """Vectors with variant and p, the predictions of all targets, by the models of their own era and cohort."""
-    table = lookup(models, plan).withColumnRenamed("fold", "era")
-    found = vec.join(F.broadcast(table), ["era", "cohort"], "left")  # bounded by eras, cohorts and variants
-    return found.withColumn("p", F.transform("models", lambda m: predicted(m, F.col("x"))))
+class Scorer:
+    """Models of one variant and fold by cohort: predictions, training means and counts of a block of rows."""
+
+    def __init__(self, by_cohort: dict, plan: Plan):
+        self.plan, self.by = plan, {}
+        for cohort, models in by_cohort.items():
+            use = [k for k, m in enumerate(models) if m is not None and m["coef"] is not None]
+            w = np.array([models[k]["coef"] for k in use]).T
+            link = np.array([models[k]["link"] == "log" for k in use], bool)
+            top = np.log(np.maximum([models[k]["train_mean"] for k in use], 1e-9)) + SPAN
+            self.by[cohort] = use, w, link, top, models
+
+    def predicted(self, cohort: str | None, z: np.ndarray) -> np.ndarray:
+        """Non-negative predictions of all targets, a column each; NaN without a model."""
+        p = np.full((len(z), len(self.plan.targets)), np.nan)
+        use, w, link, top, _ = self.by.get(cohort, ([], None, None, None, None))
+        if use:
+            eta = z @ w
+            with np.errstate(over="ignore"):
+                p[:, use] = np.where(link, np.exp(np.maximum(-30.0, np.fmin(eta, top))), np.maximum(eta, 0.0))
+        return p
+
+    def trait(self, cohort: str | None, name: str) -> list:
+        """Of each target's model: train_mean or n_train, None without a model."""
+        models = self.by[cohort][-1] if cohort in self.by else [None] * len(self.plan.targets)
+        return [m[name] if m is not None else None for m in models]
+
+
+def scorers(models: DataFrame, plan: Plan) -> dict:
+    """{variant: {fold: Scorer}}: targets x folds x cohorts x variants models reach the driver and travel with the job."""
+    found: dict = {}
+    for r in lookup(models, plan).collect():
+        found.setdefault(r["variant"], {}).setdefault(r["fold"], {})[r["cohort"]] = r["models"]
+    plain = lambda ms: [m.asDict() if m is not None else None for m in ms]
+    return {v: {f: Scorer({c: plain(m) for c, m in by.items()}, plan) for f, by in folds.items()} for v, folds in found.items()}
+
+
+def newest_before(folds: dict, era: int):
+    """The scorer of the era's own fold, or the newest before it."""
+    known = [f for f in folds if f <= era]
+    return folds[max(known)] if known else None

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pitpanel.operators import additive as ad
 from pitpanel.operators.aggregates import ratio
 from pitpanel.operators.models import MIN_TEST, MIN_TRAIN, TARGETS
-from pitpanel.session import constant_table, materialise
+from pitpanel.session import materialise
 from pitpanel.sources import sinks
 
 IDS = ("week", "game_id", "gsis_id", "team", "opponent_team", "depth_rank_capped", "f_games_prior")
@@ -28,33 +33,68 @@ def _or_null(columns: list[str], *names: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def long_rows(rows: DataFrame, plan: ad.Plan) -> DataFrame:
-    """Scored vectors as one row per (row, target) with an actual value: predictions of both forms and what baselines need."""
-    c = rows.columns
-    parts = []
-    for k, t in enumerate(plan.targets):
-        _, kind, opp, rate = TARGETS[t]
-        compound = F.lit(None).cast("double")
-        if kind == "yards" and opp in plan.targets and rate in c:
-            compound = F.col("p")[plan.targets.index(opp)] * F.col(rate)
-        m = F.col("models")[k]
-        parts.append(F.struct(
-            F.lit(t).alias("target"), F.lit(kind).alias("kind"), F.col("y")[k].alias("actual"), F.col("p")[k].alias("direct"), compound.alias("compound"),
-            m["train_mean"].alias("train_mean"), m["n_train"].alias("n_train"), _or_null(c, f"f_std_{t}").alias("std"), _or_null(c, f"f_career_{t}").alias("career"),
-            (_or_null(c, f"f_std_{opp}", f"f_career_{opp}") if opp else F.lit(None).cast("double")).alias("opportunity"),
-            (_or_null(c, rate) if rate else F.lit(None).cast("double")).alias("rate"),
-        ))
-    keep = [x for x in (*IDS, "era", "cohort", "variant") if x in c]
-    return rows.select(*keep, F.inline(F.array(*parts))).where("actual IS NOT NULL")
-
-
-def accuracy(rows: DataFrame, plan: ad.Plan) -> DataFrame:
+LONG = "target string, kind string, actual double, direct double, compound double, train_mean double, n_train long, std double, career double, opportunity double, rate double"
+
+
+def long_rows(vec: DataFrame, models: DataFrame, plan: ad.Plan) -> DataFrame:
+    """Vectors as one row per (row, variant, target) with an actual value: predictions of both forms, by the models of the row's own era, and what baselines need."""
+    keep = [c for c in (*IDS, "era", "cohort") if c in vec.columns]
+    known_columns = {*vec.columns, *plan.features}
+    shared = vec.sparkSession.sparkContext.broadcast(ad.scorers(models, plan))
+    fields = [f.split(" ")[0] for f in LONG.split(", ")]
+    schema = T.StructType([*[vec.schema[x] for x in keep], T.StructField("variant", T.StringType()), *T.StructType.fromDDL(LONG).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in batches:
+            x, y = ad.unpacked(part.column("x"), len(plan.features)), ad.unpacked(part.column("y"), len(plan.targets))
+            groups = list(ad.grouped(part))
+            of = {(era, cohort): [v for v, folds in known.items() if era in folds and cohort in folds[era].by] or [None] for era, cohort, _ in groups}
+            for variant in [*known, None]:
+                some = []
+                for era, cohort, rows in groups:
+                    if variant in of[era, cohort]:
+                        s = known[variant][era] if variant is not None else ad.Scorer({}, plan)
+                        p, mean, n = s.predicted(cohort, ad.design(x[rows])), s.trait(cohort, "train_mean"), s.trait(cohort, "n_train")
+                        some += [_of_target(part, k, plan, rows, x, y, p, mean[k], n[k], known_columns) for k in range(len(plan.targets)) if not np.isnan(y[rows, k]).all()]
+                if some:
+                    at = pa.array(np.concatenate([r for r, _ in some]))
+                    columns = [pa.concat_arrays([d[f] for _, d in some]) for f in fields]
+                    yield pa.RecordBatch.from_arrays([*[part.column(x).take(at) for x in keep], pa.repeat(pa.scalar(variant, pa.string()), len(at)), *columns], schema.names)
+
+    return vec.mapInArrow(run, schema)
+
+
+def _of_target(part, k, plan, rows, x, y, p, train_mean, n_train, names) -> tuple[np.ndarray, dict]:
+    """Places in the batch, and columns, of one target's rows with an actual value."""
+    t = plan.targets[k]
+    _, kind, opp, rate = TARGETS[t]
+    there = ~np.isnan(y[rows, k])
+    at, n = rows[there], int(there.sum())
+
+    def first(*wanted):
+        found = next((c for c in wanted if c in names), None)
+        if found in plan.features:
+            return pa.array(x[at, plan.features.index(found)], pa.float64(), from_pandas=True)
+        return part.column(found).take(pa.array(at)).cast(pa.float64()) if found else pa.nulls(n, pa.float64())
+
+    said = lambda i: pa.array(p[there, i], pa.float64(), from_pandas=True)
+    by_rate = first(rate) if rate else pa.nulls(n, pa.float64())
+    compound = pc.multiply(said(plan.targets.index(opp)), by_rate) if kind == "yards" and opp in plan.targets and rate in names else pa.nulls(n, pa.float64())
+    return at, {
+        "target": pa.repeat(t, n), "kind": pa.repeat(kind, n), "actual": pa.array(y[at, k]), "direct": said(k), "compound": compound,
+        "train_mean": pa.repeat(pa.scalar(train_mean, pa.float64()), n), "n_train": pa.repeat(pa.scalar(n_train, pa.int64()), n), "std": first(f"f_std_{t}"),
+        "career": first(f"f_career_{t}"), "opportunity": first(f"f_std_{opp}", f"f_career_{opp}") if opp else pa.nulls(n, pa.float64()), "rate": by_rate,
+    }
+
+
+def accuracy(vec: DataFrame, models: DataFrame, plan: ad.Plan) -> DataFrame:
     """The long accuracy history: one row per (row, target, variant) with form, pred, b1, b2, b3 and the errors.
 
     A yards target takes the form, compound or direct, that had the smaller error in the era before. Rows of folds
     below the floors keep their place with a reason and no prediction.
     """
-    long = materialise(long_rows(rows, plan), "accuracy")
+    long = materialise(long_rows(vec, models, plan), "accuracy")
     by = ["variant", "era", "target"]
     error = lambda p: F.avg(F.abs(F.col("actual") - F.col(p)))
     per = long.groupBy(*by).agg(
@@ -98,14 +138,16 @@ def gate(history: DataFrame) -> DataFrame:
     return fold_scores(history.where("reason IS NULL"), ("variant", "target")).drop("n_train", "form", "reason")
 
 
-def walk_forward(panel: DataFrame, plan: ad.Plan, variants: list[ad.Variant] = [ad.Variant()], passes: int = ad.PASSES) -> tuple[DataFrame, DataFrame]:
-    """(models, accuracy history) of all targets, folds and variants from one vector table."""
-    keep = [c for c in IDS if c in panel.columns]
-    keep += [c for c in baseline_columns(panel.columns, plan) if c not in keep]
+def walk_forward(
+    panel: DataFrame, plan: ad.Plan, variants: list[ad.Variant] = [ad.Variant()], passes: int = ad.PASSES, ids: tuple[str, ...] = IDS
+) -> tuple[DataFrame, DataFrame]:
+    """(models, accuracy history) of all targets, folds and variants from one vector table; `ids` are the columns that name a row of the history."""
+    keep = [c for c in ids if c in panel.columns]
+    keep += [c for c in baseline_columns(panel.columns, plan) if c not in keep and c not in plan.features]  # features are in the vectors
     vec = materialise(ad.vectors(panel, plan, keep), "vectors")
     models = materialise(ad.train(vec, plan, variants, passes), "models")
     first = vec.agg(F.min("era")).first()[0]
-    return models, accuracy(ad.scored(vec.where(F.col("era") > F.lit(first)), models, plan), plan)
+    return models, accuracy(vec.where(F.col("era") > F.lit(first)), models, plan)
 
 
 def publish(models: DataFrame, verdicts: DataFrame, path: str, variant: str = "base") -> int:
@@ -134,17 +176,29 @@ def serve(rows: DataFrame, models: DataFrame, plan: ad.Plan, keep: list[str], p_
     base = [c for c in baseline_columns(rows.columns, plan) if c not in keep]
     chance = [p_play] if p_play and p_play not in keep else []
     vec = ad.vectors(rows, plan, [*keep, *base, *chance])
-    table = ad.lookup(models, plan)
-    folds = [r[0] for r in table.select("fold").distinct().collect()]  # one per era
-    eras = constant_table(rows.sparkSession, [{"fold": f} for f in folds], "fold:bigint")
-    asked = vec.select("era").distinct().join(F.broadcast(eras), F.col("fold") <= F.col("era"), "left").groupBy("era").agg(F.max("fold").alias("fold"))
-    by_era = asked.join(F.broadcast(table), "fold", "left").drop("fold", "variant")
-    found = vec.join(F.broadcast(by_era), ["era", "cohort"], "left").withColumn("p", F.transform("models", lambda m: ad.predicted(m, F.col("x"))))
+    shared = rows.sparkSession.sparkContext.broadcast({f: s for folds in ad.scorers(models, plan).values() for f, s in folds.items()})
+    passed = [f for f in vec.schema.fields if f.name not in ("x", "y")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds, nt = shared.value, len(plan.targets)
+        for part in batches:
+            z = ad.design(ad.unpacked(part.column("x"), len(plan.features)))
+            p, mean = np.full((2, part.num_rows, nt), np.nan)
+            for era, cohort, rows in ad.grouped(part):
+                s = ad.newest_before(folds, era)
+                if s is not None:
+                    p[rows] = s.predicted(cohort, z[rows])
+                    mean[rows] = np.array(s.trait(cohort, "train_mean"), float)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * nt), pa.array(m.ravel(), from_pandas=True)) for m in (p, mean)]
+            yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in passed], *lists], [*[f.name for f in passed], "p", "means"])
+
+    numbers = T.ArrayType(T.DoubleType())
+    found = vec.mapInArrow(run, T.StructType([*passed, T.StructField("p", numbers), T.StructField("means", numbers)]))
     out = []
     for k, t in enumerate(plan.targets):
         cohorts, _, _, _ = TARGETS[t]
         mine = F.col("cohort").isin(cohorts)
-        fallback = F.coalesce(_or_null(rows.columns, f"f_std_{t}"), _or_null(rows.columns, f"f_career_{t}"), F.col("models")[k]["train_mean"])
+        fallback = F.coalesce(_or_null(rows.columns, f"f_std_{t}"), _or_null(rows.columns, f"f_career_{t}"), F.col("means")[k])
         value = F.when(mine, F.coalesce(F.col("p")[k], fallback))
         source = F.when(mine & F.col("p")[k].isNotNull(), "model").when(mine & fallback.isNotNull(), "baseline")
         out += [value.alias(t, metadata={"estimand": "conditional"}), source.alias(f"{t}_source")]

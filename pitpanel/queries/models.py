@@ -111,15 +111,17 @@ def _(spark, sf):
 
 def trained_panel(spark, sf, cfg=fb.Config()):
     """Every row with all features; posteriors lean on the priors of the eras before the row's own."""
-    p = ag.with_era_priors(rank_cap(td.panel(spark, sf)))
+    p = ag.with_era_priors(rank_cap(materialise(td.panel(spark, sf), "panel")))
     h = fb.entity_block(p, {name: F.col(f"__prior_{name}") for name in ag.LEAGUE_PRIORS}, cfg)
-    return materialise(h.drop(*[c for c in h.columns if c.startswith("__prior_")]), "features")
+    return h.drop(*[c for c in h.columns if c.startswith("__prior_")])
 
 
-def accuracy_history(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES):
+def accuracy_history(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES, ids=(), stored=False):
+    """The panel, stored if it is read again, its plan, the models, and a history whose rows carry `ids`."""
     h = trained_panel(spark, sf, cfg)
+    h = materialise(h, "features") if stored else h
     plan = ad.plan_for(h)
-    return (h, plan, *sv.walk_forward(h, plan, list(variants), passes))
+    return (h, plan, *sv.walk_forward(h, plan, list(variants), passes, ids))
 
 
 _GRADES = ["pred", "b1", "b2", "b3"]
@@ -202,7 +204,7 @@ def _(spark, sf):
 @query("serve_projection", "ML2 ML4 ML5 SNK2")
 def _(spark, sf):
     """Models trained, gated, published as a version, read back, and every row served by the models of its own era (no SQL twin)."""
-    h, plan, models, history = accuracy_history(spark, sf)
+    h, plan, models, history = accuracy_history(spark, sf, stored=True)
     store = scratch_path(spark, "model-store")
     sv.publish(models, sv.gate(history), store)
     rows = h.withColumn("p_play", F.when(F.col("depth_rank") == 1, 0.75).otherwise(0.5))
@@ -212,6 +214,6 @@ def _(spark, sf):
 @query("calibration_chain", "CP4 CP5 SF16 SF17")
 def _(spark, sf):
     """Level maps and ratio quantiles of every target and era, from walk-forward predictions of the eras before it (no SQL twin)."""
-    *_, history = accuracy_history(spark, sf)
+    *_, history = accuracy_history(spark, sf, ids=("game_id", "gsis_id"))
     _, ratios = cp.cross_fitted(materialise(history.where("pred IS NOT NULL"), "history"))
     return ratios.select("target", "era", "bin", "lo", "hi", "n", "mean_pred", "mean_actual", F.col("quantiles")[99].alias("median_ratio"))

@@ -159,3 +159,19 @@ def test_empty_and_null(spark, panel, fitted):
     odd = panel.limit(3).withColumn("position", F.lit(None).cast("string")).withColumn("f_b", F.lit(float("nan")))
     served = sv.serve(odd, models, plan, ["gsis_id", "position"]).collect()
     assert len(served) == 3 and all(r.targets is None and r.targets_source is None for r in served)
+
+
+def test_vectors_are_two_packed_values_a_row(panel, fitted):
+    """A pass over the vectors reads two binary values a row; baselines are read out of them."""
+    plan, _, _, history, _ = fitted
+    vec = ad.vectors(panel, plan, ["gsis_id"])
+    assert dict(vec.dtypes)["x"] == dict(vec.dtypes)["y"] == "binary"
+    data = {(x[0], x[3]): x for x in rows()}
+    for r in vec.collect():
+        x = np.frombuffer(bytes(r.x))
+        want = [np.nan if v is None else v for v in (vector(plan, data[r.era, r.gsis_id])[1 : 1 + len(plan.features)])]
+        gone = vector(plan, data[r.era, r.gsis_id])[1 + len(plan.features) :]
+        assert np.array_equal(np.isnan(x), np.array(gone) > 0) and np.array_equal(np.nan_to_num(x), np.array(want))
+    for h in history:
+        if h.reason is None and h.target == "targets":
+            assert h.b2 == data[h.era, h.gsis_id][8]
