@@ -12,8 +12,8 @@ How. Documents with equal shingle sets are one class (grouped by a digest of the
 id of a class goes on, so thousands of copies cost one row. In a band's bucket every class is paired with the
 bucket's smallest id, its head, only, and their full sets are compared. Pairs over the threshold are links.
 After the components of these links are known, a bucket that still holds several components has the members
-outside its largest component compared with the members of other components, unless their overlaps with a
-common head already rule the pair out; buckets that are one component, which holds for groups of copies however large,
+outside its largest component compared with the members of other components, unless what each of the two lacks of the
+bucket's head and has beside it already rules the pair out; buckets that are one component, which holds for groups of copies however large,
 cost nothing more. No candidate is capped.
 """
 
@@ -37,7 +37,8 @@ BANDS, ROWS, MISS = 25, 5, 1e-6
 #: Minima in a signature.
 HASHES = 256
 SKETCH = tuple(f"s{i}" for i in range(8))
-MASK = tuple(f"m{i}" for i in range(16))
+#: Words of the bit masks of what a set has beside another one, and of what it lacks of it.
+MASK, LACK = tuple(f"m{i}" for i in range(16)), tuple(f"l{i}" for i in range(16))
 #: A pair at the threshold has fewer equal signature bits than `agreeing` asks for by a deviation of so many sigmas.
 SIGMAS = 5
 
@@ -143,24 +144,29 @@ def set_blobs(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blob binary")
 
 
+def set_bits(words: np.ndarray, hashes: np.ndarray) -> None:
+    word = (hashes >> np.uint64(6)) % np.uint64(len(words))
+    np.bitwise_or.at(words, word.astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
+
+
 def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, both: sizes of the two full sets and of their intersection; mask words: a bit for each hash of b that a lacks."""
+    """a, b, n_a, n_b, both: sizes of the two full sets and of their intersection; mask words: a bit for each hash of b that a lacks, and of a that b lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            n_a, n_b, both, mask = [], [], [], np.zeros((part.num_rows, len(MASK)), np.int64)
+            n_a, n_b, both = [], [], []
+            mask, lack = np.zeros((2, part.num_rows, len(MASK)), np.uint64)
             for k, (x, y) in enumerate(zip(part.column("blob_a"), part.column("blob_b"))):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 extra = np.setdiff1d(v, u, assume_unique=True)
                 n_a.append(len(u)), n_b.append(len(v)), both.append(len(v) - len(extra))
-                word, bit = (extra >> np.uint64(6)) % np.uint64(len(MASK)), extra & np.uint64(63)
-                np.bitwise_or.at(mask[k].view(np.uint64), word.astype(np.int64), np.uint64(1) << bit)
+                set_bits(mask[k], extra), set_bits(lack[k], np.setdiff1d(u, v, assume_unique=True))
             out = {"a": part.column("a"), "b": part.column("b")} | {k: pa.array(x, pa.int64()) for k, x in (("n_a", n_a), ("n_b", n_b), ("both", both))}
-            yield pa.RecordBatch.from_pydict(out | {m: pa.array(mask[:, i]) for i, m in enumerate(MASK)})
+            yield pa.RecordBatch.from_pydict(out | {c: pa.array(signed(np.ascontiguousarray(w[:, i]))) for names, w in ((MASK, mask), (LACK, lack)) for i, c in enumerate(names)})
 
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("blob").alias(f"blob_{s}"))
     found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "blob_a", "blob_b")
-    return found.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, " + ", ".join(f"{m} long" for m in MASK))
+    return found.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, " + ", ".join(f"{m} long" for m in (*MASK, *LACK)))
 
 
 def passes(both, n_a, n_b, percent: int):
@@ -196,20 +202,17 @@ def alike(a: str, b: str, percent: int):
 
 
 def possible(a: str, b: str, percent: int):
-    """False where two sets cannot pass, as their overlaps with one common head show.
+    """False where two sets of a bucket cannot pass, as their differences from the bucket's head show; a set and the head were compared before.
 
-    Inside the head they share no more than the smaller inside part; outside it no more than the smaller outside
-    part, and nothing where the bit masks of the outside parts have no bit in common. A set and its own head were
-    compared before.
+    As many bits as two masks have together, so many different hashes there are at least: the head's hashes that either
+    set lacks are in no intersection, and those beside the head are shared no more than their number exceeds the bits.
     """
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n_shingles", "inside") for x in (a, b))
-    meet = F.lit(False)
-    for w in MASK:
-        meet = meet | (F.col(f"{a}.{w}").bitwiseAND(F.col(f"{b}.{w}")) != 0)
-    inside = passes(F.least(i, j), n, m, percent)
-    anywhere = passes(F.least(i, j) + F.least(n - i, m - j), n, m, percent)
-    compared = (F.col(f"{a}.near") == F.col(f"{b}.rep")) | (F.col(f"{b}.near") == F.col(f"{a}.rep"))
-    return ~compared & ((F.col(f"{a}.near") != F.col(f"{b}.near")) | inside | (anywhere & meet))
+    either = lambda words: sum((F.bit_count(F.col(f"{a}.{w}").bitwiseOR(F.col(f"{b}.{w}"))) for w in words[1:]), F.bit_count(F.col(f"{a}.{words[0]}").bitwiseOR(F.col(f"{b}.{words[0]}"))))
+    inside = F.least(i, j, F.col(f"{a}.n_head") - either(LACK))
+    outside = F.least(n - i, m - j, n - i + m - j - either(MASK))
+    compared = (F.col(f"{a}.rep") == F.col(f"{a}.head")) | (F.col(f"{b}.rep") == F.col(f"{b}.head"))
+    return ~compared & passes(inside + outside, n, m, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,17 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that still hold several components: their minority against the other components.
     found = components(links)
-    placed = met.join(found, met.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = met.join(found, met.rep == found.node, "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.c").alias("main"))
-    # Of the heads that a class was compared with, the most similar one.
-    nearest = star.groupBy(F.col("b").alias("rep")).agg(
-        F.max(F.struct((F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("j"), F.col("a"), F.col("both"), *MASK)).alias("h")
-    )
+    to_head = star.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.col("n_a").alias("n_head"), F.col("both").alias("inside"), *MASK, *LACK)
     none = F.lit(0).cast("long")
-    mixed = placed.join(main, "key").join(traits, "rep").join(nearest, "rep", "left").select(
-        "key", "rep", "c", "main", "n_shingles", F.expr("slice(keys, 1, cast(array_position(keys, key) - 1 as int))").alias("earlier"), *SKETCH, F.coalesce("h.a", "rep").alias("near"),
-        F.coalesce("h.both", "n_shingles").alias("inside"), *[F.coalesce(f"h.{m}", none).alias(m) for m in MASK],
+    mixed = placed.join(main, "key").join(traits, "rep").join(to_head, ["head", "rep"], "left").select(
+        "key", "rep", "head", "c", "main", "n_shingles", F.expr("slice(keys, 1, cast(array_position(keys, key) - 1 as int))").alias("earlier"), *SKETCH,
+        *[F.coalesce(x, "n_shingles").alias(x) for x in ("n_head", "inside")], *[F.coalesce(x, none).alias(x) for x in (*MASK, *LACK)],
     )
     mixed = materialise(mixed, "mixed")
     rest = (
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(
             mixed.alias("y"),
             (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & possible("x", "y", percent) & alike("x", "y", percent)
+            & ((F.col("y.c") == F.col("y.main")) | (F.col("y.rep") < F.col("x.rep"))) & alike("x", "y", percent) & possible("x", "y", percent)
             & ~F.arrays_overlap("x.earlier", "y.earlier"),  # a pair comes out of the first bucket that it shares
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))

@@ -73,3 +73,21 @@ def test_edges(edges, empty):
 def test_components_of_a_long_path(spark):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {(r.node, r.component) for r in nd.components(links).collect()} == {(i, 0) for i in range(1, 60)}
+
+
+def test_copies_of_one_text_that_are_no_links_are_ruled_out_before_they_are_pairs(spark, monkeypatch):
+    """Copies whose base is missing meet in the bands, two by two under the threshold; few of them may become pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    copies = [edited(base, 3, rng) for _ in range(80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*copies, *[edited(copies[k], 1, rng) for k in range(8)]])]
+    asked, compare = [], nd.shared
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return compare(pairs, sets)
+
+    monkeypatch.setattr(nd, "shared", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert got == brute(rows, 80)
+    assert asked[1] < 200, asked
