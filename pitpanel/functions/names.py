@@ -50,11 +50,12 @@ def fold(text: Column) -> Column:
     """ASCII-leaning form of any text; plain ASCII passes untouched."""
     src, dst, many = fold_tables()
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    some_many = text.rlike("[" + "".join(many) + "]")
+    # Whether a character is in the table is asked of a hash table first; a class of hundreds of characters, and the map, are walked through.
+    lacks = lambda c: F.translate(c, "".join(many), "")
     spread = F.when(
-        some_many,
+        F.length(lacks(text)) < F.length(text),
         F.array_join(
-            F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+            F.transform(F.split(text, ""), lambda c: F.when(lacks(c) == "", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), ""
         ),
     ).otherwise(text)
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.translate(spread, src, dst))
