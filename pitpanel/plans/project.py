@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitpanel.functions import schedule as sc
 from pitpanel.operators import aggregates as ag
 from pitpanel.operators import shape as sh
-from pitpanel.operators.joins import asof, latest_prior_era, majority_or_own
-from pitpanel.operators.ordered import Spec, prior
+from pitpanel.operators.joins import latest_prior_era, majority_or_own
+from pitpanel.operators.ordered import Spec, prior, sized
 from pitpanel.operators.windows import era_means, latest, rows_at_latest
 from pitpanel.plans import blocks as fb
 from pitpanel.roles import PLAYER_PANEL, Roles
+from pitpanel.session import materialise
 from pitpanel.sources.groups import canonical
 
 # Roster label -> cohort.
@@ -105,14 +106,23 @@ def _closed(history: DataFrame, asks: DataFrame, keys: list[str], roles: Roles,
     return sh.union_ragged(history, end.withColumn(roles.period, F.lit(END_PERIOD).cast(kinds[roles.period])))
 
 
-def _state(asks: DataFrame, states: DataFrame, keys: list[str], columns: list[str], roles: Roles, hot_rows=None) -> DataFrame:
-    """asks (keys, era, period) with the columns of the first state at or after the asked period.
+def _states_at(asks: DataFrame, history: DataFrame, keys: list[str], specs: list[Spec], columns, roles: Roles, hot_rows=None, within_era: bool = False) -> DataFrame:
+    """asks (keys, era, period) with ``columns`` of the first state at or after the asked period.
 
-    A state row holds what was known strictly before it, and no row lies between the asked period and it.
+    A state row holds what was known strictly before it, and no row lies between the asked period and it. A state answers the
+    asks that lie behind the row before it and not behind itself; the asks of a key are a list, one for each of its periods, that
+    is joined on the exchange of the windows. Only answers are carried on, so no state crosses the network.
     """
-    right = states.select(*keys, roles.clock.alias("__when"), F.col(roles.event).alias("__event"), *columns)
-    left = asks.select(*dict.fromkeys([*keys, roles.era, roles.period]), roles.clock.alias("__when"))
-    return asof(left, right, keys, "__when", "__when", {c: c for c in columns}, "__event", "forward", False, hot_rows).drop("__when")
+    when = [roles.era, roles.period]
+    at = roles.clock.cast("double")
+    closed = _closed(history, asks, keys, roles, within_era).withColumn("__when", at)
+    states = prior(closed, keys, roles.order, F.col("__when"), [*specs, Spec("__prev", "rolling", "__when", 1)], hot_rows)
+    of = [*keys, roles.era] if within_era else keys
+    asked = asks.select(*keys, *when, at.alias("__at")).distinct()
+    lists = asked.groupBy(*of).agg(F.collect_list(F.struct(*[F.col(c).alias(f"__a_{c}") for c in when], "__at")).alias("__asks"))
+    mine = F.filter("__asks", lambda a: (a["__at"] <= F.col("__when")) & (F.col("__prev").isNull() | (a["__at"] > F.col("__prev"))))
+    found = states.join(lists, of).withColumn("__a", F.explode(mine))
+    return found.select(*keys, *[F.col(f"__a.__a_{c}").alias(c) for c in when], *columns)
 
 
 def _asked(rows: DataFrame, keys: dict[str, str], when: list[str]) -> DataFrame:
@@ -126,30 +136,38 @@ def project(
     """Features of all future rows in one plan, whatever the number of periods.
 
     Future rows ask and never contribute: each sees the history strictly before its own (era, period). States before every
-    event are worked out once per entity, per (rival, cohort) and per group, with one closing row each, and every asking
-    (key, era, period) takes the first state at or after it. History is reduced to the entities that are projected; that
+    event are worked out once per entity, per (rival, cohort) and per group, with one closing row each, and the first state at
+    or after an asking (key, era, period) answers it. History is reduced to the entities that are projected; that
     is safe because entity windows never look across entities.
     """
     when = [roles.era, roles.period]
-    rows = majority_or_own(future, history, roles.entity, roles.cohort, "chart_position")
-    for found, on in (_entity(history, rows, priors, cfg, roles), _rival_cohort(history, rows, cfg, roles), *_groups(team, league, rows, cfg, roles)):
-        rows = rows.join(found, [*on, *when], "left")
-    return rows
+    rows = materialise(majority_or_own(future, history, roles.entity, roles.cohort, "chart_position"), "future")
+    entity, *others = (_entity(history, rows, priors, cfg, roles), _rival_cohort(history, rows, cfg, roles), *_groups(team, league, rows, cfg, roles))
+    out = rows
+    for found, on in others:  # a row per asking group, or rival and cohort: joined while the rows are narrow
+        known = materialise(found, "states")
+        out = out.join(sized(known, known.count()), [*on, *when], "left")
+    found, on = entity
+    out = out.join(found, [*on, *when], "left")
+    named = [c for found, on in (entity, *others) for c in found.columns if c not in (*on, *when)]
+    return out.select(*rows.columns, *named)
 
 
 def _entity(history, rows, priors, cfg, roles):
     key = [roles.entity]
     asks = _asked(rows, {roles.entity: roles.entity}, [roles.era, roles.period])
     slim = history.join(asks.select(*key).distinct(), key, "left_semi")
-    states = fb.entity_block(_closed(slim, asks, key, roles), priors, cfg, roles)
-    names = [c for c in states.columns if c.startswith("f_")]
-    inner = [s for s in fb.entity_specs(history.columns, cfg, roles.era) if s.within]
-    within = [s.name for s in inner]
-    ever = _state(asks, states, key, [c for c in names if c not in within], roles, cfg.hot_rows)
+    specs = fb.entity_specs(history.columns, cfg, roles.era)
+    inner = [s for s in specs if s.within]
+    totals = fb.posterior_specs(history.columns)
+    posteriors = fb.posterior_columns(history.columns, priors)
+    always = [s.name for s in specs if not s.within]
+    ever = _states_at(asks, slim, key, [*[s for s in specs if not s.within], *totals], [*always, *posteriors], roles, cfg.hot_rows)
     per = [roles.entity, roles.era]
     same = slim.join(asks.select(*per).distinct(), per, "left_semi")
-    era_states = prior(_closed(same, asks, key, roles, within_era=True), key, roles.order, roles.clock, inner, cfg.hot_rows)
-    both = ever.join(_state(asks, era_states, per, within, roles, cfg.hot_rows), [*key, roles.era, roles.period])
+    of_era = _states_at(asks, same, key, inner, [s.name for s in inner], roles, cfg.hot_rows, within_era=True)
+    both = ever.join(of_era, [*key, roles.era, roles.period])
+    names = [s.name for s in specs] + [c for c in ever.columns if c not in (*per, roles.period, *always)]
     return both.select(*key, roles.era, roles.period, *names), key
 
 
@@ -159,8 +177,7 @@ def _rival_cohort(history, rows, cfg, roles):
     stats = [c for c in fb.ALLOWED_STATS if c in history.columns]
     allowed = ag.allowed_totals(history, stats)
     specs = [Spec(f"__s_{c}", "sum", c) for c in stats] + [Spec("__n", "count")]
-    states = prior(_closed(allowed, asks, keys, roles), keys, roles.order, roles.clock, specs, cfg.hot_rows)
-    found = _state(asks, states, keys, [s.name for s in specs], roles, cfg.hot_rows)
+    found = _states_at(asks, allowed, keys, specs, [s.name for s in specs], roles, cfg.hot_rows)
     # The cohort's level: the mean of the means of all earlier eras; rows are (cohort, era) pairs only.
     means = era_means(allowed, [roles.cohort], roles.era, stats).select(F.col(roles.cohort).alias("__c"), F.col(roles.era).alias("__e"), *[F.col(c).alias(f"__m_{c}") for c in stats])
     eras = asks.select(roles.cohort, roles.era).distinct()
@@ -169,8 +186,8 @@ def _rival_cohort(history, rows, cfg, roles):
     if cfg.compat:  # where no era is over yet, the mean of all earlier events of the cohort
         by = [roles.cohort]
         any_rival = asks.select(*by, roles.era, roles.period).distinct()
-        every = prior(_closed(allowed, any_rival, by, roles), by, roles.order, roles.clock, [Spec(f"__a_{c}", "mean", c) for c in stats], cfg.hot_rows)
-        found = found.join(_state(any_rival, every, by, [f"__a_{c}" for c in stats], roles, cfg.hot_rows), [*by, roles.era, roles.period], "left")
+        every = [Spec(f"__a_{c}", "mean", c) for c in stats]
+        found = found.join(_states_at(any_rival, allowed, by, every, [s.name for s in every], roles, cfg.hot_rows), [*by, roles.era, roles.period], "left")
     cols = []
     for c in stats:
         p = F.coalesce(f"__p_{c}", f"__a_{c}") if cfg.compat else F.col(f"__p_{c}")
@@ -186,16 +203,17 @@ def _groups(team, league, rows, cfg, roles):
     asks = _asked(rows, {roles.group: roles.group}, when)
     other = _asked(rows, {roles.group: roles.rival}, when)
     key = [roles.group]
-    states = prior(_closed(team, asks.union(other), key, roles), key, roles.order, roles.clock, own + ([] if cfg.compat else rival), cfg.hot_rows)
-    found = _state(asks, states, key, [s.name for s in own], roles, cfg.hot_rows)
+    mixed = [] if cfg.compat else rival
+    states = _states_at(asks.union(other).distinct(), team, key, own + mixed, [s.name for s in own + mixed], roles, cfg.hot_rows)
+    states = materialise(states, "group-states")
+    found = states.select(*key, *when, *[s.name for s in own])
     if any(s.name == "f_team_prior_off_proe" for s in own):
         found = latest_prior_era(found, league, roles.era, "league_off_proe", "__league")
         found = found.withColumn("f_team_proe_centered", F.col("f_team_prior_off_proe") - F.col("__league")).drop("__league")
     if cfg.compat:  # rows relabelled by opponent
         by = ["opponent"]
         other = other.withColumnRenamed(roles.group, "opponent")
-        against = prior(_closed(team, other, by, roles), by, roles.order, roles.clock, rival, cfg.hot_rows)
-        theirs = _state(other, against, by, [s.name for s in rival], roles, cfg.hot_rows).withColumnRenamed("opponent", roles.rival)
+        theirs = _states_at(other, team, by, rival, [s.name for s in rival], roles, cfg.hot_rows).withColumnRenamed("opponent", roles.rival)
     else:
-        theirs = _state(other, states, key, [s.name for s in rival], roles, cfg.hot_rows).withColumnRenamed(roles.group, roles.rival)
+        theirs = states.select(F.col(roles.group).alias(roles.rival), *when, *[s.name for s in rival])
     return (found, key), (theirs, [roles.rival])

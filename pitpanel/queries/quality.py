@@ -171,14 +171,14 @@ def _(spark, sf):
     )
 
 
-def _future(spark, sf):
+def _future(spark, sf, panel=None):
     from pitpanel.operators.windows import latest
 
     g = td.plays(spark, sf).where("season = 2001").selectExpr(
         "game_id", "season", "week", "home_team", "away_team", "40.0D + week AS total_line", "week - 2.5D AS spread_line",
         "7.0D AS home_rest", "6.0D AS away_rest",
     ).distinct()
-    past = td.panel(spark, sf).where("season < 2001").select("team", "gsis_id", "position", "season", "week", "game_id", "depth_rank")
+    past = (td.panel(spark, sf) if panel is None else panel).where("season < 2001").select("team", "gsis_id", "position", "season", "week", "game_id", "depth_rank")
     roster = latest(past, ["team", "gsis_id"], ["season", "week", "game_id"]).select("team", "gsis_id", "position", "depth_rank")
     inj = td.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("gsis_id"), F.when(F.col("s_suppkey") % 3 == 0, "Out").alias("report_status"), F.lit(None).cast("string").alias("practice_status")
@@ -234,7 +234,8 @@ def _(spark, sf):
 
     t = materialise(ag.with_rival_side(materialise(team_week(spark, sf), "team-own")), "team")
     league = t.groupBy("season").agg(F.avg("off_proe").alias("league_off_proe"))
-    live = pj.project(materialise(td.panel(spark, sf), "panel"), _future(spark, sf), t, league, _LITERAL)
+    panel = materialise(td.panel(spark, sf), "panel")
+    live = pj.project(panel, _future(spark, sf, panel), t, league, _LITERAL)
     return live.select("game_id", "gsis_id", *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in live.columns if c.startswith("f_")])
 
 
