@@ -29,7 +29,7 @@ fh AS (SELECT *, count(*) OVER c AS f_games_prior, count(*) OVER e AS f_games_pr
 
 def panel_priors(spark, sf, before=1999):
     """League priors of the panel; one row, read to the driver as seven numbers."""
-    return fb.priors_dict(ag.league_priors(td.panel(spark, sf), before).first())
+    return fb.priors_dict(ag.league_priors(td.box_totals(spark, sf, ["season"]), before).first())
 
 
 _LITERAL = {n: lit for n, (_, _, lit) in ag.LEAGUE_PRIORS.items()}
