@@ -201,8 +201,9 @@ def id_then_name(left: DataFrame, right: DataFrame, id_col: str, name_col: str,
         id_col, F.struct(*take).alias("__i")
     )
     by_name = first_per_key(right, name_col, order).select(name_col, F.struct(*take).alias("__n"))
+    # Hot keys are counted on the left rows themselves: a join to at most one row per key leaves the counts as they are.
     j = lookup_join(left, by_id, [id_col], "left", hot_rows)
-    j = lookup_join(j, by_name, [name_col], "left", hot_rows)
+    j = lookup_join(j, by_name, [name_col], "left", hot_rows, probe=left)
     hit = F.coalesce("__i", "__n")
     return j.select(*left.columns, *[hit[c].alias(c) for c in take], hit.isNotNull().alias("matched"))
 

@@ -297,6 +297,13 @@ def compare(
     )
 
 
+def single_targets(lines: DataFrame) -> set[str]:
+    """Targets that posted lines are priced by one at a time: the only ones whose calibration is read. At most one per rule."""
+    single = {k: next(iter(parts)) for k, (kind, parts) in STAT_RULES.items() if kind == "mean" and len(parts) == 1 and k not in REFUSED}
+    label = F.lower(F.trim("stat_type"))
+    return {single[r[0]] for r in lines.select(label.alias("label")).where(F.col("label").isin(list(single))).distinct().collect()}
+
+
 def accounting(compared: DataFrame) -> DataFrame:
     """Counts by disposition, stat, source and tier: the reasons an empty board is empty."""
     return compared.groupBy(

@@ -9,8 +9,8 @@ from pitpanel.operators import aggregates as ag
 from pitpanel.operators import lines as ln
 from pitpanel.queries import query
 from pitpanel.queries.aggregates import scored_sql
-from pitpanel.queries.calibration import BINS, calibration_of_all
-from pitpanel.session import constant_table
+from pitpanel.queries.calibration import BINS, HELD, calibration_of
+from pitpanel.session import constant_table, materialise
 from pitpanel.sources import feeds
 
 
@@ -52,8 +52,8 @@ proj AS (SELECT gsis_id, any_value(s_name) AS player_display_name, any_value(tea
   FROM panel JOIN supplier ON gsis_id = s_suppkey GROUP BY gsis_id)"""
 
 
-def projections(spark, sf):
-    p = td.panel(spark, sf).groupBy("gsis_id").agg(
+def projections(spark, sf, panel=None):
+    p = (td.panel(spark, sf) if panel is None else panel).groupBy("gsis_id").agg(
         F.first("team").alias("team"), F.first("position").alias("position"),
         F.count(F.lit(1)).cast("double").alias("f_games_prior"), *[F.avg(c).alias(c) for c in _PROJ],
     )
@@ -218,14 +218,18 @@ graded AS (SELECT *, CASE WHEN result <> 'Exact' THEN result = lean END AS model
 
 
 def graded(spark, sf):
+    """Compared lines and the panel are stored: counting hot keys, both joins and both uses of the panel read them."""
     from pyspark.sql import Window
 
-    c = ln.compare(lines(spark, sf), projections(spark, sf)).where("disposition = 'matched'")
+    kept = ["season", "week", "game_id", "gsis_id", "team", "position", *_PROJ]
+    panel = materialise(td.panel(spark, sf).select(*kept), "panel")
+    c = materialise(ln.compare(lines(spark, sf), projections(spark, sf, panel)).where("disposition = 'matched'"), "compared")
     c = c.withColumn("season", F.lit(1)).withColumn("week", 1 + F.col("event_id") % 2)
     s = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gsis_id"), F.col("s_name").alias("player_display_name"))
     newest = Window.partitionBy("gsis_id").orderBy(F.desc("season"), F.desc("week"), F.desc("game_id"))
-    act = td.panel(spark, sf).withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
+    act = panel.withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
     act = act.withColumn("season", F.lit(1)).withColumn("week", F.col("__n").cast("bigint")).drop("__n")
+    act = materialise(act, "actuals")
     return ln.grade(c, act.join(s, "gsis_id")).drop("season", "week")
 
 
@@ -290,7 +294,9 @@ pz AS (SELECT *, CASE WHEN raw >= 0.25 AND q IS NOT NULL THEN least(0.99, greate
 SELECT event_id, label, floor({half_up('p_over', 4)} * 1e3 + 0.37E0) / 1e3 AS p_over, {half_up('CASE WHEN p_over IS NOT NULL THEN raw * q[100] ELSE raw END', 2)} AS model FROM pz""")
 def _(spark, sf):
     """A row for each priced line, by its own target's bins; a sum of targets has no bins, so its p_over is null."""
-    c = ln.compare(lines(spark, sf), projections(spark, sf), calibration=calibration_of_all(spark, sf)).where("disposition = 'matched'")
+    posted = lines(spark, sf)
+    asked = ln.single_targets(posted)
+    c = ln.compare(posted, projections(spark, sf), calibration=calibration_of(spark, sf, [t for t in HELD if t in asked])).where("disposition = 'matched'")
     p = F.floor(F.col("p_over") * 1e3 + 0.37) / 1e3  # three digits, cut where no interpolated tie lies
     return c.select("event_id", F.lower(F.trim("stat")).alias("label"), p.alias("p_over"), "model")
 
