@@ -215,9 +215,13 @@ def packed_bins(bins: DataFrame, target: str, lo: str, hi: str, payload: list[st
     )
 
 
-def bin_lookup(df: DataFrame, bins: DataFrame, target: str, x: str, payload: list[str], lo="lo", hi="hi") -> DataFrame:
-    """Bin with lo <= x <= hi, the lowest on a shared edge; below all the lowest, above the highest."""
-    joined = df.join(small_side(packed_bins(bins, target, lo, hi, payload)), target, "left")
+def bin_lookup(df: DataFrame, bins: DataFrame, target: str, x: str, payload: list[str], lo="lo", hi="hi", few=False) -> DataFrame:
+    """Bin with lo <= x <= hi, the lowest on a shared edge; below all the lowest, above the highest.
+
+    ``few``: the targets are a bounded list, so their bins are broadcast and rows are not gathered by target.
+    """
+    packed = packed_bins(bins, target, lo, hi, payload)
+    joined = df.join(F.broadcast(packed) if few else small_side(packed), target, "left")
     hit = f"""coalesce(
         try_element_at(filter(__bins, b -> b.lo <= {x} AND {x} <= b.hi), 1),
         CASE WHEN {x} < element_at(__bins, 1).lo THEN element_at(__bins, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitpanel.functions.names import normalize_name
 from pitpanel.functions.prob import (
-    CEIL, FLOOR, median_projection, poisson_at_least, prob_over, threshold_for_line, wilson,
+    CEIL, FLOOR, knots_below, median_ratio, poisson_at_least, prob_over, threshold_for_line, times_ratio, wilson,
 )
 from pitpanel.operators.joins import bin_lookup, first_per_key, id_then_name
 from pitpanel.operators.ordered import fenced, lookup_join, ranked
@@ -262,13 +262,15 @@ def compare(
         F.when(matched & single, comps[0]["col"]).alias("target"),
     )
     if calibration is not None:
-        v = bin_lookup(v, calibration, "target", "raw", ["quantiles", "q_grid"])
+        # Targets are those of the rules. The median ratio is of the bin, and the place of a row among its knots is found once.
+        mid = calibration.withColumn("__mid", median_ratio(F.col("quantiles"), F.col("q_grid")))
+        v = bin_lookup(v, mid, "target", "raw", ["quantiles", "q_grid", "__mid"], few=True)
     else:
         none = F.lit(None).cast("array<double>")
-        v = v.withColumn("quantiles", none).withColumn("q_grid", none)
-    dist = (F.col("quantiles"), F.col("q_grid"))
+        v = v.withColumns({"quantiles": none, "q_grid": none, "__mid": F.lit(None).cast("double")})
+    v = fenced(v, __k=knots_below(F.col("line") / F.col("raw"), F.col("quantiles")))
     v = fenced(
-        v, p_raw=prob_over(F.col("raw"), F.col("line"), *dist), __median=median_projection(F.col("raw"), *dist)
+        v, p_raw=prob_over(F.col("raw"), F.col("line"), F.col("quantiles"), F.col("q_grid"), F.col("__k")), __median=times_ratio(F.col("raw"), F.col("__mid"))
     )
     has_p = F.col("p_raw").isNotNull()
     is_prob = F.col("kind") == "prob"
