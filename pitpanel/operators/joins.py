@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.operators.aggregates import majority_label
 from pitpanel.operators.ordered import Spec, fill, fill_both, lookup_join, prior
-from pitpanel.session import small_side
+from pitpanel.session import materialise, small_side
 
 MICROS_HOUR = 3_600_000_000
 
@@ -100,10 +100,11 @@ def modal_period_within(
     formed; each distinct start is resolved once.
     """
     day = 24 * MICROS_HOUR
-    starts = lines.where(F.col(start).isNotNull()).select(micros(start).alias("__s")).distinct()
-    kicks = games.where(F.col(kick).isNotNull()).groupBy(period, micros(kick).alias("__k")).agg(
+    # Counting, cutting, windows and carries each read the points again; what they are made of is written once.
+    starts = materialise(lines.where(F.col(start).isNotNull()).select(micros(start).alias("__s")).distinct(), "starts")
+    kicks = materialise(games.where(F.col(kick).isNotNull()).groupBy(period, micros(kick).alias("__k")).agg(
         F.count(F.lit(1)).cast("double").alias("__n")
-    )
+    ), "kicks")
     # A period that recurs is near a start only around its own kickoffs: candidates are found by equality on the days
     # that a kickoff's interval touches, so a start meets the periods of its days, however many eras use their names.
     by_day = kicks.groupBy(period, F.floor(F.col("__k") / day).alias("__d")).agg((F.min("__k") - half_width_micros).alias("__a"), (F.max("__k") + half_width_micros).alias("__b"))
