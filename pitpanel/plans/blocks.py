@@ -17,7 +17,7 @@ from pitpanel.operators.ordered import Spec, prior
 from pitpanel.operators.shape import mask_when
 from pitpanel.operators.windows import expanding_era_prior, history
 from pitpanel.roles import PLAYER_PANEL, Roles
-from pitpanel.session import small_side
+from pitpanel.session import small_side, stored_side
 
 # Evidence at which own rate and prior weigh the same.
 SHRINK_K = {
@@ -203,7 +203,7 @@ def rival_cohort_block(df: DataFrame, cfg: Config = Config(), roles: Roles = PLA
         p = F.coalesce(f"__p_{c}", f"__e_{c}") if cfg.compat else F.col(f"__p_{c}")
         cols.append(((F.col(f"__s_{c}") + p * DEFENCE_K) / (F.col("__n") + DEFENCE_K)).alias(DEFENCE_PREFIX + c))
     keys = [roles.era, roles.period, roles.event, roles.cohort]
-    side = h.select(*keys, F.col("def_team").alias(roles.rival), *cols)
+    side = stored_side(h.select(*keys, F.col("def_team").alias(roles.rival), *cols), "allowed")
     return df.join(side, [*keys, roles.rival], "left")
 
 
@@ -230,6 +230,7 @@ def team_block(df: DataFrame, team: DataFrame, league: DataFrame, cfg: Config =
         other = r.select(roles.event, F.col("opponent").alias(roles.rival), *[s.name for s in rival_specs])
     else:
         other = t.select(roles.event, F.col(roles.group).alias(roles.rival), *[s.name for s in rival_specs])
+    mine, other = stored_side(mine, "group-side"), stored_side(other, "rival-side")
     return df.join(mine, [roles.event, roles.group], "left").join(other, [roles.event, roles.rival], "left")
 
 

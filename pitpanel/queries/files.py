@@ -11,7 +11,7 @@ from pitpanel.plans import project as pj
 from pitpanel.queries import blocks as bq, query, steady, steady_sql
 from pitpanel.queries.blocks import _LITERAL, _league, _team
 from pitpanel.queries.calibration import _APPLY, with_availability
-from pitpanel.session import materialise, scratch_path
+from pitpanel.session import SLICE, dealt_in_order, in_order, scratch_path
 from pitpanel.sources import feeds, groups, sinks, tables
 
 
@@ -103,10 +103,12 @@ def _(spark, sf):
     """Every feature column of every default block and the zone counts, in event order."""
     from pitpanel.operators.shape import rank_cap
 
+    order = ["season", "week", "game_id", "gsis_id"]
     t = _team(spark, sf)
-    h = fb.build(rank_cap(materialise(td.panel(spark, sf), "panel")), t, _league(t), _LITERAL, fb.Config(zone=True))
-    out = h.select("season", "week", "game_id", "gsis_id", *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in h.columns if c.startswith("f_")])
-    return out.orderBy("season", "week", "game_id", "gsis_id")
+    panel, slices = dealt_in_order(td.panel(spark, sf), order, "panel")
+    h = fb.build(rank_cap(panel), t, _league(t), _LITERAL, fb.Config(zone=True))
+    out = h.select(SLICE, *order, *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in h.columns if c.startswith("f_")])
+    return in_order(out, order, slices)
 
 
 @query("tracking_scan", "SRC4", f"""WITH {td.PANEL}
