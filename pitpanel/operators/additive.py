@@ -12,7 +12,7 @@ over the vectors, each of which sums the gradients of all (variant, fold, cohort
 preconditioned by its own matrix, and halved where its likelihood fell.
 
 A model is a row: version, variant, fold, cohort, target, coefficients, its training rows and mean, or the reason why
-there is none. Rows are scored by one matrix product per era and cohort of a batch, all targets together.
+there is none. Rows are scored by one matrix product per pack, that is by era and cohort, all targets together. All passes read packs (``packs``).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pitpanel.functions.prob import RECENCY_HALF_LIFE
 from pitpanel.operators.models import MIN_COHORT, MIN_TEST, MIN_TRAIN, TARGETS, MissingFeature
+from pitpanel.operators.packs import Packs, Reduced, opened, packed_rows, reader
 from pitpanel.session import constant_table, materialise
 
 #: Rows that a model has at least, so that it can decide on the form of the next fold.
@@ -122,18 +123,6 @@ def unpacked(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float64, n * k, at[0]).reshape(n, k)
 
 
-def design(x: np.ndarray) -> np.ndarray:
-    gone = np.isnan(x)
-    return np.hstack([np.ones((len(x), 1)), np.where(gone, 0, x), gone])
-
-
-def block(part: pa.RecordBatch, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(design matrix, targets with 0 where absent, which are present) of some rows."""
-    y = unpacked(part.column("y"), len(plan.targets))
-    there = ~np.isnan(y)
-    return design(unpacked(part.column("x"), len(plan.features))), np.where(there, y, 0), there
-
-
 def grouped(part: pa.RecordBatch, *more: np.ndarray) -> Iterator[tuple]:
     """(era, cohort, *values of `more`, their rows) of a batch; rows without a cohort are in none."""
     coded = part.column("cohort").dictionary_encode()
@@ -149,8 +138,16 @@ def grouped(part: pa.RecordBatch, *more: np.ndarray) -> Iterator[tuple]:
             yield (era, names[c], *rest, order[begin:end])
 
 
-def statistics(vec: DataFrame, plan: Plan) -> DataFrame:
+def packed_once(vec: DataFrame | Packs, plan: Plan, keep: list[str] = []) -> Packs:
+    """The rows as a written table of packs, which all passes read."""
+    if isinstance(vec, Packs):
+        return vec
+    return Packs(materialise(packed_rows(vec, plan, keep), "packs"), plan.features, plan.targets)
+
+
+def statistics(packs: Packs, plan: Plan) -> DataFrame:
     """era, cohort, present (bit mask of targets), place (row of the matrix), sums: [columns' | targets'] cross-products."""
+    read = reader(packs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,12 +155,18 @@ def statistics(vec: DataFrame, plan: Plan) -> DataFrame:
         sums: dict[tuple, np.ndarray] = {}
         bit = 1 << np.arange(len(plan.targets), dtype=np.int64)
         for part in batches:
-            z, y, there = block(part, plan)
-            for *key, rows in grouped(part, there @ bit):
-                key = tuple(key)
-                if key[-1]:
-                    own = z[rows].T @ np.hstack([z[rows], y[rows]])
-                    sums[key] = sums[key] + own if key in sums else own
+            for p in opened(part, read):
+                there = ~np.isnan(p.y)
+                mask = there @ bit
+                y = np.where(there, p.y, 0)
+                for present in np.unique(mask).tolist() if p.cohort is not None else []:
+                    if present:
+                        mine = mask == present
+                        r = Reduced(p.x[mine])
+                        m = sums.setdefault((p.era, p.cohort, present), np.zeros((plan.width, plan.width + len(plan.targets))))
+                        whole, own = r.places()
+                        m[np.ix_(whole, whole)] += (r.z.T @ r.z)[np.ix_(own, own)]
+                        m[whole, plan.width :] += (r.z.T @ y[mine])[own]
         task = TaskContext.get().partitionId()
         for (era, cohort, present), m in sums.items():
             n = len(m)
@@ -172,7 +175,7 @@ def statistics(vec: DataFrame, plan: Plan) -> DataFrame:
                 "place": pa.array(range(n), pa.int32()), "part": pa.array([task] * n, pa.int32()), "sums": pa.array(list(m), pa.list_(pa.float64())),
             })
 
-    parts = vec.select("era", "cohort", "x", "y").mapInArrow(run, STATS)
+    parts = packs.df.select("era", "cohort", "n", "x", "y").mapInArrow(run, STATS)
     return summed(parts, ["era", "cohort", "present", "place"])
 
 
@@ -269,7 +272,7 @@ def first_models(stats: DataFrame, plan: Plan, variants: list[Variant]) -> DataF
     return of_targets(stats, plan).groupBy("target").applyInPandas(run, MODELS)
 
 
-def gradients(vec: DataFrame, plan: Plan, rows: list, variants: dict[str, Variant]) -> DataFrame:
+def gradients(packs: Packs, plan: Plan, rows: list, variants: dict[str, Variant]) -> DataFrame:
     """model (place in rows), sums: [negative log-likelihood, gradient of it]; one pass for all models.
 
     `rows` are the models' coefficients, some hundred numbers each for (variant, fold, cohort, target); they travel with the job.
@@ -280,7 +283,9 @@ def gradients(vec: DataFrame, plan: Plan, rows: list, variants: dict[str, Varian
     cap = np.log(np.maximum([r["train_mean"] for r in rows], 1e-9)) + SPAN
     half = np.array([variants[r["variant"]].recency for r in rows])
     own = [frozenset([r["cohort"]]) if r["alone"] else frozenset(TARGETS[r["target"]][0]) for r in rows]
-    shared = vec.sparkSession.sparkContext.broadcast((fold, w, t, cap, half, own))
+    shared = packs.df.sparkSession.sparkContext.broadcast((fold, w, t, cap, half, own))
+
+    read = reader(packs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -289,45 +294,48 @@ def gradients(vec: DataFrame, plan: Plan, rows: list, variants: dict[str, Varian
         sums = np.zeros((len(fold), 1 + plan.width))
         asks: dict[tuple, tuple] = {}
         for part in batches:
-            z, y, there = block(part, plan)
-            for era, cohort, rows in grouped(part):
-                if (era, cohort) not in asks:  # the models that learn from this era and cohort, and its weight in each
-                    m = np.flatnonzero((fold > era) & np.array([cohort in c for c in own]))
-                    asks[era, cohort] = m, np.where(half[m], 0.5 ** (np.maximum(fold[m] - 1 - era, 0) / RECENCY_HALF_LIFE), 1.0)
-                m, weight = asks[era, cohort]
-                for i in range(0, len(rows) if len(m) else 0, 1024):
-                    some = rows[i : i + 1024]
-                    zs, yt = z[some], y[np.ix_(some, t[m])]
-                    a = weight * there[np.ix_(some, t[m])]
-                    eta = np.clip(zs @ w[:, m], -30, cap[m])
-                    mu = np.exp(eta)
-                    sums[m, 0] += (a * (mu - yt * eta)).sum(axis=0)
-                    sums[m, 1:] += (a * (mu - yt)).T @ zs
+            for p in opened(part, read):
+                if (p.era, p.cohort) not in asks:  # the models that learn from this era and cohort, and its weight in each
+                    m = np.flatnonzero((fold > p.era) & np.array([p.cohort in c for c in own], bool))
+                    asks[p.era, p.cohort] = m, np.where(half[m], 0.5 ** (np.maximum(fold[m] - 1 - p.era, 0) / RECENCY_HALF_LIFE), 1.0)
+                m, weight = asks[p.era, p.cohort]
+                if not len(m):
+                    continue
+                r = Reduced(p.x)
+                there = ~np.isnan(p.y)
+                yt = np.where(there, p.y, 0)[:, t[m]]
+                eta = np.clip(r.z @ r.fold(w[:, m]), -30, cap[m])
+                mu = np.exp(eta)
+                a = weight * there[:, t[m]]
+                sums[m, 0] += (a * (mu - yt * eta)).sum(axis=0)
+                whole, place = r.places()
+                sums[np.ix_(m, 1 + whole)] += ((a * (mu - yt)).T @ r.z)[:, place]
         n = len(sums)
         yield pa.RecordBatch.from_pydict({
             "model": pa.array(range(n), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * n, pa.int32()), "sums": pa.array(list(sums), pa.list_(pa.float64())),
         })
 
-    return summed(vec.select("era", "cohort", "x", "y").mapInArrow(run, "model int, part int, sums array<double>"), ["model"])
+    return summed(packs.df.select("era", "cohort", "n", "x", "y").mapInArrow(run, "model int, part int, sums array<double>"), ["model"])
 
 
-def train(vec: DataFrame, plan: Plan, variants: list[Variant] = [Variant()], passes: int = PASSES) -> DataFrame:
+def train(vec: DataFrame | Packs, plan: Plan, variants: list[Variant] = [Variant()], passes: int = PASSES) -> DataFrame:
     """A row for each (variant, fold, cohort, target), see MODELS: every era after the first and the one to come.
 
     The models of one fit are a bounded table (targets, folds, cohorts and variants), and so are their matrices.
     """
-    stats = materialise(statistics(vec, plan), "statistics")
+    packs = packed_once(vec, plan)
+    stats = materialise(statistics(packs, plan), "statistics")
     models = materialise(first_models(stats, plan, variants), "models")
     named = {v.name: v for v in variants}
     pooled = ["variant", "fold", "target"]
     log = models.where("link = 'log' AND coef IS NOT NULL")
     if passes and not log.isEmpty():
-        log = refined(vec, stats, plan, log, named, passes)
+        log = refined(packs, stats, plan, log, named, passes)
         models = models.where("link <> 'log' OR coef IS NULL").unionByName(log)
     return models.select(*[f.split(" ")[0] for f in MODELS.split(", ")]).orderBy(*pooled, "cohort")
 
 
-def refined(vec: DataFrame, stats: DataFrame, plan: Plan, log: DataFrame, variants: dict[str, Variant], passes: int) -> DataFrame:
+def refined(packs: Packs, stats: DataFrame, plan: Plan, log: DataFrame, variants: dict[str, Variant], passes: int) -> DataFrame:
     """Log-link models after some preconditioned steps; the best of all steps by penalised likelihood stays."""
     # Pooled models are the same for all cohorts of a target: one of them is refined.
     rows, place = [], {}
@@ -339,10 +347,10 @@ def refined(vec: DataFrame, stats: DataFrame, plan: Plan, log: DataFrame, varian
             rows.append(r.asDict() | {"alone": alone})
     todo = pd.DataFrame({"model": range(len(rows)), "target": [r["target"] for r in rows]})
     state = [{"best": np.array(r["coef"]), "trial": np.array(r["coef"]), "value": np.inf, "move": None, "rate": 1.0} for r in rows]
-    spark = vec.sparkSession
+    spark = packs.df.sparkSession
     for _ in range(passes):
         trial = [r | {"coef": s["trial"]} for r, s in zip(rows, state)]
-        g = materialise(gradients(vec, plan, trial, variants), "gradients")
+        g = materialise(gradients(packs, plan, trial, variants), "gradients")
         ask = spark.createDataFrame(todo, "model int, target string").join(g, "model")
         for r in steps(ask, stats, plan, rows, [s["trial"] for s in state], variants).collect():
             s, value = state[r["model"]], r["value"]
@@ -415,12 +423,12 @@ class Scorer:
             top = np.log(np.maximum([models[k]["train_mean"] for k in use], 1e-9)) + SPAN
             self.by[cohort] = use, w, link, top, models
 
-    def predicted(self, cohort: str | None, z: np.ndarray) -> np.ndarray:
+    def predicted(self, cohort: str | None, r: Reduced) -> np.ndarray:
         """Non-negative predictions of all targets, a column each; NaN without a model."""
-        p = np.full((len(z), len(self.plan.targets)), np.nan)
+        p = np.full((len(r.z), len(self.plan.targets)), np.nan)
         use, w, link, top, _ = self.by.get(cohort, ([], None, None, None, None))
         if use:
-            eta = z @ w
+            eta = r.z @ r.fold(w)
             with np.errstate(over="ignore"):
                 p[:, use] = np.where(link, np.exp(np.maximum(-30.0, np.fmin(eta, top))), np.maximum(eta, 0.0))
         return p

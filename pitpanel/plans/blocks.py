@@ -6,18 +6,21 @@ costs one exchange. Group and rival blocks run on the group table, cohort blocks
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitpanel.functions.prob import posterior
-from pitpanel.operators.aggregates import allowed_totals, era_share
+from pitpanel.operators.additive import Plan
+from pitpanel.operators.aggregates import LEAGUE_PRIORS, allowed_totals, era_share
 from pitpanel.operators.joins import lagged_era, latest_prior_era
+from pitpanel.operators.models import TARGETS
 from pitpanel.operators.ordered import Spec, prior
+from pitpanel.operators.packs import Late, Packs, era_levels, packed_history
 from pitpanel.operators.shape import mask_when
 from pitpanel.operators.windows import expanding_era_prior, history
 from pitpanel.roles import PLAYER_PANEL, Roles
-from pitpanel.session import small_side, stored_side
+from pitpanel.session import materialise, small_side, stored_side
 
 # Evidence at which own rate and prior weigh the same.
 SHRINK_K = {
@@ -151,6 +154,34 @@ def entity_block(df: DataFrame, priors: dict[str, float], cfg: Config = Config()
     return h.select(*kept, *posterior_columns(df.columns, priors))
 
 
+def history_plan(columns: list[str], cfg: Config = Config(), roles: Roles = PLAYER_PANEL) -> Plan:
+    """The features of ``entity_block`` on a panel with these columns, with the capped rank, and its targets."""
+    windows = [s.name for s in entity_specs(columns, cfg, roles.era) if s.name.startswith("f_")]
+    rates = [name for name, (n, d, *_) in {**EFFICIENCY, **SHARES}.items() if n in columns and d in columns]
+    return Plan((*windows, *rates, *[c for c in ("depth_rank_capped",) if c in columns]), tuple(t for t in TARGETS if t in columns), roles.era, roles.cohort)
+
+
+def history_packs(df: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] = (), roles: Roles = PLAYER_PANEL) -> tuple[Plan, Packs, list]:
+    """(plan, packs, the fields they carry besides) of ``entity_block``; posteriors lean on the priors of the eras before the row's own.
+
+    All rows of an entity must be in one partition of df, as ``testdata.panel`` leaves them: no further exchange is made, and no
+    feature is written by rows. The sums behind the priors are taken on the way.
+    """
+    plan = history_plan(df.columns, cfg, roles)
+    made = {**EFFICIENCY, **SHARES}
+    totals = posterior_specs(df.columns)
+    at = {s.column: i for i, s in enumerate(totals)}
+    places = tuple((k, at[made[f][0]], at[made[f][1]], SHRINK_K[made[f][3]], made[f][2]) for k, f in enumerate(plan.features) if f in made)
+    priors = {name: v for name, v in LEAGUE_PRIORS.items() if {v[0], v[1]} <= set(df.columns)}
+    own = sorted({c for n, d, _ in priors.values() for c in (n, d)})
+    late = Late(tuple(s.name for s in totals), places)
+    cohorts = {t: (TARGETS[t][0], plan.link(t) == "log") for t in plan.targets}
+    specs = [*entity_specs(df.columns, cfg, roles.era), *totals]
+    packs = materialise(packed_history(df, plan, specs, late, own, cohorts, list(keep), roles.entity, roles.order), "packs")
+    late = replace(late, levels=era_levels(packs, own, priors))
+    return plan, Packs(packs, plan.features, plan.targets, late), [f for f in df.schema.fields if f.name in keep and f.name not in (roles.era, roles.cohort)]
+
+
 def cohort_volume(df: DataFrame, roles: Roles = PLAYER_PANEL) -> DataFrame:
     """Career volume regressed to the cohort's mean of earlier eras, by games played."""
     stats = [c for c in COHORT_STATS if f"f_career_{c}" in df.columns]

@@ -109,19 +109,16 @@ def _(spark, sf):
     return td.panel(spark, sf).groupBy("season").agg(F.count(F.lit(1)).alias("n")).withColumn("in_sample", in_sample(F.col("season"), 1999))
 
 
-def trained_panel(spark, sf, cfg=fb.Config()):
-    """Every row with all features; posteriors lean on the priors of the eras before the row's own."""
-    p = ag.with_era_priors(rank_cap(materialise(td.panel(spark, sf), "panel")))
-    h = fb.entity_block(p, {name: F.col(f"__prior_{name}") for name in ag.LEAGUE_PRIORS}, cfg)
-    return h.drop(*[c for c in h.columns if c.startswith("__prior_")])
+def trained(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES, keep=()):
+    """(plan, packs, fields that they carry besides, models) of the panel: every row with all features, posteriors lean on the eras before the row's own."""
+    p = rank_cap(td.panel(spark, sf)).withColumn("p_play", F.when(F.col("depth_rank") == 1, 0.75).otherwise(0.5))
+    plan, packs, kept = fb.history_packs(p, cfg, keep)
+    return plan, packs, kept, materialise(ad.train(packs, plan, list(variants), passes), "models")
 
 
-def accuracy_history(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES, ids=(), stored=False):
-    """The panel, stored if it is read again, its plan, the models, and a history whose rows carry `ids`."""
-    h = trained_panel(spark, sf, cfg)
-    h = materialise(h, "features") if stored else h
-    plan = ad.plan_for(h)
-    return (h, plan, *sv.walk_forward(h, plan, list(variants), passes, ids))
+def fold_table(spark, sf, variants=(ad.Variant(),), cfg=fb.Config(), passes=ad.PASSES):
+    plan, packs, _, models = trained(spark, sf, variants, cfg, passes)
+    return sv.scored_folds(sv.fold_errors(packs, models, plan))
 
 
 _GRADES = ["pred", "b1", "b2", "b3"]
@@ -133,8 +130,7 @@ def _(spark, sf):
 
     A fold that is left out keeps its row, with the reason.
     """
-    *_, history = accuracy_history(spark, sf)
-    s = sv.fold_scores(history).withColumn("trained_through", F.col("era") - 1)
+    s = fold_table(spark, sf).withColumn("trained_through", F.col("era") - 1)
     return s.select(F.col("era").alias("season"), "target", "form", "trained_through", "n_train", "n_test", "reason", *[f"{p}_mae" for p in _GRADES], "passes_gate", "present_as")
 
 
@@ -183,8 +179,7 @@ SELECT fo.season, fo.target, n_train, n_test, {_WHY} AS reason, {", ".join(f"CAS
 FROM fo JOIN g ON g.season = fo.season AND g.target = fo.target""")
 def _(spark, sf):
     """Rows, reasons and the three baselines of every fold and target; training means come from the summed matrices."""
-    *_, history = accuracy_history(spark, sf, passes=0)
-    s = sv.fold_scores(history)
+    s = fold_table(spark, sf, passes=0)
     return s.select(F.col("era").alias("season"), "target", "n_train", "n_test", "reason", *[steady(F.col(f"{b}_mae")).alias(f"{b}_mae") for b in _GRADES[1:]])
 
 
@@ -197,23 +192,24 @@ VARIANTS = (
 @query("model_variant_errors", "ML11 SF20")
 def _(spark, sf):
     """Base, recency-weighted, per-cohort and longer-window models of every target on every later era (no SQL twin)."""
-    *_, history = accuracy_history(spark, sf, VARIANTS, fb.Config(windows=(3, 8, 16)))
-    return sv.fold_scores(history).select(F.col("era").alias("season"), "target", "variant", "n_train", "n_test", "reason", F.col("pred_mae").alias("mae"))
+    return fold_table(spark, sf, VARIANTS, fb.Config(windows=(3, 8, 16))).select(F.col("era").alias("season"), "target", "variant", "n_train", "n_test", "reason", F.col("pred_mae").alias("mae"))
 
 
 @query("serve_projection", "ML2 ML4 ML5 SNK2")
 def _(spark, sf):
     """Models trained, gated, published as a version, read back, and every row served by the models of its own era (no SQL twin)."""
-    h, plan, models, history = accuracy_history(spark, sf, stored=True)
+    keep = ["season", "week", "game_id", "gsis_id", "position"]
+    plan, packs, kept, models = trained(spark, sf, keep=(*keep, "p_play"))
     store = scratch_path(spark, "model-store")
-    sv.publish(models, sv.gate(history), store)
-    rows = h.withColumn("p_play", F.when(F.col("depth_rank") == 1, 0.75).otherwise(0.5))
-    return sv.serve(rows, sv.load(spark, store), plan, ["season", "week", "game_id", "gsis_id", "position"], "p_play")
+    sv.publish(models, sv.gate_of(sv.fold_errors(packs, models, plan)), store)
+    return sv.serve_packs(packs, sv.load(spark, store), plan, kept, keep, "p_play")
 
 
 @query("calibration_chain", "CP4 CP5 SF16 SF17")
 def _(spark, sf):
     """Level maps and ratio quantiles of every target and era, from walk-forward predictions of the eras before it (no SQL twin)."""
-    *_, history = accuracy_history(spark, sf, ids=("game_id", "gsis_id"))
+    ids = ("game_id", "gsis_id")
+    plan, packs, kept, models = trained(spark, sf, keep=ids)
+    history = sv.accuracy(sv.after_first(packs), models, plan, kept)
     _, ratios = cp.cross_fitted(materialise(history.where("pred IS NOT NULL"), "history"))
     return ratios.select("target", "era", "bin", "lo", "hi", "n", "mean_pred", "mean_actual", F.col("quantiles")[99].alias("median_ratio"))
