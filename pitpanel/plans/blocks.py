@@ -16,7 +16,7 @@ from pitpanel.operators.aggregates import LEAGUE_PRIORS, allowed_totals, era_sha
 from pitpanel.operators.joins import lagged_era, latest_prior_era
 from pitpanel.operators.models import TARGETS
 from pitpanel.operators.ordered import Spec, prior
-from pitpanel.operators.packs import Late, Packs, era_levels, packed_history
+from pitpanel.operators.packs import Packs, era_levels, packed_history
 from pitpanel.operators.shape import mask_when
 from pitpanel.operators.windows import expanding_era_prior, history
 from pitpanel.roles import PLAYER_PANEL, Roles
@@ -168,16 +168,12 @@ def history_packs(df: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] =
     feature is written by rows. The sums behind the priors are taken on the way.
     """
     plan = history_plan(df.columns, cfg, roles)
-    made = {**EFFICIENCY, **SHARES}
-    totals = posterior_specs(df.columns)
-    at = {s.column: i for i, s in enumerate(totals)}
-    places = tuple((k, at[made[f][0]], at[made[f][1]], SHRINK_K[made[f][3]], made[f][2]) for k, f in enumerate(plan.features) if f in made)
+    rates = {f: (n, d, p, SHRINK_K[k]) for f, (n, d, p, k) in {**EFFICIENCY, **SHARES}.items() if f in plan.features}
     priors = {name: v for name, v in LEAGUE_PRIORS.items() if {v[0], v[1]} <= set(df.columns)}
     own = sorted({c for n, d, _ in priors.values() for c in (n, d)})
-    late = Late(tuple(s.name for s in totals), places)
     cohorts = {t: (TARGETS[t][0], plan.link(t) == "log") for t in plan.targets}
-    specs = [*entity_specs(df.columns, cfg, roles.era), *totals]
-    packs = materialise(packed_history(df, plan, specs, late, own, cohorts, list(keep), roles.entity, roles.order), "packs")
+    found, late = packed_history(df, plan, entity_specs(df.columns, cfg, roles.era), rates, own, cohorts, list(keep), roles.entity, roles.order)
+    packs = materialise(found, "packs")
     late = replace(late, levels=era_levels(packs, own, priors))
     return plan, Packs(packs, plan.features, plan.targets, late), [f for f in df.schema.fields if f.name in keep and f.name not in (roles.era, roles.cohort)]
 
