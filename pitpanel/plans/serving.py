@@ -228,7 +228,39 @@ def fold_errors(packs: Packs, models: DataFrame, plan: ad.Plan) -> DataFrame:
     ok = F.col("reason").isNull()
     pairs = {"pred": (error, count)} | {b: (F.col(f"__{b}"), F.col(f"__n_{b}")) for b in ("b1", "b2", "b3")}
     sums = [x for p, (e, c) in pairs.items() for x in (F.when(ok, e).alias(f"{p}_error"), F.when(ok, c).alias(f"{p}_n"))]
-    return out.select(*by, "form", "reason", "n_test", "n_train", *sums)
+    return out.select(*by, "form", "reason", "n_test", "n_train", F.col("__mixed_form").alias("compound_first"), *sums)
+
+
+def predictions(packs: Packs, models: DataFrame, plan: ad.Plan, errors: DataFrame, kept: list, variant: str = "base") -> DataFrame:
+    """target, era, the fields the packs carry, pred, actual: the predictions of one variant in ``accuracy``, and no more of a row than that."""
+    packs = after_first(packs)
+    read, names = reader(packs), {*[f.name for f in kept], *plan.features}
+    forms = {(r.era, r.target): r.compound_first for r in errors.where((F.col("variant") == variant) & F.col("reason").isNull()).collect()}  # a row per fold
+    shared = packs.df.sparkSession.sparkContext.broadcast((ad.scorers(models, plan).get(variant, {}), forms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds, forms = shared.value
+        for part in batches:
+            for q in opened(part, read, rest=True):
+                if q.era not in folds or q.cohort not in folds[q.era].by:
+                    continue
+                p = folds[q.era].predicted(q.cohort, Reduced(q.x))
+                for k, t in enumerate(plan.targets):
+                    if (q.era, t) in forms:
+                        _, _, opp, rate = TARGETS[t]
+                        pred = p[:, k]
+                        if forms[q.era, t]:
+                            compound = p[:, plan.targets.index(opp)] * _first(q, plan, names, (rate,))
+                            pred = np.where(np.isnan(compound), pred, compound)
+                        at = np.flatnonzero(~np.isnan(q.y[:, k]) & ~np.isnan(pred))
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.repeat(pa.scalar(t), len(at)), pa.repeat(pa.scalar(q.era, pa.int64()), len(at)), *[q.rest.column(f.name).take(pa.array(at)) for f in kept], pa.array(pred[at]), pa.array(q.y[at, k])],
+                                ["target", "era", *[f.name for f in kept], "pred", "actual"],
+                            )
+
+    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("era", T.LongType()), *kept, T.StructField("pred", T.DoubleType()), T.StructField("actual", T.DoubleType())])
+    return packs.df.drop("own").mapInArrow(run, schema)
 
 
 def scored_folds(errors: DataFrame) -> DataFrame:

@@ -210,6 +210,5 @@ def _(spark, sf):
     """Level maps and ratio quantiles of every target and era, from walk-forward predictions of the eras before it (no SQL twin)."""
     ids = ("game_id", "gsis_id")
     plan, packs, kept, models = trained(spark, sf, keep=ids)
-    history = sv.accuracy(sv.after_first(packs), models, plan, kept)
-    _, ratios = cp.cross_fitted(materialise(history.where("pred IS NOT NULL"), "history"))
+    _, ratios = cp.cross_fitted(sv.predictions(packs, models, plan, sv.fold_errors(packs, models, plan), kept))
     return ratios.select("target", "era", "bin", "lo", "hi", "n", "mean_pred", "mean_actual", F.col("quantiles")[99].alias("median_ratio"))
