@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitpanel.functions.prob import posterior
 from pitpanel.operators.additive import Plan
@@ -16,11 +16,11 @@ from pitpanel.operators.aggregates import LEAGUE_PRIORS, allowed_totals, era_sha
 from pitpanel.operators.joins import lagged_era, latest_prior_era
 from pitpanel.operators.models import TARGETS
 from pitpanel.operators.ordered import Spec, prior
-from pitpanel.operators.packs import Packs, era_levels, packed_history
+from pitpanel.operators.packs import Packs, era_levels, packed_history, unpacked_rows
 from pitpanel.operators.shape import mask_when
 from pitpanel.operators.windows import expanding_era_prior, history
 from pitpanel.roles import PLAYER_PANEL, Roles
-from pitpanel.session import materialise, small_side, stored_side
+from pitpanel.session import SIDE_ROWS, SLICE, SLICE_ROWS, dealt_in_order, in_order, materialise, small_side, stored_side
 
 # Evidence at which own rate and prior weigh the same.
 SHRINK_K = {
@@ -216,6 +216,11 @@ def rival_cohort_block(df: DataFrame, cfg: Config = Config(), roles: Roles = PLA
     In a cohort's first era there is no earlier level and the feature is null; ``compat`` uses
     the mean over every era there instead.
     """
+    return df.join(rival_cohort_side(df, cfg, roles), [roles.era, roles.period, roles.event, roles.cohort, roles.rival], "left")
+
+
+def rival_cohort_side(df: DataFrame, cfg: Config = Config(), roles: Roles = PLAYER_PANEL) -> DataFrame:
+    """The columns of ``rival_cohort_block``, a row per (era, period, event, cohort, rival)."""
     stats = [c for c in ALLOWED_STATS if c in df.columns]
     allowed = allowed_totals(df, stats)
     specs = [Spec(f"__s_{c}", "sum", c) for c in stats] + [Spec("__n", "count")]
@@ -230,8 +235,7 @@ def rival_cohort_block(df: DataFrame, cfg: Config = Config(), roles: Roles = PLA
         p = F.coalesce(f"__p_{c}", f"__e_{c}") if cfg.compat else F.col(f"__p_{c}")
         cols.append(((F.col(f"__s_{c}") + p * DEFENCE_K) / (F.col("__n") + DEFENCE_K)).alias(DEFENCE_PREFIX + c))
     keys = [roles.era, roles.period, roles.event, roles.cohort]
-    side = stored_side(h.select(*keys, F.col("def_team").alias(roles.rival), *cols), "allowed")
-    return df.join(side, [*keys, roles.rival], "left")
+    return stored_side(h.select(*keys, F.col("def_team").alias(roles.rival), *cols), "allowed")
 
 
 def team_block(df: DataFrame, team: DataFrame, league: DataFrame, cfg: Config = Config(), roles: Roles = PLAYER_PANEL) -> DataFrame:
@@ -241,6 +245,12 @@ def team_block(df: DataFrame, team: DataFrame, league: DataFrame, cfg: Config =
     ``league``: era and league_off_proe of completed eras.
     Default: the rival's own defensive rows. ``compat``: rows relabelled by opponent.
     """
+    mine, other = team_sides(team, league, cfg, roles)
+    return df.join(mine, [roles.event, roles.group], "left").join(other, [roles.event, roles.rival], "left")
+
+
+def team_sides(team: DataFrame, league: DataFrame, cfg: Config = Config(), roles: Roles = PLAYER_PANEL) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``team_block``: a row per (event, group), and per (event, rival)."""
     specs = []
     for c in [c for c in TEAM_STATS if c in team.columns]:
         specs += [Spec(f"f_team_prior_{c}", "mean", c), Spec(f"f_team_r4_{c}", "rolling", c, cfg.team_window)]
@@ -257,8 +267,7 @@ def team_block(df: DataFrame, team: DataFrame, league: DataFrame, cfg: Config =
         other = r.select(roles.event, F.col("opponent").alias(roles.rival), *[s.name for s in rival_specs])
     else:
         other = t.select(roles.event, F.col(roles.group).alias(roles.rival), *[s.name for s in rival_specs])
-    mine, other = stored_side(mine, "group-side"), stored_side(other, "rival-side")
-    return df.join(mine, [roles.event, roles.group], "left").join(other, [roles.event, roles.rival], "left")
+    return stored_side(mine, "group-side"), stored_side(other, "rival-side")
 
 
 def reference_block(df: DataFrame, table: DataFrame, rates: list[str], on: dict[str, str], prefix: str, roles: Roles = PLAYER_PANEL) -> DataFrame:
@@ -302,6 +311,51 @@ def build(
     return team_block(out, team, league, cfg, roles)
 
 
+#: Bytes of rows that wait in a task to be packed by their place in the order.
+IN_ORDER_WAITING = 128 << 20
+
+
+def build_in_order(panel: DataFrame, team: DataFrame, league: DataFrame, priors: dict[str, float], cfg: Config = Config(), roles: Roles = PLAYER_PANEL, finish=None) -> DataFrame:
+    """Keys and every default block's features of a stored panel, in the order of era, period, event, entity.
+
+    ``finish``: what is made of the columns that are no exact window (posteriors, group and rival columns), such as a rounding; it is
+    applied to the small sides before they are joined.
+
+    Rows are put in order while their windows are packs of small whole numbers, a tenth of the wide rows; the columns of the group
+    and rival blocks, broadcast, are joined after that. The order's slices are stretches of whole events. Where the events or the
+    sides are too many for a broadcast, or one event is too large for a slice, the wide rows are put in order instead.
+    """
+    order, event = [*roles.order, roles.entity], [roles.era, roles.period, roles.event]
+    finish = finish or (lambda c: c)
+    done = lambda side: side.select(*[finish(F.col(c)).alias(c) if c.startswith("f_") else c for c in side.columns])
+    spark = panel.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = materialise(panel.groupBy(*event, roles.rival, roles.cohort).agg(F.count(F.lit(1)).alias("__n")), "cells")
+    events = cells.groupBy(*event).agg(F.sum("__n").alias("__n"))
+    rows, most = cells.agg(F.sum("__n"), F.lit(0)).first()[0] or 0, events.agg(F.max("__n")).first()[0] or 0
+    if cells.count() > SIDE_ROWS or most > SLICE_ROWS or cfg.compat or cfg.cohort_volume or cfg.role_change or cfg.weather or cfg.scheme or cfg.crew or not cfg.rival_cohort:
+        dealt, slices = dealt_in_order(panel, order, "panel")
+        wide = build(dealt, team, league, priors, cfg, roles)
+        kept = [c for c in wide.columns if c.startswith("f_")]
+        exact = {s.name for s in entity_specs(panel.columns, cfg, roles.era)}
+        return in_order(wide.select(SLICE, *order, *[F.col(c) if c in exact else finish(F.col(c)).alias(c) for c in kept]), order, slices)
+    slices = max(least, -(-rows // SLICE_ROWS))
+    before = F.sum("__n").over(Window.orderBy(*event).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")  # at most SIDE_ROWS events
+    places = events.select(*event, F.floor(before * slices / max(rows, 1)).cast("int").alias(SLICE))
+    plan = history_plan(panel.columns, cfg, roles)
+    rates = {f: (n, d, priors[p] if isinstance(p, str) else p, SHRINK_K[k]) for f, (n, d, p, k) in {**EFFICIENCY, **SHARES}.items() if f in plan.features}
+    keep = list(dict.fromkeys([*order, roles.group, roles.rival, roles.cohort]))
+    dealt = panel.join(F.broadcast(materialise(places, "slices")), event).repartition(roles.entity)
+    found, late = packed_history(dealt, replace(plan, targets=()), entity_specs(panel.columns, cfg, roles.era), rates, [], {}, keep, roles.entity, roles.order, SLICE, IN_ORDER_WAITING)
+    packs = Packs(found.repartitionById(slices, F.col("era").cast("int")), plan.features, (), late)
+    wide = unpacked_rows(packs, [panel.schema[c] for c in keep], {"f_games_prior", "f_games_prior_season"})
+    wide = wide.select(*[finish(F.col(c)).alias(c) if c in rates else c for c in wide.columns])
+    wide = wide.join(F.broadcast(done(rival_cohort_side(panel, cfg, roles))), [*event, roles.cohort, roles.rival], "left")
+    mine, other = (F.broadcast(done(side)) for side in team_sides(team, league, cfg, roles))
+    wide = wide.join(mine, [roles.event, roles.group], "left").join(other, [roles.event, roles.rival], "left")
+    return wide.select(*order, *[c for c in wide.columns if c.startswith("f_")]).sortWithinPartitions(*order)
+
+
 def _need(table, name: str) -> None:
     if table is None:
         raise ValueError(f"the {name} block is on but its table is missing")

@@ -11,7 +11,7 @@ from pitpanel.plans import project as pj
 from pitpanel.queries import blocks as bq, query, steady, steady_sql
 from pitpanel.queries.blocks import _LITERAL, _league, _team
 from pitpanel.queries.calibration import _APPLY, with_availability
-from pitpanel.session import SLICE, dealt_in_order, in_order, scratch_path
+from pitpanel.session import materialise, scratch_path
 from pitpanel.sources import feeds, groups, sinks, tables
 
 
@@ -95,20 +95,14 @@ FROM en p JOIN aw ON p.game_id = aw.game_id AND p.opponent_team = aw.def_team AN
 JOIN ep ON ep.position = p.position AND ep.season = p.season LEFT JOIN th g ON p.game_id = g.game_id AND p.team = g.team LEFT JOIN th o ON p.game_id = o.game_id AND p.opponent_team = o.team"""
 
 
-_EXACT = ("f_games", "f_career_", "f_r3_", "f_r8_", "f_std_")
-
-
 @query("feature_build_all", "FB12 FB14 FB15 PF18 SO1", _every_feature_sql())
 def _(spark, sf):
     """Every feature column of every default block and the zone counts, in event order."""
     from pitpanel.operators.shape import rank_cap
 
-    order = ["season", "week", "game_id", "gsis_id"]
     t = _team(spark, sf)
-    panel, slices = dealt_in_order(td.panel(spark, sf), order, "panel")
-    h = fb.build(rank_cap(panel), t, _league(t), _LITERAL, fb.Config(zone=True))
-    out = h.select(SLICE, *order, *[F.col(c) if c.startswith(_EXACT) else steady(F.col(c)).alias(c) for c in h.columns if c.startswith("f_")])
-    return in_order(out, order, slices)
+    panel = rank_cap(materialise(td.panel(spark, sf), "panel"))
+    return fb.build_in_order(panel, t, _league(t), _LITERAL, fb.Config(zone=True), finish=steady)
 
 
 @query("tracking_scan", "SRC4", f"""WITH {td.PANEL}

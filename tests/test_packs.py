@@ -70,3 +70,23 @@ def test_flags_that_agree_are_one_column():
     full = np.zeros((9, 9))
     full[np.ix_(at, at)] = (r.z.T @ r.z)[np.ix_(own, own)]
     assert np.allclose(full, whole.T @ whole)
+
+
+def test_features_in_order_cross_the_exchange_as_packs(spark, monkeypatch):
+    """Rows in order equal the wide rows put in order, and what is shuffled last is one packed value for many rows."""
+    from pitpanel.queries.blocks import _LITERAL, _league, _team
+    from pitpanel.session import materialise
+
+    t = _team(spark, SF)
+    panel = materialise(rank_cap(td.panel(spark, SF)), "panel")
+    round5 = lambda c: F.round(c, 5)
+    out = fb.build_in_order(panel, t, _league(t), _LITERAL, fb.Config(zone=True), finish=round5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert "RepartitionByExpression" in dealt and plan.index("Join LeftOuter") < plan.index(dealt)  # the sides are joined after it
+    got = [tuple(r) for r in out.collect()]
+    assert [r[:4] for r in got] == sorted(r[:4] for r in got) and len(got) == panel.count()
+    monkeypatch.setattr(fb, "SIDE_ROWS", 0)
+    other = fb.build_in_order(panel, t, _league(t), _LITERAL, fb.Config(zone=True), finish=round5)
+    assert [(c, k) for c, k in other.dtypes if c.startswith("f_")] and set(other.columns) == set(out.columns)
+    assert [tuple(r) for r in other.select(*out.columns).collect()] == got
